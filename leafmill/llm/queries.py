@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import merkle, mixing
+import public_tokenizers
+
+from leafmill.llm import licenses, merkle, mixing, packing
 from leafmill.llm.common import table
 
 
@@ -16,6 +18,14 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES = {"op3_fingerprints": op3_fingerprints, "op9_mix": op9_mix}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_fingerprints": op3_fingerprints, "op8_packing": op8_packing, "op9_mix": op9_mix, "op10_licenses": op10_licenses}
 
 ORACLES: dict[str, str] = {}
