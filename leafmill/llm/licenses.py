@@ -2,8 +2,8 @@
 
 A rule has a keyword, a pattern, a label, a confidence and its place in the order; earlier rules have priority. A text
 that holds none of the gate words is done after plain substring searches; of the others, only rules whose keyword occurs
-run. Each match is a detection, an interval of characters. A detection that lies within another's interval is suppressed
-unless its rule stands earlier; so "apache license" gives way to "apache license, version 2.0".
+run. Each match is a detection, an interval of characters. Where one detection's interval lies within another's, the one
+whose rule stands later is suppressed; so "apache license" gives way to "apache license, version 2.0".
 
 Besides, base phrases are counted by words: a place is a word index where a phrase's words stand consecutively. Base labels
 always stay.
@@ -164,15 +164,20 @@ def detections(text: Column) -> Column:
 
     def sweep(acc: Column, s: Column) -> Column:
         end = -s["last"]
-        inside = (end <= acc["end"]) & (s["rank"] >= acc["rank"])
-        further = end > acc["end"]
+        inside = end <= acc["end"]
+        gives_way = inside & (s["rank"] >= acc["rank"])
+        # An earlier rule's match within the last kept one takes its place.
+        others = F.when(inside, F.slice(acc["kept"], 1, F.greatest(F.size(acc["kept"]) - 1, F.lit(0)))).otherwise(acc["kept"])
+        own = F.struct(s["start"].alias("start"), end.alias("end"), s["rank"].alias("rank"), s["label"].alias("label"), s["confidence"].alias("confidence"))
         return F.struct(
-            F.when(further, end).otherwise(acc["end"]).alias("end"),
-            F.when(further, s["rank"]).otherwise(acc["rank"]).alias("rank"),
-            F.when(inside, acc["kept"]).otherwise(F.array_append(acc["kept"], F.struct(s["start"].alias("start"), end.alias("end"), s["rank"].alias("rank"), s["label"].alias("label"), s["confidence"].alias("confidence")))).alias("kept"),
+            F.when(gives_way, acc["end"]).otherwise(end).alias("end"),
+            F.when(gives_way, acc["rank"]).otherwise(s["rank"]).alias("rank"),
+            F.when(gives_way, acc["kept"]).otherwise(F.array_append(others, own)).alias("kept"),
         )
 
-    return F.aggregate(ordered, begin, sweep, lambda acc: acc["kept"])
+    # A license without a known name counts only in a text that names none.
+    named = lambda d: d["label"] != "unknown"
+    return F.aggregate(ordered, begin, sweep, lambda acc: F.when(F.exists(acc["kept"], named), F.filter(acc["kept"], named)).otherwise(acc["kept"]))
 
 
 def base_places(text: Column) -> Column:
