@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from leafmill.llm import licenses, merkle, mixing, packing, simhash
+from leafmill.llm import licenses, merkle, mixing, packing, simhash, vectors
 from leafmill.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_groups(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_fingerprints": op3_fingerprints, "op6_simhash": op6_simhash, "op8_packing": op8_packing, "op9_mix": op9_mix, "op10_licenses": op10_licenses}
+QUERIES = {"op3_fingerprints": op3_fingerprints, "op5_vectors": op5_vectors, "op6_simhash": op6_simhash, "op8_packing": op8_packing, "op9_mix": op9_mix, "op10_licenses": op10_licenses}
 
 ORACLES: dict[str, str] = {}
