@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from leafmill.llm import licenses, merkle, mixing, packing, simhash, vectors
+from leafmill.llm import extraction, licenses, merkle, mixing, packing, simhash, vectors
 from leafmill.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -34,6 +38,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_fingerprints": op3_fingerprints, "op5_vectors": op5_vectors, "op6_simhash": op6_simhash, "op8_packing": op8_packing, "op9_mix": op9_mix, "op10_licenses": op10_licenses}
+QUERIES = {"op3_fingerprints": op3_fingerprints, "op5_vectors": op5_vectors, "op6_simhash": op6_simhash, "op7_extraction": op7_extraction, "op8_packing": op8_packing, "op9_mix": op9_mix, "op10_licenses": op10_licenses}
 
 ORACLES: dict[str, str] = {}
