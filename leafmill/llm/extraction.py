@@ -4,7 +4,7 @@ A page is read as a sequence of blocks (text between block-level tags). First pa
 a part of the page that says so (navigation, footer, aside, form, advert, notice, comments, ...) or is mostly links; it is
 content if it is long and holds enough stop words of some language; what is short or without stop words is undecided.
 Second pass: undecided blocks take the label of the nearest neighbour that the first pass decided by its text; inside an
-article the article's own edges count as content, elsewhere the page's edges count as boilerplate.
+article the article's own edges count as content. Without such a neighbour they are boilerplate.
 
 The text is the content blocks in page order, white space within a block as one space, blocks joined by an empty line.
 
@@ -121,14 +121,11 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if tag in VOID or tag in INLINE and not _says_boilerplate(tag, m["attrs"], False):
             continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-            # One of these ends an open one of its kind, unless a container has begun since.
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "td", "th", "li", "blockquote"):
-                    break
+        # A paragraph ends where another block begins, a list item or table cell where the next one does.
+        if stack and stack[-1][0] == "p":
+            stack.pop()
+        if stack and stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
+            stack.pop()
         bad, article = stack[-1][1:] if stack else (False, False)
         if not m["attrs"].endswith("/") or tag in ("div", "p"):
             stack.append((tag, bad or _says_boilerplate(tag, m["attrs"], article), article or tag in ("article", "main")))
@@ -147,29 +144,25 @@ def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
         words = _WORD.findall(text.lower()) if len(text) >= LONG else ()
         first.append(True if words and sum(w in STOP for w in words) >= STOP_WORDS * len(words) else None)
     n = len(found)
-    before: list[tuple[int, bool]] = []
-    seen, article = (-1, False), False
-    for k in range(n):
-        if found[k][3] != article:
-            article = found[k][3]
-            seen = (k - 1, article)
-        if first[k] is not None and not found[k][2]:
-            seen = (k, first[k])
-        before.append(seen)
-    after: list[tuple[int, bool]] = [(n, False)] * n
-    seen, article = (n, False), False
-    for k in range(n - 1, -1, -1):
-        if found[k][3] != article:
-            article = found[k][3]
-            seen = (k + 1, article)
-        if first[k] is not None and not found[k][2]:
-            seen = (k, first[k])
-        after[k] = seen
+
+    def nearest(order: range) -> list[tuple[int, bool | None]]:
+        """For each block, the last one before it in this order that its text decided, as (distance, label)."""
+        out: list[tuple[int, bool | None]] = [(0, None)] * n
+        place, label, article, step = 0, None, False, order.step
+        for k in order:
+            if found[k][3] != article:
+                article = found[k][3]
+                if article:
+                    place, label = k - step, True
+            out[k] = (abs(k - place), label)
+            if first[k] is not None and not found[k][2]:
+                place, label = k, first[k]
+        return out
+
     out = []
-    for k in range(n):
-        (i, a), (j, b) = before[k], after[k]
-        # Of two neighbours that differ the nearer decides; inside an article, content wins a tie.
-        out.append(first[k] if first[k] is not None else a if a == b else found[k][3] if k - i == j - k else a if k - i < j - k else b)
+    for k, (before, after) in enumerate(zip(nearest(range(n)), nearest(range(n - 1, -1, -1)), strict=True)):
+        known = sorted((x for x in (before, after) if x[1] is not None), key=lambda x: (x[0], x[1] != found[k][3]))
+        out.append(first[k] if first[k] is not None else bool(known and known[0][1]))
     return out
 
 
