@@ -151,9 +151,9 @@ def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
         place, label, article, step = 0, None, False, order.step
         for k in order:
             if found[k][3] != article:
+                # The edge of an article: content for what is inside, boilerplate for what is outside.
                 article = found[k][3]
-                if article:
-                    place, label = k - step, True
+                place, label = k - step, article
             out[k] = (abs(k - place), label)
             if first[k] is not None and not found[k][2]:
                 place, label = k, first[k]

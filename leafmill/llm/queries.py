@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from leafmill.llm import extraction, licenses, merkle, mixing, packing, simhash, vectors
+from leafmill.llm import extraction, language, licenses, merkle, mixing, packing, simhash, vectors
 from leafmill.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_groups(table(spark, sf_dir, "embeddings"))
 
@@ -38,6 +42,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_fingerprints": op3_fingerprints, "op5_vectors": op5_vectors, "op6_simhash": op6_simhash, "op7_extraction": op7_extraction, "op8_packing": op8_packing, "op9_mix": op9_mix, "op10_licenses": op10_licenses}
+QUERIES = {"op3_fingerprints": op3_fingerprints, "op4_language": op4_language, "op5_vectors": op5_vectors, "op6_simhash": op6_simhash, "op7_extraction": op7_extraction, "op8_packing": op8_packing, "op9_mix": op9_mix, "op10_licenses": op10_licenses}
 
 ORACLES: dict[str, str] = {}
