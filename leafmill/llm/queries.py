@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from leafmill.llm import extraction, language, licenses, merkle, mixing, packing, simhash, vectors
+from leafmill.llm import extraction, language, licenses, lines, merkle, mixing, packing, simhash, vectors
 from leafmill.llm.common import table
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_fingerprints": op3_fingerprints, "op4_language": op4_language, "op5_vectors": op5_vectors, "op6_simhash": op6_simhash, "op7_extraction": op7_extraction, "op8_packing": op8_packing, "op9_mix": op9_mix, "op10_licenses": op10_licenses}
+QUERIES = {"op1_lines": op1_lines, "op3_fingerprints": op3_fingerprints, "op4_language": op4_language, "op5_vectors": op5_vectors, "op6_simhash": op6_simhash, "op7_extraction": op7_extraction, "op8_packing": op8_packing, "op9_mix": op9_mix, "op10_licenses": op10_licenses}
 
 ORACLES: dict[str, str] = {}
