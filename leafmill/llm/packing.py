@@ -26,7 +26,7 @@ from leafmill.llm.common import cut
 GROUP, KEPT_CHUNKS = 8192, 200_000
 
 #: This worker's encoders by file; they stay for its next tasks.
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
 class ChunkEncoder:
@@ -36,10 +36,12 @@ class ChunkEncoder:
     ids are those of its chunks, one after another.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        # Where special tokens aren't wanted, their strings in a text are ordinary text.
+        self.tokenizer.encode_special_tokens = not special
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -55,10 +57,10 @@ class ChunkEncoder:
         return out
 
 
-def encoder(path: str) -> ChunkEncoder:
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+def encoder(path: str, special: bool = True) -> ChunkEncoder:
+    if (path, special) not in _encoders:
+        _encoders[path, special] = ChunkEncoder(path, special)
+    return _encoders[path, special]
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
