@@ -15,14 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Rows of df, written once to the shared checkpoint folder; later plans start from those files.
-
-    The folder is the session's spark.checkpoint.dir. Only where none is set (tests), a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir. Only where none is set (tests), a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmill-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmill-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Rows of df, written once to the shared folder; later plans start from those files."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -212,3 +212,10 @@ def fingerprint_groups(docs: DataFrame, *, near: int = NEAR, id_col: str = "doc_
     """id_col, fingerprint (16 lowercase hex digits), component_id."""
     rows = near_groups(docs, near=near, id_col=id_col, text_col=text_col)
     return rows.select(id_col, F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, *, near: int = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with only the document with the smallest id of each group; of rows that share an id, one."""
+    groups = near_groups(docs, near=near, id_col=id_col, text_col=text_col)
+    kept = groups.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_kept")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([id_col])
