@@ -12,8 +12,10 @@ an empty table gives no pieces. Only the named columns are used.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -22,8 +24,11 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import cut
 
-#: Pieces of one group, on average; chunks that a Python worker keeps the ids of.
-GROUP, KEPT_CHUNKS = 8192, 200_000
+#: Pieces of one group, on average; chunks that a Python worker keeps the ids of (about 200 bytes each).
+GROUP, KEPT_CHUNKS = 8192, 600_000
+
+# A word of Latin letters and ASCII marks behind it.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 
 #: This worker's encoders by file; they stay for its next tasks.
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
@@ -32,8 +37,9 @@ _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 class ChunkEncoder:
     """Token ids of texts by a tokenizers file, each chunk between spaces or line ends encoded once.
 
-    Exact for tokenizers whose pre-tokenizer drops white space and whose normalizer doesn't reach across it: there a text's
-    ids are those of its chunks, one after another.
+    Exact for tokenizers whose pre-tokenizer drops white space and parts letters from other characters, whose normalizer
+    doesn't reach across white space and ignores case, and whose words end in ids of their own (a BPE with word ends):
+    there a text's ids are those of its chunks, and a plain word's ids can be cut out of a run of words by these ends.
     """
 
     def __init__(self, path: str, special: bool = True):
@@ -42,19 +48,63 @@ class ChunkEncoder:
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
         # Where special tokens aren't wanted, their strings in a text are ordinary text.
         self.tokenizer.encode_special_tokens = not special
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[ends] = True
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def stream(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = []
+        chunks: list[list[str]] = []
+        size = 0
         for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            if new := [c for c in dict.fromkeys(chunks) if c not in self.known]:
-                if len(self.known) + len(new) > KEPT_CHUNKS:
-                    self.known = {c: self.known[c] for c in dict.fromkeys(chunks) if c in self.known} | {"": b""}
-                for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.known[c] = np.asarray(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(self.known.__getitem__, chunks)))
-        return out
+            # So many texts at once that their chunks take some MB.
+            chunks.append(text.replace("\n", " ").split(" "))
+            size += len(text)
+            if size > 500_000:
+                yield from self._encode(chunks)
+                chunks, size = [], 0
+        yield from self._encode(chunks)
+
+    def _encode(self, docs: list[list[str]]) -> list[bytes]:
+        chunks = set().union(*docs)
+        self._learn({c for c in chunks if c not in self.known})
+        # A small table of these texts' own chunks is looked up faster than the large one.
+        own = {c: self.known[c] for c in chunks}
+        if len(self.known) > KEPT_CHUNKS:
+            # The first ones are the frequent ones.
+            self.known = dict(islice(self.known.items(), KEPT_CHUNKS // 2))
+        return [b"".join(map(own.__getitem__, doc)) for doc in docs]
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Adds chunks to what is known. A word with marks behind it is made of the word in small letters and the marks."""
+        made, words, others = [], set(), set()
+        for c in chunks:
+            if m := _PLAIN.fullmatch(c):
+                word, marks = m[1].lower(), m[2]
+                made.append((c, word, marks))
+                if word not in self.known:
+                    words.add(word)
+                if marks not in self.known:
+                    others.add(marks)
+            else:
+                others.add(c)
+        plain = sorted(words)
+        for k in range(0, len(plain), 256):
+            run = plain[k : k + 256]
+            ids = np.asarray(self.tokenizer.encode(" ".join(run), add_special_tokens=False).ids, "<u4")
+            after = np.flatnonzero(self.ends[ids]) + 1
+            if len(after) != len(run):
+                others.update(run)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(run, (4 * after).tolist(), strict=True):
+                self.known[word] = raw[begin:end]
+                begin = end
+        rest = sorted(others)
+        for c, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            self.known[c] = np.asarray(e.ids, "<u4").tobytes()
+        for c, word, marks in made:
+            self.known[c] = self.known[word] + self.known[marks]
 
 
 def encoder(path: str, special: bool = True) -> ChunkEncoder:
@@ -71,8 +121,8 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int
         enc = encoder(tokenizer)
         for frame in frames:
             at, rows = [], []
-            for i, text in enumerate(frame["t"]):
-                ids = enc.encode([text])[0] + end
+            for i, raw in enumerate(enc.stream(frame["t"])):
+                ids = raw + end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]

@@ -45,16 +45,16 @@ def blocks_of_texts(docs: DataFrame, tokenizer: str, end_id: int, *, block: int
             n += len(frame)
             parts = [rest]
             held = len(rest)
-            for text in frame["text"]:
-                for more in (np.frombuffer(enc.encode([text])[0], "<u4").astype("<u2").tobytes(), end):
+            for ids in enc.stream(frame["text"]):
+                for more in (np.frombuffer(ids, "<u4").astype("<u2").tobytes(), end):
                     parts.append(more)
                     held += len(more)
                 if held >= 2 * block:
-                    ids = b"".join(parts)
+                    run = b"".join(parts)
                     for k in range(0, held - 2 * block + 1, 2 * block):
-                        rows.append((file, at, ids[k : k + 2 * block], None, None))
+                        rows.append((file, at, run[k : k + 2 * block], None, None))
                         at += 1
-                    parts = [ids[held - held % (2 * block) :]]
+                    parts = [run[held - held % (2 * block) :]]
                     held = len(parts[0])
             rest = b"".join(parts)
             yield pd.DataFrame(rows, columns=["file", "block", "ids", "first", "names"]).astype({"block": "Int64", "first": "Int64"})
