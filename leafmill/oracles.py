@@ -60,5 +60,43 @@ listed as (select * exclude n from (select *, row_number() over (partition by pa
 """
 
 
+NAMED = """,
+grouped as (select *, row_number() over (partition by page_id, lower(title) order by created_at, lower(title), att_id) nth from listed),
+named as (select * exclude nth, case when nth = 1 then title else regexp_replace(title, '^([^.]*)', '\\1-' || att_id) end local_name from grouped)
+"""
+
+PAIRS = """,
+diagrams as (select page_id, att_id xml_id, title xml_title, version xml_version, created_at xml_at from listed where ends_with(title, '.drawio')),
+previews as (select page_id, title, arg_max(att_id, ord) png_id, arg_max(version, ord) png_version, arg_max(created_at, ord) png_at from listed where media_type = 'image/png' group by 1, 2),
+pairs as (select d.page_id, xml_id, xml_title, xml_version, png_id, png_version, coalesce(png_at >= xml_at, false) preview_fresh from diagrams d left join previews p on p.page_id = d.page_id and p.title = d.xml_title || '.png')
+"""
+
+DIGESTS = """,
+digests as (select distinct att_id, version, sha256(att_id || '@' || version) digest from listed where substr(page_id, 2)::bigint % 5 <> 0),
+derived as (select case when split_part(att_id, '-', 1)::bigint % 2 = 0 then 2 else 1 end render_version, digest xml_digest, sha256('png' || digest) png_digest from digests where split_part(att_id, '-', 1)::bigint % 3 = 0)
+"""
+
+
+def _snapshot(name: str, pages: str) -> str:
+    """A layout of some of the pages as views of its own."""
+    views = LAYOUT.split("bodies as", 1)[1].split("nodes as", 1)[1]
+    views = "nodes as" + views
+    for view in ("nodes", "parented", "parents", "ranked", "segmented", "placed"):
+        for before, after in ((f"{view} as (", f"{name}_{view} as ("), (f"from {view} ", f"from {name}_{view} "), (f"from {view})", f"from {name}_{view})"), (f"join {view} ", f"join {name}_{view} "), (f"from {view}\n", f"from {name}_{view}\n")):
+            views = views.replace(before, after)
+    views = views.replace("from pages union all", f"from {name}_pages union all")
+    plan = f"{name}_plan as (select l.space_id, l.node_id page_id, dir, file, p.title, p.version, p.status, sha256(l.node_id || '@' || p.version) fingerprint from {name}_placed l join {name}_pages p on p.space_id = l.space_id and p.page_id = l.node_id where l.kind = 'page')"
+    return f"{name}_pages as ({pages}), {views}, {plan}"
+
+
+SNAPSHOTS = (
+    TREE
+    + ", "
+    + _snapshot("old", "select * from pages where substr(page_id, 2)::bigint % 10 <> 0")
+    + ", "
+    + _snapshot("now", "select * replace (version + case when substr(page_id, 2)::bigint % 10 = 2 then 1 else 0 end as version, case when substr(page_id, 2)::bigint % 10 = 3 and page_id like 'c%' then '' else parent_id end as parent_id) from pages where substr(page_id, 2)::bigint % 10 <> 1")
+)
+
+
 def q(views: str, select: str) -> str:
     return f"with recursive {views} {select}"

@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.adapters import Tree
+from leafmill.functions import names as N
+from leafmill.operators import attachments as A
+from leafmill.operators import bodies as B
 from leafmill.operators import layout as L
-from leafmill.oracles import LAYOUT, TREE, q
+from leafmill.oracles import ATT, DIGESTS, LAYOUT, NAMED, PAIRS, SNAPSHOTS, TREE, q
+from leafmill.plans import fingerprints as P
+from leafmill.plans import reconcile as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,22 +88,22 @@ def f4_find_pages(t: Tree) -> DataFrame:
     return L.find_pages(placed(t), t.pages(), "URGENT")
 
 
-@query(q(LAYOUT, "select space_id, node_id, kind, dir from placed where space_id = 'r1' and list_contains(path_ids, (select node_id from placed where space_id = 'r1' and parent_id = '' and lower(title) = 'canada'))"))
+@query(q(LAYOUT, "select space_id, node_id, kind, dir from placed where space_id = 'r2' and list_contains(path_ids, (select node_id from placed where space_id = 'r2' and parent_id = '' and lower(title) = 'nation_2'))"))
 def f8_restrict_layout(t: Tree) -> DataFrame:
     plan = placed(t)
-    return L.restrict(plan, "r1", L.resolve_subtree(plan, "r1", "/canada/")).select("space_id", "node_id", "kind", "dir")
+    return L.restrict(plan, "r2", L.resolve_subtree(plan, "r2", "/nation_2/")).select("space_id", "node_id", "kind", "dir")
 
 
-@query(q(LAYOUT, "select space_id, node_id from placed where space_id = 'r2' and lower(title) = 'building' and parent_id = (select node_id from placed where space_id = 'r2' and parent_id = '' and lower(title) = 'china') order by rank limit 1"))
+@query(q(LAYOUT, "select space_id, node_id from placed where space_id = 'r2' and lower(title) = 'building' and parent_id = (select node_id from placed where space_id = 'r2' and parent_id = '' and lower(title) = 'nation_7') order by rank limit 1"))
 def f7_resolve_subtree(t: Tree) -> DataFrame:
     plan = placed(t)
-    node = L.resolve_subtree(plan, "r2", "CHINA/building")
+    node = L.resolve_subtree(plan, "r2", "NATION_7/building")
     return plan.where((F.col("space_id") == "r2") & (F.col("node_id") == node)).select("space_id", "node_id")
 
 
-@query(q(LAYOUT, "select space_id, node_id, dir from placed where dir = 'AFRICA/KENYA' or dir like 'AFRICA/KENYA/%'"))
+@query(q(LAYOUT, "select space_id, node_id, dir from placed where dir = 'ASIA/NATION_2' or dir like 'ASIA/NATION_2/%'"))
 def f9_dir_in_scope(t: Tree) -> DataFrame:
-    return placed(t).where(L.in_scope(F.col("dir"), F.lit("AFRICA/KENYA"))).select("space_id", "node_id", "dir")
+    return placed(t).where(L.in_scope(F.col("dir"), F.lit("ASIA/NATION_2"))).select("space_id", "node_id", "dir")
 
 
 @query(q(LAYOUT, "select count(*) as paths, count(*) filter (coalesce(file, dir) like '/%' or list_contains(string_split(coalesce(file, dir), '/'), '..')) as unsafe from placed"))
@@ -110,3 +115,398 @@ def f10_safe_paths(t: Tree) -> DataFrame:
 @query(q(LAYOUT, "select space_id, count(*) pages from placed where kind = 'page' group by 1"))
 def a9_counts(t: Tree) -> DataFrame:
     return placed(t).where("kind = 'page'").groupBy("space_id").agg(F.count("*").alias("pages"))
+
+
+# Attachments of orders. A digest stands for the bytes: those of every fifth order are missing.
+
+
+def listed(t: Tree) -> DataFrame:
+    return A.first_seen(t.attachments(), "listing")
+
+
+def named(t: Tree) -> DataFrame:
+    return A.plan_names(t.attachments(), "listing")
+
+
+def digests(t: Tree) -> DataFrame:
+    rows = listed(t).where(F.substring("page_id", 2, 20).cast("long") % 5 != 0)
+    return rows.select("att_id", "version", F.sha2(F.concat_ws("@", "att_id", F.col("version").cast("string")), 256).alias("digest"))
+
+
+def derived(t: Tree) -> DataFrame:
+    """Every third diagram has a cached rendering, of the current version or the one before."""
+    n = F.substring_index("att_id", "-", 1).cast("long")
+    return digests(t).where(n % 3 == 0).select((F.when(n % 2 == 0, 2).otherwise(1)).alias("render_version"), F.col("digest").alias("xml_digest"), F.sha2(F.concat(F.lit("png"), "digest"), 256).alias("png_digest"))
+
+
+def blobs(t: Tree) -> DataFrame:
+    return digests(t).select("digest").unionByName(derived(t).select(F.col("png_digest").alias("digest"))).distinct()
+
+
+@query(q(ATT, "select page_id, att_id, title, version from listed"))
+def w6_first_seen(t: Tree) -> DataFrame:
+    return listed(t).select("page_id", "att_id", "title", "version")
+
+
+@query(q(ATT, "select page_id, att_id, title from atts where not (starts_with(trim(title), '~$') or (starts_with(trim(title), '~') and ends_with(trim(title), '.tmp')))"))
+def f2_drop_noise(t: Tree) -> DataFrame:
+    return A.drop_noise(t.attachments()).select("page_id", "att_id", "title")
+
+
+@query(q(ATT + NAMED, "select page_id, att_id, title, local_name from named"))
+def w5_plan_attachment_names(t: Tree) -> DataFrame:
+    return named(t).select("page_id", "att_id", "title", "local_name")
+
+
+@query(q(ATT + NAMED, "select page_id, att_id, count(*) over (partition by page_id, lower(title)) = 1 fold_unique from named"))
+def a10_unambiguous_fold(t: Tree) -> DataFrame:
+    return A.unambiguous_fold(named(t)).select("page_id", "att_id", "fold_unique")
+
+
+@query(
+    q(
+        ATT + NAMED,
+        """select distinct r.page_id, r.att_id, r.title, coalesce(i.local_name, e.local_name, f.local_name, r.title) local_name
+        from (select page_id, case when ord % 2 = 0 then att_id else '' end att_id, case when ord % 3 = 0 then upper(title) else title end title from atts) r
+        left join named i on i.page_id = r.page_id and i.att_id = r.att_id
+        left join (select page_id, title, arg_min(local_name, (created_at, att_id, local_name)) local_name from named group by 1, 2) e on e.page_id = r.page_id and e.title = r.title
+        left join (select page_id, lower(title) t, min(local_name) local_name from named group by 1, 2 having count(*) = 1) f on f.page_id = r.page_id and f.t = lower(r.title)""",
+    )
+)
+def j5_resolve_attachment_refs(t: Tree) -> DataFrame:
+    # Ordinals as the oracle has them: a total order of the listing.
+    from pyspark.sql import Window as W
+
+    rows = t.attachments().withColumn("ord", F.row_number().over(W.orderBy("listing")))
+    refs = rows.select("page_id", F.when(F.col("ord") % 2 == 0, F.col("att_id")).otherwise("").alias("att_id"), F.when(F.col("ord") % 3 == 0, F.upper("title")).otherwise(F.col("title")).alias("title"))
+    return A.resolve_refs(refs, named(t)).select("page_id", "att_id", "title", "local_name").distinct()
+
+
+@query(q(ATT + DIGESTS, "select l.page_id, l.att_id, coalesce(d.digest, '') digest, case when d.digest is null then 'fetch' else 'reuse' end status from listed l left join digests d on d.att_id = l.att_id and d.version = l.version"))
+def j3_incremental_attachments(t: Tree) -> DataFrame:
+    rows = A.incremental(listed(t), digests(t), blobs(t))
+    return rows.select("page_id", "att_id", F.coalesce("digest", F.lit("")).alias("digest"), "status")
+
+
+@query(q(ATT + PAIRS, "select page_id, xml_id, coalesce(png_id, '') png_id, preview_fresh from pairs"))
+def j7_drawio_pairs(t: Tree) -> DataFrame:
+    return A.drawio_pairs(listed(t), "listing").select("page_id", "xml_id", F.coalesce("png_id", F.lit("")).alias("png_id"), "preview_fresh")
+
+
+@query(q(ATT + PAIRS + DIGESTS, "select distinct d.digest xml_digest from pairs p join digests d on d.att_id = p.xml_id and d.version = p.xml_version where not preview_fresh and d.digest not in (select xml_digest from derived where render_version = 2)"))
+def j9_render_queue(t: Tree) -> DataFrame:
+    return A.render_queue(A.drawio_pairs(listed(t), "listing"), digests(t), derived(t), blobs(t))
+
+
+def rendered(t: Tree) -> DataFrame:
+    return A.rendered_media(A.drawio_pairs(listed(t), "listing"), named(t), digests(t), derived(t), blobs(t))
+
+
+RENDERED = r""",
+rendered as (
+  select * from (
+    select p.page_id, p.xml_title,
+      case when preview_fresh then case when pd.digest is not null then n.local_name end
+           when c.png_digest is not null then
+             case when exists (select 1 from named o where o.page_id = p.page_id and o.local_name = regexp_replace(xml_title, '\.[^.]*$', '') || '.png' and o.att_id <> coalesce(p.png_id, ''))
+               then regexp_replace(xml_title, '\.[^.]*$', '') || '-rendered.png' else regexp_replace(xml_title, '\.[^.]*$', '') || '.png' end end local_name,
+      case when not preview_fresh then coalesce(c.png_digest, '') else '' end png_digest
+    from pairs p left join digests pd on pd.att_id = p.png_id and pd.version = p.png_version
+    left join digests xd on xd.att_id = p.xml_id and xd.version = p.xml_version
+    left join derived c on c.xml_digest = xd.digest and c.render_version = 2
+    left join named n on n.page_id = p.page_id and n.att_id = p.png_id
+  ) where local_name is not null
+)
+"""
+
+
+@query(q(ATT + NAMED + PAIRS + DIGESTS + RENDERED, "select * from rendered"))
+def j10_rendered_media(t: Tree) -> DataFrame:
+    return rendered(t).withColumn("png_digest", F.coalesce("png_digest", F.lit("")))
+
+
+@query(q(ATT + NAMED + PAIRS + DIGESTS + RENDERED, "select page_id, array_to_string(list_sort(list_distinct(list(local_name))), '|') as \"names\" from (select n.page_id, local_name from named n join digests d on d.att_id = n.att_id and d.version = n.version union all select page_id, local_name from rendered) group by 1"))
+def j21_available_media(t: Tree) -> DataFrame:
+    return A.available_media(named(t), digests(t), rendered(t)).select("page_id", F.array_join("names", "|").alias("names"))
+
+
+@query(q(LAYOUT + ", " + ATT + NAMED + DIGESTS, "select n.page_id, dir || '/.media/' || local_name as path, digest, epoch(created_at::timestamp)::double mtime from named n join placed l on l.node_id = n.page_id and l.kind = 'page' join digests d on d.att_id = n.att_id and d.version = n.version"))
+def s14_media_manifest(t: Tree) -> DataFrame:
+    return A.media_manifest(named(t), placed(t), digests(t))
+
+
+@query(q(ATT, "select page_id, att_id, version, 'https://wiki.example.com/wiki/rest/api/content/' || page_id || '/child/attachment/' || att_id || '/download' url, case when file_size > 0 then greatest(file_size * 2, 268435456) else 8589934592 end::bigint cap from listed"))
+def s15_download_plan(t: Tree) -> DataFrame:
+    return A.download_plan(listed(t).withColumn("download_url", F.lit("")), "https://wiki.example.com")
+
+
+@query("select doc_id, greatest(1, case when n_chars > 0 then least(greatest(1, least(3, round_even(14.0 / (2 + doc_id % 16), 0)::int)), floor(12000.0 / (n_chars + doc_id % 5))::int) else 1 end)::int scale from documents where n_chars > 0")
+def a7_render_scale(t: Tree) -> DataFrame:
+    model = F.concat(F.lit('<mxGraphModel><mxCell style="fontSize='), (2 + F.col("doc_id") % 16).cast("string"), F.lit(';"/><mxGeometry x="'), (F.col("doc_id") % 5).cast("string"), F.lit('" y="0" width="'), F.col("n_chars").cast("string"), F.lit('" height="1"/><mxGeometry x="0" y="0" width="1" height="1"/></mxGraphModel>'))
+    return t.read("documents").where("n_chars > 0").select("doc_id", A.render_scale(model).alias("scale"))
+
+
+# Bodies: documents as pages of their source.
+
+
+def documents(t: Tree) -> DataFrame:
+    d = t.read("documents")
+    return d.select(F.col("source").alias("space_id"), F.col("doc_id").cast("string").alias("page_id"), F.coalesce("text", F.lit("")).alias("body"))
+
+
+@query("select source space_id, doc_id::varchar page_id, sha256(text) digest from documents where text <> ''")
+def s9_store_bodies(t: Tree) -> DataFrame:
+    return B.store_bodies(documents(t))[1]
+
+
+@query("select sha256(text) digest, min(strlen(text))::bigint size from documents where text <> '' group by 1")
+def a4_dedup_blobs(t: Tree) -> DataFrame:
+    return B.store_bodies(documents(t))[2].select("digest", "size")
+
+
+@query("select source space_id, doc_id::varchar page_id from documents where coalesce(text, '') = ''")
+def f3_needs_body(t: Tree) -> DataFrame:
+    return B.needs_body(documents(t)).select("space_id", "page_id")
+
+
+@query("select source space_id, doc_id::varchar page_id, case when doc_id % 2 = 0 and text <> '' and sha256(text) not in (select sha256(text) from documents where doc_id % 3 = 0) then sha256(text) else 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855' end digest from documents where doc_id % 4 = 0")
+def j4_carry_failed_bodies(t: Tree) -> DataFrame:
+    _, links, _ = B.store_bodies(documents(t))
+    n = F.col("page_id").cast("long")
+    gone = links.where(n % 3 == 0).select("digest").distinct()
+    return B.carry_failed_bodies(documents(t).where(n % 4 == 0), links.where(n % 2 == 0), links.select("digest").distinct().join(gone, "digest", "left_anti"))
+
+
+@query(q(TREE, "select distinct author from pages where author <> ''"))
+def a2_author_ids(t: Tree) -> DataFrame:
+    return B.author_ids(t.pages(), t.pages().select(F.lit("").alias("author")).limit(0))
+
+
+@query(q(TREE, "select space_id, page_id, unnest(regexp_extract_all(body, 'account-id=\"([^\"]+)\"', 1)) account_id from bodies"))
+def r3_extract_mentions(t: Tree) -> DataFrame:
+    return B.mentions(t.pages()).select("space_id", "page_id", "account_id")
+
+
+def users(t: Tree) -> DataFrame:
+    """Half of the authors have a name."""
+    return t.pages().select(F.col("author").alias("account_id")).distinct().where(F.substring("account_id", 2, 9).cast("int") % 2 == 0).withColumn("display_name", F.concat(F.lit("User "), F.substring("account_id", 2, 9)))
+
+
+@query(q(TREE, "select space_id, page_id, author || ':' || case when substr(author, 2)::int % 2 = 0 then 'User ' || substr(author, 2) else '' end authors from pages"))
+def a3_author_resolution(t: Tree) -> DataFrame:
+    rows = B.author_resolution(t.pages(), users(t))
+    return rows.select("space_id", "page_id", F.array_join(F.transform("authors", lambda a: F.concat(a["account_id"], F.lit(":"), a["name"])), "|").alias("authors"))
+
+
+@query(q(TREE, "select space_id, page_id, author account_id, case when substr(author, 2)::int % 2 = 0 then 'User ' || substr(author, 2) else '' end as \"name\" from pages"))
+def j6_resolve_users(t: Tree) -> DataFrame:
+    rows = B.resolve_users(B.mentions(t.pages()), users(t))
+    return rows.select("space_id", "page_id", F.explode("users").alias("account_id", "name"))
+
+
+@query(q(TREE, "select space_id, bool_and(position < 6) complete from pages group by 1"))
+def a5_completeness(t: Tree) -> DataFrame:
+    return B.completeness(t.pages().select("space_id", (F.col("position") < 6).alias("listed"), F.lit(True).alias("downloaded")))
+
+
+@query("select user_id::varchar page_id, count(*)::int as \"number\", max_by(strftime(ts, '%Y-%m-%d'), (ts, event_id)) created_at from events group by 1")
+def a2b_latest_versions(t: Tree) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    nth = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    edits = t.read("events").select(F.col("user_id").cast("string").alias("page_id"), nth.alias("number"), F.date_format("ts", "yyyy-MM-dd").alias("created_at"), F.col("user_id").cast("string").alias("author_id"))
+    return B.latest_versions(edits).select("page_id", "number", "created_at")
+
+
+@query("select distinct space_id, space_key, name from (select 'r' || r_regionkey space_id, upper(substr(r_name, 1, 3)) space_key, r_name as name from region)")
+def f5_list_spaces(t: Tree) -> DataFrame:
+    return t.spaces().select("space_id", "space_key", "name")
+
+
+# Two snapshots: what a run does, given what the one before left.
+
+
+def plan(t: Tree, rows: DataFrame) -> DataFrame:
+    """Pages of a layout with version, status and fingerprint, as a state has them."""
+    laid = L.layout(t.spaces(), rows, t.folders()).where("kind = 'page'").select("space_id", F.col("node_id").alias("page_id"), "dir", "file")
+    mark = F.sha2(F.concat_ws("@", "page_id", F.col("version").cast("string")), 256)
+    return laid.join(rows.select("space_id", "page_id", "title", "version", "status", mark.alias("fingerprint")), ["space_id", "page_id"])
+
+
+def before_and_now(t: Tree) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """State of the previous snapshot, plan of the current one, and the current pages. Some pages have another parent now."""
+    from leafmill.adapters import current, previous
+
+    rows = t.pages()
+    n = F.substring("page_id", 2, 20).cast("long") % 10
+    now = current(rows, "page_id")
+    now = now.withColumn("parent_id", F.when((n == 3) & F.col("page_id").startswith("c"), "").otherwise(F.col("parent_id")))
+    return plan(t, previous(rows, "page_id")), plan(t, now), now
+
+
+@query(q(SNAPSHOTS, "select space_id, page_id, case when s.page_id is not null and s.dir = p.dir and s.file = p.file and s.fingerprint = p.fingerprint then 'skip' else 'write' end as action, s.page_id is not null and s.dir <> p.dir moved from now_plan p left join old_plan s using (space_id, page_id)"))
+def j11_skip_or_write(t: Tree) -> DataFrame:
+    state, new, _ = before_and_now(t)
+    return R.skip_or_write(new, state).select("space_id", "page_id", "action", "moved")
+
+
+@query(q(SNAPSHOTS, "select space_id, page_id, s.dir old_dir, p.dir new_dir from now_plan p join old_plan s using (space_id, page_id) where s.dir <> p.dir"))
+def j12_detect_moves(t: Tree) -> DataFrame:
+    state, new, _ = before_and_now(t)
+    return R.detect_moves(R.skip_or_write(new, state))
+
+
+@query(
+    q(
+        SNAPSHOTS,
+        """select * from (select space_id, page_id, case when s.dir is null then 'added' when p.dir is null then 'deleted' when s.dir <> p.dir then 'moved' when s.version <> p.version then 'changed' end as change,
+        coalesce(p.title, s.title) as label, coalesce(s.dir, '') old_dir, coalesce(p.dir, '') new_dir from now_plan p full join old_plan s using (space_id, page_id)) where change is not null""",
+    )
+)
+def j13_diff(t: Tree) -> DataFrame:
+    state, new, _ = before_and_now(t)
+    return R.diff(new, state).fillna("", ["old_dir", "new_dir"])
+
+
+@query(q(SNAPSHOTS, "select s.space_id, s.page_id, s.dir, s.file from old_plan s anti join now_plan p using (space_id, page_id) anti join now_pages n using (space_id, page_id) where s.status <> 'archived'"))
+def j14_prune_set(t: Tree) -> DataFrame:
+    state, new, now = before_and_now(t)
+    return R.prune_set(state, new, now, include_archived=False)
+
+
+@query(q(SNAPSHOTS, "select space_id, s.file path from old_plan s where lower(s.file) not in (select lower(p.file) from now_plan p where p.space_id = s.space_id)"))
+def j15_deletions(t: Tree) -> DataFrame:
+    state, new, _ = before_and_now(t)
+    return R.deletions(R.owned_paths(state), R.owned_paths(new))
+
+
+@query(q(SNAPSHOTS, "select space_id, page_id, 'added' side from now_plan anti join old_plan using (space_id, page_id) union all select space_id, page_id, 'deleted' from old_plan anti join now_plan using (space_id, page_id)"))
+def u4_added_deleted(t: Tree) -> DataFrame:
+    state, new, _ = before_and_now(t)
+    return R.added_deleted(new, state)
+
+
+@query(
+    q(
+        SNAPSHOTS,
+        """select space_id, planned, previous, prunable, case when why = '' then 'ok' when why = 'other_space' then 'error' else 'keep_all' end verdict, why from (
+        select s.space_id, coalesce(p.n, 0) planned, coalesce(o.n, 0) previous, coalesce(g.n, 0) prunable,
+          case when coalesce(o.n, 0) > 0 and s.space_id = 'r4' then 'other_space' when coalesce(p.n, 0) = 0 and coalesce(o.n, 0) > 0 then 'empty_plan' when coalesce(o.n, 0) >= 10 and coalesce(g.n, 0) > o.n * 0.5 then 'mass_delete' else '' end why
+        from spaces s
+        left join (select space_id, count(*) n from now_plan where space_id <> 'r2' and (space_id <> 'r3' or page_id like 'o%1') group by 1) p on p.space_id = s.space_id
+        left join (select space_id, count(*) n from old_plan group by 1) o on o.space_id = s.space_id
+        left join (select space_id, count(*) n from old_plan anti join (select * from now_plan where space_id <> 'r2' and (space_id <> 'r3' or page_id like 'o%1')) k using (space_id, page_id) where status <> 'archived' group by 1) g on g.space_id = s.space_id)""",
+    )
+)
+def a8_guard_verdicts(t: Tree) -> DataFrame:
+    state, new, _ = before_and_now(t)
+    # Space r2 lists nothing, r3 a tenth; r4's output was another space's.
+    new = new.where("space_id <> 'r2' and (space_id <> 'r3' or page_id like 'o%1')")
+    spaces = t.spaces().withColumn("state_space_id", F.when(F.col("space_id") == "r4", "r9").otherwise(F.col("space_id"))).withColumn("state_space_key", F.lit(""))
+    return R.guard_verdicts(spaces, new, state, include_archived=False)
+
+
+@query(
+    q(
+        SNAPSHOTS,
+        """select space_id, count(*) filter (act = 'write') written, count(*) filter (act = 'skip') skipped, count(*) filter (act = 'write' and moved) moved, max(g.n) pruned, 0::bigint warnings from (
+        select space_id, page_id, case when s.page_id is not null and s.dir = p.dir and s.file = p.file and s.fingerprint = p.fingerprint then 'skip' else 'write' end act, coalesce(s.dir <> p.dir, false) moved from now_plan p left join old_plan s using (space_id, page_id))
+        join (select space_id, count(*) n from old_plan anti join now_plan using (space_id, page_id) group by 1) g using (space_id) group by 1""",
+    )
+)
+def a6_export_summary(t: Tree) -> DataFrame:
+    state, new, _ = before_and_now(t)
+    return R.export_summary(R.skip_or_write(new, state), R.missing_from_plan(state, new))
+
+
+@query(q(SNAPSHOTS, "select space_id, page_id, dir, file, version, status from now_plan union all select s.space_id, s.page_id, s.dir, s.file, s.version, s.status from old_plan s anti join now_plan p using (space_id, page_id) where s.status = 'archived'"))
+def u3_new_state(t: Tree) -> DataFrame:
+    state, new, now = before_and_now(t)
+    kept = R.survivors(state, new, now, include_archived=False)
+    return R.new_state(R.skip_or_write(new, state), state, kept).select("space_id", "page_id", "dir", "file", "version", "status")
+
+
+@query(q(LAYOUT, "select space_id, node_id folder_id, dir, len(string_split(dir, '/'))::bigint depth from placed where kind = 'folder' and substr(node_id, 2)::int % 4 = 1"))
+def j16_stale_folder_dirs(t: Tree) -> DataFrame:
+    folders = placed(t).where("kind = 'folder'").select("space_id", F.col("node_id").alias("folder_id"), "dir")
+    return R.stale_folders(folders, folders.where(F.substring("folder_id", 2, 9).cast("int") % 4 != 1))
+
+
+@query(q(ATT + DIGESTS, "select digest from (select digest from digests union select png_digest from derived) where digest not in (select digest from digests where ascii(digest) % 2 = 0 union select d.png_digest from derived d join digests x on x.digest = d.xml_digest and ascii(x.digest) % 2 = 0 where render_version = 2)"))
+def j17_blob_gc(t: Tree) -> DataFrame:
+    live = digests(t).where(F.ascii("digest") % 2 == 0)
+    none = live.limit(0)
+    keep = R.keep_set(none, live, derived(t), none.select(F.col("digest").alias("png_digest")), none.select(F.col("digest").alias("blob")), 2)
+    return R.blob_gc(blobs(t), keep)
+
+
+@query(q(ATT + DIGESTS, "select digest from digests where ascii(digest) % 2 = 0 union select d.png_digest from derived d join digests x on x.digest = d.xml_digest and ascii(x.digest) % 2 = 0 where render_version = 2"))
+def u2_keep_set(t: Tree) -> DataFrame:
+    live = digests(t).where(F.ascii("digest") % 2 == 0)
+    none = live.limit(0)
+    return R.keep_set(none, live, derived(t), none.select(F.col("digest").alias("png_digest")), none.select(F.col("digest").alias("blob")), 2)
+
+
+@query(q(ATT + DIGESTS, "select render_version, xml_digest, case when ascii(xml_digest) % 3 = 0 then 'fresh' else png_digest end png_digest from derived"))
+def j20_merge_derived(t: Tree) -> DataFrame:
+    old = derived(t)
+    return R.merge_derived(old, old.where(F.ascii("xml_digest") % 3 == 0).withColumn("png_digest", F.lit("fresh")))
+
+
+def media_states(t: Tree) -> tuple[DataFrame, DataFrame]:
+    """Previous attachment states and current ones: every seventh is gone now, every third has a new version, every other of these no bytes."""
+    n, m = F.substring("page_id", 2, 20).cast("long"), F.substring_index("att_id", "-", -1).cast("int")
+    rows = listed(t).select(F.lit("s").alias("space_id"), "page_id", "att_id", "version", F.col("title").alias("file"), F.sha2(F.concat_ws("@", "att_id", F.col("version").cast("string")), 256).alias("blob"))
+    now = rows.where((n + m) % 7 != 0).withColumn("version", F.col("version") + F.when(n % 3 == 0, 1).otherwise(0)).withColumn("file", F.when(n % 3 == 0, F.concat(F.lit("new-"), "file")).otherwise(F.col("file"))).withColumn("blob", F.when((n % 3 == 0) & (m % 2 == 0), "").otherwise(F.col("blob")))
+    return rows, now
+
+
+STATES = """,
+old_media as (select 's' space_id, page_id, att_id, version, title file, sha256(att_id || '@' || version) blob, substr(page_id, 2)::bigint n, split_part(att_id, '-', 2)::int m from listed),
+now_media as (select space_id, page_id, att_id, version + case when n % 3 = 0 then 1 else 0 end as version, case when n % 3 = 0 then 'new-' || file else file end file, case when n % 3 = 0 and m % 2 = 0 then '' else blob end blob from old_media where (n + m) % 7 <> 0)
+"""
+
+
+@query(q(ATT + STATES, "select space_id, page_id, att_id, case when coalesce(c.blob, '') = '' then o.version else c.version end as version, case when coalesce(c.blob, '') = '' then o.file else c.file end file, coalesce(c.blob, '') = '' carried from now_media c full join old_media o using (space_id, page_id, att_id)"))
+def j18_carry_media(t: Tree) -> DataFrame:
+    old, now = media_states(t)
+    return R.carry_media(old, now, media=True, complete=False).select("space_id", "page_id", "att_id", "version", "file", "carried")
+
+
+@query(q(ATT + STATES, "select o.space_id, o.page_id, o.file from old_media o where not exists (select 1 from now_media c where c.page_id = o.page_id and lower(c.file) = lower(o.file))"))
+def j19_stale_media(t: Tree) -> DataFrame:
+    old, now = media_states(t)
+    return R.stale_media(old, now, now.limit(0).select("space_id", "page_id", "file"))
+
+
+@query(q(TREE + ", " + ATT + NAMED + DIGESTS, "select count(*) as pages, count(distinct page_id) as fingerprints from pages"))
+def a1_page_fingerprint(t: Tree) -> DataFrame:
+    # Every page has a fingerprint of its own here: its id is in its body. The digest itself is our own format.
+    pages = t.pages()
+    _, links, _ = B.store_bodies(pages)
+    none = pages.select("page_id", F.lit("").alias("png_digest")).limit(0)
+    prints = P.page_fingerprints(pages, named(t), links, none, B.author_resolution(pages, users(t)))
+    return prints.agg(F.count("*").alias("pages"), F.countDistinct("fingerprint").alias("fingerprints"))
+
+
+# Names.
+
+
+@query("select page_id, case when s = '' then 'untitled' else s end segment from (select page_id, rtrim(left(trim(regexp_replace(regexp_replace(title, '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '[-\\s]+', '-', 'g'), '-'), 100), '-') s from (select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) title from pages))")
+def x2_sanitize_filename(t: Tree) -> DataFrame:
+    return t.read("pages").select("page_id", N.sanitize_filename(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("segment"))
+
+
+@query("select page_id, replace(lower(nfc_normalize(regexp_extract(html, '<title>([^<]*)</title>', 1))), 'ß', 'ss') folded from pages")
+def x1_nfc_casefold(t: Tree) -> DataFrame:
+    return t.read("pages").select("page_id", N.nfc_casefold(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("folded"))
+
+
+@query("select page_id, '.media/' || replace(replace(url_encode(regexp_extract(html, '<title>([^<]*)</title>', 1)), '+', '%20'), '*', '%2A') as media from pages")
+def x7_media_url(t: Tree) -> DataFrame:
+    return t.read("pages").select("page_id", N.media_url(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("media"))
+
+
+@query("select page_id, regexp_replace(url, '[\\[\\]()\r\n]', '', 'g') as label, case when url ~ '^https?://' then url else '' end safe, sha256(url) digest from pages")
+def x9_labels_and_urls(t: Tree) -> DataFrame:
+    return t.read("pages").select("page_id", N.markdown_label(F.col("url")).alias("label"), N.safe_external_url(F.col("url")).alias("safe"), F.sha2("url", 256).alias("digest"))
