@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.adapters import Tree
 from leafmill.functions import names as N
+from leafmill.functions.render import jobs as J
 from leafmill.operators import attachments as A
 from leafmill.operators import bodies as B
 from leafmill.operators import layout as L
@@ -510,3 +511,125 @@ def x7_media_url(t: Tree) -> DataFrame:
 @query("select page_id, regexp_replace(url, '[\\[\\]()\r\n]', '', 'g') as label, case when url ~ '^https?://' then url else '' end safe, sha256(url) digest from pages")
 def x9_labels_and_urls(t: Tree) -> DataFrame:
     return t.read("pages").select("page_id", N.markdown_label(F.col("url")).alias("label"), N.safe_external_url(F.col("url")).alias("safe"), F.sha2("url", 256).alias("digest"))
+
+
+# Rendering. The tables hold no macros: pages' own HTML, and mentions in the bodies of TREE.
+
+
+def html_pages(t: Tree) -> DataFrame:
+    return t.read("pages").select(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")).alias("space_id"), F.col("page_id").cast("string").alias("page_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.col("html").alias("body"))
+
+
+@query()
+def r1_render_markdown(t: Tree) -> DataFrame:
+    return J.render_markdown(J.wide(html_pages(t))).select("space_id", "page_id", "markdown")
+
+
+@query(q(TREE, "select space_id, page_id, '# ' || title || chr(10) || chr(10) || 'by @' || case when substr(author, 2)::int % 2 = 0 then 'User ' || substr(author, 2) else author end || ' on ' || page_id markdown from pages"))
+def r1b_render_mentions(t: Tree) -> DataFrame:
+    pages = t.pages()
+    rows = J.wide(pages, users=B.resolve_users(B.mentions(pages), users(t)))
+    return J.render_markdown(rows).select("space_id", "page_id", "markdown")
+
+
+def macro_pages(t: Tree) -> DataFrame:
+    """Documents as bodies with a macro, a link to an attachment and a task list each."""
+    d = documents(t).withColumn("title", F.concat(F.lit("Doc "), "page_id"))
+    body = F.concat(
+        F.lit('<ac:structured-macro ac:name="'), F.when(F.col("page_id").cast("long") % 2 == 0, "info").otherwise("note"), F.lit('"><ac:parameter ac:name="title">T'), "page_id",
+        F.lit('</ac:parameter><ac:rich-text-body><ac:structured-macro ac:name="status"><ac:parameter ac:name="title">S</ac:parameter></ac:structured-macro></ac:rich-text-body></ac:structured-macro><ac:link><ri:attachment ri:filename="f'), "page_id",
+        F.lit('.png"/></ac:link><ac:task-list><ac:task><ac:task-status>'), F.when(F.col("page_id").cast("long") % 3 == 0, "complete").otherwise("incomplete"), F.lit("</ac:task-status><ac:task-body>do "), "page_id", F.lit("</ac:task-body></ac:task></ac:task-list>"),
+    )
+    return d.withColumn("body", body)
+
+
+@query("select doc_id::varchar page_id, case when doc_id % 2 = 0 then 'info' else 'note' end as \"name\", 'T' || doc_id title, true has_rich_body, 0::bigint depth from documents union all select doc_id::varchar, 'status', 'S', false, 1 from documents")
+def r2_extract_macros(t: Tree) -> DataFrame:
+    return J.extract_macros(macro_pages(t)).select("page_id", "name", F.col("params")["title"].alias("title"), "has_rich_body", "depth")
+
+
+@query("select doc_id::varchar page_id, 'attachment' kind, 'f' || doc_id || '.png' as \"name\", false image from documents")
+def r4_extract_refs(t: Tree) -> DataFrame:
+    return J.extract_refs(macro_pages(t)).select("page_id", "kind", "name", "image")
+
+
+@query("select doc_id::varchar page_id, 'task' kind, doc_id % 3 = 0 done, 'do ' || doc_id as \"text\", 0::bigint depth from documents")
+def r5_extract_tasks(t: Tree) -> DataFrame:
+    return J.extract_tasks(macro_pages(t)).select("page_id", "kind", "done", "text", "depth")
+
+
+@query(q(LAYOUT, "select space_id, dir as rel_path, version from placed l join pages p using (space_id) where p.page_id = l.node_id and l.kind = 'page'"))
+def s13_document_paths(t: Tree) -> DataFrame:
+    rows = placed(t).where("kind = 'page'").select("space_id", F.col("node_id").alias("page_id"), "dir", "file")
+    return rows.join(t.pages().select("space_id", "page_id", "version"), ["space_id", "page_id"]).select("space_id", F.regexp_extract("file", "^(.*)/[^/]*$", 1).alias("rel_path"), "version")
+
+
+@query(q(TREE, "select space_id, page_id, title, parent_id, parent_type, position, status, version, '' web_url from pages"))
+def s8_normalize(t: Tree) -> DataFrame:
+    from leafmill.tables import normalize
+
+    rows = t.pages().withColumn("version", F.struct(F.col("version").alias("number"), F.lit(None).cast("string").alias("message"))).withColumn("status", F.when(F.col("status") == "archived", "archived")).drop("author")
+    return normalize(rows, "pages").select("space_id", "page_id", "title", "parent_id", "parent_type", "position", "status", F.col("version.number").alias("version"), "web_url")
+
+
+# Listings: the tree's rows as the JSON that a wiki's listing would be, parsed and mapped again.
+
+
+def v1_listing(t: Tree) -> DataFrame:
+    from leafmill.sources import listings as S
+
+    p = t.pages()
+    record = F.struct(F.col("page_id").alias("id"), "title", "status", F.struct(F.col("space_id").alias("id")).alias("space"), F.array(F.struct(F.lit("top").alias("id")), F.struct(F.col("parent_id").alias("id"))).alias("ancestors"), F.struct(F.col("position").cast("string").alias("position")).alias("extensions"), F.struct(F.col("version").alias("number"), F.lit("2024-01-01").alias("when"), F.struct(F.col("author").alias("userKey")).alias("by")).alias("version"))
+    envelope = F.from_json(F.to_json(F.struct(F.array(record).alias("results"))), f"results array<struct<{S.RECORDS['pages_v1']}>>")
+    return S.records(p.select(F.lit("").alias("source"), envelope["results"].alias("results")))
+
+
+@query(q(TREE, "select space_id, page_id, title, parent_id, 'page' parent_type, position, status, version as \"number\", author author_id from pages"))
+def s2_pages_from_v1(t: Tree) -> DataFrame:
+    from leafmill.sources import listings as S
+
+    return S.pages_from_v1(v1_listing(t)).select("space_id", "page_id", "title", "parent_id", "parent_type", "position", "status", F.col("version.number").alias("number"), F.col("version.author_id").alias("author_id"))
+
+
+def v2_listing(t: Tree) -> DataFrame:
+    from leafmill.sources import listings as S
+
+    record = F.struct(F.col("page_id").alias("id"), "title", F.col("space_id").alias("spaceId"), F.col("parent_id").alias("parentId"), F.col("parent_type").alias("parentType"), "position", F.nullif("status", F.lit("current")).alias("status"), F.struct(F.struct(F.col("body").alias("value")).alias("storage")).alias("body"), F.struct(F.col("version").alias("number"), F.lit("2024-01-01").alias("createdAt"), F.struct(F.col("author").alias("accountId")).alias("author")).alias("version"))
+    envelope = F.from_json(F.to_json(F.struct(F.array(record).alias("results"))), f"results array<struct<{S.RECORDS['pages_v2']}>>")
+    return S.records(t.pages().select(F.lit("").alias("source"), envelope["results"].alias("results")))
+
+
+@query(q(TREE, "select space_id, page_id, title, parent_id, parent_type, position, status, body, version as \"number\", author author_id from bodies"))
+def s1_pages_from_v2(t: Tree) -> DataFrame:
+    from leafmill.sources import listings as S
+
+    return S.pages_from_v2(v2_listing(t)).select("space_id", "page_id", "title", "parent_id", "parent_type", "position", "status", "body", F.col("version.number").alias("number"), F.col("version.author_id").alias("author_id"))
+
+
+@query(q(ATT, "select page_id, att_id, title, media_type, file_size from atts"))
+def s3_attachments_from_v1(t: Tree) -> DataFrame:
+    from leafmill.sources import listings as S
+
+    record = F.struct(F.col("att_id").alias("id"), "title", F.struct(F.lit("").alias("mediaType")).alias("metadata"), F.struct(F.col("media_type").alias("mediaType"), F.col("file_size").alias("fileSize")).alias("extensions"), F.struct(F.col("page_id").alias("id")).alias("container"))
+    envelope = F.from_json(F.to_json(F.struct(F.array(record).alias("results"))), f"results array<struct<{S.RECORDS['attachments_v1']}>>")
+    rows = S.records(t.attachments().select(F.lit("").alias("source"), envelope["results"].alias("results")))
+    return S.attachments_from_v1(rows).select("page_id", "att_id", "title", "media_type", "file_size")
+
+
+@query(q(TREE, "select folder_id, title, position from (select node_id folder_id, title, position from folders)"))
+def s4_folders_from_v2(t: Tree) -> DataFrame:
+    from leafmill.sources import listings as S
+
+    record = F.struct(F.col("folder_id").alias("id"), "title", "position")
+    envelope = F.from_json(F.to_json(F.struct(F.array(record).alias("results"))), f"results array<struct<{S.RECORDS['folders_v2']}>>")
+    return S.folders_from_v2(S.records(t.folders().select(F.lit("").alias("source"), envelope["results"].alias("results")))).select("folder_id", "title", "position")
+
+
+@query("select user_id::varchar account_id, 'name ' || user_id display_name from events where user_id % 3 > 0 group by 1, 2")
+def s7_users_from_json(t: Tree) -> DataFrame:
+    from leafmill.sources import listings as S
+
+    name = F.concat(F.lit("name "), "user_id")
+    record = F.struct(F.col("user_id").alias("accountId"), F.when(F.col("user_id") % 3 == 1, name).otherwise("").alias("displayName"), F.when(F.col("user_id") % 3 == 2, name).alias("publicName"))
+    envelope = F.from_json(F.to_json(F.struct(F.array(record).alias("results"))), f"results array<struct<{S.RECORDS['users']}>>")
+    return S.users_from_json(S.records(t.read("events").select("user_id").distinct().select(F.lit("").alias("source"), envelope["results"].alias("results"))))
