@@ -38,9 +38,9 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, th, no, line, order, h1, h2 of each line that is long enough. order is one number, so that its minimum is hashed."""
+    """id, th, no, line, n (its characters), order, h1, h2 of each line that is long enough. order is one number, so that its minimum is hashed."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).withColumn("line", F.trim("line")).where(F.length("line") >= EXACT)
+    rows = rows.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).withColumn("line", F.trim("line")).withColumn("n", F.char_length("line")).where(F.col("n") >= EXACT)
     order = (F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)")) * F.lit(2**31).cast("decimal(11,0)") + F.col("no")).cast("decimal(38,0)")
     return rows.withColumns({"order": order, "h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), "line")})
 
@@ -51,9 +51,9 @@ def _first(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     return lines.join(known, ["h1", "h2"], "left").where("known is null or order = known").drop("known")
 
 
-def _parts(line: Column) -> list[tuple[Column, Column, Column]]:
-    """(key, part, longer) for each part of a line, taken as the longer line of a pair or not."""
-    n, out = F.char_length(line), []
+def _parts(line: Column, n: Column) -> list[tuple[Column, Column, Column]]:
+    """(key, part, longer) for each part of a line of n characters, taken as the longer line of a pair or not."""
+    out = []
     for longer in (0, 1):
         m = n - longer
         for j in range(PARTS):
@@ -71,8 +71,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def near_lines(docs: DataFrame, repeated: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """h1, h2, first (order of the earliest line within one edit) of each line that has an earlier one."""
-    lines = _first(_lines(docs, id_col, text_col).where(F.char_length("line") >= NEAR), repeated)
-    parts = _parts(F.col("line"))
+    lines = _first(_lines(docs, id_col, text_col).where(F.col("n") >= NEAR), repeated)
+    parts = _parts(F.col("line"), F.col("n"))
     keys = lines.select(F.explode(F.array(*[p[0] for p in parts])).alias("key"))
     live = _small(cut(keys.groupBy("key").count().where("count > 1").select("key")))
     cast = lines.select("h1", "h2", "order", F.explode(F.array(*[F.struct(k.alias("key"), p.alias("part"), w.alias("longer")) for k, p, w in parts])).alias("p"))
