@@ -90,7 +90,7 @@ def search(blocks: DataFrame, end_id: int, *, width: int = 2) -> DataFrame:
 
 def count_documents(found: DataFrame, *, run: int = RUN) -> DataFrame:
     """From what `search` found: file, doc_in_file (from 0), start (in ids), n_tokens (without the end id), closed."""
-    parts = found.where("block is not null").withColumn("run", F.floor(F.col("block") / run)).withColumns({"closes": F.size("ends").cast("long"), "last": F.element_at("ends", -1)})
+    parts = found.where("block is not null").withColumn("run", F.floor(F.col("block") / run)).withColumns({"closes": F.size("ends").cast("long"), "last": F.get("ends", F.size("ends") - 1)})
     # A scan in each run, then one over the runs; together they are the scan over the file.
     inside = W.partitionBy("file", "run").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     over = W.partitionBy("file").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
@@ -106,7 +106,7 @@ def count_documents(found: DataFrame, *, run: int = RUN) -> DataFrame:
     start = F.when(F.col("k") == 0, F.col("before")).otherwise(F.col("at") + F.get("ends", F.col("k") - 1)) + 1
     closed = rows.select("file", "at", "before", "docs", "ends", F.posexplode("ends").alias("k", "end")).select("file", (F.col("docs") + F.col("k")).alias("doc_in_file"), start.alias("start"), (F.col("at") + F.col("end") - start).alias("n_tokens"), F.lit(True).alias("closed"))
     # What stands after a file's last end id.
-    tail = rows.groupBy("file").agg(F.max(F.col("at") + F.col("n")).alias("size"), F.max(F.greatest("before", F.col("at") + F.element_at("ends", -1))).alias("before"), F.max(F.col("docs") + F.size("ends")).alias("docs"))
+    tail = rows.groupBy("file").agg(F.max(F.col("at") + F.col("n")).alias("size"), F.max(F.greatest("before", F.col("at") + F.get("ends", F.size("ends") - 1))).alias("before"), F.max(F.col("docs") + F.size("ends")).alias("docs"))
     unclosed = tail.where("before + 1 < size").select("file", F.col("docs").alias("doc_in_file"), (F.col("before") + 1).alias("start"), (F.col("size") - F.col("before") - 1).alias("n_tokens"), F.lit(False).alias("closed"))
     return closed.unionByName(unclosed)
 
