@@ -6,21 +6,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VERSION = T.StructType.fromDDL("number int, created_at string, message string, author_id string")
+_KINDS = {"int": T.IntegerType(), "bigint": T.LongType(), "string": T.StringType()}
+
+
+def _schema(fields: str) -> T.StructType:
+    """Fields as "name type, ..."; no session is needed for it."""
+    return T.StructType([T.StructField(n, VERSION if k == "version" else _KINDS[k]) for n, k in (f.split() for f in fields.split(", "))])
+
+
+VERSION = _schema("number int, created_at string, message string, author_id string")
 
 SCHEMAS = {
-    "spaces": T.StructType.fromDDL("space_id string, space_key string, name string, homepage_id string"),
-    "pages": T.StructType.fromDDL("space_id string, page_id string, title string, parent_id string, parent_type string, position int, status string, body string, version struct<number:int,created_at:string,message:string,author_id:string>, web_url string, ord bigint"),
-    "folders": T.StructType.fromDDL("space_id string, folder_id string, title string, parent_id string, parent_type string, position int, ord bigint"),
-    "attachments": T.StructType.fromDDL("space_id string, page_id string, att_id string, title string, media_type string, file_size bigint, download_url string, version struct<number:int,created_at:string,message:string,author_id:string>, ord bigint"),
-    "users": T.StructType.fromDDL("account_id string, display_name string"),
-    "body_blobs": T.StructType.fromDDL("space_id string, page_id string, digest string"),
-    "attachment_blobs": T.StructType.fromDDL("att_id string, version int, digest string"),
-    "derived_blobs": T.StructType.fromDDL("render_version int, xml_digest string, png_digest string"),
-    "blobs": T.StructType.fromDDL("digest string, size bigint"),
-    "state_pages": T.StructType.fromDDL("space_id string, page_id string, dir string, file string, html string, title string, version int, status string, fingerprint string"),
-    "state_attachments": T.StructType.fromDDL("space_id string, page_id string, att_id string, version int, file string, blob string, size bigint"),
-    "state_folders": T.StructType.fromDDL("space_id string, folder_id string, dir string"),
+    "spaces": _schema("space_id string, space_key string, name string, homepage_id string"),
+    "pages": _schema("space_id string, page_id string, title string, parent_id string, parent_type string, position int, status string, body string, version version, web_url string, ord bigint"),
+    "folders": _schema("space_id string, folder_id string, title string, parent_id string, parent_type string, position int, ord bigint"),
+    "attachments": _schema("space_id string, page_id string, att_id string, title string, media_type string, file_size bigint, download_url string, version version, ord bigint"),
+    "users": _schema("account_id string, display_name string"),
+    "body_blobs": _schema("space_id string, page_id string, digest string"),
+    "attachment_blobs": _schema("att_id string, version int, digest string"),
+    "derived_blobs": _schema("render_version int, xml_digest string, png_digest string"),
+    "blobs": _schema("digest string, size bigint"),
+    "state_pages": _schema("space_id string, page_id string, dir string, file string, html string, title string, version int, status string, fingerprint string"),
+    "state_attachments": _schema("space_id string, page_id string, att_id string, version int, file string, blob string, size bigint"),
+    "state_folders": _schema("space_id string, folder_id string, dir string"),
 }
 
 #: Defaults that aren't the type's own.
