@@ -59,7 +59,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFra
     return full.withColumn("target", F.least(limit, F.coalesce(level, F.lit(0.0)) * F.col("w"))).drop("w", "fills", "level")
 
 
-def _cuts(keyed: DataFrame, plan: DataFrame) -> DataFrame:
+def _cuts(keyed: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
     """For each source, where its prefix sum reaches the part of the budget that whole epochs leave.
 
     Taken once more is what has x < low, or (x, id, size) up to last.
@@ -67,7 +67,7 @@ def _cuts(keyed: DataFrame, plan: DataFrame) -> DataFrame:
     state = plan.select("skey", "rest", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), F.lit(0.0).alias("base"))
     rows = keyed.select("skey", "id", "size", "x")
     for _ in range(6):
-        inside = rows.join(state, "skey").where("x >= low and x < high")
+        inside = rows.join(F.broadcast(state) if few else state, "skey").where("x >= low and x < high")
         step = (F.col("high") - F.col("low")) / SLICES
         slices = inside.groupBy("skey", "rest", "low", "high", "base", F.least(F.floor((F.col("x") - F.col("low")) / step), F.lit(SLICES - 1)).cast("int").alias("slice")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         running = slices.withColumn("upto", F.col("base") + F.sum("words").over(W.partitionBy("skey").orderBy("slice")))
@@ -88,7 +88,8 @@ def _cuts(keyed: DataFrame, plan: DataFrame) -> DataFrame:
         if (state.agg(F.max("n")).first()[0] or 0) <= SORTED:
             break
         state = state.drop("n")
-    inside = rows.join(state.drop("n"), "skey").where("x >= low and x < high")
+    state = state.drop("n")
+    inside = rows.join(F.broadcast(state) if few else state, "skey").where("x >= low and x < high")
     order = W.partitionBy("skey").orderBy("x", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     # The document at the edge is taken if that comes nearer to the budget.
     last = inside.withColumn("upto", F.col("base") + F.sum("size").over(order)).where(F.col("upto") - F.col("size") / 2 <= F.col("rest")).groupBy("skey").agg(F.max(F.struct("x", "id", "size")).alias("last"))
@@ -106,8 +107,8 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3
     plan = targets(sizes, weights, cap)
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") + 1e-12), F.lit(cap))).otherwise(F.lit(0))
     plan = cut(plan.withColumn("epochs", epochs.cast("long")).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size"))))
-    plan = cut(plan.join(_cuts(keyed, plan), "skey", "left").drop("source"))
     few = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    plan = cut(plan.join(_cuts(keyed, plan, few), "skey", "left").drop("source"))
     rows = _keyed(docs, seed, id_col, source_col, text_col, *keep) if keep else keyed
     joined = rows.join(F.broadcast(plan) if few else plan, "skey", "left")
     again = (F.col("epochs") < cap) & ((F.col("x") < F.col("low")) | F.coalesce(F.struct("x", "id", "size") <= F.col("last"), F.lit(False)))
