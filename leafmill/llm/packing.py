@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -27,8 +28,11 @@ from leafmill.llm.common import cut
 #: Pieces of one group, on average; chunks that a Python worker keeps the ids of (about 200 bytes each).
 GROUP, KEPT_CHUNKS = 8192, 600_000
 
-# A word of Latin letters and ASCII marks behind it.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+# Words that are plain, and the marks that may follow them.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# Bytes of UTF-8 that a byte-level alphabet shows by other characters than Latin-1 does.
+_BYTES = {b: chr(289 + b - 127) for b in range(127, 161)} | {173: chr(323)}
 
 #: This worker's encoders by file; they stay for its next tasks.
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
@@ -37,9 +41,10 @@ _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 class ChunkEncoder:
     """Token ids of texts by a tokenizers file, each chunk between spaces or line ends encoded once.
 
-    Exact for tokenizers whose pre-tokenizer drops white space and parts letters from other characters, whose normalizer
-    doesn't reach across white space and ignores case, and whose words end in ids of their own (a BPE with word ends):
-    there a text's ids are those of its chunks, and a plain word's ids can be cut out of a run of words by these ends.
+    Exact for tokenizers whose pre-tokenizer drops white space and parts letters from other characters, and whose
+    normalizer doesn't reach across white space and ignores case: there a text's ids are those of its chunks, one after
+    another. A plain word goes to the model as the bytes that the pre-tokenizer would make of it, if the file is of that
+    kind, which is tried out at first; else through the whole tokenizer.
     """
 
     def __init__(self, path: str, special: bool = True):
@@ -48,9 +53,16 @@ class ChunkEncoder:
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
         # Where special tokens aren't wanted, their strings in a text are ordinary text.
         self.tokenizer.encode_special_tokens = not special
-        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.ends[ends] = True
+        self.model = self.tokenizer.model
+        probe = ["hello", "été", "straße", "ñandú", "zzyzxqj", "íàü"]
+        self.direct = self._direct(probe) == self._whole(probe)
+
+    def _direct(self, words: list[str]) -> list[bytes]:
+        read = self.model.tokenize
+        return [array("I", [t.id for t in read(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES))]).tobytes() for w in words]
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
 
     def stream(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -77,34 +89,28 @@ class ChunkEncoder:
 
     def _learn(self, chunks: set[str]) -> None:
         """Adds chunks to what is known. A word with marks behind it is made of the word in small letters and the marks."""
-        made, words, others = [], set(), set()
+        made, words, others, known = [], set(), set(), self.known
         for c in chunks:
-            if m := _PLAIN.fullmatch(c):
-                word, marks = m[1].lower(), m[2]
-                made.append((c, word, marks))
-                if word not in self.known:
+            base = c.rstrip(_MARKS)
+            if base and (base.isascii() and base.isalpha() or _LATIN.fullmatch(base)):
+                word, marks = base.lower(), c[len(base) :]
+                if word is not c:
+                    made.append((c, word, marks))
+                if word not in known:
                     words.add(word)
-                if marks not in self.known:
+                if marks and marks not in known:
                     others.add(marks)
             else:
                 others.add(c)
-        plain = sorted(words)
-        for k in range(0, len(plain), 256):
-            run = plain[k : k + 256]
-            ids = np.asarray(self.tokenizer.encode(" ".join(run), add_special_tokens=False).ids, "<u4")
-            after = np.flatnonzero(self.ends[ids]) + 1
-            if len(after) != len(run):
-                others.update(run)
-                continue
-            raw, begin = ids.tobytes(), 0
-            for word, end in zip(run, (4 * after).tolist(), strict=True):
-                self.known[word] = raw[begin:end]
-                begin = end
-        rest = sorted(others)
-        for c, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.known[c] = np.asarray(e.ids, "<u4").tobytes()
+        if self.direct:
+            fresh = list(words)
+            known.update(zip(fresh, self._direct(fresh), strict=True))
+        else:
+            others |= words
+        rest = list(others)
+        known.update(zip(rest, self._whole(rest), strict=True))
         for c, word, marks in made:
-            self.known[c] = self.known[word] + self.known[marks]
+            known[c] = known[word] + known[marks]
 
 
 def encoder(path: str, special: bool = True) -> ChunkEncoder:
