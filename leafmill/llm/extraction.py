@@ -38,13 +38,15 @@ STOP = frozenset(
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|select|head)\b(?:[^'\">]|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^'\">]|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.S | re.I)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _WORD = re.compile(r"[^\W\d_]+")
+# Parts of a class name, whether joined by marks or by capitals.
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog button fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus respond replies share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager skip".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus respond replies share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager skip alert alerts announcement copyright legal crumbs dropdown discussion responses feedback".split()
 )
 TOP = frozenset(("html", "body", "article", "main"))
 
@@ -58,13 +60,13 @@ def _says_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
         return not in_article
     if "=" not in attrs and "hidden" not in attrs:
         return False
-    values = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)}
-    if values.get("role") in ROLES or values.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs) or "display:none" in values.get("style", "").replace(" ", ""):
+    values = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
+    if values.get("role", "").lower() in ROLES or values.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs) or "display:none" in values.get("style", "").replace(" ", "").lower():
         return True
     if tag in INLINE:
         return False
     for name in f"{values.get('class', '')} {values.get('id', '')}".split():
-        parts = re.split(r"[-_]+", name)
+        parts = [p.lower() for p in _PART.findall(name)]
         if any(p in NAMES and (k == 0 or parts[k - 1] not in ("no", "has", "with", "without")) for k, p in enumerate(parts)):
             return True
         if "header" in parts and not in_article:
