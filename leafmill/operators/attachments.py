@@ -11,10 +11,10 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from leafmill.functions.names import fold, nfc_casefold, parse_mtime, safe_attachment_name, with_token
+from leafmill.operators.groups import add_column
 
 #: Version of the renderer in cache keys, target font and edge of a rendering in pixels, bounds of downloads.
 RENDER_VERSION, FONT, DEFAULT_FONT, MOST_SCALE, LONGEST_EDGE = 2, 14.0, 12.0, 3, 12000
@@ -33,21 +33,20 @@ def first_seen(atts: DataFrame, order: str = "ord") -> DataFrame:
     return atts.withColumn("_n", F.when(F.col("att_id") == "", 1).otherwise(nth)).where("_n = 1").drop("_n")
 
 
-def _resolve_page(rows: pd.DataFrame) -> pd.DataFrame:
-    """Names of one page on which some titles collide: losers get a mark of their owner, tried until it is free."""
-    rows = rows.sort_values(["base_key", "created_at", "folded", "att_id", "place"])
-    lead = ~rows.duplicated("base_key")
-    taken, names = set(rows["base_key"]), rows["base"].where(lead)
-    for k in rows.index[~lead]:
-        retry = 0
-        while True:
-            name = with_token(rows.at[k, "base"], rows.at[k, "att_id"] or rows.at[k, "title"] or "attachment", retry)
+def _page_names(rows: list) -> list[str]:
+    """Names of one page on which some titles collide, its rows by base and age: later ones get a mark of their owner, tried until it is free."""
+    taken, out, before = {r.base_key for r in rows}, [], None
+    for r in rows:
+        name, retry = r.base, 0
+        while r.base_key == before and (retry == 0 or fold(name) in taken):
+            name = with_token(r.base, r.att_id or r.title or "attachment", retry)
             if fold(name) not in taken:
                 break
             retry += 1
         taken.add(fold(name))
-        names[k] = name
-    return rows.assign(local_name=names)
+        before = r.base_key
+        out.append(name)
+    return out
 
 
 def plan_names(atts: DataFrame, order: str = "ord") -> DataFrame:
@@ -61,8 +60,8 @@ def plan_names(atts: DataFrame, order: str = "ord") -> DataFrame:
     rows = rows.withColumn("_twins", twins).withColumn("_clash", F.max(F.col("_twins") > 1).over(W.partitionBy("page_id"))).drop("_twins")
     quick = rows.where("not _clash").drop("_clash").withColumn("local_name", F.col("base"))
     slow = rows.where("_clash").drop("_clash")
-    schema = T.StructType([*slow.schema.fields, T.StructField("local_name", T.StringType())])
-    return quick.unionByName(slow.groupBy("page_id").applyInPandas(_resolve_page, schema)).drop("base", "base_key", "place")
+    slow = add_column(slow, ["page_id"], ["base_key", "created_at", "folded", "att_id", "place"], "local_name", _page_names)
+    return quick.unionByName(slow).drop("base", "base_key", "place")
 
 
 def unambiguous_fold(named: DataFrame) -> DataFrame:

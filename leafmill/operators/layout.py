@@ -6,14 +6,13 @@ by level, with one join a level and lineage cut every few levels.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from leafmill.functions.names import LONGEST, fold, nfc_casefold, sanitize_filename
 from leafmill.lineage import cut
+from leafmill.operators.groups import add_column
 
 ARCHIVE = "_archived"
 #: Levels between two cuts of the lineage, and the deepest tree.
@@ -50,20 +49,19 @@ def sibling_rank(tree: DataFrame) -> DataFrame:
     return tree.withColumn("rank", F.row_number().over(order))
 
 
-def _allocate(rows: pd.DataFrame) -> pd.DataFrame:
+def _segments(rows: list) -> list[str]:
     """Segments of one family of names among siblings, in their order: the base, or the smallest free number behind it."""
     taken, following, out = set(), {}, []
-    rows = rows.sort_values("rank")
-    for base in rows["base"]:
-        name, n = base, following.get(base, 2)
+    for row in rows:
+        name, n = row.base, following.get(row.base, 2)
         while fold(name) in taken:
             suffix = f"-{n}"
-            name = (base[: LONGEST - len(suffix)].rstrip("-") or "untitled") + suffix
+            name = (row.base[: LONGEST - len(suffix)].rstrip("-") or "untitled") + suffix
             n += 1
-        following[base] = n
+        following[row.base] = n
         taken.add(fold(name))
         out.append(name)
-    return rows.assign(segment=out)
+    return out
 
 
 def allocate_segments(ranked: DataFrame) -> DataFrame:
@@ -80,8 +78,7 @@ def allocate_segments(ranked: DataFrame) -> DataFrame:
     nth = F.row_number().over(family.orderBy("rank"))
     quick = based.where("plain").withColumn("n", nth).withColumn("segment", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string"))))
     slow = based.where("not plain")
-    schema = T.StructType([*slow.schema.fields, T.StructField("segment", T.StringType())])
-    slow = slow.groupBy("space_id", "parent_id", "family").applyInPandas(_allocate, schema)
+    slow = add_column(slow, ["space_id", "parent_id", "family"], ["rank"], "segment", _segments)
     return quick.drop("n").unionByName(slow).drop("base", "folded", "family", "plain")
 
 
