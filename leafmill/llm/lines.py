@@ -32,9 +32,13 @@ EXACT, NEAR, PARTS = 20, 40, 4
 BROADCAST = 200_000
 
 
+def _is_small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST + 1).count() <= BROADCAST
+
+
 def _small(df: DataFrame) -> DataFrame:
     """df, which is cut already, marked for broadcast if it is small."""
-    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+    return F.broadcast(df) if _is_small(df) else df
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -51,16 +55,28 @@ def _first(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     return lines.join(known, ["h1", "h2"], "left").where("known is null or order = known").drop("known")
 
 
-def _parts(line: Column, n: Column) -> list[tuple[Column, Column, Column]]:
-    """(key, part, longer) for each part of a line of n characters, taken as the longer line of a pair or not."""
+def _place(n: Column, i: Column) -> tuple[Column, Column, Column, Column]:
+    """(m, part, begin, rest) of the i-th of twice PARTS keys of a line of n characters: taken as the shorter of a pair, then as the longer.
+
+    m is the shorter line's length; the part lies between the first `begin` and the last `rest` characters.
+    """
+    m, j = n - F.when(i < PARTS, 0).otherwise(1), i % PARTS
+    return m, j, F.floor(m * j / PARTS).cast("int"), (m - F.floor(m * (j + 1) / PARTS)).cast("int")
+
+
+def _keys(line: Column, n: Column) -> Column:
+    """The keys of a line: what is left of it without one part, with that part's place."""
     out = []
-    for longer in (0, 1):
-        m = n - longer
-        for j in range(PARTS):
-            begin, rest = F.floor(m * j / PARTS).cast("int"), (m - F.floor(m * (j + 1) / PARTS)).cast("int")
-            key = F.xxhash64(m, F.lit(j), F.substring(line, F.lit(1), begin), F.substring(line, n - rest + 1, rest))
-            out.append((key, F.substring(line, begin + 1, n - rest - begin), F.lit(bool(longer))))
-    return out
+    for i in range(2 * PARTS):
+        m, j, begin, rest = _place(n, F.lit(i))
+        out.append(F.xxhash64(m, j, F.substring(line, F.lit(1), begin), F.substring(line, n - rest + 1, rest)))
+    return F.array(*out)
+
+
+def _part() -> Column:
+    """The part that belongs to key number i."""
+    _, _, begin, rest = _place(F.col("n"), F.col("i"))
+    return F.substring(F.col("line"), begin + 1, F.col("n") - rest - begin)
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,11 +88,16 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def near_lines(docs: DataFrame, repeated: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """h1, h2, first (order of the earliest line within one edit) of each line that has an earlier one."""
     lines = _first(_lines(docs, id_col, text_col).where(F.col("n") >= NEAR), repeated)
-    parts = _parts(F.col("line"), F.col("n"))
-    keys = lines.select(F.explode(F.array(*[p[0] for p in parts])).alias("key"))
-    live = _small(cut(keys.groupBy("key").count().where("count > 1").select("key")))
-    cast = lines.select("h1", "h2", "order", F.explode(F.array(*[F.struct(k.alias("key"), p.alias("part"), w.alias("longer")) for k, p, w in parts])).alias("p"))
-    found = cut(cast.select("h1", "h2", "order", "p.*").join(live, "key"))
+    keys = _keys(F.col("line"), F.col("n"))
+    live = cut(lines.select(F.explode(keys).alias("key")).groupBy("key").count().where("count > 1").select("key"))
+    cast = lines.select("h1", "h2", "order", "line", "n", F.posexplode(keys).alias("i", "key"))
+    part, longer = _part().alias("part"), (F.col("i") >= PARTS).alias("longer")
+    if _is_small(live):
+        found = cast.join(F.broadcast(live), "key").select("key", "h1", "h2", "order", part, longer)
+    else:
+        # What is shuffled is the part, not the line.
+        found = cast.select("key", "h1", "h2", "order", part, longer).join(live, "key")
+    found = cut(found)
     size = F.char_length("part")
     # A line without the character at q meets lines of its length at (key, q), shorter ones at (key).
     without = lambda q: F.concat(F.substring(F.col("part"), F.lit(1), q), F.substring(F.col("part"), q + 2, size))

@@ -104,7 +104,9 @@ def brute_lines(rows):
     return out
 
 
-def test_lines(spark, corpus):
+@pytest.mark.parametrize("broadcast", [lines.BROADCAST, 0])
+def test_lines(spark, corpus, monkeypatch, broadcast):
+    monkeypatch.setattr(lines, "BROADCAST", broadcast)
     rng = random.Random(1)
     base = "".join(rng.choice("abcd ") for _ in range(90)).replace(" ", "e")
     more = [(100, base, "aa", "s0"), (101, base + "\n" + base[:40] + base[41:], "aa", "s0"), (102, base[:89] + "z\nshort\nshort", "aa", "s0"), (103, "q" + base, "aa", "s0"), (104, base[:20] + "zz" + base[20:], "aa", "s0"), (105, "  " + base + "  ", "aa", "s0"), (106, "b" * 50 + "\n" + "b" * 51 + "\n" + "b" * 53, "aa", "s0")]
