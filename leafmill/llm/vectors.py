@@ -107,8 +107,10 @@ def near_groups(vectors: DataFrame, *, threshold: float = THRESHOLD, passes: int
     # Copies of one vector are one class; its ids are counted once each, map-side.
     classes = cut(usable.groupBy("cid", "id").agg(F.first("label").alias("label"), F.first("vector").alias("vector")).groupBy("cid").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNotNull().alias("some"), "id")).alias("low")))
     keyed = classes.select("cid", "label", "vector").mapInPandas(_keys(passes, bits, seed), "cid long, label long, dim int, keys array<long>")
-    runs = keyed.select("cid", "label", "dim", F.posexplode("keys").alias("run", "key"))
-    ordered = cut(runs.repartitionByRange("run", "label", "dim", "key", "cid").sortWithinPartitions("run", "label", "dim", "key", "cid").select("cid", "run", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")))
+    # Vectors with one key stand in another order in each pass, so that a dense group's members meet others each time.
+    runs = keyed.select("cid", "label", "dim", F.posexplode("keys").alias("run", "key")).withColumn("tie", F.xxhash64("run", "cid"))
+    order = ["run", "label", "dim", "key", "tie", "cid"]
+    ordered = cut(runs.repartitionByRange(*order).sortWithinPartitions(*order).select("cid", "run", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")))
     # One row per partition of the sort: their number is the session's, not the data's.
     before = ordered.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     places = ordered.join(F.broadcast(before.select("part", "before")), "part").select("cid", "run", (F.col("before") + F.col("at")).alias("pos"))
