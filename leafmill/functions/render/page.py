@@ -255,6 +255,7 @@ class Macro:
 
 
 def placeholder(macro: Macro) -> Nodes:
+    """What a reader sees of a macro without content; its wording is a fixed value."""
     said = []
     for p in macro.param_nodes:
         page = p.find("ri:page")
