@@ -1,14 +1,18 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup: all pairs of a label, block against block, or sorted projection passes where work must be bounded.
 
-Each pass projects the vectors of a label on its own random directions, concatenates the signs into a key and orders the
-vectors by it; each is compared, in double precision, with those up to `window` places on. Pairs at or above the threshold
-are links. A pair that an earlier pass has compared isn't counted again: each vector carries its places in all passes.
-Components of the links are the near-duplicate groups.
+By default every pair is compared: a label's vectors are dealt to blocks of at most about PAIRED, and each pair of blocks is
+a group of its own that returns counts and spanning edges only. No link is missed; work and what is shuffled grow with the
+square of a label's distinct vectors (each is sent to as many groups as its label has blocks).
 
-Equal vectors of a label are one class beforehand, so a large group of exact copies costs one comparison and its links are
-still all counted. Places in the order come from one range-partitioned sort and per-partition counts; comparisons run in
-blocks of consecutive places, each with the first rows of the next block. The window bounds the work for any data; with
-what is found in 12 passes, recall against brute force is measured in the tests and given in the README.
+With exact=False, sorted passes find a share of the links at bounded work. Each pass projects the vectors of a label on its
+own random directions, concatenates the signs into a key and orders the vectors by it; each is compared, in double precision,
+with those up to `window` places on. A pair that an earlier pass has compared isn't counted again: each vector carries its
+places in all passes. Places in the order come from one range-partitioned sort and per-partition counts; comparisons run in
+blocks of consecutive places, each with the first rows of the next block. A group of more near copies than its windows hold
+loses links, and so do isolated pairs of large labels.
+
+Pairs at or above the threshold are links; components of the links are the near-duplicate groups. Equal vectors of a label
+are one class beforehand, so a large group of exact copies costs one comparison and its links are still all counted.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows with a null label, link with
 nothing and are their own component; vectors of unequal length don't link; a row that repeats a vec_id with the same label
@@ -28,6 +32,8 @@ from pyspark.sql import Window as W
 from leafmill.llm.common import components, cut
 
 THRESHOLD, PASSES, BITS, WINDOW, BLOCK = 0.93, 12, 24, 256, 2048
+#: Vectors of a label that one task compares with each other, or with as many of another block.
+PAIRED = 8192
 
 
 def _keys(passes: int, bits: int, seed: int):
@@ -93,19 +99,48 @@ def _compare(threshold: float, window: int, block: int):
     return compare
 
 
-def near_groups(vectors: DataFrame, *, threshold: float = THRESHOLD, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, block: int = BLOCK, seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """One row per row of vectors: id_col, n_links, component_id (the smallest id in reach), kept (it is that one)."""
-    if window > block:
-        raise ValueError("a block must be as long as the window, or longer")
-    vector = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), vector.alias("vector"))
-    fit = F.col("label").isNotNull() & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
-    rows = rows.withColumn("cid", F.when(F.coalesce(fit, F.lit(False)), F.xxhash64("label", "vector")))
-    # Labels of any type are ordered and compared by a hash.
-    rows = cut(rows.withColumn("label", F.xxhash64("label")))
-    usable = rows.where("cid is not null")
-    # Copies of one vector are one class; its ids are counted once each, map-side.
-    classes = cut(usable.groupBy("cid", "id").agg(F.first("label").alias("label"), F.first("vector").alias("vector")).groupBy("cid").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNotNull().alias("some"), "id")).alias("low")))
+def _meet(threshold: float):
+    """Two blocks of one label, or one with itself: links counted for each class, and edges that span what is linked."""
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        p, q = frame["p"].iloc[0], frame["q"].iloc[0]
+        frame = frame.sort_values("mine", kind="stable", ignore_index=True)
+        n, same = int((frame["mine"] == p).sum()), p == q
+        x = np.stack(frame["vector"].to_list()).astype("float64")
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        cid, copies = frame["cid"].to_numpy(), frame["copies"].to_numpy()
+        links, root = np.zeros(len(x)), np.arange(len(x))
+        for k in range(0, n, 256):
+            rows, first = x[k : min(k + 256, n)], k if same else n
+            near = rows @ x[first:].T >= threshold
+            i, j = np.nonzero(np.triu(near, 1) if same else near)
+            a, b = i + k, j + first
+            links += np.bincount(a, copies[b], len(x)) + np.bincount(b, copies[a], len(x))
+            while len(a := a[open_ := root[a] != root[b]]):
+                b = b[open_]
+                low = np.minimum(root[a], root[b])
+                np.minimum.at(root, root[a], low)
+                np.minimum.at(root, root[b], low)
+                while (root != (up := root[root])).any():
+                    root = up
+        some = np.flatnonzero(links)
+        return pd.DataFrame({"a": cid[some], "b": cid[root[some]], "links": links[some].astype("int64")})
+
+    return meet
+
+
+def _all_pairs(classes: DataFrame, threshold: float, paired: int) -> DataFrame:
+    """Links of each class, counted once for each pair of blocks."""
+    dealt = classes.select("cid", "label", "vector", "copies", F.size("vector").alias("dim"))
+    blocks = dealt.groupBy("label", "dim").agg(F.ceil(F.count("*") / paired).cast("int").alias("blocks"))
+    dealt = dealt.join(blocks, ["label", "dim"]).withColumn("mine", F.pmod(F.xxhash64("cid", F.lit("block")), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cid", "label", "dim", "vector", "copies", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+    return dealt.groupBy("label", "dim", "p", "q").applyInPandas(_meet(threshold), "a long, b long, links long")
+
+
+def _sorted_passes(classes: DataFrame, threshold: float, passes: int, bits: int, window: int, block: int, seed: int) -> DataFrame:
+    """What the windows of the sorted passes find, each pair counted once."""
     keyed = classes.select("cid", "label", "vector").mapInPandas(_keys(passes, bits, seed), "cid long, label long, dim int, keys array<long>")
     # Vectors with one key stand in another order in each pass, so that a dense group's members meet others each time.
     runs = keyed.select("cid", "label", "dim", F.posexplode("keys").alias("run", "key")).withColumn("tie", F.xxhash64("run", "cid"))
@@ -118,7 +153,23 @@ def near_groups(vectors: DataFrame, *, threshold: float = THRESHOLD, passes: int
     carried = classes.join(places, "cid").select("cid", "label", "vector", "copies", "places", F.posexplode("places").alias("run", "pos"))
     own = (F.col("pos") / block).cast("long")
     carried = carried.withColumn("block", F.explode(F.when(F.col("pos") % block < window, F.array(own, own - 1)).otherwise(F.array(own)))).where("block >= 0")
-    found = cut(carried.groupBy("run", "block").applyInPandas(_compare(threshold, window, block), "a long, b long, links long"))
+    return carried.groupBy("run", "block").applyInPandas(_compare(threshold, window, block), "a long, b long, links long")
+
+
+def near_groups(vectors: DataFrame, *, threshold: float = THRESHOLD, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, block: int = BLOCK, seed: int = 1, exact: bool = True, paired: int = PAIRED, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """One row per row of vectors: id_col, n_links, component_id (the smallest id in reach), kept (it is that one)."""
+    if window > block:
+        raise ValueError("a block must be as long as the window, or longer")
+    vector = F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), vector.alias("vector"))
+    fit = F.col("label").isNotNull() & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
+    rows = rows.withColumn("cid", F.when(F.coalesce(fit, F.lit(False)), F.xxhash64("label", "vector")))
+    # Labels of any type are ordered and compared by a hash.
+    rows = cut(rows.withColumn("label", F.xxhash64("label")))
+    usable = rows.where("cid is not null")
+    # Copies of one vector are one class; its ids are counted once each, map-side.
+    classes = cut(usable.groupBy("cid", "id").agg(F.first("label").alias("label"), F.first("vector").alias("vector")).groupBy("cid").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNotNull().alias("some"), "id")).alias("low")))
+    found = cut(_all_pairs(classes, threshold, paired) if exact else _sorted_passes(classes, threshold, passes, bits, window, block, seed))
     counts = found.groupBy("a").agg(F.sum("links").alias("links"))
     groups = components(found.select("a", "b"))
     rooted = classes.join(groups, classes["cid"] == groups["node"], "left").select("cid", "copies", "low", F.coalesce("root", "cid").alias("root"))

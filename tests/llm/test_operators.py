@@ -245,6 +245,35 @@ def test_vector_windows_stay_exact_across_blocks(spark):
     assert np.mean([got[i] for i in range(300)]) > 0.9 * 299 and max(got.values()) <= 299
 
 
+def test_vectors_of_one_dense_group(spark):
+    # More near copies than the windows of all sorted passes hold.
+    rng = np.random.default_rng(9)
+    x = np.ones((7000, 8)) + rng.standard_normal((7000, 8)) * 0.02
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>, label int")
+    got = vectors.near_groups(df).agg(F.min("n_links"), F.max("n_links"), F.max("component_id"), F.sum(F.col("kept").cast("int"))).first()
+    assert tuple(got) == (6999, 6999, 0, 1)
+
+
+@pytest.mark.parametrize("paired", [37, 8192])
+def test_vectors_block_by_block(spark, paired):
+    rng = np.random.default_rng(10)
+    x = np.repeat(rng.standard_normal((60, 12)), 8, axis=0) + rng.standard_normal((480, 12)) * 0.2
+    df = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vectors.near_groups(df, paired=paired).collect()}
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    pairs = [(i, j) for i, j in np.argwhere(x @ x.T >= 0.93).tolist() if i != j and i % 2 == j % 2]
+    root = {i: i for i in range(480)} | union(range(480), pairs)
+    assert [got[i].n_links for i in range(480)] == np.bincount([i for i, _ in pairs], minlength=480).tolist()
+    assert [got[i].component_id for i in range(480)] == [root[i] for i in range(480)]
+
+
+def test_vector_passes(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, (np.ones(8) + rng.standard_normal(8) * 0.05).tolist(), 1) for i in range(300)], "vec_id bigint, embedding array<double>, label int")
+    got = [r.n_links for r in vectors.near_groups(df, window=32, block=32, passes=30, exact=False).collect()]
+    assert np.mean(got) > 0.9 * 299 and max(got) <= 299
+
+
 # 6
 
 
