@@ -1,8 +1,8 @@
 """License scans: ordered signature rules over whole texts, gated by keywords.
 
-A rule has a keyword, a pattern, a label, a confidence and its place in the order; earlier rules have priority. A text
-that holds none of the gate words is done after plain substring searches; of the others, only rules whose keyword occurs
-run. Each match is a detection, an interval of characters. Where one detection's interval lies within another's, the one
+A rule has a keyword, a pattern, a label, a confidence and its place in the order; earlier rules have priority. A pattern
+can't match without each word of its keyword, whatever stands between them. A text that holds the words of no keyword is
+done after plain substring searches; of the others, only rules whose keyword's words occur run. Each match is a detection, an interval of characters. Where one detection's interval lies within another's, the one
 whose rule stands later is suppressed; so "apache license" gives way to "apache license, version 2.0".
 
 Besides, base phrases are counted by words: a place is a word index where a phrase's words stand consecutively. Base labels
@@ -28,9 +28,6 @@ ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: A text without any of these has no detection. They are looked up in the lower-cased text.
-GATES = ("licen", "copyright", "copyleft", "spdx", "public domain", "creative commons", "cc0", "cc-by", "cc by", "wtfpl", "gpl", "all rights reserved", "warranty")
-
 _V = r"(?:,?\s*(?:version|ver\.?|v\.?))?\s*"
 _DASH = r"[\s-]+"
 
@@ -141,10 +138,18 @@ def rules() -> list[tuple[str, str, str, float]]:
     return out
 
 
-def detections(text: Column) -> Column:
-    """All kept detections of a lower-cased text: array of (start, end, rank, label, confidence), in characters, by start."""
+def live_keywords(text: Column) -> Column:
+    """array of the rules' keywords whose words all occur in a lower-cased text."""
+    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*[F.lit(w) for w in k.split()]).alias("words")) for k in dict.fromkeys(r[1] for r in rules())])
+    # Two letters stand in many words; those of Creative Commons codes are followed by "by".
+    found = F.filter(table, lambda k: F.forall(k["words"], lambda w: F.contains(text, w)) & ((k["keyword"] != "cc") | text.rlike(r"cc[\s-]+by")))
+    return F.transform(found, lambda k: k["keyword"])
+
+
+def detections(text: Column, keywords: Column) -> Column:
+    """All kept detections of a lower-cased text by the rules with these keywords: array of (start, end, rank, label, confidence), in characters, by start."""
     table = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(rx).alias("rx"), F.lit(float(c)).alias("confidence")) for i, (a, k, rx, c) in enumerate(rules())])
-    live = F.filter(table, lambda r: F.contains(text, r["keyword"]))
+    live = F.filter(table, lambda r: F.array_contains(keywords, r["keyword"]))
     span = "array<struct<start:int,end:int,rank:int,label:string,confidence:double>>"
 
     def matches(r: Column) -> Column:
@@ -196,25 +201,25 @@ def base_places(text: Column) -> Column:
     return F.flatten(F.transform(F.array(words), lambda w: F.concat(*[f(w) for f in out])))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_words, base (places), detections of each row's whole text."""
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gated: bool = True) -> DataFrame:
+    """id_col, n_words, base (places), detections of each row's whole text. Without gates, all rules run on all texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), text.alias("t")).select(id_col, "t", F.lower("t").alias("gate"))
-    gated = F.lit(False)
-    for word in GATES:
-        gated = gated | F.contains("gate", F.lit(word))
+    every = F.array(*[F.lit(k) for k in dict.fromkeys(r[1] for r in rules())])
+    rows = rows.withColumn("keywords", live_keywords(F.col("gate")) if gated else every)
     based = F.lit(False)
     for phrase in BASE:
         here = F.lit(True)
         for word in phrase.split(" "):
             here = here & F.contains("gate", F.lit(word))
         based = based | here
-    rows = rows.select(id_col, F.regexp_count("t", F.lit(ANY_WORD)).cast("long").alias("n_words"), F.when(gated, ascii_lower(F.col("t"))).alias("t"), based.alias("based"))
+    rows = rows.withColumn("based", based)
+    rows = rows.select(id_col, F.regexp_count("t", F.lit(ANY_WORD)).cast("long").alias("n_words"), F.when((F.size("keywords") > 0) | F.col("based"), ascii_lower(F.col("t"))).alias("t"), "based", "keywords")
     return rows.select(
         id_col,
         "n_words",
         F.when(F.col("based"), base_places(F.col("t"))).alias("base"),
-        F.when(F.col("t").isNotNull(), detections(F.col("t"))).alias("detections"),
+        F.when(F.col("t").isNotNull(), detections(F.col("t"), F.col("keywords"))).alias("detections"),
     )
 
 

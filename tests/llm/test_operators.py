@@ -504,3 +504,42 @@ def test_license_rules_compile():
     for label, keyword, pattern, confidence in table:
         re.compile(pattern)
         assert label and keyword and 0 < confidence <= 1
+
+
+def sample(pattern, blank, full):
+    """A text that a rule's pattern matches: the least one, or with all that is optional."""
+
+    def made(parts):
+        out = ""
+        for op, arg in parts:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "BRANCH":
+                out += made(arg[1][-1 if full else 0])
+            elif op == "SUBPATTERN":
+                out += made(arg[-1])
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                least, most, inner = arg
+                out += made(inner) * max(least, int(full and most > 0))
+            elif op == "IN":
+                kind, value = arg[0]
+                out += {"CATEGORY_SPACE": blank, "CATEGORY_NOT_SPACE": "x", "CATEGORY_DIGIT": "7"}[str(value)] if str(kind) == "CATEGORY" else chr(value)
+            elif op in ("CATEGORY", "ANY", "NOT_LITERAL"):
+                out += "x"
+            else:
+                assert op in ("AT", "ASSERT_NOT"), op
+        return out
+
+    return made(re._parser.parse(pattern))
+
+
+def test_license_gates_lose_nothing(spark):
+    texts = [sample(p, blank, full) for _, _, p, _ in licenses.rules() for blank in (" ", "\n", "\t") for full in (False, True)]
+    assert all(re.search(p, t) for (_, _, p, _), t in zip((r for r in licenses.rules() for _ in range(6)), texts, strict=True))
+    texts += ["Apache 2.0", "BSD-3-Clause", "3-clause BSD", "MIT No Attribution", "CC\nBY-SA 4.0", "No rules here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    with_gates = {r.doc_id: r.detections or [] for r in licenses.scan(docs).collect()}
+    without = {r.doc_id: r.detections for r in licenses.scan(docs, gated=False).collect()}
+    assert with_gates == without
+    assert all(without[i] for i in range(len(texts) - 1)) and without[len(texts) - 1] == []
