@@ -3,6 +3,7 @@
 A page is read as a sequence of blocks (text between block-level tags). First pass: a block is boilerplate if it stands in
 a part of the page that says so (navigation, footer, aside, form, advert, notice, comments, ...) or is mostly links; it is
 content if it is long and holds enough stop words of some language; what is short or without stop words is undecided.
+Where stop words show no content at all, as on pages in languages without a list, undecided blocks that are long are content.
 Second pass: undecided blocks take the label of the nearest neighbour that the first pass decided by its text; inside an
 article the article's own edges count as content. Without such a neighbour they are boilerplate.
 
@@ -35,20 +36,25 @@ STOP = frozenset(
     """.split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|select|head)\b(?:[^'\">]|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^'\">]|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^'\">]|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.S)
+# A tag that ends itself; a slash at the end of a bare value belongs to the value.
+_EMPTY = re.compile(r"(?:^|[\s\"'])/\Z")
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _WORD = re.compile(r"[^\W\d_]+")
 # Parts of a class name, whether joined by marks or by capitals.
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose content is no text of the page, whatever stands in it.
+RAW = frozenset("script style noscript template svg iframe object textarea select title".split())
+_CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog button fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus respond replies share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager skip alert alerts announcement copyright legal crumbs dropdown discussion responses feedback".split()
 )
-TOP = frozenset(("html", "body", "article", "main"))
+TOP = frozenset(("html", "head", "body", "article", "main"))
 
 
 def _says_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
@@ -79,6 +85,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     out: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article: both with what is around
     parts: list[str] = []
+    unclosed: set[str] = set()
     linked, links, at, breaks = 0, 0, 0, 0
 
     def close() -> None:
@@ -98,13 +105,27 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
                 breaks = 0
                 linked += len(piece) if links else 0
 
-    for m in _TOKEN.finditer(page):
+    def behind(tag: str, at: int) -> int:
+        """Where a raw element opened before `at` ends. An unclosed one is only a tag; what follows code or a title up to the next tag is its own."""
+        if tag not in unclosed:
+            if end := _CLOSE[tag].search(page, at):
+                return end.end()
+            unclosed.add(tag)
+        if tag in ("script", "style", "title"):
+            at = page.find("<", at)
+        return at if at >= 0 else len(page)
+
+    while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if not tag:
             continue
         tag = tag.lower()
+        if tag in RAW and not m["end"]:
+            if not _EMPTY.search(m["attrs"]):
+                at = behind(tag, at)
+            continue
         if tag == "br":
             breaks += 1
             parts.append(" ")
@@ -136,6 +157,11 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
+def _long(text: str) -> bool:
+    """Whether a block is long; a character of a script without blanks between words counts for three."""
+    return len(text) + 2 * sum("\u2e80" <= c <= "\ud7ff" for c in text[:LONG]) >= LONG
+
+
 def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
     """For each block, whether it is content."""
     first: list[bool | None] = []
@@ -145,6 +171,9 @@ def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
             continue
         words = _WORD.findall(text.lower()) if len(text) >= LONG else ()
         first.append(True if words and sum(w in STOP for w in words) >= STOP_WORDS * len(words) else None)
+    if True not in first:
+        # Stop words decide nothing here, as on pages in other languages: long blocks that aren't boilerplate are content.
+        first = [True if x is None and _long(b[0]) else x for x, b in zip(first, found, strict=True)]
     n = len(found)
 
     def nearest(order: range) -> list[tuple[int, bool | None]]:

@@ -365,6 +365,27 @@ def test_extraction(html, text):
     assert extraction.main_text(html) == text
 
 
+POLISH = "Stary dom nad rzeką stoi pusty od wielu lat, choć jego okna wciąż odbijają każde zachodzące słońce."
+CHINESE = "这座老房子多年来一直空着，但它的窗户每天傍晚仍然映照着落日的余晖和远处的河流。"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<html><head><title>T</title><meta charset=utf-8><body><article><p>{PARAGRAPH}</article>", PARAGRAPH),
+        (f"<html><head class=menu><title>T</title><link href=a><article><p>{PARAGRAPH}</article>", PARAGRAPH),
+        (f"<article><svg/><p>{PARAGRAPH}</p><iframe src='a' /><p>on</p></article>", f"{PARAGRAPH}\n\non"),
+        (f"<article><svg viewBox='0'><p>{PARAGRAPH}</p><select><option>x<p>on</p></article>", f"{PARAGRAPH}\n\nx\n\non"),
+        (f"<article><script>var a = 1;<p>{PARAGRAPH}</p></article>", PARAGRAPH),
+        (f"<article><iframe src=http://a/>no</iframe><p>{PARAGRAPH}</p><svg><text>no</text></svg></article>", PARAGRAPH),
+        (f"<nav><a href=a>Start</a></nav><div><h1>Dom</h1><p>{POLISH}</p><p>{POLISH}</p></div><footer>{POLISH}</footer>", f"Dom\n\n{POLISH}\n\n{POLISH}"),
+        (f"<div><p>{CHINESE}</p></div><div><a href=a>{CHINESE}</a></div>", CHINESE),
+    ],
+)
+def test_extraction_loses_no_page(html, text):
+    assert extraction.main_text(html) == text
+
+
 def test_extraction_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>é</p></article>", "x"), (1, "u", "<article><p>é</p></article>", "x"), (2, None, None, None)], "page_id bigint, url string, html string, text string")
     got = [(r.page_id, r.text, r.n_chars) for r in extraction.extract(pages).collect()]
