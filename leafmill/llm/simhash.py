@@ -55,15 +55,15 @@ def simhash(text: str | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * set_in > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, bits: each row's fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, the columns in keep, bits: each row's fingerprint as a signed long."""
 
     def made(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in frames:
             yield pd.Series(np.array([simhash(t) for t in texts], "uint64").view("int64"))
 
     udf = F.pandas_udf(made, "long")
-    return docs.select(F.col(id_col), udf(F.col(text_col)).alias("bits"))
+    return docs.select(F.col(id_col), *keep, udf(F.col(text_col)).alias("bits"))
 
 
 def _syndrome(half: Column) -> Column:
@@ -196,13 +196,18 @@ def links(bits: DataFrame, *, near: int = NEAR, block: int = BLOCK) -> DataFrame
     return found
 
 
+def _rooted(prints: DataFrame, low: Column, near: int) -> DataFrame:
+    """bits, root, low (the smallest of its rows) for each distinct fingerprint."""
+    distinct = cut(prints.groupBy("bits").agg(F.min(low).alias("low")))
+    groups = components(links(distinct.select("bits"), near=near).distinct())
+    return distinct.join(groups, distinct["bits"] == groups["node"], "left").select("bits", F.coalesce("root", "bits").alias("root"), "low")
+
+
 def near_groups(docs: DataFrame, *, near: int = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, bits, component_id (the smallest id in reach) for each row."""
     prints = cut(fingerprints(docs, id_col=id_col, text_col=text_col))
     # Nulls first: a group with a null id has it as its smallest.
-    distinct = cut(prints.groupBy("bits").agg(F.min(F.struct(F.col(id_col).isNotNull().alias("some"), F.col(id_col).alias("id"))).alias("low")))
-    groups = components(links(distinct.select("bits"), near=near).distinct())
-    rooted = distinct.join(groups, distinct["bits"] == groups["node"], "left").select("bits", F.coalesce("root", "bits").alias("root"), "low")
+    rooted = _rooted(prints, F.struct(F.col(id_col).isNotNull().alias("some"), F.col(id_col).alias("id")), near)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("lowest"))
     named = rooted.join(lowest, "root").select("bits", F.col("lowest.id").alias("component_id"))
     return prints.join(named, "bits", "left").select(id_col, "bits", "component_id")
@@ -215,7 +220,11 @@ def fingerprint_groups(docs: DataFrame, *, near: int = NEAR, id_col: str = "doc_
 
 
 def one_of_each(docs: DataFrame, *, near: int = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with only the document with the smallest id of each group; of rows that share an id, one."""
-    groups = near_groups(docs, near=near, id_col=id_col, text_col=text_col)
-    kept = groups.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([id_col])
+    """docs with one row of each group: that with the smallest id, nulls first; of those that share it, one."""
+    # Rows are told apart by all they hold, as ids may be null or shared. Maps have no hash.
+    rows = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind]))
+    prints = cut(fingerprints(rows, id_col=id_col, text_col=text_col, keep=("_row",)))
+    rooted = _rooted(prints, F.struct(F.col(id_col).isNotNull().alias("some"), F.col(id_col).alias("id"), F.col("_row").alias("row")), near)
+    kept = rooted.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.id").alias("_kept"), F.col("low.row").alias("_kept_row"))
+    # What is left twice are equal rows.
+    return rows.join(kept, rows[id_col].eqNullSafe(kept["_kept"]) & (rows["_row"] == kept["_kept_row"]), "left_semi").dropDuplicates([id_col, "_row"]).drop("_row")

@@ -334,6 +334,15 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in kept) == [2, 9]
 
 
+def test_one_of_each_with_null_and_shared_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 40) for _ in range(4))
+    # A group with a null id, other texts with null ids, one id with two texts, and a row that stands twice.
+    rows = [(None, a), (7, a), (8, a), (None, b), (None, c), (5, d), (5, "one more text by hand"), (5, d), (6, "of its own")]
+    kept = simhash.one_of_each(docs_of(spark, [(i, t, "aa", "s") for i, t in rows])).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, [(None, a), (None, b), (None, c), (5, d), (5, "one more text by hand"), (6, "of its own")]))
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(rng.randint(2000, 2200), rng.randint(2000, 2200)) for _ in range(150)] + [(7, 7)]
