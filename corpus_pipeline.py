@@ -21,7 +21,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told; the others (no letters, no text) go."""
-    told = language.predict(docs.select(*COLUMNS), language.train(docs))
+    # Who labelled a text as unknown says nothing to learn from.
+    network = language.train(docs.where(F.col("lang") != language.UNKNOWN))
+    if network is None:
+        # Nothing tells the languages apart; what can't be in any goes all the same.
+        return docs.where(language.lettered(F.col("text"))).select(*COLUMNS)
+    told = language.predict(docs.select(*COLUMNS), network)
     return told.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 

@@ -161,10 +161,14 @@ def train(docs: DataFrame, *, docs_per_language: int = DOCS_PER_LANGUAGE, id_col
     return network
 
 
+def lettered(text: Column) -> Column:
+    """Whether a text holds a letter."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, network: Network | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score; all other columns stay."""
     text = F.col(text_col)
-    lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     if network is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
 
@@ -186,7 +190,7 @@ def predict(docs: DataFrame, network: Network | None, *, id_col: str = "doc_id",
             yield pd.DataFrame({"name": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype="float64")})
 
     told = F.pandas_udf(made, "name string, score double")(text)
-    rows = docs.withColumn("_told", F.when(lettered, told))
+    rows = docs.withColumn("_told", F.when(lettered(text), told))
     return rows.withColumns({"lang_pred": F.coalesce("_told.name", F.lit(UNKNOWN)), "score": F.coalesce("_told.score", F.lit(0.0))}).drop("_told")
 
 

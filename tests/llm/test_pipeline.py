@@ -42,6 +42,13 @@ def test_stages(spark):
     assert last.where("start = 0").count() == fourth.count()
 
 
+@pytest.mark.parametrize("label", [None, "und"])
+def test_unlabelled_documents_stay(spark, label):
+    docs = made(spark)
+    kept = P.identify_languages(spark, docs.withColumn("lang", F.lit(label).cast("string")), SF)
+    assert kept.columns == COLUMNS and {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {202, 203}
+
+
 def test_names():
     assert [n for n, _ in P.STAGES] == ["language", "line_dedup", "near_dedup", "mixing", "packing"] and P.ORACLE_SQL is None
 
