@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from leafmill.llm import language, lines, mixing, packing, simhash
 from leafmill.llm.common import shared_folder
 
+#: In shorter lines, one edit makes another line ("Part 1", "Part 2"); there only equal ones are dropped.
+NEAR_LINES = 20
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -32,7 +34,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand earlier; those of which nothing is left go."""
-    kept = lines.dedup_lines(docs.select(*COLUMNS)).where("n_dropped < n_lines")
+    kept = lines.dedup_lines(docs.select(*COLUMNS), near_from=NEAR_LINES).where("n_dropped < n_lines")
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 

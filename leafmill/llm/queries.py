@@ -53,18 +53,20 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_lines": op1_lines, "op2_tokens": op2_tokens, "op3_fingerprints": op3_fingerprints, "op4_language": op4_language, "op5_vectors": op5_vectors, "op6_simhash": op6_simhash, "op7_extraction": op7_extraction, "op8_packing": op8_packing, "op9_mix": op9_mix, "op10_licenses": op10_licenses}
 
-# Lines within one edit share the half that the edit isn't in; candidates are joined on halves, then measured.
+# Lines within one edit share the half that the edit isn't in; candidates are joined on halves, then lose the first character in which they differ.
 OP1 = """
 with lines as (
-  select doc_id, no - 1 no, trim(line, ' ') line from (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) no from documents where text is not null)
+  select doc_id, no - 1 no, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) line
+  from (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) no from documents where text is not null)
 ),
-firsts as (select line, length(line) n, min((doc_id, no)) first from lines where length(line) >= 20 group by 1),
-long as (select * from firsts where n >= 40),
+firsts as (select line, length(line) n, min((doc_id, no)) first from lines where line <> '' group by 1),
 halves as (
-  select line, n, first, n m, left(line, n // 2) a, right(line, n - n // 2) b from long
-  union all select line, n, first, n - 1, left(line, (n - 1) // 2), right(line, n - 1 - (n - 1) // 2) from long
+  select line, n, first, n m, left(line, n // 2) a, right(line, n - n // 2) b from firsts
+  union all select line, n, first, n - 1, left(line, (n - 1) // 2), right(line, n - 1 - (n - 1) // 2) from firsts
 ),
-pairs as (select distinct x.line, y.first from halves x join halves y on x.m = y.m and (x.a = y.a or x.b = y.b) and y.first < x.first and abs(x.n - y.n) <= 1 and levenshtein(x.line, y.line) <= 1),
+near as (select distinct x.line, x.n, y.line other, y.n other_n, y.first from halves x join halves y on x.m = y.m and (x.a = y.a or x.b = y.b) and y.first < x.first and abs(x.n - y.n) <= 1),
+spots as (select *, list_position([z[1] is distinct from z[2] for z in list_zip(string_split(line, ''), string_split(other, ''))], true) p from near),
+pairs as (select line, first from spots where case when n >= other_n then left(line, p - 1) || substr(line, p + 1) else line end = case when other_n >= n then left(other, p - 1) || substr(other, p + 1) else other end),
 marked as (select f.line, least(f.first, coalesce(p.first, f.first)) first from firsts f left join (select line, min(first) first from pairs group by 1) p using (line)),
 dropped as (select l.doc_id, l.no from lines l join marked m using (line) where (l.doc_id, l.no) > m.first),
 counted as (select doc_id, list(no) nos from dropped group by 1)

@@ -83,36 +83,37 @@ def one_edit(a, b):
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
-def brute_lines(rows):
+def brute_lines(rows, exact_from=1, near_from=1):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     first, out = {}, {}
     for i, t, *_ in rows:
         for no, line in enumerate((t or "").split("\n") if t is not None else []):
-            s = line.strip(" ")
-            if len(s) >= lines.EXACT:
+            s = line.strip(lines.SPACE)
+            if len(s) >= exact_from:
                 first.setdefault(s, (i is not None, i or 0, no))
     for i, t, *_ in rows:
         kept = []
         for no, line in enumerate((t or "").split("\n")):
-            s, at = line.strip(" "), (i is not None, i or 0, no)
-            earlier = len(s) >= lines.EXACT and first[s] < at
-            if len(s) >= lines.NEAR:
-                earlier = earlier or any(p < at and len(o) >= lines.NEAR and one_edit(s, o) for o, p in first.items())
+            s, at = line.strip(lines.SPACE), (i is not None, i or 0, no)
+            earlier = len(s) >= exact_from and first[s] < at
+            if len(s) >= near_from:
+                earlier = earlier or any(p < at and len(o) >= near_from and one_edit(s, o) for o, p in first.items())
             if not earlier:
                 kept.append(line)
         out[i, t] = None if t is None else "\n".join(kept)
     return out
 
 
-@pytest.mark.parametrize("broadcast", [lines.BROADCAST, 0])
-def test_lines(spark, corpus, monkeypatch, broadcast):
+@pytest.mark.parametrize(("broadcast", "limits"), [(lines.BROADCAST, (1, 1)), (0, (1, 1)), (lines.BROADCAST, (3, 20))])
+def test_lines(spark, corpus, monkeypatch, broadcast, limits):
     monkeypatch.setattr(lines, "BROADCAST", broadcast)
     rng = random.Random(1)
     base = "".join(rng.choice("abcd ") for _ in range(90)).replace(" ", "e")
     more = [(100, base, "aa", "s0"), (101, base + "\n" + base[:40] + base[41:], "aa", "s0"), (102, base[:89] + "z\nshort\nshort", "aa", "s0"), (103, "q" + base, "aa", "s0"), (104, base[:20] + "zz" + base[20:], "aa", "s0"), (105, "  " + base + "  ", "aa", "s0"), (106, "b" * 50 + "\n" + "b" * 51 + "\n" + "b" * 53, "aa", "s0")]
+    more += [(107, "a\nb\nab\nabc\n\n\n7.\n8.\nab \r\n\tab", "aa", "s0"), (108, base + "\r\n \x0b" + base[1:], "aa", "s0"), (109, "été\nete\nét\nétés", "aa", "s0"), (110, "word " * 12_000 + "x\n" + "word " * 12_001 + "y", "aa", "s0"), (111, "word " * 12_000 + "y", "aa", "s0")]
     rows = corpus + more
-    got = {(r.doc_id, r.n_chars): (r.text, r.n_lines, r.n_dropped) for r in lines.dedup_lines(docs_of(spark, rows)).collect()}
-    want = brute_lines(rows)
+    got = {(r.doc_id, r.n_chars): (r.text, r.n_lines, r.n_dropped) for r in lines.dedup_lines(docs_of(spark, rows), exact_from=limits[0], near_from=limits[1]).collect()}
+    want = brute_lines(rows, *limits)
     for i, t, *_ in rows:
         assert got[i, len(t or "")][0] == want[i, t], i
     assert got[104, 92][2] == 0 and got[101, len(more[1][1])][2] == 2 and got[80, 0] == (None, 0, 0)
