@@ -9,40 +9,68 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.names import heading_text, safe_attachment_name
 from leafmill.functions.render import page as P
 from leafmill.functions.render.tree import Node, parse
+from leafmill.lineage import cut
+from leafmill.operators.attachments import match_diagram, resolve_refs
 
 
-def wide(pages: DataFrame, named: DataFrame | None = None, available: DataFrame | None = None, users: DataFrame | None = None, drawio: DataFrame | None = None) -> DataFrame:
-    """One row per page with all that its rendering needs: atts, available, users, drawio."""
-    rows = pages.select("space_id", "page_id", "title", "body")
-    kinds = {"atts": "array<struct<att_id:string,title:string,media_type:string,local_name:string>>", "available": "array<string>", "users": "array<struct<account_id:string,name:string>>", "drawio": "array<struct<title:string,png:string>>"}
+def wide(pages: DataFrame, named: DataFrame | None = None, available: DataFrame | None = None, users: DataFrame | None = None, rendered: DataFrame | None = None, *, order: str = "ord") -> DataFrame:
+    """One row per page with all that its rendering needs: heading, files, listed, available, users, diagrams.
+
+    What references and diagrams in a body mean is joined here (resolve_refs, match_diagram), not looked up while rendering.
+    rendered: page_id, xml_title, local_name of diagrams that can be shown.
+    """
+    rows = pages.select("space_id", "page_id", heading_text(F.coalesce("title", F.lit(""))).alias("heading"), "body")
+    kinds = {"files": "array<struct<name:string,att_id:string,local:string>>", "listed": "array<struct<title:string,local:string>>", "available": "array<string>", "users": "array<struct<account_id:string,name:string>>", "diagrams": "array<struct<name:string,picture:string,source:string>>"}
     if named is not None:
-        rows = rows.join(named.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("att_id", "title", "media_type", "local_name"))).alias("atts")), "page_id", "left")
+        refs = cut(extract_refs(pages).where("kind in ('attachment', 'diagram')").select("page_id", "kind", "name", "att_id").distinct())
+        files = resolve_refs(refs.where("kind = 'attachment'").select("page_id", F.col("name").alias("title"), "att_id"), named)
+        rows = rows.join(files.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(F.col("title").alias("name"), "att_id", F.col("local_name").alias("local")))).alias("files")), "page_id", "left")
+        rows = rows.join(named.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("att_id", "title", "local_name"))), lambda a: F.struct(a["title"].alias("title"), a["local_name"].alias("local"))).alias("listed")), "page_id", "left")
+        meant = match_diagram(refs.where("kind = 'diagram'").select("page_id", "name"), named, order)
+        source = named.select("page_id", "att_id", "title", F.col("local_name").alias("_source")).dropDuplicates(["page_id", "att_id", "title"])
+        meant = meant.join(source, ["page_id", "att_id", "title"], "left").withColumn("_source", F.coalesce("_source", safe_attachment_name(F.concat(F.regexp_replace("name", r"\.drawio$", ""), F.lit(".drawio")))))
+        picture = rendered.groupBy("page_id", F.col("xml_title").alias("title")).agg(F.min("local_name").alias("_picture")) if rendered is not None else source.select("page_id", "title", F.lit("").alias("_picture")).limit(0)
+        meant = meant.join(picture, ["page_id", "title"], "left")
+        rows = rows.join(meant.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("name", F.coalesce("_picture", F.lit("")).alias("picture"), F.col("_source").alias("source")))).alias("diagrams")), "page_id", "left")
     if available is not None:
         rows = rows.join(available.select("page_id", F.col("names").alias("available")), "page_id", "left")
     if users is not None:
         rows = rows.join(users.select("space_id", "page_id", F.transform(F.map_entries("users"), lambda e: F.struct(e["key"].alias("account_id"), e["value"].alias("name"))).alias("users")), ["space_id", "page_id"], "left")
-    if drawio is not None:
-        rows = rows.join(drawio.groupBy("page_id").agg(F.collect_list(F.struct(F.col("xml_title").alias("title"), F.col("local_name").alias("png"))).alias("drawio")), "page_id", "left")
-    return rows.select("space_id", "page_id", "title", "body", *[F.coalesce(F.col(c), F.array().cast(k)).alias(c) if c in rows.columns else F.array().cast(k).alias(c) for c, k in kinds.items()])
+    return rows.select("space_id", "page_id", "heading", "body", *[F.coalesce(F.col(c), F.array().cast(k)).alias(c) if c in rows.columns else F.array().cast(k).alias(c) for c, k in kinds.items()])
 
 
 def render_markdown(rows: DataFrame, *, plug_ins: dict[str, P.Handler] | None = None) -> DataFrame:
-    """space_id, page_id, markdown, warnings of wide rows. plug_ins: handlers by macro name, before the own ones."""
-    more = dict(plug_ins or {})
+    """space_id, page_id, markdown, warnings of wide rows. plug_ins: handlers by macro name, of this run only, before the own ones.
+
+    A page that a handler fails on has no markdown and says why in its warnings. Rows are dealt to tasks anew, as bodies
+    often come in few files.
+    """
+    own = dict(plug_ins or {})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        P.HANDLERS.update(more)
         for frame in frames:
             texts, warned = [], []
             for r in frame.itertuples(index=False):
-                ctx = P.Context(list(r.atts), frozenset(r.available), {u["account_id"]: u["name"] for u in r.users}, {d["title"]: d["png"] for d in r.drawio})
-                texts.append(P.render(r.title or "", r.body or "", ctx))
-                warned.append(sorted({f"missing attachment: {m}" for m in re.findall(r"Missing attachment: ([^\n]*)", texts[-1])}))
+                page = P.Page(
+                    {(f["name"], f["att_id"]): f["local"] for f in r.files},
+                    [(a["title"], a["local"]) for a in r.listed],
+                    frozenset(r.available),
+                    {u["account_id"]: u["name"] for u in r.users},
+                    {d["name"]: (d["picture"], d["source"]) for d in r.diagrams},
+                    own,
+                )
+                try:
+                    texts.append(P.render(r.heading or "", r.body or "", page))
+                    warned.append(sorted({f"missing attachment: {m}" for m in re.findall(r"Missing attachment: ([^\n]*)", texts[-1])}))
+                except Exception as e:  # noqa: BLE001  (a plug-in may raise anything; the page's row says so)
+                    texts.append("")
+                    warned.append([f"not rendered: {type(e).__name__}: {e}"])
             yield pd.DataFrame({"space_id": frame["space_id"], "page_id": frame["page_id"], "markdown": texts, "warnings": warned})
 
-    return rows.mapInPandas(run, "space_id string, page_id string, markdown string, warnings array<string>")
+    return rows.repartition("space_id", "page_id").mapInPandas(run, "space_id string, page_id string, markdown string, warnings array<string>")
 
 
 def _rows(pages: DataFrame, find: Callable[[Node], list[tuple]], schema: str) -> DataFrame:
@@ -57,21 +85,29 @@ def _rows(pages: DataFrame, find: Callable[[Node], list[tuple]], schema: str) ->
     return pages.select("space_id", "page_id", "body").mapInPandas(run, f"space_id string, page_id string, n long, {schema}")
 
 
+def _below(root: Node, state: object, step: Callable[[Node, object], object]) -> None:
+    """Calls step(node, state) for all nodes below in document order; what it returns is the state of the node's children."""
+    waiting = [(k, state) for k in reversed(root.elements())]
+    while waiting:
+        node, given = waiting.pop()
+        own = step(node, given)
+        waiting += [(k, own) for k in reversed(node.elements())]
+
+
 def extract_macros(pages: DataFrame) -> DataFrame:
     """One row per macro in document order: name, own parameters, whether it has a rich body, plain body, depth among macros."""
 
     def find(root: Node) -> list[tuple]:
         out = []
 
-        def down(node: Node, depth: int) -> None:
-            for k in node.elements():
-                inside = k.tag in P.MACROS
-                if inside:
-                    m = P.Macro(k)
-                    out.append((m.name, sorted((a, b) for a, b in m.params.items() if a), m.rich is not None, m.plain, depth))
-                down(k, depth + inside)
+        def step(node: Node, depth: int) -> int:
+            if node.tag not in P.MACROS:
+                return depth
+            m = P.Macro(node)
+            out.append((m.name, sorted((a, b) for a, b in m.params.items() if a), m.rich is not None, m.plain, depth))
+            return depth + 1
 
-        down(root, 0)
+        _below(root, 0, step)
         return out
 
     rows = _rows(pages, find, "name string, params array<struct<k:string,v:string>>, has_rich_body boolean, plain_body string, depth long")
@@ -79,26 +115,27 @@ def extract_macros(pages: DataFrame) -> DataFrame:
 
 
 def extract_refs(pages: DataFrame) -> DataFrame:
-    """One row per reference: kind (attachment, page, url, user), what it names, the attachment id, whether it is an image's."""
+    """One row per reference: kind (attachment, diagram, page, url, user, link), what it names, the attachment id, whether it is an image's."""
+    #: Elements that are references, with their kind and the attribute that names what they mean.
+    kinds = {"ri:page": ("page", "ri:content-title"), "ri:url": ("url", "ri:value"), "ri:user": ("user", "ri:account-id"), "a": ("link", "href")}
 
     def find(root: Node) -> list[tuple]:
         out = []
 
-        def down(node: Node, image: bool) -> None:
-            for k in node.elements():
-                if k.tag == "ri:attachment":
-                    out.append(("attachment", k.get("ri:filename"), P.ref_id(k), image))
-                elif k.tag == "ri:page":
-                    out.append(("page", k.get("ri:content-title"), "", image))
-                elif k.tag == "ri:url":
-                    out.append(("url", k.get("ri:value"), "", image))
-                elif k.tag == "ri:user":
-                    out.append(("user", k.get("ri:account-id"), "", image))
-                elif k.tag == "a" and k.get("href"):
-                    out.append(("link", k.get("href"), "", image))
-                down(k, image or k.tag == "ac:image")
-
-        down(root, False)
+        def step(node: Node, image: bool) -> bool:
+            if node.tag == "ri:attachment":
+                out.append(("attachment", *P.reference(node), image))
+            elif node.tag in kinds and (node.tag != "a" or node.get("href")):
+                out.append((kinds[node.tag][0], node.get(kinds[node.tag][1]), "", image))
+            elif node.tag in P.MACROS and node.get("ac:name") in (*P.FILES, *P.DIAGRAMS):
+                macro = P.Macro(node)
+                if macro.name in P.DIAGRAMS:
+                    out.append(("diagram", macro.diagram(), "", image))
+                elif macro.node.find("ri:attachment") is None and macro.file()[0]:
+                    out.append(("attachment", *macro.file(), image))
+            return image or node.tag == "ac:image"
+
+        _below(root, False, step)
         return out
 
     return _rows(pages, find, "kind string, name string, att_id string, image boolean")
@@ -108,21 +145,28 @@ def extract_tasks(pages: DataFrame) -> DataFrame:
     """One row per task or decision: kind, whether it is done, its own text, depth among lists."""
 
     def own(node: Node) -> str:
-        return "".join(k if isinstance(k, str) else "" if k.tag in ("ac:task-list", "ac:task-status", "ac:task-id") or k.get("type") in P.DECISION_LISTS else own(k) for k in node.kids)
+        """Its text without that of lists, states and ids in it."""
+        out, waiting = [], node.kids[::-1]
+        while waiting:
+            k = waiting.pop()
+            if isinstance(k, str):
+                out.append(k)
+            elif k.tag not in ("ac:task-list", "ac:task-status", "ac:task-id") and k.get("type") not in P.DECISION_LISTS:
+                waiting += k.kids[::-1]
+        return "".join(out).strip()
 
     def find(root: Node) -> list[tuple]:
         out = []
 
-        def down(node: Node, depth: int) -> None:
-            for k in node.elements():
-                if k.tag == "ac:task":
-                    status = k.child("ac:task-status")
-                    out.append(("task", status is not None and status.text().strip() == "complete", own(k).strip(), depth))
-                elif k.get("type") in P.DECISION_ITEMS:
-                    out.append(("decision", k.get("state").strip().upper() == "DECIDED", own(k).strip(), depth))
-                down(k, depth + (k.tag == "ac:task-list" or k.get("type") in P.DECISION_LISTS))
+        def step(node: Node, depth: int) -> int:
+            if node.tag == "ac:task":
+                status = node.child("ac:task-status")
+                out.append(("task", status is not None and status.text().strip() == "complete", own(node), depth))
+            elif node.get("type") in P.DECISION_ITEMS:
+                out.append(("decision", node.get("state").strip().upper() == "DECIDED", own(node), depth))
+            return depth + (node.tag == "ac:task-list" or node.get("type") in P.DECISION_LISTS)
 
-        down(root, -1)
+        _below(root, -1, step)
         return out
 
     return _rows(pages, find, "kind string, done boolean, text string, depth long")

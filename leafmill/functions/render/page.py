@@ -1,17 +1,21 @@
-"""One page's passes: emoticons, times, task lists, mentions, images, links, macros, wrappers, markdown."""
+"""One page to markdown, in one walk from the innermost elements out.
+
+Each storage element has a rule that makes items of what its children made; HTML elements have theirs in `markdown`. All
+that a page needs to know of other tables comes with its row: which file a reference means, which files are there, users'
+names, and which picture and source stand for a diagram.
+"""
 
 from __future__ import annotations
 
 import re
 import urllib.parse
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from leafmill.functions.names import attachment_name, fold
-from leafmill.functions.render.markdown import to_markdown
-from leafmill.functions.render.tree import Node, inner_first, outer_first, parse
-
-Nodes = list[Node | str]
+from leafmill.functions.names import attachment_name
+from leafmill.functions.render import markdown as M
+from leafmill.functions.render.markdown import BLOCK, ITEM, LIST, TEXT, Items
+from leafmill.functions.render.tree import Node, parse
 
 # What emoticon names and short names stand for.
 EMOTICONS = {
@@ -43,35 +47,28 @@ EMOTICONS = {
 
 MACROS = ("ac:structured-macro", "ac:adf-extension")
 DECISION_LISTS, DECISION_ITEMS = ("decisionList", "decision-list"), ("decisionItem", "decision-item")
+#: Macros that show a file, and those that show a diagram, by name.
+FILES = ("view-file", "viewpdf", "viewppt", "viewxls", "multimedia")
+DIAGRAMS = ("drawio", "inc-drawio", "drawio-sketch")
 
 
 @dataclass
-class Context:
-    """What a page needs to know, all of it from its row."""
+class Page:
+    """What comes with a page's row."""
 
-    atts: list[dict] = field(default_factory=list)  # att_id, title, media_type, local_name
+    files: Mapping[tuple[str, str], str] = field(default_factory=dict)  # (name, attachment id) to local name
+    listed: list[tuple[str, str]] = field(default_factory=list)  # titles and local names of its attachments
     available: frozenset[str] = frozenset()
-    users: dict[str, str] = field(default_factory=dict)
-    drawio: dict[str, str] = field(default_factory=dict)  # diagram title to PNG name
-
-    def __post_init__(self) -> None:
-        self.by_id = {a["att_id"]: a["local_name"] for a in self.atts if a["att_id"]}
-        self.by_title: dict[str, str] = {}
-        folded: dict[str, list[str]] = {}
-        for a in self.atts:
-            self.by_title.setdefault(a["title"], a["local_name"])
-            folded.setdefault(fold(a["title"]), []).append(a["local_name"])
-        self.by_fold = {k: v[0] for k, v in folded.items() if len(v) == 1}
+    users: Mapping[str, str] = field(default_factory=dict)
+    diagrams: Mapping[str, tuple[str, str]] = field(default_factory=dict)  # name to picture and source, '' for none
+    handlers: Mapping[str, Handler] = field(default_factory=dict)  # of this run, before the own ones
 
-    def file_of(self, title: str, att_id: str = "") -> str:
-        return self.by_id.get(att_id) or self.by_title.get(title) or self.by_fold.get(fold(title)) or attachment_name(title)
 
-    def user(self, account: str) -> str:
-        return self.users.get(account) or account
+Handler = Callable[["Macro", Page], "list[Node | str] | Items"]
 
 
-def label(text: str) -> str:
-    return re.sub(r"[\[\]()\r\n]", "", text)
+def label(value: str) -> str:
+    return re.sub(r"[\[\]()\r\n]", "", value)
 
 
 def media_url(name: str) -> str:
@@ -79,142 +76,126 @@ def media_url(name: str) -> str:
 
 
 def safe_url(url: str) -> str:
-    u = url.strip()
-    if ":" in u.split("/", 1)[0] and not re.match(r"(?i)https?://|mailto:", u):
+    """'' for schemes other than http, https and mailto; else with what may break a link encoded."""
+    url = url.strip()
+    if re.match(r"[^/]*:", url) and not re.match(r"(?i)https?://|mailto:", url):
         return ""
-    return urllib.parse.quote(u, safe=":/?#[]@!$&'*+,;=~.-_%")
+    return re.sub(r"[^\w:/?#\[\]@!$&'*+,;=~.%-]+", lambda m: urllib.parse.quote(m[0]), url, flags=re.A)
 
 
-def link(href: str, text: str) -> Node:
-    return Node("a", {"href": href}, [label(text)])
+def reference(node: Node) -> tuple[str, str]:
+    """Name and attachment id that an attachment reference gives."""
+    ids = (node.get(f"ri:{a}") for a in ("content-id", "contentid", "attachment-id", "attachmentid", "id"))
+    return node.get("ri:filename").strip(), next(filter(None, ids), "")
 
 
-def missing(name: str) -> Node:
-    return Node("span", {}, [f"Missing attachment: {label(name)}"])
+def shown_file(page: Page, ref: tuple[str, str], said: str, *, picture: bool = False) -> Items:
+    """A link to a page's file or the picture itself, or a note that it is missing."""
+    local = page.files.get(ref) or attachment_name(ref[0])
+    if local not in page.available:
+        return M.text(f"Missing attachment: {label(said)}")
+    return [(TEXT, f"![{label(said)}]({media_url(local)})")] if picture else M.link(media_url(local), M.escaped(label(said)))
 
 
-def file_link(ctx: Context, name: str, text: str, att_id: str = "") -> Node:
-    local = ctx.file_of(name, att_id)
-    return link(media_url(local), text) if local in ctx.available else missing(text)
+def user(page: Page, account: str) -> str:
+    return page.users.get(account) or account
 
 
-def ref_id(ref: Node) -> str:
-    return next((ref.get(f"ri:{a}") for a in ("content-id", "contentid", "attachment-id", "attachmentid", "id") if ref.get(f"ri:{a}")), "")
+# Rules of storage elements: node, items of its children, page.
 
 
-# Passes.
+def _emoticon(node: Node, items: Items, page: Page) -> Items:
+    own = node.get("ac:emoji-fallback").strip()
+    if re.fullmatch(r":.*:|:", own):
+        own = ""
+    node.said = EMOTICONS.get(node.get("ac:name")) or EMOTICONS.get(node.get("ac:emoji-shortname").strip(":")) or own
+    return M.text(node.said)
 
 
-def emoticons_and_times(node: Node) -> Nodes | None:
-    if node.tag == "time":
-        return [node.get("datetime")] if node.get("datetime") else []
-    if node.tag != "ac:emoticon":
-        return None
-    last = node.get("ac:emoji-fallback").strip()
-    literal = "" if last.startswith(":") and last.endswith(":") else last
-    found = EMOTICONS.get(node.get("ac:name")) or EMOTICONS.get(node.get("ac:emoji-shortname").strip(":")) or literal
-    return [found] if found else []
+def _time(node: Node, items: Items, page: Page) -> Items:
+    node.said = node.get("datetime")
+    return M.text(node.said)
 
 
-def _take_lists(node: Node) -> list[Node]:
-    """Takes out the rendered lists below that aren't in another such list."""
-    taken, kids = [], []
-    for k in node.kids:
-        if isinstance(k, Node) and k.tag == "ul":
-            taken.append(k)
-            continue
-        if isinstance(k, Node):
-            taken += _take_lists(k)
-        kids.append(k)
-    node.kids = kids
-    return taken
-
-
-def lists(node: Node) -> Nodes | None:
-    if node.tag in ("ac:adf-fallback", "ac:adf-attribute", "ac:adf-mark"):
-        return []
-    decisions = node.tag == "ac:adf-node" and node.get("type") in DECISION_LISTS
-    if not decisions and node.tag != "ac:task-list":
-        return None
-    out = Node("ul")
-    for item in list(node.walk()):
-        if decisions and item.tag == "ac:adf-node" and item.get("type") in DECISION_ITEMS:
-            below, text = _take_lists(item), item.text().strip()
-            mark = "✓ " if item.get("state").strip().upper() == "DECIDED" else ""
-            out.kids += [Node("li", {}, [mark + text, *below])] if text else [k for u in below for k in u.kids]
-        elif not decisions and item.tag == "ac:task":
-            below, status, body = _take_lists(item), item.find("ac:task-status"), item.find("ac:task-body")
-            mark = "[x] " if status is not None and status.text().strip() == "complete" else "[ ] "
-            content: Nodes = [] if body is None else [mark, *body.kids] if body.elements() else [mark + body.text().strip()]
-            out.kids.append(Node("li", {}, [*(content or [mark]), *below]))
-    out.kids += [k for u in _take_lists(node) for k in u.kids]
-    return [] if decisions and not out.elements() else [out]
-
-
-def mentions(node: Node, ctx: Context, macro: Node | None = None) -> None:
-    """Users by name, but for those in a profile macro, whose handler wants them."""
-    kids: Nodes = []
-    for k in node.kids:
-        if isinstance(k, Node) and k.tag == "ri:user" and not (macro is not None and macro.get("ac:name") == "profile"):
-            kids.append("@" + ctx.user(k.get("ri:account-id")))
-            continue
-        if isinstance(k, Node):
-            if k.tag == "ac:structured-macro" and k.get("ac:name") == "profile-picture":
-                user = next((n for n in k.walk() if n.tag == "ri:user"), None)
-                if user is not None:
-                    if user.get("ri:account-id"):
-                        kids.append(Node("span", {}, ["@" + ctx.user(user.get("ri:account-id"))]))
-                    continue
-            mentions(k, ctx, k if k.tag == "ac:structured-macro" else macro)
-        kids.append(k)
-    node.kids = kids
-
-
-def images(ctx: Context) -> Callable[[Node], Nodes | None]:
-    def rule(node: Node) -> Nodes | None:
-        if node.tag != "ac:image":
-            return None
-        ref, url = node.find("ri:attachment"), node.find("ri:url")
-        if ref is not None and ref.get("ri:filename"):
-            name = ref.get("ri:filename")
-            local = ctx.file_of(name, ref_id(ref))
-            return [Node("img", {"src": media_url(local), "alt": label(name)}) if local in ctx.available else missing(name)]
-        src = safe_url(url.get("ri:value")) if url is not None else ""
-        return [Node("img", {"src": src, "alt": ""})] if src else []
-
-    return rule
-
-
-def links(ctx: Context) -> Callable[[Node], Nodes | None]:
-    def rule(node: Node) -> Nodes | None:
-        if node.tag != "ac:link":
-            return None
-        body = node.find("ac:plain-text-link-body") or node.find("ac:link-body")
-        said = body.text().strip() if body is not None else ""
-        ref, url, page = node.find("ri:attachment"), node.find("ri:url"), node.find("ri:page")
-        if ref is not None and ref.get("ri:filename"):
-            return [file_link(ctx, ref.get("ri:filename"), said or ref.get("ri:filename"), ref_id(ref))]
-        if url is not None and (to := safe_url(url.get("ri:value"))):
-            return [link(to, said or to)]
-        if page is not None:
-            if body is not None and body.elements():
-                return node.kids
-            title = page.get("ri:content-title") or "Link"
-            return [Node("span", {}, [said or title])]
-        return node.kids if node.elements() or node.text().strip() else []
-
-    return rule
-
-
-def unwrap_rest(node: Node) -> Nodes | None:
-    if node.tag == "ac:placeholder":
-        return []
-    return node.kids if node.tag.startswith(("ac:", "ri:")) else None
+def _mention(node: Node, items: Items, page: Page) -> Items:
+    node.said = "@" + user(page, node.get("ri:account-id"))
+    return M.text(node.said)
+
+
+def _image(node: Node, items: Items, page: Page) -> Items:
+    file, url = node.find("ri:attachment"), node.find("ri:url")
+    if file is not None and reference(file)[0]:
+        return shown_file(page, reference(file), reference(file)[0], picture=True)
+    src = safe_url(url.get("ri:value")) if url is not None else ""
+    return [(TEXT, f"![]({src})")] if src else []
+
+
+def _link(node: Node, items: Items, page: Page) -> Items:
+    parts = {k.tag: k for k in reversed(list(node.walk()))}
+    body = parts.get("ac:plain-text-link-body") or parts.get("ac:link-body")
+    said = body.text().strip() if body is not None else ""
+    if "ri:attachment" in parts and (ref := reference(parts["ri:attachment"]))[0]:
+        return shown_file(page, ref, said or ref[0])
+    if "ri:url" in parts and (to := safe_url(parts["ri:url"].get("ri:value"))):
+        return M.link(to, M.escaped(label(said or to)))
+    if "ri:page" in parts and not (body is not None and body.elements()):
+        return M.text(said or parts["ri:page"].get("ri:content-title") or "Link")
+    return items
+
+
+def _task_items(items: Items, mark: str) -> Items:
+    """An item's own words behind its mark, then the lists that stood among them."""
+    items = M.spread(items)
+    own = [i for i in items if i[0] != LIST]
+    return [(ITEM, M.body([(TEXT, mark), *own, *[i for i in items if i[0] == LIST]]))]
+
+
+def _task(node: Node, items: Items, page: Page) -> Items:
+    status, body = node.child("ac:task-status"), node.child("ac:task-body")
+    done = status is not None and status.text().strip() == "complete"
+    inside = [i for k in node.elements() if k.tag not in ("ac:task-status", "ac:task-id", "ac:task-uuid") for i in k.items or []]
+    if body is not None and not body.elements():
+        inside = [*M.text(body.text().strip()), *[i for i in inside if i[0] == LIST]]
+    return _task_items(inside, "[x] " if done else "[ ] ")
+
+
+def _decisions(node: Node, items: Items, page: Page) -> Items:
+    items = M.spread(items)
+    if node.get("type") in DECISION_LISTS:
+        return M.listing(items, False)
+    if node.get("type") in DECISION_ITEMS:
+        own = M.flat([i for i in items if i[0] not in (LIST, ITEM)])
+        if not own:
+            return [i for i in items if i[0] in (LIST, ITEM)]
+        decided = node.get("state").strip().upper() == "DECIDED"
+        return _task_items([(TEXT, own), *[i for i in items if i[0] == LIST]], "✓ " if decided else "")
+    return items
+
+
+def _task_list(node: Node, items: Items, page: Page) -> Items:
+    return M.listing([i for i in M.spread(items) if i[0] != TEXT], False)
+
+
+def _nothing(node: Node, items: Items, page: Page) -> Items:
+    return []
+
+
+Rule = Callable[[Node, Items, Page], Items]
+RULES: dict[str, Rule] = {
+    "ac:emoticon": _emoticon,
+    "time": _time,
+    "ri:user": _mention,
+    "ac:image": _image,
+    "ac:link": _link,
+    "ac:task": _task,
+    "ac:task-list": _task_list,
+    "ac:adf-node": _decisions,
+    **dict.fromkeys(("ac:placeholder", "ac:adf-fallback", "ac:adf-attribute", "ac:adf-mark"), _nothing),
+}
 
 
 # Macros.
 
-Handler = Callable[["Macro", Context], Nodes]
 HANDLERS: dict[str, Handler] = {}
 
 
@@ -222,8 +203,7 @@ def register(*names: str) -> Callable[[Handler], Handler]:
     """Makes a function the handler of macros of these names; a later one takes its place."""
 
     def keep(f: Handler) -> Handler:
-        for n in names:
-            HANDLERS[n] = f
+        HANDLERS.update(dict.fromkeys(names, f))
         return f
 
     return keep
@@ -240,172 +220,154 @@ class Macro:
         plain = node.child("ac:plain-text-body")
         self.plain = plain.text() if plain is not None else None
 
-    def content(self) -> Nodes:
-        """The rich body, or else all but the parameters."""
-        return self.rich.kids if self.rich is not None else [k for k in self.node.kids if not (isinstance(k, Node) and k.tag == "ac:parameter")]
+    def unwrapped(self) -> Items:
+        """What stands in the macro, but for its parameters."""
+        return [i for k in self.node.kids for i in (M.text(k) if isinstance(k, str) else [] if k.tag == "ac:parameter" else k.items or [])]
 
-    def titled(self, default: str) -> tuple[str, Nodes]:
-        title = next((p for p in self.param_nodes if p.get("ac:name") == "title"), None)
-        inside = title.find("ac:rich-text-body") if title is not None and self.rich is None else None
-        if inside is not None:
-            # An unclosed title has taken the body in.
-            said = title.text()[: -len(inside.text()) or None].strip() if inside.text() and title.text().endswith(inside.text()) else title.text().replace(inside.text(), "", 1).strip()
-            return said or default, inside.kids
-        return self.params.get("title") or default, self.content()
+    def body(self) -> Items:
+        return self.rich.items or [] if self.rich is not None else self.unwrapped()
 
+    def file(self) -> tuple[str, str]:
+        """The file a macro names: by a reference in it, or by its name parameter."""
+        ref = self.node.find("ri:attachment")
+        return reference(ref) if ref is not None and reference(ref)[0] else (self.params.get("name", ""), "")
 
-def placeholder(macro: Macro) -> Nodes:
+    def diagram(self) -> str:
+        return self.file()[0] if self.name == "drawio-sketch" else self.params.get("diagramName") or "diagram"
+
+
+def note(said: str) -> Items:
+    return [(BLOCK, f"*{M.escaped(said)}*")]
+
+
+def placeholder(macro: Macro) -> Items:
     """What a reader sees of a macro without content; its wording is a fixed value."""
-    said = []
-    for p in macro.param_nodes:
-        page = p.find("ri:page")
-        value = (page.get("ri:content-title") if page is not None else p.text()).strip()
-        if p.get("ac:name") and value:
-            said.append(f"{p.get('ac:name')}={value}")
-    tail = f" ({', '.join(said)})" if said else ""
-    return [Node("p", {}, [Node("em", {}, [f"[Confluence dynamic content: {macro.name or 'unnamed'}{tail}]"])])]
+    values = {p.get("ac:name"): next((n.get("ri:content-title") for n in p.walk() if n.tag == "ri:page"), p.text()).strip() for p in macro.param_nodes}
+    known = ", ".join(f"{k}={v}" for k, v in values.items() if k and v)
+    return note(f"[Confluence dynamic content: {macro.name or 'unnamed'}{f' ({known})' if known else ''}]")
 
 
 @register("toc", "children", "pagetree")
-def _dynamic(macro: Macro, ctx: Context) -> Nodes:
+def _dynamic(macro: Macro, page: Page) -> Items:
     return placeholder(macro)
 
 
 @register("code")
-def _code(macro: Macro, ctx: Context) -> Nodes:
-    language = macro.params.get("language", "")
-    return [Node("pre", {}, [Node("code", {"class": f"language-{language}"} if language else {}, [macro.plain or ""])])]
-
-
-def _panel(default: str) -> Handler:
-    def handler(macro: Macro, ctx: Context) -> Nodes:
-        title, body = macro.titled(default)
-        return [Node("blockquote", {}, [Node("p", {}, [Node("strong", {}, [title])]), *body])]
+def _code(macro: Macro, page: Page) -> Items:
+    return M.fenced(macro.plain or "", macro.params.get("language", ""))
 
-    return handler
 
-
-for _name in ("panel", "info", "note", "warning", "tip"):
-    register(_name)(_panel(_name.capitalize()))
+@register("panel", "info", "note", "warning", "tip")
+def _panel(macro: Macro, page: Page) -> Items:
+    return M.quote([(BLOCK, f"**{M.escaped(macro.params.get('title') or macro.name.capitalize())}**"), *macro.body()])
 
 
 @register("expand")
-def _expand(macro: Macro, ctx: Context) -> Nodes:
-    title, body = macro.titled("Details")
-    return [Node("h4", {}, [title]), *body]
+def _expand(macro: Macro, page: Page) -> Items:
+    return [*M.heading(4, M.text(macro.params.get("title") or "Details")), *macro.body()]
 
 
 @register("status")
-def _status(macro: Macro, ctx: Context) -> Nodes:
-    return [Node("strong", {}, [macro.params["title"]])] if macro.params.get("title") else []
+def _status(macro: Macro, page: Page) -> Items:
+    return M.marked("**", M.text(macro.params.get("title", "")))
 
 
 @register("jira")
-def _issue(macro: Macro, ctx: Context) -> Nodes:
-    return [Node("code", {}, [macro.params["key"]])] if macro.params.get("key") else []
-
-
-@register("view-file", "viewpdf", "viewppt", "viewxls")
-def _file(macro: Macro, ctx: Context) -> Nodes:
-    ref = macro.node.find("ri:attachment")
-    name = (ref.get("ri:filename").strip() if ref is not None else "") or macro.params.get("name", "")
-    return [file_link(ctx, name, name)] if name else []
+def _issue(macro: Macro, page: Page) -> Items:
+    return M.code(macro.params.get("key", ""))
 
 
-@register("multimedia")
-def _media(macro: Macro, ctx: Context) -> Nodes:
-    return _file(macro, ctx) if macro.node.find("ri:attachment") is not None or macro.params.get("name") else placeholder(macro)
+@register(*FILES)
+def _file(macro: Macro, page: Page) -> Items:
+    ref = macro.file()
+    if ref[0]:
+        return shown_file(page, ref, ref[0])
+    return placeholder(macro) if macro.name == "multimedia" else []
 
 
 @register("widget")
-def _widget(macro: Macro, ctx: Context) -> Nodes:
+def _widget(macro: Macro, page: Page) -> Items:
     url = safe_url(macro.params.get("url", ""))
-    return [link(url, url)] if url else placeholder(macro)
-
-
-def _diagram(name: str, ctx: Context) -> Nodes:
-    bare = name.removesuffix(".drawio")
-    tries = [name, f"{bare}.drawio", bare]
-    diagrams = [a["title"] for a in ctx.atts if fold(a["title"]).endswith(".drawio") or "drawio" in fold(a["media_type"])]
-    squeezed = lambda s: fold(re.sub(r"\s+", " ", s.strip())).removesuffix(".drawio")
-    title = next((t for t in tries if t in diagrams), None) or next((t for t in diagrams if squeezed(t) == squeezed(name)), None)
-    png = next((ctx.drawio[t] for t in [title, *tries] if t in ctx.drawio), None)
-    shown = Node("img", {"src": media_url(png), "alt": label(bare)}) if png else Node("em", {}, [f"[Draw.io diagram not rendered: {label(bare)}.drawio]"])
-    source = ctx.file_of(title) if title else attachment_name(f"{bare}.drawio")
-    more: Nodes = [Node("br"), Node("em", {}, ["Draw.io source: ", link(media_url(source), f"{bare}.drawio")])] if source in ctx.available else []
-    return [Node("p", {}, [shown, *more])]
+    return M.link(url, M.escaped(label(url))) or placeholder(macro)
 
 
-@register("drawio", "inc-drawio")
-def _drawio(macro: Macro, ctx: Context) -> Nodes:
-    return _diagram(macro.params.get("diagramName") or "diagram", ctx)
-
-
-@register("drawio-sketch")
-def _sketch(macro: Macro, ctx: Context) -> Nodes:
-    ref = macro.node.find("ri:attachment")
-    name = ref.get("ri:filename").strip() if ref is not None else ""
-    return _diagram(name, ctx) if name else [Node("p", {}, [Node("em", {}, ["[Draw.io sketch]"])])]
+@register(*DIAGRAMS)
+def _diagram(macro: Macro, page: Page) -> Items:
+    name = macro.diagram()
+    if not name:
+        return note("[Draw.io sketch]")
+    title = label(name.removesuffix(".drawio"))
+    picture, source = page.diagrams.get(name, ("", ""))
+    lines = [f"![{title}]({media_url(picture)})" if picture else note(f"[Draw.io diagram not rendered: {title}.drawio]")[0][1]]
+    if source in page.available:
+        lines.append(f"*Draw.io source: [{title}.drawio]({media_url(source)})*")
+    return [(BLOCK, "  \n".join(lines))]
 
 
 @register("profile")
-def _profile(macro: Macro, ctx: Context) -> Nodes:
-    user = macro.node.find("ri:user")
-    account = user.get("ri:account-id") if user is not None else ""
-    name = ctx.user(account)
-    return [Node("li", {}, [(name if name != account else f"user:{account}") if account else "Unknown user"])]
+def _profile(macro: Macro, page: Page) -> Items:
+    account = next((n.get("ri:account-id") for n in macro.node.walk() if n.tag == "ri:user"), "")
+    said = page.users.get(account) or (f"user:{account}" if account else "Unknown user")
+    return [(ITEM, M.escaped(said))]
 
 
 @register("profile-picture")
-def _picture(macro: Macro, ctx: Context) -> Nodes:
-    return macro.content() if macro.node.find("span") is not None else []
+def _picture(macro: Macro, page: Page) -> Items:
+    account = next((n.get("ri:account-id") for n in macro.node.walk() if n.tag == "ri:user"), "")
+    return M.text("@" + user(page, account)) if account else []
 
 
 @register("anchor")
-def _anchor(macro: Macro, ctx: Context) -> Nodes:
+def _anchor(macro: Macro, page: Page) -> Items:
     return []
 
 
 @register("excerpt", "section", "column")
-def _unwrapped(macro: Macro, ctx: Context) -> Nodes:
-    return [k for n in macro.node.kids for k in (n.kids if n is macro.rich else [n])]
+def _unwrapped(macro: Macro, page: Page) -> Items:
+    return macro.unwrapped()
 
 
 @register("attachments")
-def _attachments(macro: Macro, ctx: Context) -> Nodes:
-    items = [Node("li", {}, [file_link(ctx, a["title"], a["title"])]) for a in ctx.atts]
-    return [Node("ul", {}, items)] if items else []
-
-
-def other(macro: Macro, ctx: Context) -> Nodes:
-    if macro.rich is not None and (macro.rich.text().strip() or macro.rich.elements()):
-        return macro.rich.kids
-    if macro.plain is not None and macro.plain.strip():
-        return [macro.plain]
-    if macro.node.tag == "ac:adf-extension" or macro.node.find("ac:structured-macro") is not None:
-        return [k for k in macro.node.kids if k not in macro.param_nodes]
-    return placeholder(macro)
-
-
-def macros(ctx: Context) -> Callable[[Node], Nodes | None]:
-    return lambda node: HANDLERS.get(node.get("ac:name"), other)(Macro(node), ctx) if node.tag in MACROS else None
-
-
-def heading(title: str) -> str:
-    t = " ".join(title.split()).replace("\\", "\\\\")
-    for ch in "`#[]":
-        t = t.replace(ch, "\\" + ch)
-    return t.replace("<", "&lt;").replace(">", "&gt;")
-
-
-def render(title: str, body: str, ctx: Context) -> str:
-    root = parse(body)
-    inner_first(root, emoticons_and_times)
-    inner_first(root, lists)
-    mentions(root, ctx)
-    inner_first(root, images(ctx))
-    outer_first(root, links(ctx))
-    outer_first(root, macros(ctx))
-    inner_first(root, unwrap_rest)
-    text, top = to_markdown(root), f"# {heading(title)}"
+def _attachments(macro: Macro, page: Page) -> Items:
+    have = [(title, M.link(media_url(local), M.escaped(label(title))) if local in page.available else M.text(f"Missing attachment: {label(title)}")) for title, local in page.listed]
+    return M.listing([(ITEM, M.body(items)) for _, items in have], False)
+
+
+def other(macro: Macro, page: Page) -> Items:
+    """Macros nobody knows: the first body that they have, else what is wrapped in them, else a placeholder."""
+    if macro.rich is not None and (macro.rich.elements() or macro.rich.text().strip()):
+        return macro.rich.items or []
+    if (macro.plain or "").strip():
+        return M.text(macro.plain)
+    wraps = macro.node.tag == "ac:adf-extension" or any(k.tag in MACROS for k in macro.node.walk())
+    return macro.unwrapped() if wraps else placeholder(macro)
+
+
+def made(node: Node, page: Page) -> Items:
+    """A node's items, innermost nodes first; what is made already stays."""
+    waiting = [(node, False)]
+    while waiting:
+        n, ready = waiting.pop()
+        if n.items is not None:
+            continue
+        if not ready:
+            waiting.append((n, True))
+            waiting += [(k, False) for k in n.kids if isinstance(k, Node)]
+            continue
+        kids = n.elements()
+        items = kids[0].items if len(n.kids) == len(kids) == 1 else [i for k in n.kids for i in (M.text(k) if isinstance(k, str) else k.items)]
+        if n.tag in MACROS:
+            handler = page.handlers.get(n.get("ac:name")) or HANDLERS.get(n.get("ac:name"), other)
+            # A plug-in may return nodes and plain text.
+            n.items = [i for x in handler(Macro(n), page) for i in (M.text(x) if isinstance(x, str) else made(x, page) if isinstance(x, Node) else [x])]
+        elif n.tag in RULES:
+            n.items = RULES[n.tag](n, items, page)
+        else:
+            n.items = M.RULES[n.tag](n, items) if n.tag in M.RULES else items
+    return node.items
+
+
+def render(heading: str, body: str, page: Page) -> str:
+    """The page's markdown below its heading, unless it begins with that."""
+    text, top = M.document(made(parse(body), page)), f"# {heading}"
     return text if text.startswith(top) else f"{top}\n\n{text}".strip()

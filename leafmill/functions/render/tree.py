@@ -1,36 +1,57 @@
-"""A small tree of a page, read by the standard library's parser."""
+"""A small tree of a page, read by the standard library's parser. Nothing here recurses, so nesting may be of any depth."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import escape
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+#: Blocks before which an open paragraph ends.
+BLOCKS = frozenset("address article aside blockquote center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
+#: Elements that end when the next of their kind begins, and what such a search must not leave.
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "ac:parameter": ("ac:parameter",), "ac:rich-text-body": ("ac:parameter",), "ac:plain-text-body": ("ac:parameter",)}
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     attrs: dict[str, str] = field(default_factory=dict)
     kids: list[Node | str] = field(default_factory=list)
+    #: What a rule has made of the node, and the text that it stands for in place of its children's.
+    items: list[tuple[str, str]] | None = None
+    said: str | None = None
 
     def get(self, name: str) -> str:
         return self.attrs.get(name, "")
 
     def text(self) -> str:
-        return "".join(k if isinstance(k, str) else k.text() for k in self.kids)
+        out: list[str] = []
+        waiting: list[Node | str] = [self]
+        while waiting:
+            k = waiting.pop()
+            if isinstance(k, str):
+                out.append(k)
+            elif k.said is not None:
+                out.append(k.said)
+            else:
+                waiting += reversed(k.kids)
+        return "".join(out)
 
     def elements(self) -> list[Node]:
         return [k for k in self.kids if isinstance(k, Node)]
 
     def walk(self) -> Iterator[Node]:
         """All nodes below, in document order."""
-        for k in self.elements():
+        waiting = self.elements()[::-1]
+        while waiting:
+            k = waiting.pop()
             yield k
-            yield from k.walk()
+            waiting += k.elements()[::-1]
 
     def find(self, *tags: str) -> Node | None:
         return next((n for n in self.walk() if n.tag in tags), None)
@@ -43,20 +64,42 @@ class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open = [Node("")]
+        self.counts: Counter[str] = Counter()
+
+    def _end(self, at: int) -> None:
+        for node in self.open[at:]:
+            self.counts[node.tag] -= 1
+        del self.open[at:]
+
+    def _end_before(self, tag: str) -> None:
+        """Ends what a start of tag ends without a word: a paragraph in which only inline elements are open, an item before the next."""
+        ending = ("p",) if tag in BLOCKS else ()
+        ending += SIBLINGS.get(tag, ())
+        if not any(self.counts[t] for t in ending):
+            return
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].tag in ending:
+                self._end(at)
+                if tag not in SIBLINGS or self.open[-1].tag not in ending:
+                    return
+            elif self.open[at].tag not in INLINE:
+                return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._end_before(tag)
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].kids.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.counts[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._end_before(tag)
         self.open[-1].kids.append(Node(tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag: str) -> None:
-        at = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k].tag == tag), 0)
-        if at:
-            del self.open[at:]
+        if self.counts[tag]:
+            self._end(next(k for k in range(len(self.open) - 1, 0, -1) if self.open[k].tag == tag))
 
     def handle_data(self, data: str) -> None:
         self.open[-1].kids.append(data)
@@ -68,35 +111,3 @@ def parse(html: str) -> Node:
     reader.feed(re.sub(r"<!\[CDATA\[(.*?)\]\]>", lambda m: escape(m[1], quote=False), html, flags=re.S))
     reader.close()
     return reader.open[0]
-
-
-#: What stands in a node's place; None leaves it.
-Rule = Callable[[Node], "list[Node | str] | None"]
-
-
-def inner_first(node: Node, rule: Rule) -> None:
-    """Applies rule to all nodes below, innermost first."""
-    kids: list[Node | str] = []
-    for k in node.kids:
-        if isinstance(k, Node):
-            inner_first(k, rule)
-            out = rule(k)
-            kids += [k] if out is None else out
-        else:
-            kids.append(k)
-    node.kids = kids
-
-
-def outer_first(node: Node, rule: Rule) -> None:
-    """Applies rule to all nodes below in document order, and to what it puts in their place."""
-    waiting, kids = list(reversed(node.kids)), []
-    while waiting:
-        k = waiting.pop()
-        if isinstance(k, Node):
-            out = rule(k)
-            if out is not None:
-                waiting += reversed(out)
-                continue
-            outer_first(k, rule)
-        kids.append(k)
-    node.kids = kids

@@ -543,6 +543,20 @@ def macro_pages(t: Tree) -> DataFrame:
     return d.withColumn("body", body)
 
 
+@query(
+    """select source space_id, doc_id::varchar page_id, '# Doc ' || doc_id || chr(10) || chr(10) || '> **T' || doc_id || '**' || chr(10) || '>' || chr(10) || '> **S**' || chr(10) || chr(10)
+    || case when doc_id % 2 = 0 then '[f' || doc_id || '.png](.media/f' || doc_id || '.png)' else 'Missing attachment: f' || doc_id || '.png' end || chr(10) || chr(10)
+    || '* [' || case when doc_id % 3 = 0 then 'x' else ' ' end || '] do ' || doc_id as markdown, doc_id % 2 as missing from documents"""
+)
+def r1c_render_macros(t: Tree) -> DataFrame:
+    """The pages of macro_pages; every other one has the file that it links to."""
+    pages = macro_pages(t)
+    files = pages.where(F.col("page_id").cast("long") % 2 == 0).select("page_id", F.concat(F.lit("a"), "page_id").alias("att_id"), F.concat(F.lit("f"), "page_id", F.lit(".png")).alias("title"), F.lit("image/png").alias("media_type"), F.lit(1).alias("version"), F.lit("2024").alias("created_at"), F.lit(0).alias("ord"))
+    names = A.plan_names(files)
+    have = names.groupBy("page_id").agg(F.collect_set("local_name").alias("names"))
+    return J.render_markdown(J.wide(pages, names, have)).select("space_id", "page_id", "markdown", F.size("warnings").cast("long").alias("missing"))
+
+
 @query("select doc_id::varchar page_id, case when doc_id % 2 = 0 then 'info' else 'note' end as \"name\", 'T' || doc_id title, true has_rich_body, 0::bigint depth from documents union all select doc_id::varchar, 'status', 'S', false, 1 from documents")
 def r2_extract_macros(t: Tree) -> DataFrame:
     return J.extract_macros(macro_pages(t)).select("page_id", "name", F.col("params")["title"].alias("title"), "has_rich_body", "depth")

@@ -272,16 +272,40 @@ RENDER = [
 
 @pytest.mark.parametrize(("html", "markdown"), RENDER)
 def test_render(html, markdown):
-    ctx = P.Context([{"att_id": "1", "title": "F.pdf", "media_type": "x", "local_name": "F.pdf"}, {"att_id": "2", "title": "d.drawio", "media_type": "x", "local_name": "d.drawio"}, {"att_id": "3", "title": "gone.png", "media_type": "x", "local_name": "gone.png"}], frozenset(["F.pdf", "d.drawio"]), {"u1": "Ann"}, {"d.drawio": "d.png"})
-    assert P.render("Doc", html, ctx) == f"# Doc\n\n{markdown}".strip()
+    page = P.Page({("F.pdf", ""): "F.pdf", ("gone.png", ""): "gone.png"}, [("F.pdf", "F.pdf"), ("d.drawio", "d.drawio"), ("gone.png", "gone.png")], frozenset(["F.pdf", "d.drawio"]), {"u1": "Ann"}, {"d": ("d.png", "d.drawio")})
+    assert P.render("Doc", html, page) == f"# Doc\n\n{markdown}".strip()
 
 
 def test_render_heading_and_plug_in(spark):
-    assert P.render("Docs", "<h1>Docs 2</h1>", P.Context()) == "# Docs 2"
+    assert P.render("Docs", "<h1>Docs 2</h1>", P.Page()) == "# Docs 2"
     page = spark.createDataFrame([("s", "1", "T", MACRO.format("mine", "")), ("s", "2", "T", None)], "space_id string, page_id string, title string, body string")
     got = {r.page_id: r.markdown for r in J.render_markdown(J.wide(page), plug_ins={"mine": lambda macro, ctx: ["own"]}).collect()}
     assert got == {"1": "# T\n\nown", "2": "# T"}
-    assert not any(t in P.render("x", h, P.Context()) for h, _ in RENDER for t in ("<ac:", "<ri:"))
+    assert not any(t in P.render("x", h, P.Page()) for h, _ in RENDER for t in ("<ac:", "<ri:"))
+
+
+def test_render_is_linear_in_nesting():
+    for html in ("<p><b>x" * 3000, "<div>x" * 10_000, "<ul><li>a" * 3000, "<blockquote>a" * 3000, "<table><tr><td>x" * 500, MACRO.format("info", "")[:-22] * 1000, "<i>" * 10_000 + "</b>" * 10_000):
+        assert P.render("T", html, P.Page()).startswith("# T")
+    assert P.render("T", "<p>a<p>b<ul><li>c<ul><li>d</ul><li>e</ul><table><tr><th>f<td>g|<tr><td>h</table>", P.Page()) == "# T\n\na\n\nb\n\n* c\n  * d\n* e\n\n| f | g\\| |\n| --- | --- |\n| h |  |"
+
+
+def test_render_joins_what_a_page_needs(spark):
+    body = MACRO.format("drawio", '<ac:parameter ac:name="diagramName">my  plan</ac:parameter>') + MACRO.format("drawio", '<ac:parameter ac:name="diagramName">none</ac:parameter>') + MACRO.format("viewpdf", '<ac:parameter ac:name="name">F.PDF</ac:parameter>') + '<ac:image><ri:attachment ri:filename="old name.png" ri:id="7"/></ac:image>'
+    page = spark.createDataFrame([("s", "1", "T", body)], "space_id string, page_id string, title string, body string")
+    named = A.plan_names(atts(spark, ("1", "5", "My plan.drawio", "x", "2024"), ("1", "6", "f.pdf", "x", "2024"), ("1", "7", "new name.png", "x", "2024")))
+    have = named.groupBy("page_id").agg(F.collect_set("local_name").alias("names"))
+    shown = spark.createDataFrame([("1", "My plan.drawio", "My plan.png")], "page_id string, xml_title string, local_name string")
+    row = J.render_markdown(J.wide(page, named, have, rendered=shown)).first()
+    assert row.markdown == "# T\n\n![my  plan](.media/My%20plan.png)  \n*Draw.io source: [my  plan.drawio](.media/My%20plan.drawio)*\n\n*[Draw.io diagram not rendered: none.drawio]*\n\n[F.PDF](.media/f.pdf)![old name.png](.media/new%20name.png)"
+
+
+def test_a_failing_plug_in_costs_its_page_only(spark):
+    page = spark.createDataFrame([("s", "1", "T", MACRO.format("mine", "")), ("s", "2", "T", "x")], "space_id string, page_id string, title string, body string")
+    got = {r.page_id: (r.markdown, r.warnings) for r in J.render_markdown(J.wide(page), plug_ins={"mine": lambda macro, page: 1 / 0}).collect()}
+    assert got == {"1": ("", ["not rendered: ZeroDivisionError: division by zero"]), "2": ("# T\n\nx", [])}
+    # Nothing of it stays with the workers.
+    assert {r.markdown for r in J.render_markdown(J.wide(page)).where("page_id = '1'").collect()} == {"# T\n\n*[Confluence dynamic content: mine]*"}
 
 
 def test_document(spark):
