@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Rows of df, written once to the folder in spark.checkpoint.dir, which all executors share; a temporary one only where none is set."""
+    """Rows of df, written once to the folder in spark.checkpoint.dir, which all executors share. Only a local session may leave it unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmill-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="leafmill-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
