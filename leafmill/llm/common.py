@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of one key that a task may read in a join.
+MOST = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir. Only where none is set (tests), a temporary one."""
+    """The folder that all executors share: the session's spark.checkpoint.dir. Where none is set, a local session (as in tests) gets a temporary one; a cluster must name its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="leafmill-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -34,27 +41,47 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def spread_join(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """rows.join(side, key), whatever share of the rows a key has. side: one row for each key, with n, the rows of that key.
+
+    Keys with more than MOST rows, or a 100,000th of all (so there are fewer than 100,000 of them), never come together in
+    a task: their side rows are broadcast.
+    """
+    side = cut(side)
+    total, most = side.agg(F.sum("n"), F.max("n")).first()
+    limit = max(MOST, (total or 0) // 100_000)
+    if (most or 0) <= limit:
+        return rows.join(side.drop("n"), key)
+    # Rows of these keys are told by a column that only they get.
+    hot = F.broadcast(side.where(F.col("n") > limit).select(F.col(key).alias("_hot"), F.struct(*[c for c in side.columns if c not in (key, "n")]).alias("_side")))
+    met = rows.join(hot, F.col(key) == F.col("_hot"), "left")
+    values = [c for c in side.columns if c not in (key, "n")]
+    here = met.where("_hot is not null").select(*rows.columns, *[F.col(f"_side.{c}").alias(c) for c in values])
+    rest = met.where("_hot is null").select(*rows.columns).join(side.where(F.col("n") <= limit).drop("n"), key)
+    return here.unionByName(rest.select(*here.columns))
+
+
 def components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: (node, root), root the smallest node that can be reached.
 
     edges: columns a, b of one orderable type; loops and repeated rows are fine. Nodes without an edge to another node
     don't appear. Each round is a large-star and a small-star step: neighbours move to the smallest known neighbour, so
-    the rounds grow with the logarithm of the longest path. Minima are aggregated map-side, so a node with very many
-    neighbours is no single task's work; lineage ends after each round.
+    the rounds grow with the logarithm of the longest path. Minima are aggregated map-side and joined back by spread_join,
+    so a node with very many neighbours is no single task's work; lineage ends after each round.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = cut(pairs)
     for _ in range(rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("low"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "low").alias("v"))
-        large = large.distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
+        least = both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
+        large = spread_join(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.least("u", "low").alias("v"))
+        large = cut(large.distinct())
+        down = large.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
+        small = spread_join(large, down, "u").select(F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
         after = cut(small.select("e.*").where("u <> v").distinct())
         # Done when every node has one smaller neighbour, which itself has none: stars around the roots.
         open_nodes = after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-        if not open_nodes and not after.join(after.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
+        if not open_nodes and not after.select("u").join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count():
             pairs = after
             break
         pairs = after

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import components, cut
+from leafmill.llm.common import components, cut, spread_join
 
 SHINGLE, NEAR = 4, 4
 #: Fingerprints at one anchor that one task compares; more are cut into blocks of this many.
@@ -196,21 +196,23 @@ def links(bits: DataFrame, *, near: int = NEAR, block: int = BLOCK) -> DataFrame
     return found
 
 
-def _rooted(prints: DataFrame, low: Column, near: int) -> DataFrame:
-    """bits, root, low (the smallest of its rows) for each distinct fingerprint."""
-    distinct = cut(prints.groupBy("bits").agg(F.min(low).alias("low")))
+def _rooted(prints: DataFrame, low: Column, near: int) -> tuple[DataFrame, DataFrame]:
+    """For each distinct fingerprint: bits, n (its rows), low (the smallest of them); and of those with links: bits, root, low, n."""
+    distinct = cut(prints.groupBy("bits").agg(F.min(low).alias("low"), F.count("*").alias("n")))
     groups = components(links(distinct.select("bits"), near=near).distinct())
-    return distinct.join(groups, distinct["bits"] == groups["node"], "left").select("bits", F.coalesce("root", "bits").alias("root"), "low")
+    linked = cut(distinct.join(groups.select(F.col("node").alias("bits"), "root"), "bits"))
+    return distinct, linked
 
 
 def near_groups(docs: DataFrame, *, near: int = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, bits, component_id (the smallest id in reach) for each row."""
     prints = cut(fingerprints(docs, id_col=id_col, text_col=text_col))
     # Nulls first: a group with a null id has it as its smallest.
-    rooted = _rooted(prints, F.struct(F.col(id_col).isNotNull().alias("some"), F.col(id_col).alias("id")), near)
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("lowest"))
-    named = rooted.join(lowest, "root").select("bits", F.col("lowest.id").alias("component_id"))
-    return prints.join(named, "bits", "left").select(id_col, "bits", "component_id")
+    distinct, linked = _rooted(prints, F.struct(F.col(id_col).isNotNull().alias("some"), F.col(id_col).alias("id")), near)
+    lowest = linked.groupBy("root").agg(F.min("low").alias("lowest"), F.count("*").alias("n"))
+    named = spread_join(linked.select("bits", "root"), lowest, "root").select("bits", F.struct("lowest.id").alias("c"))
+    named = distinct.join(named, "bits", "left").select("bits", F.coalesce("c", F.struct("low.id")).alias("c"), "n")
+    return spread_join(prints, named, "bits").select(id_col, "bits", F.col("c.id").alias("component_id"))
 
 
 def fingerprint_groups(docs: DataFrame, *, near: int = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +226,8 @@ def one_of_each(docs: DataFrame, *, near: int = NEAR, id_col: str = "doc_id", te
     # Rows are told apart by all they hold, as ids may be null or shared. Maps have no hash.
     rows = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind]))
     prints = cut(fingerprints(rows, id_col=id_col, text_col=text_col, keep=("_row",)))
-    rooted = _rooted(prints, F.struct(F.col(id_col).isNotNull().alias("some"), F.col(id_col).alias("id"), F.col("_row").alias("row")), near)
-    kept = rooted.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.id").alias("_kept"), F.col("low.row").alias("_kept_row"))
+    distinct, linked = _rooted(prints, F.struct(F.col(id_col).isNotNull().alias("some"), F.col(id_col).alias("id"), F.col("_row").alias("row")), near)
+    alone = distinct.join(linked.select("bits"), "bits", "left_anti").select("low")
+    kept = linked.groupBy("root").agg(F.min("low").alias("low")).select("low").unionByName(alone).select(F.col("low.id").alias("_kept"), F.col("low.row").alias("_kept_row"))
     # What is left twice are equal rows.
     return rows.join(kept, rows[id_col].eqNullSafe(kept["_kept"]) & (rows["_row"] == kept["_kept_row"]), "left_semi").dropDuplicates([id_col, "_row"]).drop("_row")
