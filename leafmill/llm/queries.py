@@ -88,7 +88,7 @@ select e.vec_id, (select count(*) from links where a = e.vec_id) n_links, compon
 OP9 = r"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size,
-    (('0x' || substr(md5('mix:' || doc_id), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 u,
+    (('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, md5(coalesce(text, '')))), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 u,
     greatest(0.05, 1 - 4 * (len(regexp_extract_all(coalesce(text, ''), '[^\pL\pN\s.,;:!?''"()-]')) / greatest(length(text), 1))) w
   from documents
 ),
