@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import cut
 
-#: Pieces of one group, on average; chunks that a Python worker keeps the ids of (about 200 bytes each).
-GROUP, KEPT_CHUNKS = 8192, 600_000
+#: Pieces of one group, on average; chunks that a Python worker keeps the ids of, and the longest of these (300 bytes each at most).
+GROUP, KEPT_CHUNKS, KEPT_LENGTH = 8192, 600_000, 40
 
 # Words that are plain, and the marks that may follow them.
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -50,7 +50,7 @@ class ChunkEncoder:
     def __init__(self, path: str, special: bool = True):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.known, self.long = Tokenizer.from_file(path), {"": b""}, set()
         # Where special tokens aren't wanted, their strings in a text are ordinary text.
         self.tokenizer.encode_special_tokens = not special
         self.model = self.tokenizer.model
@@ -82,6 +82,10 @@ class ChunkEncoder:
         self._learn({c for c in chunks if c not in self.known})
         # A small table of these texts' own chunks is looked up faster than the large one.
         own = {c: self.known[c] for c in chunks}
+        # Long chunks, as of texts without spaces, rarely come again.
+        for c in self.long:
+            self.known.pop(c, None)
+        self.long.clear()
         if len(self.known) > KEPT_CHUNKS:
             # The first ones are the frequent ones.
             self.known = dict(islice(self.known.items(), KEPT_CHUNKS // 2))
@@ -91,6 +95,8 @@ class ChunkEncoder:
         """Adds chunks to what is known. A word with marks behind it is made of the word in small letters and the marks."""
         made, words, others, known = [], set(), set(), self.known
         for c in chunks:
+            if len(c) > KEPT_LENGTH:
+                self.long.add(c)
             base = c.rstrip(_MARKS)
             if base and (base.isascii() and base.isalpha() or _LATIN.fullmatch(base)):
                 word, marks = base.lower(), c[len(base) :]
@@ -100,6 +106,7 @@ class ChunkEncoder:
                     words.add(word)
                 if marks and marks not in known:
                     others.add(marks)
+                self.long.update(x for x in (word, marks) if len(x) > KEPT_LENGTH)
             else:
                 others.add(c)
         if self.direct:
