@@ -8,7 +8,7 @@ With these, a document that crosses blocks gets its length from the two blocks i
 
 Defined cases: an empty document counts 0; ids after the last end id are a document that isn't closed; an empty file has no
 documents. For tables of texts: a null text is an empty document; repeated rows are documents of their own; only the named
-columns are used.
+columns are used. Ids take two bytes where the vocabulary allows, else four.
 """
 
 from __future__ import annotations
@@ -27,34 +27,39 @@ from leafmill.llm.packing import encoder
 
 #: Ids of a block, blocks of a run.
 BLOCK, RUN = 1 << 16, 1024
+#: Bytes of a file that one task reads.
+SPAN = 1 << 26
 
 _BLOCKS = "file string, block long, ids binary, first long, names array<string>"
 
 
-def blocks_of_texts(docs: DataFrame, tokenizer: str, end_id: int, *, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents as flat files of unsigned 16-bit ids, one for each partition, in blocks: file, block, ids.
+def blocks_of_texts(docs: DataFrame, tokenizer: str, end_id: int, *, width: int = 2, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents as flat files of unsigned ids of width 2 or 4 bytes, one for each partition, in blocks: file, block, ids.
 
     Rows without ids are a file's side list: the documents' ids (names) from its document `first` on.
     """
 
     def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         file, enc, rest, at, n = str(TaskContext.get().partitionId()), encoder(tokenizer, special=False), b"", 0, 0
-        end = np.asarray([end_id], "<u2").tobytes()
+        end = np.asarray([end_id], f"<u{width}").tobytes()
         for frame in frames:
             rows = [(file, None, None, n, frame["name"].tolist())] if len(frame) else []
             n += len(frame)
             parts = [rest]
             held = len(rest)
             for ids in enc.stream(frame["text"]):
-                for more in (np.frombuffer(ids, "<u4").astype("<u2").tobytes(), end):
+                made = np.frombuffer(ids, "<u4")
+                if width == 2 and made.max(initial=0) > 0xFFFF:
+                    raise ValueError("this vocabulary needs ids of four bytes")
+                for more in (made.astype(f"<u{width}").tobytes(), end):
                     parts.append(more)
                     held += len(more)
-                if held >= 2 * block:
+                if held >= width * block:
                     run = b"".join(parts)
-                    for k in range(0, held - 2 * block + 1, 2 * block):
-                        rows.append((file, at, run[k : k + 2 * block], None, None))
+                    for k in range(0, held - width * block + 1, width * block):
+                        rows.append((file, at, run[k : k + width * block], None, None))
                         at += 1
-                    parts = [run[held - held % (2 * block) :]]
+                    parts = [run[held - held % (width * block) :]]
                     held = len(parts[0])
             rest = b"".join(parts)
             yield pd.DataFrame(rows, columns=["file", "block", "ids", "first", "names"]).astype({"block": "Int64", "first": "Int64"})
@@ -65,16 +70,30 @@ def blocks_of_texts(docs: DataFrame, tokenizer: str, end_id: int, *, block: int
     return rows.mapInPandas(stream, _BLOCKS)
 
 
-def blocks_of_files(spark: SparkSession, path: str, *, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """Flat files below path (ids of width 2 or 4 bytes, little-endian), in blocks: file, block, ids."""
+def blocks_of_files(spark: SparkSession, path: str, *, width: int = 2, block: int = BLOCK, span: int = SPAN) -> DataFrame:
+    """Flat files below path (ids of width 2 or 4 bytes, little-endian), in blocks: file, block, ids.
+
+    Spark lists the files; their ranges of about span bytes are dealt to tasks, which read them through Arrow's file
+    systems (local, HDFS, S3, Google), so a file of any size is read by many tasks and none of them holds more than a block.
+    """
+    size = width * block
+    step = max(1, span // size) * size
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
 
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for file, content in zip(frame["path"], frame["content"], strict=True):
-                for k, at in enumerate(range(0, len(content), width * block)):
-                    yield pd.DataFrame({"file": [file], "block": [k], "ids": [content[at : at + width * block]], "first": pd.Series([None], dtype="Int64"), "names": [None]})
+            for file, at, end in zip(frame["path"], frame["at"], frame["end"], strict=True):
+                system, name = fs.FileSystem.from_uri(file if "://" in file else file.replace("file:/", "file:///", 1))
+                with system.open_input_file(name) as source:
+                    for k in range(int(at), int(end), size):
+                        ids = source.read_at(min(size, int(end) - k), k)
+                        yield pd.DataFrame({"file": [file], "block": [k // size], "ids": [ids], "first": pd.Series([None], dtype="Int64"), "names": [None]})
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(split, _BLOCKS)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where("length > 0")
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("at"))
+    ranges = ranges.select("path", "at", F.least("length", F.col("at") + step).alias("end"))
+    return ranges.repartition("path", "at").mapInPandas(read, _BLOCKS)
 
 
 def search(blocks: DataFrame, end_id: int, *, width: int = 2) -> DataFrame:
@@ -114,6 +133,7 @@ def count_documents(found: DataFrame, *, run: int = RUN) -> DataFrame:
 def count_tokens(docs: DataFrame, tokenizer: str, end_id: int, *, block: int = BLOCK, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, file, doc_in_file, start, n_tokens of each row, counted in flat files made from the texts."""
     kind = docs.schema[id_col].dataType.simpleString()
-    found = cut(search(blocks_of_texts(docs, tokenizer, end_id, block=block, id_col=id_col, text_col=text_col), end_id))
+    width = 2 if max(end_id, encoder(tokenizer, special=False).tokenizer.get_vocab_size() - 1) <= 0xFFFF else 4
+    found = cut(search(blocks_of_texts(docs, tokenizer, end_id, width=width, block=block, id_col=id_col, text_col=text_col), end_id, width=width))
     names = found.where("block is null").select("file", "first", F.posexplode("names").alias("k", "name")).select("file", (F.col("first") + F.col("k")).alias("doc_in_file"), F.col("name").cast(kind).alias(id_col))
     return names.join(count_documents(found, run=run), ["file", "doc_in_file"]).select(id_col, F.col("file").cast("long").alias("file"), "doc_in_file", "start", "n_tokens")
