@@ -5,7 +5,7 @@ the white space that follows them; the runs tile the paragraph. A run's digest i
 over its runs, a section's over its paragraphs, and the root over the sections. Equal roots mean equal texts.
 
 A fingerprint is a string: the root, a colon, then sections parted by "/", paragraphs by ",", and each run's digest as
-eight hex digits. Equality looks at the root alone; where roots differ, `differing` names the branches that do.
+eight hex digits. Equality looks at the root alone; where trees differ, `differing` names the branches that do.
 Everything is built from DataFrame functions.
 
 Defined cases: a null text counts as empty; the empty text has one empty paragraph, and two of them have likeness 1.
@@ -49,17 +49,19 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def differing(a: Column, b: Column) -> Column:
-    """Where two fingerprints differ: array of (section, paragraph), from 0; a branch that only one has counts. Empty for equal roots."""
-    sections = lambda f: F.split(F.substring_index(f, ":", -1), "/", -1)
+    """Where two trees differ: array of (section, paragraph), from 0; a branch that only one has counts. Empty for equal trees.
 
-    def branches(i: Column) -> Column:
-        x, y = F.split(F.coalesce(F.get(sections(a), i), F.lit("")), ",", -1), F.split(F.coalesce(F.get(sections(b), i), F.lit("")), ",", -1)
-        whole = F.get(sections(a), i).eqNullSafe(F.get(sections(b), i))
-        inside = F.filter(F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1), lambda j: ~F.get(x, j).eqNullSafe(F.get(y, j)))
-        return F.when(whole, F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(F.transform(inside, lambda j: F.struct(i.alias("section"), j.alias("paragraph"))))
+    Equal sections are passed over whole; each level is gone through once.
+    """
+    none = F.array().cast("array<struct<section:int,paragraph:int>>")
+    empty = F.array().cast("array<array<bigint>>")
+
+    def inside(s: Column, i: Column) -> Column:
+        same = F.zip_with(F.coalesce(s["x"], empty), F.coalesce(s["y"], empty), lambda p, q: p.eqNullSafe(q))
+        found = F.filter(F.transform(same, lambda e, j: F.when(~e, F.struct(i.alias("section"), j.alias("paragraph")))), lambda e: e.isNotNull())
+        return F.when(s["x"].eqNullSafe(s["y"]), none).otherwise(found)
 
-    top = F.sequence(F.lit(0), F.greatest(F.size(sections(a)), F.size(sections(b))) - 1)
-    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(F.flatten(F.transform(top, branches)))
+    return F.flatten(F.transform(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), inside))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,7 +98,7 @@ def with_next(docs: DataFrame, id_col: str, payload: dict[str, Column]) -> DataF
 
 
 def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text and of it with its last quarter replaced by the next document's beginning, and likenesses."""
+    """Fingerprints of each text and of it with its last quarter replaced by the next document's beginning, likenesses, and the branches that the edit changed."""
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = with_next(rows, id_col, {"text": F.col("text"), "runs": runs(tree(F.col("text")))})
     n = F.char_length("text")
@@ -112,4 +114,5 @@ def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         fingerprint(F.col("edited_tree")).alias("edited_fingerprint"),
         likeness(F.col("runs"), F.col("edited_runs")).alias("near_edited"),
         likeness(F.col("runs"), F.col("next_runs")).alias("near_next"),
+        differing(F.col("tree"), F.col("edited_tree")).alias("differing"),
     )
