@@ -4,8 +4,9 @@ A text's UTF-8 bytes, as classes (letters without case, digits, lead and continu
 256. Filters two, three and four bytes wide slide over a window; each filter's largest response feeds a softmax over the
 learned languages. A text's probabilities are its windows' means, weighted by their letters.
 
-Training is numpy on the driver, on a bounded sample: about DOCS_PER_LANGUAGE documents of each language and two windows
-of each (so a few MB for any input), drawn by a hash of the id. Prediction is one Arrow pass over whole texts; a response is
+Training is numpy on the driver, on a bounded sample: about DOCS_PER_LANGUAGE documents of each language, MOST_DOCS in all
+(but one of each language at least), and two windows of each (so 40 MB at most, unless languages number tens of thousands),
+drawn by a hash of the id. Every label is learned, however rare. Prediction is one Arrow pass over whole texts; a response is
 a sum of looked-up values for pairs of bytes, so a window costs a few table look-ups per byte.
 
 Defined cases: a text that is null or holds no letter is `und` with score 0, as is every text when nothing was learned; a
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, WIDTHS, FILTERS, DOCS_PER_LANGUAGE, EPOCHS = 256, (2, 3, 4), 8, 1500, 5
+#: Documents that are learned from, however many languages there are.
+MOST_DOCS = 60_000
 UNKNOWN = "und"
 
 CLASSES = 96
@@ -136,17 +139,17 @@ def held_out(id_column: Column) -> Column:
 def train(docs: DataFrame, *, docs_per_language: int = DOCS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """A network learned from a sample of the labelled documents that aren't held out; None if there are none."""
     labelled = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().orderBy(F.col("count").desc(), lang_col).limit(500).collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
     if not counts:
         return None
+    # All languages share the bound on the sample, each at least with one document.
+    each = max(1, min(docs_per_language, MOST_DOCS // len(counts)))
     drawn = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1 << 30)).cast("double") / (1 << 30)
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, docs_per_language / n).otherwise(share)
+    shares = F.broadcast(docs.sparkSession.createDataFrame([(lang, each / n) for lang, n in counts.items()], "_lang string, _share double"))
     n = F.greatest(F.char_length(F.col(text_col)) - WINDOW, F.lit(1))
     piece = lambda k: F.substring(F.col(text_col), (F.pmod(F.xxhash64(F.lit(k), F.col(id_col)), n) + 1).cast("int"), F.lit(WINDOW))
-    sample = labelled.where(drawn < share).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), drawn.alias("drawn"), piece(1).alias("a"), piece(2).alias("b"))
-    rows = sorted(sample.orderBy("drawn", "id").limit(2 * docs_per_language * len(counts)).collect(), key=lambda r: (r.drawn, str(r.id)))
+    sample = labelled.join(shares, F.col(lang_col) == F.col("_lang")).where(drawn < F.col("_share")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), drawn.alias("drawn"), piece(1).alias("a"), piece(2).alias("b"))
+    rows = sorted(sample.orderBy("drawn", "id").limit(2 * each * len(counts)).collect(), key=lambda r: (r.drawn, str(r.id)))
     languages = sorted(counts)
     texts, targets = [], []
     for k, r in enumerate(rows):
@@ -190,8 +193,9 @@ def predict(docs: DataFrame, network: Network | None, *, id_col: str = "doc_id",
             yield pd.DataFrame({"name": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype="float64")})
 
     told = F.pandas_udf(made, "name string, score double")(text)
-    rows = docs.withColumn("_told", F.when(lettered(text), told))
-    return rows.withColumns({"lang_pred": F.coalesce("_told.name", F.lit(UNKNOWN)), "score": F.coalesce("_told.score", F.lit(0.0))}).drop("_told")
+    # The row stays in a struct meanwhile, so no name of its columns can clash.
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("lang_pred", "score")]).alias("row"), F.when(lettered(text), told).alias("told"))
+    return rows.select("row.*", F.coalesce("told.name", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("told.score", F.lit(0.0)).alias("score"))
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
