@@ -22,14 +22,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; the others (no letters, no text) go."""
+    """Documents in which a language can be told, with that as their lang; the others (no letters, no text) go.
+
+    Where nothing can be learned from, documents keep the lang that they came with.
+    """
     # Who labelled a text as unknown says nothing to learn from.
     network = language.train(docs.where(F.col("lang") != language.UNKNOWN))
     if network is None:
         # Nothing tells the languages apart; what can't be in any goes all the same.
         return docs.where(language.lettered(F.col("text"))).select(*COLUMNS)
     told = language.predict(docs.select(*COLUMNS), network)
-    return told.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
+    return told.where(F.col("lang_pred") != language.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +75,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.abspath(__file__)))
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    jvm = spark.sparkContext._jvm
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            # What is written doesn't need the stage before any more.
+            done = jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
+            done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
     return docs

@@ -136,7 +136,8 @@ def test_tokens(spark, corpus):
 
 
 @pytest.mark.parametrize("width", [2, 4])
-def test_token_files(spark, tmp_path, width):
+@pytest.mark.parametrize("span", [1 << 26, 100])
+def test_token_files(spark, tmp_path, width, span):
     rng = np.random.default_rng(3)
     want = []
     for k in range(3):
@@ -148,11 +149,19 @@ def test_token_files(spark, tmp_path, width):
         bounds = [-1, *ends] + ([len(ids)] if len(ends) == 0 or ends[-1] + 1 < len(ids) else [])
         want += [(f"{k}.bin", n, a + 1, b - a - 1, b < len(ids)) for n, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
     (tmp_path / "3.bin").write_bytes(b"")
-    found = tokens.search(tokens.blocks_of_files(spark, str(tmp_path), width=width, block=13), 7, width=width)
+    found = tokens.search(tokens.blocks_of_files(spark, str(tmp_path), width=width, block=13, span=span), 7, width=width)
     got = [(os.path.basename(r.file), r.doc_in_file, r.start, r.n_tokens, r.closed) for r in tokens.count_documents(found, run=3).collect()]
     assert sorted(got) == sorted(want)
 
 
+def test_wide_ids_are_not_wrapped(spark):
+    docs = docs_of(spark, [(1, "a b", "aa", "s"), (2, None, "aa", "s")])
+    found = tokens.search(tokens.blocks_of_texts(docs, TOKENIZER, 70_000, width=4), 70_000, width=4)
+    assert sorted(r.n_tokens for r in tokens.count_documents(found).collect()) == [0, 2]
+    with pytest.raises(Exception, match="out of bounds|four bytes"):
+        tokens.search(tokens.blocks_of_texts(docs, TOKENIZER, 70_000, width=2), 70_000).collect()
+
+
 # 3
 
 
@@ -180,9 +189,42 @@ def test_merkle_buckets_agree(spark, monkeypatch):
 def test_merkle_names_the_branch(spark):
     a, b = "p one\np two\n\nsecond section\nlast", "p one\np 2\n\nsecond section\nlast\nmore"
     df = spark.createDataFrame([(1, a, b)], "k int, a string, b string")
-    prints = df.select(merkle.fingerprint(merkle.tree(F.col("a"))).alias("a"), merkle.fingerprint(merkle.tree(F.col("b"))).alias("b"))
-    assert [tuple(x) for x in prints.select(merkle.differing(F.col("a"), F.col("b"))).first()[0]] == [(0, 1), (1, 2)]
-    assert prints.select(merkle.differing(F.col("a"), F.col("a"))).first()[0] == []
+    trees = df.select(merkle.tree(F.col("a")).alias("a"), merkle.tree(F.col("b")).alias("b"))
+    assert [tuple(x) for x in trees.select(merkle.differing(F.col("a"), F.col("b"))).first()[0]] == [(0, 1), (1, 2)]
+    assert trees.select(merkle.differing(F.col("a"), F.col("a"))).first()[0] == []
+
+
+def brute_runs(text):
+    return [[[xxhash.xxh64_intdigest(r.encode(), 42) for r in re.findall(r"(?:\S++\s*+){1,4}+|\s++", p, re.A)] for p in s.split("\n")] for s in text.split("\n\n")]
+
+
+def brute_likeness(a, b):
+    a, b = ({r & 0x7FFFFFFF for s in brute_runs(t) for p in s for r in p} for t in (a, b))
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def brute_differing(a, b):
+    a, b = brute_runs(a), brute_runs(b)
+    at = lambda t, i: t[i] if i < len(t) else None
+    return [(i, j) for i in range(max(len(a), len(b))) for j in range(max(len(at(a, i) or []), len(at(b, i) or []))) if at(at(a, i) or [], j) != at(at(b, i) or [], j)]
+
+
+def test_merkle_likeness_by_brute_force(spark, corpus):
+    # Texts of one id, and rows that stand twice, follow each other in some order: here ids are made unique.
+    rows = [(k, r[1], r[2], r[3]) for k, r in enumerate(corpus)]
+    got = {r.doc_id: r for r in merkle.compare_edits(docs_of(spark, rows)).collect()}
+    for k, t, *_ in rows:
+        t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""
+        edited = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
+        assert got[k].near_edited == pytest.approx(brute_likeness(t, edited)) and got[k].near_next == pytest.approx(brute_likeness(t, nxt))
+        assert [tuple(d) for d in got[k].differing] == brute_differing(t, edited)
+
+
+def test_merkle_of_repeated_rows(spark):
+    rows = [(1, "a b c d", "aa", "s")] * 3 + [(2, "x y z w", "aa", "s"), (None, "n", "aa", "s"), (None, "n", "aa", "s")]
+    got = by_id(merkle.compare_edits(docs_of(spark, rows)), "near_next")
+    # A row's copy is its next one; only the last of them goes on.
+    assert got == [(None, 0.0), (None, 1.0), (1, 0.0), (1, 1.0), (1, 1.0), (2, 0.0)]
 
 
 # 4
@@ -210,6 +252,23 @@ def test_language_without_labels(spark):
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)]
 
 
+def test_language_ties_and_clashing_names(spark):
+    # As many labels as the sample has room for, one text under two labels, and columns named as the answers are.
+    rows = [(i, "abcde fghij " * 3, f"l{i % 40}", "s") for i in range(400)]
+    docs = docs_of(spark, rows).withColumns({"_told": F.lit(1), "told": F.lit(2), "row": F.lit(3), "lang_pred": F.lit("x"), "score": F.lit("y")})
+    network = language.train(docs)
+    assert network.languages == sorted({r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2})
+    got = language.predict(docs, network)
+    assert {"_told", "told", "row"} < set(got.columns) and got.columns.count("score") == 1
+    assert len({(r.lang_pred, round(r.score, 4)) for r in got.collect()}) == 1
+
+
+def test_language_learns_rare_labels(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_DOCS", 10)
+    docs = docs_of(spark, [(i, f"word{i % 30} " * 5, f"l{i % 30}", "s") for i in range(3000)])
+    assert len(language.train(docs).languages) == 30
+
+
 # 5
 
 
@@ -435,6 +494,16 @@ def test_chunk_encoder_is_exact():
         assert [np.frombuffer(b, "<u4").tolist() for b in encoder.stream(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_long_chunks_are_not_kept(spark):
+    from tokenizers import Tokenizer
+
+    t, encoder = Tokenizer.from_file(TOKENIZER), packing.ChunkEncoder(TOKENIZER)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdef漢字仮名") for _ in range(3000)) for _ in range(20)] + ["x" * 50_000, "B" * 60 + "!!!", "q" * 41]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.stream(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert max(map(len, encoder.known)) <= packing.KEPT_LENGTH
+
+
 def test_first_fit():
     rng = random.Random(1)
     sizes = sorted((rng.randint(1, 64) for _ in range(500)), reverse=True)
@@ -488,6 +557,17 @@ def test_mixing(spark, corpus):
     assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, mixing.mix(docs_of(spark, rows[::-1]).repartition(3)).collect()))
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_mixing_of_null_and_repeated_ids(spark, copies):
+    text = lambda k: "one two three" if copies else f"one two {k}"
+    rows = [(None, text(k), "aa", "a") for k in range(50)] + [(7, text(k), "aa", "b") for k in range(50)] + [(1000 + k, "w " * 7, "aa", "c") for k in range(30)]
+    for keep in ((), ("doc_id", "text", "source")):
+        got = mixing.mix(docs_of(spark, rows).repartition(5), keep=keep).collect()
+        taken = {s: sum((r.copies if keep else r.taken // 3 if s != "c" else r.taken // 7) for r in got if r.source == s) for s in "abc"}
+        want = brute_targets({"a": 150, "b": 150, "c": 210})
+        assert len(got) == len(rows) and abs(3 * taken["a"] - want["a"]) <= 1.5 and abs(3 * taken["b"] - want["b"]) <= 1.5 and abs(7 * taken["c"] - want["c"]) <= 3.5
+
+
 def test_mixing_takes_the_smallest_keys(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SLICES", 4)
     monkeypatch.setattr(mixing, "SORTED", 10)

@@ -29,6 +29,7 @@ def test_stages(spark):
     docs = made(spark)
     first = P.identify_languages(spark, docs, SF)
     assert first.columns == COLUMNS and {r.doc_id for r in docs.collect()} - {r.doc_id for r in first.collect()} == {202, 203}
+    assert all(r.lang in ("aa", "bb") for r in first.collect())
     second = P.drop_repeated_lines(spark, first, SF)
     kept = {r.doc_id: r for r in second.collect()}
     assert second.columns == COLUMNS and 200 not in kept and kept[204].text == "another short line of its own here" and kept[204].n_chars == len(kept[204].text)
