@@ -48,8 +48,9 @@ def _stripped(line: Column) -> Column:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, th, no, line and order (one number, so that its minimum is hashed) of each line."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).withColumn("line", _stripped(F.col("line")))
+    # The text's hash is made before its lines become rows, so that no row carries the text.
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.split(text_col, "\n", -1).alias("all"))
+    rows = rows.select("id", "th", F.posexplode("all").alias("no", "line")).withColumn("line", _stripped(F.col("line")))
     order = (F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)")) * F.lit(2**31).cast("decimal(11,0)") + F.col("no")).cast("decimal(38,0)")
     return rows.withColumn("order", order)
 
