@@ -122,8 +122,10 @@ def count_documents(found: DataFrame, *, run: int = RUN) -> DataFrame:
     placed = local.join(runs.select("file", "run", "run_at", "run_docs", "run_before", "final"), ["file", "run"])
     at, before = F.col("run_at") + F.col("at"), F.coalesce(F.greatest(F.col("run_at") + F.col("before"), F.col("run_before")), F.lit(-1).cast("long"))
     rows = placed.select("file", "block", "n", "ends", "run", "final", at.alias("at"), before.alias("before"), (F.col("run_docs") + F.col("docs")).alias("docs"))
-    start = F.when(F.col("k") == 0, F.col("before")).otherwise(F.col("at") + F.get("ends", F.col("k") - 1)) + 1
-    closed = rows.select("file", "at", "before", "docs", "ends", F.posexplode("ends").alias("k", "end")).select("file", (F.col("docs") + F.col("k")).alias("doc_in_file"), start.alias("start"), (F.col("at") + F.col("end") - start).alias("n_tokens"), F.lit(True).alias("closed"))
+    # Each end with the one before it, so that no row carries its block's.
+    pairs = F.transform("ends", lambda e, k: F.struct(k.alias("k"), e.alias("end"), F.when(k == 0, F.col("before")).otherwise(F.col("at") + F.get("ends", k - 1)).alias("last")))
+    closed = rows.select("file", "at", "docs", F.explode(pairs).alias("e"))
+    closed = closed.select("file", (F.col("docs") + F.col("e.k")).alias("doc_in_file"), (F.col("e.last") + 1).alias("start"), (F.col("at") + F.col("e.end") - F.col("e.last") - 1).alias("n_tokens"), F.lit(True).alias("closed"))
     # What stands after a file's last end id.
     tail = rows.groupBy("file").agg(F.max(F.col("at") + F.col("n")).alias("size"), F.max(F.greatest("before", F.col("at") + F.get("ends", F.size("ends") - 1))).alias("before"), F.max(F.col("docs") + F.size("ends")).alias("docs"))
     unclosed = tail.where("before + 1 < size").select("file", F.col("docs").alias("doc_in_file"), (F.col("before") + 1).alias("start"), (F.col("size") - F.col("before") - 1).alias("n_tokens"), F.lit(False).alias("closed"))
