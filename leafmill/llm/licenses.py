@@ -1,26 +1,30 @@
 """License scans: ordered signature rules over whole texts, gated by keywords.
 
-A rule has a keyword, a pattern, a label, a confidence and its place in the order; earlier rules have priority. A pattern
-can't match without each word of its keyword, whatever stands between them. A text that holds the words of no keyword is
-done after plain substring searches; of the others, only rules whose keyword's words occur run. Each match is a detection, an interval of characters. Where one detection's interval lies within another's, the one
-whose rule stands later is suppressed; so "apache license" gives way to "apache license, version 2.0".
+A rule has a tier, a keyword, a pattern, a label and a confidence (license_rules). A pattern can't match without each word
+of its keyword, so a text is searched for these words first and only rules whose words occur run. Each match is a detection,
+an interval of characters. A detection is suppressed by one that it lies in, if that one's tier is earlier, or the same and
+its interval longer (of equal intervals, the earlier rule's stays); so "apache license" gives way to "apache license,
+version 2.0". Intervals that only overlap both stay.
 
 Besides, base phrases are counted by words: a place is a word index where a phrase's words stand consecutively. Base labels
 always stay.
 
-All of this is expressions on one row; nothing is shuffled. Defined cases: a null text counts as empty, without words or
-labels; a text without detections has empty labels and score 0; repeated rows and ties each keep their row. Only the named
-columns are used.
+Matching is expressions on one row. Detections then are rows of few numbers, which go to their document's partition and are
+gone through there in order, once, with the furthest end of each tier so far: the work grows with the number of matches.
+
+Defined cases: a null text counts as empty, without words or labels; a text without detections has empty labels and score
+0; repeated rows and ties each keep their row; "unknown" counts only where no other detection stays. Only the named columns
+are used.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from leafmill.llm.common import ascii_lower
+from leafmill.llm.license_rules import TIERS, rules
 
 # A word of the contract, in lower-cased text and in any text (where A-Z are words, too).
 LOWER_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -28,161 +32,51 @@ ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-_V = r"(?:,?\s*(?:version|ver\.?|v\.?))?\s*"
-_DASH = r"[\s-]+"
-
-
-def _versions(label: str, keyword: str, stem: str, versions: tuple[str, ...], confidence: float, *, later: bool = False) -> list[tuple[str, str, str, float]]:
-    """One rule for each version of a license, and one for "or later" where that is usual."""
-    out = []
-    for v in versions:
-        major, _, minor = v.partition(".")
-        number = major + (r"(?:\.0)?" if minor == "0" else rf"\.{minor}") + r"(?![\d]|\.\d)"
-        if later:
-            out.append((f"{label}-{v}-or-later", keyword, stem + _V + number + r",?\s*(?:or|and)\s+(?:\(at your option\)\s+)?(?:any\s+)?(?:later|newer)", confidence))
-            out.append((f"{label}-{v}-only", keyword, stem + _V + number + r",?\s+only", confidence))
-        out.append((f"{label}-{v}", keyword, stem + _V + number, confidence))
-    return out
-
-
-def rules() -> list[tuple[str, str, str, float]]:
-    """(label, keyword, pattern, confidence), first to last. Patterns run on text in which A-Z are lower-case."""
-    out: list[tuple[str, str, str, float]] = []
-    # SPDX tags name a license outright.
-    ids = ["mit", "mit-0", "isc", "0bsd", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "apache-1.0", "apache-1.1", "apache-2.0", "zlib", "unlicense", "wtfpl", "cc0-1.0", "mpl-1.0", "mpl-1.1", "mpl-2.0", "epl-1.0", "epl-2.0", "cddl-1.0", "cddl-1.1", "artistic-1.0", "artistic-2.0", "ofl-1.1", "ms-pl", "ms-rl", "bsl-1.0", "eupl-1.1", "eupl-1.2", "osl-3.0", "afl-3.0", "ecl-2.0", "python-2.0", "psf-2.0", "postgresql", "upl-1.0", "vim", "x11", "ncsa", "odbl-1.0", "pddl-1.0", "blueoak-1.0.0"]
-    ids += [f"{g}-{v}{tail}" for g, vs in (("gpl", ("1.0", "2.0", "3.0")), ("lgpl", ("2.0", "2.1", "3.0")), ("agpl", ("1.0", "3.0")), ("gfdl", ("1.1", "1.2", "1.3"))) for v in vs for tail in ("-only", "-or-later", "")]
-    ids += [f"cc-by{m}-{v}" for m in ("-nc-nd", "-nc-sa", "-nc", "-nd", "-sa", "") for v in ("1.0", "2.0", "2.5", "3.0", "4.0")]
-    out += [(x, "spdx", r"spdx-license-identifier:\s*\(?\s*" + x.replace(".", r"\.") + r"(?![\w.-])", 1.0) for x in ids]
-    # The GNU family, longest names first.
-    gnu = r"(?:the\s+)?(?:gnu\s+)?"
-    out += _versions("agpl", "affero", gnu + r"affero\s+general\s+public\s+licen[sc]e", ("1.0", "3.0"), 0.95, later=True)
-    out += _versions("lgpl", "general public", gnu + r"(?:lesser|library)\s+general\s+public\s+licen[sc]e", ("2.0", "2.1", "3.0"), 0.95, later=True)
-    out += _versions("gpl", "general public", gnu + r"general\s+public\s+licen[sc]e", ("1.0", "2.0", "3.0"), 0.95, later=True)
-    out += _versions("gfdl", "documentation", gnu + r"free\s+documentation\s+licen[sc]e", ("1.1", "1.2", "1.3"), 0.95, later=True)
-    for short in ("agpl", "lgpl", "gpl"):
-        out += _versions(short, "gpl", rf"\b(?:gnu\s+)?{short}", ("2.0", "2.1", "3.0") if short == "lgpl" else ("3.0",) if short == "agpl" else ("1.0", "2.0", "3.0"), 0.9, later=True)
-    # Creative Commons by name, by code and by address.
-    parts = {"by": "attribution", "nc": r"non-?commercial", "sa": r"share-?alike", "nd": r"no-?deriv(?:ative)?s?(?:\s+works)?"}
-    kinds = ("by-nc-nd", "by-nc-sa", "by-nc", "by-nd", "by-sa", "by")
-    for kind, v in product(kinds, ("4.0", "3.0", "2.5", "2.0", "1.0")):
-        number = v.replace(".", r"\.")
-        out.append((f"cc-{kind}-{v}", "creativecommons", rf"creativecommons\.org/licenses/{kind}/{number}", 1.0))
-        out.append((f"cc-{kind}-{v}", "creative commons", r"creative\s+commons[:,]?\s+" + _DASH.join(parts[p] for p in kind.split("-")) + rf"(?:\s+{number}|(?:\s+international|\s+unported|\s+generic)?(?:\s+public)?\s+licen[sc]e{_V}{number})", 0.95))
-        out.append((f"cc-{kind}-{v}", "cc", r"\bcc[\s-]+" + _DASH.join(kind.split("-")) + rf"[\s-]+{number}(?!\d)", 0.95))
-    for kind in kinds:
-        out.append((f"cc-{kind}", "creative commons", r"creative\s+commons[:,]?\s+" + _DASH.join(parts[p] for p in kind.split("-")), 0.8))
-        out.append((f"cc-{kind}", "cc", r"\bcc[\s-]+" + _DASH.join(kind.split("-")) + r"\b", 0.75))
-    out += [("cc0-1.0", "cc0", r"\bcc0(?:[\s-]+1\.0)?\b(?:\s+universal)?", 0.95), ("cc0-1.0", "publicdomain/zero", r"creativecommons\.org/publicdomain/zero/1\.0", 1.0)]
-    # Permissive and file-level licenses, by title or by a sentence only they have.
-    out += _versions("apache", "apache", r"(?:the\s+)?apache\s+(?:software\s+)?licen[sc]e", ("1.0", "1.1", "2.0"), 0.95)
-    out += [(f"apache-{v}", "apache", rf"\bapache[\s-]+{v.replace('.', chr(92) + '.')}(?!\d)", 0.85) for v in ("1.0", "1.1", "2.0")]
-    out += [(f"apache-{v}", "apache.org/licenses", rf"apache\.org/licenses/license-{v.replace('.', chr(92) + '.')}", 1.0) for v in ("1.0", "1.1", "2.0")]
-    out += _versions("mpl", "mozilla", r"mozilla\s+public\s+licen[sc]e", ("1.0", "1.1", "2.0"), 0.95)
-    out += _versions("epl", "eclipse", r"eclipse\s+public\s+licen[sc]e", ("1.0", "2.0"), 0.95)
-    out += _versions("cpl", "common public", r"common\s+public\s+licen[sc]e", ("1.0",), 0.95)
-    out += _versions("cddl", "common development", r"common\s+development\s+and\s+distribution\s+licen[sc]e", ("1.0", "1.1"), 0.95)
-    out += _versions("eupl", "european union", r"european\s+union\s+public\s+licen[sc]e", ("1.1", "1.2"), 0.95)
-    out += _versions("osl", "open software", r"open\s+software\s+licen[sc]e", ("1.0", "2.0", "2.1", "3.0"), 0.95)
-    out += _versions("afl", "academic free", r"academic\s+free\s+licen[sc]e", ("1.1", "1.2", "2.0", "2.1", "3.0"), 0.95)
-    out += _versions("artistic", "artistic", r"artistic\s+licen[sc]e", ("1.0", "2.0"), 0.95)
-    out += _versions("bsl", "boost", r"boost\s+software\s+licen[sc]e", ("1.0",), 0.95)
-    out += _versions("ofl", "open font", r"(?:sil\s+)?open\s+font\s+licen[sc]e", ("1.0", "1.1"), 0.95)
-    out += _versions("ecl", "educational", r"educational\s+community\s+licen[sc]e", ("1.0", "2.0"), 0.95)
-    out += _versions("upl", "universal permissive", r"universal\s+permissive\s+licen[sc]e", ("1.0",), 0.95)
-    out += _versions("psf", "python software", r"python\s+software\s+foundation\s+licen[sc]e", ("2.0",), 0.95)
-    for n, word in (("4", "four"), ("3", "three"), ("2", "two"), ("0", "zero")):
-        out.append((f"bsd-{n}-clause", "bsd", rf"\b(?:(?:{n}|{word})[\s-]+clause\s+bsd|bsd[\s-]+(?:{n}|{word})[\s-]+clause)(?:\s+licen[sc]e)?", 0.95))
-    out += [
-        ("bsd-3-clause", "endorse", r"neither\s+the\s+name\s+of\s+.{1,120}?\s+nor\s+the\s+names\s+of\s+its\s+contributors\s+may\s+be\s+used\s+to\s+endorse", 0.95),
-        ("bsd-3-clause", "bsd", r"\b(?:new|modified|revised)\s+bsd\s+licen[sc]e", 0.9),
-        ("bsd-2-clause", "bsd", r"\b(?:simplified|freebsd)\s+bsd\s+licen[sc]e|\bfreebsd\s+licen[sc]e", 0.9),
-        ("bsd-4-clause", "bsd", r"\b(?:original|old)\s+bsd\s+licen[sc]e", 0.9),
-        ("bsd", "redistribution", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms,\s+with\s+or\s+without\s+modification", 0.85),
-        ("mit-0", "mit", r"\bmit\s+no\s+attribution\b", 0.95),
-        ("mit", "permission", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+obtaining\s+a\s+copy", 1.0),
-        ("isc", "permission", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose", 0.95),
-        ("isc", "isc", r"\bisc\s+licen[sc]e", 0.9),
-        ("zlib", "zlib", r"\bzlib(?:/libpng)?\s+licen[sc]e", 0.9),
-        ("zlib", "altered source", r"altered\s+source\s+versions\s+must\s+be\s+plainly\s+marked", 0.95),
-        ("unlicense", "unlicense", r"\b(?:the\s+)?unlicense\b", 0.9),
-        ("unlicense", "unencumbered", r"free\s+and\s+unencumbered\s+software\s+released\s+into\s+the\s+public\s+domain", 1.0),
-        ("wtfpl", "wtfpl", r"\bwtfpl\b", 0.9),
-        ("ms-pl", "microsoft public", r"microsoft\s+public\s+licen[sc]e", 0.95),
-        ("ms-rl", "microsoft reciprocal", r"microsoft\s+reciprocal\s+licen[sc]e", 0.95),
-        ("ncsa", "illinois", r"university\s+of\s+illinois(?:/ncsa)?\s+open\s+source\s+licen[sc]e", 0.95),
-        ("x11", "x11", r"\bx11\s+licen[sc]e", 0.9),
-        ("postgresql", "postgresql", r"\bpostgresql\s+licen[sc]e", 0.9),
-        ("vim", "vim", r"\bvim\s+licen[sc]e", 0.9),
-        ("ruby", "ruby", r"\bruby(?:'s)?\s+licen[sc]e", 0.85),
-        ("php", "php", r"\bphp\s+licen[sc]e(?:" + _V + r"3\.0[01])?", 0.9),
-        ("openssl", "openssl", r"\bopenssl\s+licen[sc]e", 0.9),
-        ("json", "good, not evil", r"the\s+software\s+shall\s+be\s+used\s+for\s+good,\s+not\s+evil", 1.0),
-        ("beerware", "beer", r"\bbeer-?ware\s+licen[sc]e", 0.9),
-        ("odbl-1.0", "open database", r"open\s+database\s+licen[sc]e|open\s+data\s+commons\s+open\s+database", 0.9),
-        ("pddl-1.0", "public domain dedication", r"public\s+domain\s+dedication\s+and\s+licen[sc]e", 0.9),
-        ("sspl", "server side public", r"server\s+side\s+public\s+licen[sc]e", 0.95),
-        ("busl-1.1", "business source", r"business\s+source\s+licen[sc]e(?:" + _V + r"1\.1)?", 0.95),
-        ("elastic-2.0", "elastic", r"\belastic\s+licen[sc]e(?:" + _V + r"2\.0)?", 0.9),
-    ]
-    # Names without a version, then general phrases; all of them give way to longer matches above.
-    for label, keyword, stem in (("agpl", "affero", r"(?:gnu\s+)?affero\s+general\s+public"), ("lgpl", "general public", r"(?:gnu\s+)?(?:lesser|library)\s+general\s+public"), ("gpl", "general public", r"(?:gnu\s+)?general\s+public"), ("gfdl", "documentation", r"(?:gnu\s+)?free\s+documentation"), ("mpl", "mozilla", r"mozilla\s+public"), ("epl", "eclipse", r"eclipse\s+public"), ("apache", "apache", r"apache(?:\s+software)?"), ("artistic", "artistic", "artistic"), ("mit", "mit", r"\bmit"), ("bsd", "bsd", r"\bbsd(?:[\s-]style)?"), ("creative-commons", "creative commons", r"creative\s+commons(?:\s+public)?")):
-        out.append((label, keyword, stem + r"\s+licen[sc]es?", 0.7))
-    for short in ("agpl", "lgpl", "gpl"):
-        out.append((short, "gpl", rf"\b{short}\b", 0.6))
-    out += [
-        ("public-domain", "public domain", r"(?:in|into|to)\s+the\s+public\s+domain", 0.6),
-        ("proprietary", "all rights reserved", r"all\s+rights\s+reserved", 0.5),
-        ("copyright", "copyright", r"copyright\s+(?:\(c\)\s+|©\s*)?(?:\d{4})", 0.4),
-        ("unknown", "licen", r"\b(?:licensed|released|distributed|available)\s+under\s+(?:the\s+terms\s+of\s+)?(?:an?|the)?\s*\S+(?:\s+\S+){0,3}?\s+licen[sc]e", 0.3),
-    ]
-    return out
+def _keywords() -> list[str]:
+    return list(dict.fromkeys(r[2] for r in rules()))
 
 
 def live_keywords(text: Column) -> Column:
-    """array of the rules' keywords whose words all occur in a lower-cased text."""
-    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*[F.lit(w) for w in k.split()]).alias("words")) for k in dict.fromkeys(r[1] for r in rules())])
+    """array of the places (in _keywords) of keywords whose words all occur in a lower-cased text."""
+    table = F.array(*[F.struct(F.lit(i).alias("place"), F.array(*[F.lit(w) for w in reversed(k.split())]).alias("words"), F.lit(k.startswith("cc by")).alias("code")) for i, k in enumerate(_keywords())])
     # Two letters stand in many words; those of Creative Commons codes are followed by "by".
-    found = F.filter(table, lambda k: F.forall(k["words"], lambda w: F.contains(text, w)) & ((k["keyword"] != "cc") | text.rlike(r"cc[\s-]+by")))
-    return F.transform(found, lambda k: k["keyword"])
-
-
-def detections(text: Column, keywords: Column) -> Column:
-    """All kept detections of a lower-cased text by the rules with these keywords: array of (start, end, rank, label, confidence), in characters, by start."""
-    table = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(rx).alias("rx"), F.lit(float(c)).alias("confidence")) for i, (a, k, rx, c) in enumerate(rules())])
-    live = F.filter(table, lambda r: F.array_contains(keywords, r["keyword"]))
-    span = "array<struct<start:int,end:int,rank:int,label:string,confidence:double>>"
-
-    def matches(r: Column) -> Column:
-        # What lies between matches and the matches themselves, in turn, give the places.
-        between, found = F.split(text, r["rx"], -1), F.regexp_extract_all(text, r["rx"], F.lit(0))
-        step = lambda acc, i: F.struct(
-            (acc["at"] + F.char_length(F.get(between, i)) + F.char_length(F.get(found, i))).alias("at"),
-            F.array_append(acc["spans"], F.struct((acc["at"] + F.char_length(F.get(between, i))).alias("start"), (acc["at"] + F.char_length(F.get(between, i)) + F.char_length(F.get(found, i))).alias("end"), r["rank"].alias("rank"), r["label"].alias("label"), r["confidence"].alias("confidence"))).alias("spans"),
-        )
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("spans"))
-        return F.when(F.size(found) == 0, F.array().cast(span)).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0))), start, step, lambda acc: acc["spans"]))
-
-    spans = F.flatten(F.transform(live, matches))
-    # By start, longer and earlier rules first: what contains a span then stands before it.
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["rank"].alias("rank"), s["label"].alias("label"), s["confidence"].alias("confidence"))))
-    begin = F.struct(F.lit(-1).alias("end"), F.lit(1 << 30).alias("rank"), F.array().cast(span).alias("kept"))
-
-    def sweep(acc: Column, s: Column) -> Column:
-        end = -s["last"]
-        inside = end <= acc["end"]
-        gives_way = inside & (s["rank"] >= acc["rank"])
-        # An earlier rule's match within the last kept one takes its place.
-        others = F.when(inside, F.slice(acc["kept"], 1, F.greatest(F.size(acc["kept"]) - 1, F.lit(0)))).otherwise(acc["kept"])
-        own = F.struct(s["start"].alias("start"), end.alias("end"), s["rank"].alias("rank"), s["label"].alias("label"), s["confidence"].alias("confidence"))
-        return F.struct(
-            F.when(gives_way, acc["end"]).otherwise(end).alias("end"),
-            F.when(gives_way, acc["rank"]).otherwise(s["rank"]).alias("rank"),
-            F.when(gives_way, acc["kept"]).otherwise(F.array_append(others, own)).alias("kept"),
-        )
-
-    # A license without a known name counts only in a text that names none.
-    named = lambda d: d["label"] != "unknown"
-    return F.aggregate(ordered, begin, sweep, lambda acc: F.when(F.exists(acc["kept"], named), F.filter(acc["kept"], named)).otherwise(acc["kept"]))
+    found = F.filter(table, lambda k: F.forall(k["words"], lambda w: F.contains(text, w)) & (~k["code"] | text.rlike(r"cc[\s-]+by")))
+    return F.transform(found, lambda k: k["place"])
+
+
+def matches(text: Column, keywords: Column) -> Column:
+    """All matches in a lower-cased text of the rules with these keywords: array of (rank, k, gap, length).
+
+    k numbers a rule's matches; gap is how many characters lie between a match and the one before it (or the text's start).
+    """
+    places = {k: i for i, k in enumerate(_keywords())}
+    table = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(places[r[2]]).alias("place"), F.lit(r[3]).alias("rx")) for i, r in enumerate(rules())])
+    live = F.filter(table, lambda r: F.array_contains(keywords, r["place"]))
+
+    def of(r: Column) -> Column:
+        # What is found and what lies between are made once each: a lambda's variable stands for them.
+        found = F.array(F.regexp_extract_all(text, r["rx"], F.lit(0)))
+        pairs = lambda f: F.zip_with(F.slice(F.split(text, r["rx"], -1), F.lit(1), F.size(f)), f, lambda gap, m: F.struct(F.char_length(gap).alias("gap"), F.char_length(m).alias("length")))
+        spans = F.flatten(F.transform(found, lambda f: F.when(F.size(f) > 0, pairs(f)).otherwise(F.array().cast("array<struct<gap:int,length:int>>"))))
+        return F.transform(spans, lambda s, k: F.struct(r["rank"].alias("rank"), k.alias("k"), s["gap"].alias("gap"), s["length"].alias("length")))
+
+    return F.flatten(F.transform(live, of))
+
+
+def resolve(rows: DataFrame, row: str = "row") -> DataFrame:
+    """rows of matches (row, rank, k, gap, length; rank null for a text without any) with start, end, label, confidence and kept."""
+    table = rules()
+    of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("rank"))
+    rows = rows.repartition(F.col(row))
+    end = F.sum(F.col("gap") + F.col("length")).over(W.partitionBy(row, "rank").orderBy("k"))
+    rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("length")).withColumn("tier", of([r[0] for r in table]))
+    # By start, longer ones and earlier rules first: what contains a detection stands before it.
+    before = W.partitionBy(row).orderBy("start", F.desc("end"), "rank").rowsBetween(W.unboundedPreceding, -1)
+    furthest = [F.max(F.when(F.col("tier") <= t, F.col("end"))).over(before).alias(f"to{t}") for t in range(1, len(TIERS) + 1)]
+    rows = rows.select("*", *furthest)
+    inside = F.get(F.array(*[F.col(f"to{t}") for t in range(1, len(TIERS) + 1)]), F.col("tier") - 1) >= F.col("end")
+    kept = F.col("rank").isNotNull() & ~F.coalesce(inside, F.lit(False))
+    return rows.withColumns({"kept": kept, "label": of([r[1] for r in table]), "confidence": of([r[4] for r in table])}).drop(*[f"to{t}" for t in range(1, len(TIERS) + 1)])
 
 
 def base_places(text: Column) -> Column:
@@ -202,11 +96,10 @@ def base_places(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gated: bool = True) -> DataFrame:
-    """id_col, n_words, base (places), detections of each row's whole text. Without gates, all rules run on all texts."""
+    """id_col, row (a number of each row's own), n_words, base (places), found (matches) of each row's whole text. Without gates, all rules run on all texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col), text.alias("t")).select(id_col, "t", F.lower("t").alias("gate"))
-    every = F.array(*[F.lit(k) for k in dict.fromkeys(r[1] for r in rules())])
-    rows = rows.withColumn("keywords", live_keywords(F.col("gate")) if gated else every)
+    rows = docs.select(F.col(id_col), text.alias("t")).select(id_col, F.monotonically_increasing_id().alias("row"), "t", F.lower("t").alias("gate"))
+    rows = rows.withColumn("keywords", live_keywords(F.col("gate")) if gated else F.sequence(F.lit(0), F.lit(len(_keywords()) - 1)))
     based = F.lit(False)
     for phrase in BASE:
         here = F.lit(True)
@@ -214,13 +107,14 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gat
             here = here & F.contains("gate", F.lit(word))
         based = based | here
     rows = rows.withColumn("based", based)
-    rows = rows.select(id_col, F.regexp_count("t", F.lit(ANY_WORD)).cast("long").alias("n_words"), F.when((F.size("keywords") > 0) | F.col("based"), ascii_lower(F.col("t"))).alias("t"), "based", "keywords")
-    return rows.select(
-        id_col,
-        "n_words",
-        F.when(F.col("based"), base_places(F.col("t"))).alias("base"),
-        F.when(F.col("t").isNotNull(), detections(F.col("t"), F.col("keywords"))).alias("detections"),
-    )
+    rows = rows.select(id_col, "row", F.regexp_count("t", F.lit(ANY_WORD)).cast("long").alias("n_words"), F.when((F.size("keywords") > 0) | F.col("based"), ascii_lower(F.col("t"))).alias("t"), "based", "keywords")
+    return rows.select(id_col, "row", "n_words", F.when(F.col("based"), base_places(F.col("t"))).alias("base"), F.when(F.size("keywords") > 0, matches(F.col("t"), F.col("keywords"))).alias("found"))
+
+
+def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gated: bool = True) -> DataFrame:
+    """id_col, start, end (characters), label, confidence, rank (the rule), kept of each detection."""
+    found = scan(docs, id_col=id_col, text_col=text_col, gated=gated).select(id_col, "row", F.explode("found").alias("m")).select(id_col, "row", "m.*")
+    return resolve(found).select(id_col, "start", "end", "label", "confidence", "rank", "kept")
 
 
 def scan_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,16 +122,26 @@ def scan_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = scan(docs, id_col=id_col, text_col=text_col)
     starts = F.transform("base", lambda p: p["start"])
     base = F.coalesce(F.array_sort(F.array_distinct(F.transform("base", lambda p: p["label"]))), F.array().cast("array<string>"))
-    mine = F.coalesce(F.transform("detections", lambda d: d["label"]), F.array().cast("array<string>"))
-    score = F.greatest(F.coalesce(F.array_max(F.transform("detections", lambda d: d["confidence"])), F.lit(0.0)), F.when(F.size(base) > 0, 0.7).otherwise(0.0))
-    return rows.select(
+    whole = [id_col, "row", "n_words", "n_base", "first_word", "last_word", "base"]
+    rows = rows.select(id_col, "row", "n_words", F.coalesce(F.size("base"), F.lit(0)).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), base.alias("base"), "found")
+    # What is made of a text's places is made before its matches become rows, so that no row carries the places.
+    rows = rows.select(*whole, F.explode_outer("found").alias("m"))
+    named = F.col("kept") & (F.col("label") != "unknown")
+    of_row = resolve(rows.select(*whole, "m.*")).groupBy(*whole).agg(
+        F.collect_set(F.when(named, F.col("label"))).alias("named"), F.max(F.when(named, F.col("confidence"))).alias("sure"), F.count_if(named).alias("n_named"),
+        F.max(F.when(F.col("kept") & ~named, F.col("confidence"))).alias("vague"), F.count_if(F.col("kept") & ~named).alias("n_vague"),
+    )
+    vague = (F.col("n_named") == 0) & (F.col("n_vague") > 0)
+    mine = F.when(vague, F.array(F.lit("unknown"))).otherwise(F.col("named"))
+    score = F.greatest(F.coalesce(F.when(vague, F.col("vague")).otherwise(F.col("sure")), F.lit(0.0)), F.when(F.size("base") > 0, 0.7).otherwise(0.0))
+    return of_row.select(
         id_col,
         "n_words",
-        F.coalesce(F.size("base"), F.lit(0)).cast("long").alias("n_base"),
-        F.array_min(starts).alias("first_word"),
-        F.array_max(starts).alias("last_word"),
-        F.array_join(base, ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base, mine)), ",").alias("labels"),
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("base", mine)), ",").alias("labels"),
         score.alias("score"),
-        F.coalesce(F.size("detections"), F.lit(0)).cast("long").alias("n_detections"),
+        F.when(vague, F.col("n_vague")).otherwise(F.col("n_named")).alias("n_detections"),
     )

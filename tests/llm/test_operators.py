@@ -120,6 +120,12 @@ def test_lines(spark, corpus, monkeypatch, broadcast, limits):
     assert got[106, 156][0] == "b" * 50 + "\n" + "b" * 53
 
 
+def test_lines_of_one_text_with_very_many(spark):
+    text = "\n".join(f"line {k} of a text with very many lines" for k in range(60_000)) + "\nline 7 of a text with very many lines"
+    r = lines.dedup_lines(docs_of(spark, [(1, text, "aa", "s")]), near_from=1000).first()
+    assert (r.n_lines, r.n_dropped) == (60_001, 1) and r.text == text[: text.rindex("\n")]
+
+
 # 2
 
 
@@ -154,6 +160,12 @@ def test_token_files(spark, tmp_path, width, span):
     assert sorted(got) == sorted(want)
 
 
+def test_a_block_of_empty_documents(spark, tmp_path):
+    np.full(1 << 17, 7, "<u2").tofile(tmp_path / "0.bin")
+    found = tokens.search(tokens.blocks_of_files(spark, str(tmp_path)), 7)
+    assert tuple(tokens.count_documents(found).agg(F.count("*"), F.max("n_tokens"), F.max("start")).first()) == (1 << 17, 0, (1 << 17) - 1)
+
+
 def test_wide_ids_are_not_wrapped(spark):
     docs = docs_of(spark, [(1, "a b", "aa", "s"), (2, None, "aa", "s")])
     found = tokens.search(tokens.blocks_of_texts(docs, TOKENIZER, 70_000, width=4), 70_000, width=4)
@@ -611,10 +623,59 @@ def test_licenses(spark):
 
 def test_license_rules_compile():
     table = licenses.rules()
-    assert len(table) > 200
-    for label, keyword, pattern, confidence in table:
+    assert len(table) > 250 and len({r[3] for r in table}) == len(table)
+    for tier, label, keyword, pattern, confidence in table:
         re.compile(pattern)
-        assert label and keyword and 0 < confidence <= 1
+        assert 1 <= tier <= len(licenses.TIERS) and label and keyword and 0 < confidence <= 1
+
+
+def brute_detections(text):
+    """(start, end, rank) of all matches, and of those that stay."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    table = licenses.rules()
+    found = [(*m.span(), k) for k, r in enumerate(table) for m in re.finditer(r[3], low, re.A)]
+    better = lambda e, d: (table[e[2]][0], -(e[1] - e[0]), e[2]) < (table[d[2]][0], -(d[1] - d[0]), d[2])
+    return found, [d for d in found if not any(e[0] <= d[0] and e[1] >= d[1] and better(e, d) for e in found)]
+
+
+def brute_scan(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    tokens_ = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    places = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(tokens_)) if tokens_[i : i + len(phrase.split())] == phrase.split()]
+    table = licenses.rules()
+    kept = [(table[d[2]][1], table[d[2]][4]) for d in brute_detections(text)[1]]
+    kept = [k for k in kept if k[0] != "unknown"] or kept
+    base = {label for _, label in places}
+    score = max([c for _, c in kept] + [0.7] * bool(base) + [0.0])
+    return (len(tokens_), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted(base)), ",".join(sorted(base | {k for k, _ in kept})), score)
+
+
+def test_licenses_by_brute_force(spark):
+    rng = random.Random(11)
+    full = [sample(r[3], " ", True) for r in licenses.rules()]
+    bits = full + [sample(r[3], "\n", False) for r in licenses.rules()] + ["GNU", "lesser", "General Public License", "version 3", "MIT", "license", "the", "É", ",", "2.0", "or later", "under", "Apache", "é.x"]
+    rows = [(k, rng.choice((" ", ", ", "\n")).join(rng.choice(bits) for _ in range(rng.randint(1, 14))), "aa", "s") for k in range(300)]
+    # Chains in which intervals overlap and hold each other.
+    rows += [(1000, "GNU Lesser General Public License version 2.1 or later under the MIT license, copyright (c) 2020", "aa", "s"), (1001, "licensed under the new BSD license and the BSD 3-clause BSD license", "aa", "s"), (1002, None, "aa", "s"), (1003, "", "aa", "s"), (1003, "", "aa", "s")]
+    docs = docs_of(spark, rows)
+    found = {}
+    for r in licenses.detect(docs).collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.end, r.rank, r.kept))
+    for i, t, *_ in rows:
+        every, kept = brute_detections(t)
+        assert sorted(found.get(i, [])) == sorted((*d, d in kept) for d in every), t
+    got = sorted(((r.doc_id, (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score)) for r in licenses.scan_documents(docs).collect()), key=str)
+    assert got == sorted(((i, brute_scan(t)) for i, t, *_ in rows), key=str)
+
+
+def test_licenses_of_one_text_with_very_many(spark):
+    import time
+
+    text = "mit license, gpl v2 or later. " * 50_000
+    began = time.time()
+    r = licenses.scan_documents(docs_of(spark, [(1, text, "aa", "s")])).first()
+    assert (r.n_base, r.last_word, r.labels, r.n_detections) == (50_000, 299_994, "gpl-2.0-or-later,mit", 100_000)
+    assert time.time() - began < 60
 
 
 def sample(pattern, blank, full):
@@ -646,11 +707,11 @@ def sample(pattern, blank, full):
 
 
 def test_license_gates_lose_nothing(spark):
-    texts = [sample(p, blank, full) for _, _, p, _ in licenses.rules() for blank in (" ", "\n", "\t") for full in (False, True)]
-    assert all(re.search(p, t) for (_, _, p, _), t in zip((r for r in licenses.rules() for _ in range(6)), texts, strict=True))
+    table = licenses.rules()
+    texts = [sample(r[3], blank, full) for r in table for blank in (" ", "\n", "\t") for full in (False, True)]
+    assert all(re.search(r[3], t) for r, t in zip((r for r in table for _ in range(6)), texts, strict=True))
     texts += ["Apache 2.0", "BSD-3-Clause", "3-clause BSD", "MIT No Attribution", "CC\nBY-SA 4.0", "No rules here"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    with_gates = {r.doc_id: r.detections or [] for r in licenses.scan(docs).collect()}
-    without = {r.doc_id: r.detections for r in licenses.scan(docs, gated=False).collect()}
+    with_gates, without = (sorted(map(tuple, licenses.detect(docs, gated=g).collect())) for g in (True, False))
     assert with_gates == without
-    assert all(without[i] for i in range(len(texts) - 1)) and without[len(texts) - 1] == []
+    assert {r[0] for r in without} == set(range(len(texts) - 1))
