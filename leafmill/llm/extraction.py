@@ -1,11 +1,12 @@
 """HTML extraction by two-pass block rules.
 
-A page is read as a sequence of blocks (text between block-level tags). First pass: a block is boilerplate if it stands in
-a part of the page that says so (navigation, footer, aside, form, advert, notice, comments, ...) or is mostly links; it is
-content if it is long and holds enough stop words of some language; what is short or without stop words is undecided.
-Where stop words show no content at all, as on pages in languages without a list, undecided blocks that are long are content.
-Second pass: undecided blocks take the label of the nearest neighbour that the first pass decided by its text; inside an
-article the article's own edges count as content. Without such a neighbour they are boilerplate.
+A page is read as a sequence of blocks (text between block-level tags). First pass, by density: a block that is mostly links
+is boilerplate; one that is long and holds enough stop words of some language, or is long prose without any that is known,
+is content; what is short, and headings, are undecided. What a page itself says counts beside: parts that HTML sets apart
+(navigation, footers, asides, forms, hidden ones) and those whose whole class or id is made of such names are boilerplate;
+names that may mean a subject as well ("legal", "related") do so only outside an article. Second pass: undecided blocks
+take the label of the nearest neighbour that the first pass decided by its text; inside an article the article's own edges
+count as content. Without such a neighbour they are boilerplate. Adverts inside a paragraph are left out of it.
 
 The text is the content blocks in page order, white space within a block as one space, blocks joined by an empty line.
 
@@ -33,13 +34,22 @@ STOP = frozenset(
     der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so zum
     le la les de des et un une du en est que qui dans pour pas au sur ne se ce il par plus avec sont mais ou son aux cette elle nous vous ils ont
     el los las y que en un una por con no para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también
+    il lo gli di che è per non una sono con del della dei nel alla si da come anche ma più questo
+    o os da do em um uma não com para se na no dos das ao como mais foi são pelo
+    het een van ik te dat die niet zijn op aan met er maar om ook als dan voor bij nog naar
+    och att det som på är av för med den till inte har ett om men var jag
+    og det er til på av ikke som med har jeg af ved fra men
+    nie się na że jest do jak ale po co tak za od już był przez dla
+    ve bir bu da de için ile çok ne ama gibi daha var kadar
+    и в не на что с по это как к но из у за от так же для бы
+    και το να του η της με που την από για είναι στο τα δεν οι τον
     """.split()
 )
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^'\">]|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.S)
 # A tag that ends itself; a slash at the end of a bare value belongs to the value.
 _EMPTY = re.compile(r"(?:^|[\s\"'])/\Z")
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[^\W\d_]+")
 # Parts of a class name, whether joined by marks or by capitals.
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -51,12 +61,29 @@ _CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog button fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus respond replies share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager skip alert alerts announcement copyright legal crumbs dropdown discussion responses feedback".split()
-)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promotion".split())
+#: Names that say boilerplate wherever they stand, and those that only do so outside an article.
+STRONG = ADVERTS | frozenset("cookie cookies consent gdpr notice notices notification notifications sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus share sharing newsletter subscribe subscription signup login popup modal pagination pager dropdown".split())
+WEAK = frozenset("banner social related recommended widget widgets toolbar topbar overlay skip alert alerts announcement copyright legal crumbs discussion respond responses replies feedback header".split())
+#: Names that go with any of these without a meaning of their own; those of the article itself besides.
+NEUTRAL = frozenset("box boxes block section list container wrapper wrap area bar row col column item items inner outer top bottom left right center main site page global primary secondary body text links buttons button icons form field group panel slot unit trail thread bottombar mobile desktop small large sticky fixed js".split())
+ARTICLE = frozenset("article post entry story content".split())
 TOP = frozenset(("html", "head", "body", "article", "main"))
 
 
+def _named(names: str) -> tuple[bool, bool, bool]:
+    """Whether a class or id says boilerplate, an advert, or what is boilerplate outside an article only."""
+    strong = advert = weak = False
+    for name in names.split():
+        parts = {p.lower() for p in _PART.findall(name)}
+        if not parts or not parts <= STRONG | WEAK | NEUTRAL | ARTICLE:
+            continue
+        strong, advert = strong or bool(parts & STRONG), advert or bool(parts & ADVERTS)
+        weak = weak or bool(parts & WEAK) and not parts & ARTICLE
+    return strong, advert, weak
+
+
 def _says_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in BOILERPLATE:
         return True
@@ -64,26 +91,21 @@ def _says_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
         return False
     if tag == "header":
         return not in_article
-    if "=" not in attrs and "hidden" not in attrs:
+    if not attrs:
         return False
     values = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
-    if values.get("role", "").lower() in ROLES or values.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs) or "display:none" in values.get("style", "").replace(" ", "").lower():
+    if values.get("role", "").lower() in ROLES or values.get("aria-hidden") == "true" or "hidden" in values or "display:none" in values.get("style", "").replace(" ", "").lower():
         return True
-    if tag in INLINE:
-        return False
-    for name in f"{values.get('class', '')} {values.get('id', '')}".split():
-        parts = [p.lower() for p in _PART.findall(name)]
-        if any(p in NAMES and (k == 0 or parts[k - 1] not in ("no", "has", "with", "without")) for k, p in enumerate(parts)):
-            return True
-        if "header" in parts and not in_article:
-            return True
-    return False
-
-
-def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters of it in links, stands in boilerplate, stands in an article) of each block that has text."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article: both with what is around
+    strong, advert, weak = _named(f"{values.get('class', '')} {values.get('id', '')}")
+    # Within a line only adverts are told by name.
+    return advert if tag in INLINE else strong or weak and not in_article
+
+
+def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
+    """(text, characters of it in links, stands in boilerplate, stands in an article, is a heading) of each block that has text."""
+    out: list[tuple[str, int, bool, bool, bool]] = []
+    # Tag, boilerplate, article, left out of its line: all but the tag with what is around.
+    stack: list[tuple[str, bool, bool, bool]] = []
     parts: list[str] = []
     unclosed: set[str] = set()
     linked, links, at, breaks = 0, 0, 0, 0
@@ -93,13 +115,14 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                top = stack[-1] if stack else ("", False, False)
-                out.append((text, linked, top[1], top[2]))
+                at = next((k for k in range(len(stack) - 1, -1, -1) if not stack[k][3]), None)
+                tag, bad, article, _ = stack[at] if at is not None else ("", False, False, False)
+                out.append((text, linked, bad, article, tag in HEADINGS))
         parts, linked = [], 0
 
     def text(piece: str) -> None:
         nonlocal linked, breaks
-        if piece:
+        if piece and not (stack and stack[-1][3]):
             parts.append(piece)
             if not piece.isspace():
                 breaks = 0
@@ -134,6 +157,9 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if tag not in INLINE:
             close()
+            # What is left out of a line ends with it.
+            while stack and stack[-1][3]:
+                stack.pop()
         if tag == "a":
             links = max(0, links - 1) if m["end"] else links + 1
         if m["end"]:
@@ -142,16 +168,21 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
                     del stack[k:]
                     break
             continue
-        if tag in VOID or tag in INLINE and not _says_boilerplate(tag, m["attrs"], False):
+        if tag in VOID:
+            continue
+        if tag in INLINE:
+            around = stack[-1] if stack else ("", False, False, False)
+            if around[3] or _says_boilerplate(tag, m["attrs"], around[2]):
+                stack.append((tag, *around[1:3], True))
             continue
         # A paragraph ends where another block begins, a list item or table cell where the next one does.
         if stack and stack[-1][0] == "p":
             stack.pop()
         if stack and stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             stack.pop()
-        bad, article = stack[-1][1:] if stack else (False, False)
+        bad, article = stack[-1][1:3] if stack else (False, False)
         if not m["attrs"].endswith("/") or tag in ("div", "p"):
-            stack.append((tag, bad or _says_boilerplate(tag, m["attrs"], article), article or tag in ("article", "main")))
+            stack.append((tag, bad or _says_boilerplate(tag, m["attrs"], article), article or tag in ("article", "main"), False))
     text(page[at:])
     close()
     return out
@@ -162,18 +193,35 @@ def _long(text: str) -> bool:
     return len(text) + 2 * sum("\u2e80" <= c <= "\ud7ff" for c in text[:LONG]) >= LONG
 
 
-def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
+def _prose(text: str) -> bool:
+    """Whether a text is made of sentences, in whatever language."""
+    return sum(c in ".!?;,:。！？、，．؟،।" for c in text) * 200 >= len(text)
+
+
+def _decided(text: str, linked: int, bad: bool, heading: bool) -> bool | None:
+    """The first pass on one block."""
+    if bad:
+        return False
+    if heading:
+        return None
+    if linked > LINKS * len(text):
+        return False
+    if not _long(text):
+        return None
+    words = _WORD.findall(text.lower())
+    stops = sum(w in STOP for w in words)
+    if stops:
+        return True if stops >= STOP_WORDS * len(words) else None
+    # Nothing is known of this language: length and sentences decide.
+    return True if len(text) >= 2 * LONG and _prose(text) else None
+
+
+def labels(found: list[tuple[str, int, bool, bool, bool]]) -> list[bool]:
     """For each block, whether it is content."""
-    first: list[bool | None] = []
-    for text, linked, bad, _ in found:
-        if bad or linked > LINKS * len(text):
-            first.append(False)
-            continue
-        words = _WORD.findall(text.lower()) if len(text) >= LONG else ()
-        first.append(True if words and sum(w in STOP for w in words) >= STOP_WORDS * len(words) else None)
+    first = [_decided(text, linked, bad, heading) for text, linked, bad, _, heading in found]
     if True not in first:
-        # Stop words decide nothing here, as on pages in other languages: long blocks that aren't boilerplate are content.
-        first = [True if x is None and _long(b[0]) else x for x, b in zip(first, found, strict=True)]
+        # Nothing is content for sure, as on short pages in other languages: long blocks that aren't boilerplate are.
+        first = [True if x is None and not b[4] and _long(b[0]) else x for x, b in zip(first, found, strict=True)]
     n = len(found)
 
     def nearest(order: range) -> list[tuple[int, bool | None]]:

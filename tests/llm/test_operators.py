@@ -467,6 +467,86 @@ def test_extraction_loses_no_page(html, text):
     assert extraction.main_text(html) == text
 
 
+GREEK = "Το παλιό σπίτι δίπλα στο ποτάμι μένει άδειο εδώ και πολλά χρόνια, αλλά τα παράθυρά του ακόμη καθρεφτίζουν τον ήλιο που δύει κάθε βράδυ."
+GEORGIAN = "ძველი სახლი მდინარის პირას მრავალი წელია ცარიელი დგას, მაგრამ მისი ფანჯრები ყოველ საღამოს ისევ ირეკლავს ჩამავალ მზეს და შორეულ მთებს."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # An attribute's value isn't an attribute.
+        (f'<article><p title="a hidden thing">{PARAGRAPH}</p><p hidden>no</p><p hidden="">no</p></article>', PARAGRAPH),
+        # Subjects of an article that are named as parts of pages are elsewhere.
+        (f'<article><div class="social-history"><p>{PARAGRAPH}</p></div><section id="legal"><p>{PARAGRAPH}</p></section></article><div id="legal"><p>{PARAGRAPH}</p></div>', f"{PARAGRAPH}\n\n{PARAGRAPH}"),
+        (f'<article><p>{PARAGRAPH} <span class="advert">Buy <span>now</span> this</span>and more.</p></article>', f"{PARAGRAPH} and more."),
+        (f'<article><h2><a href="x">A linked heading</a></h2><p>{PARAGRAPH}</p></article>', f"A linked heading\n\n{PARAGRAPH}"),
+        (f'<div class="ad-free-reading"><p>{PARAGRAPH}</p></div><div class="ad-slot"><p>{PARAGRAPH}</p></div><div id="postComments"><p>{PARAGRAPH}</p></div>', PARAGRAPH),
+        (f'<div class="entry-header"><h1>Title</h1></div><div><p>{PARAGRAPH}</p></div>', f"Title\n\n{PARAGRAPH}"),
+        (f"<div><p>{GREEK}</p></div><div>{PARAGRAPH}</div>", f"{GREEK}\n\n{PARAGRAPH}"),
+        (f"<div><p>{GEORGIAN}</p></div><div>{PARAGRAPH}</div>", f"{GEORGIAN}\n\n{PARAGRAPH}"),
+        ("<article>" + "<div>" * 5000 + PARAGRAPH + "</div>" * 5000 + "</article>", PARAGRAPH),
+        (f'<article><p data-x="{"y" * 1_000_000}">{PARAGRAPH}</p><p {"z " * 10_000}>end</p></article>', f"{PARAGRAPH}\n\nend"),
+    ],
+)
+def test_extraction_by_density_first(html, text):
+    assert extraction.main_text(html) == text
+
+
+def plain_labels(found):
+    """The second pass, looking at every pair of blocks."""
+    first = [extraction._decided(t, k, bad, h) for t, k, bad, _, h in found]
+    if True not in first:
+        first = [True if x is None and not b[4] and extraction._long(b[0]) else x for x, b in zip(first, found, strict=True)]
+    out = []
+    for k, b in enumerate(found):
+        if first[k] is not None:
+            out.append(first[k])
+            continue
+        near = []
+        for step in (-1, 1):
+            j = k + step
+            while 0 <= j < len(found) and found[j][3] == b[3] and (first[j] is None or found[j][2]):
+                j += step
+            if 0 <= j < len(found) and found[j][3] == b[3]:
+                near.append((abs(k - j), first[j] != b[3], first[j]))
+            elif b[3] or 0 <= j < len(found):
+                # The article's edge.
+                near.append((abs(k - j), False, b[3]))
+        out.append(bool(near and min(near)[2]))
+    return out
+
+
+def test_extraction_against_a_plain_version():
+    rng = random.Random(21)
+    for _ in range(400):
+        found = []
+        inside = False
+        for _ in range(rng.randint(0, 14)):
+            inside = inside if rng.random() < 0.7 else not inside
+            t = rng.choice((PARAGRAPH, "short", "Home page", POLISH, CHINESE, GREEK, "one two three " * 12))
+            found.append((t, rng.choice((0, 0, 0, len(t))), rng.random() < 0.2, inside, rng.random() < 0.15))
+        assert extraction.labels(found) == plain_labels(found)
+
+
+def test_extraction_of_labelled_pages():
+    rng = random.Random(22)
+    bodies = [PARAGRAPH, POLISH, CHINESE, GREEK, GEORGIAN, "Das alte Haus an dem Fluss steht seit vielen Jahren leer, und doch ist es nicht vergessen.", "La vieille maison est vide depuis des années, mais les gens du village ne sont pas partis."]
+    links = lambda n: "".join(f"<li><a href=/{k}>Link {k}</a></li>" for k in range(n))
+    for k in range(200):
+        body = rng.choice(bodies)
+        parts = [f"Part {j}" if rng.random() < 0.2 else body for j in range(rng.randint(2, 6))]
+        parts[rng.randrange(len(parts))] = body
+        shown = "".join(f"<h2>{p}</h2>" if p.startswith("Part") else f"<p>{p}</p>" for p in parts)
+        noise = f"<aside><p>{PARAGRAPH}</p></aside>" if rng.random() < 0.5 else f'<div class="cookie-banner"><p>{PARAGRAPH}</p></div>'
+        comments = f'<section class="comments"><p>{rng.choice(bodies)}</p></section>'
+        page = (
+            f"<html><head><title>t</title></head><body><header><p>{PARAGRAPH}</p></header><nav><ul>{links(5)}</ul></nav><article>{shown}{comments}</article>{noise}<footer>{PARAGRAPH}</footer></body></html>",
+            f'<body><div class="navbar"><ul>{links(4)}</ul></div><main>{noise}{shown}</main>{comments}<div id="footer">{PARAGRAPH}</div>',
+            f'<body><ul class="menu">{links(3)}</ul><div id="content">{shown}</div>{noise}{comments}<form><p>{PARAGRAPH}</p></form>',
+        )[k % 3]
+        assert extraction.main_text(page) == "\n\n".join(parts), page
+
+
 def test_extraction_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>é</p></article>", "x"), (1, "u", "<article><p>é</p></article>", "x"), (2, None, None, None)], "page_id bigint, url string, html string, text string")
     got = [(r.page_id, r.text, r.n_chars) for r in extraction.extract(pages).collect()]
