@@ -1,61 +1,77 @@
-"""Embedding near-dedup: all pairs of a label, block against block, or sorted projection passes where work must be bounded.
+"""Embedding near-dedup by sorted projection passes.
 
-By default every pair is compared: a label's vectors are dealt to blocks of at most about PAIRED, and each pair of blocks is
-a group of its own that returns counts and spanning edges only. No link is missed; work and what is shuffled grow with the
-square of a label's distinct vectors (each is sent to as many groups as its label has blocks).
+Each pass projects the vectors of a label on its own random directions, concatenates the signs into a key and orders the
+vectors by it; each is compared, in double precision, with those up to `window` places on. Pairs at or above the threshold
+are links; components of the links are the near-duplicate groups. A pair that an earlier pass has compared isn't counted
+again: each vector carries its places in all passes. Places in the order come from one range-partitioned sort and
+per-partition counts; comparisons run in blocks of consecutive places, each with the first rows of the next block.
 
-With exact=False, sorted passes find a share of the links at bounded work. Each pass projects the vectors of a label on its
-own random directions, concatenates the signs into a key and orders the vectors by it; each is compared, in double precision,
-with those up to `window` places on. A pair that an earlier pass has compared isn't counted again: each vector carries its
-places in all passes. Places in the order come from one range-partitioned sort and per-partition counts; comparisons run in
-blocks of consecutive places, each with the first rows of the next block. A group of more near copies than its windows hold
-loses links, and so do isolated pairs of large labels.
+How many passes a label gets follows from its size. One window holds a label of window + 1 vectors, so one pass finds all.
+In larger ones, a pair at the threshold agrees in a bit with chance 1 - acos(threshold) / pi, and stands within a window if
+it agrees in all bits that it takes to cut the label down to half a window; passes are added until a pair is missed with
+chance `miss` at most. Closer pairs are missed more rarely.
 
-Pairs at or above the threshold are links; components of the links are the near-duplicate groups. Equal vectors of a label
-are one class beforehand, so a large group of exact copies costs one comparison and its links are still all counted.
+That holds where links are thin. Where a vector is linked to a quarter of a window, its group may be larger than windows
+are, so all pairs of that component are compared: its vectors are dealt to blocks, block meets block, and only counts come
+back. Its links are then all counted; the work grows with the square of the component's distinct vectors.
+
+Equal vectors of a label are one class beforehand, so a large group of exact copies costs one comparison and its links are
+still all counted.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows with a null label, link with
 nothing and are their own component; vectors of unequal length don't link; a row that repeats a vec_id with the same label
-and vector is the same vector and gets the same answer; an empty table gives no rows. Only the named columns are used.
+and vector is the same vector and gets the same answer; rows that share a vec_id with different vectors are told apart, and
+each has its own links; an empty table gives no rows. Only the named columns are used.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from leafmill.llm.common import components, cut
+from leafmill.llm.common import components, cut, spread_join
 
-THRESHOLD, PASSES, BITS, WINDOW, BLOCK = 0.93, 12, 24, 256, 2048
-#: Vectors of a label that one task compares with each other, or with as many of another block.
+THRESHOLD, MISS, BITS, WINDOW, BLOCK = 0.93, 0.005, 32, 2048, 8192
+#: Vectors of a dense component that one task compares with each other, or with as many of another block.
 PAIRED = 8192
 
 
-def _keys(passes: int, bits: int, seed: int):
+def passes_for(n: Column, *, window: int = WINDOW, threshold: float = THRESHOLD, miss: float = MISS) -> Column:
+    """Passes after which a pair at the threshold, in a label of n vectors, is missed with chance `miss` at most."""
+    agree = 1 - math.acos(threshold) / math.pi
+    met = F.pow(F.lit(agree), F.log2(n / (window / 2)))
+    return F.when(n <= window + 1, 1).otherwise(F.ceil(math.log(miss) / F.log(1 - met))).cast("int")
+
+
+def _keys(bits: int, seed: int):
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        directions: dict[int, np.ndarray] = {}
+        directions: dict[tuple[int, int], np.ndarray] = {}
         places = 2 ** np.arange(bits, dtype="int64")[::-1]
         for frame in frames:
-            keys = np.zeros((len(frame), passes), "int64")
+            passes = frame["passes"].to_numpy()
+            keys = np.zeros((len(frame), passes.max(initial=0)), "int64")
             sizes = frame["vector"].map(len).to_numpy() if len(frame) else np.array([], int)
             for d in np.unique(sizes):
-                if d not in directions:
-                    directions[d] = np.random.default_rng([seed, d]).standard_normal((d, passes * bits))
-                at = np.flatnonzero(sizes == d)
-                signs = np.stack(frame["vector"].iloc[at].to_list()).astype("float64") @ directions[d] > 0
-                keys[at] = signs.reshape(len(at), passes, bits) @ places
-            yield pd.DataFrame({"cid": frame["cid"], "label": frame["label"], "dim": sizes.astype("int32"), "keys": list(keys)})
+                of = np.flatnonzero(sizes == d)
+                x = np.stack(frame["vector"].iloc[of].to_list()).astype("float64")
+                for run in range(passes[of].max()):
+                    if (d, run) not in directions:
+                        directions[d, run] = np.random.default_rng([seed, d, run]).standard_normal((d, bits))
+                    some = passes[of] > run
+                    keys[of[some], run] = (x[some] @ directions[d, run] > 0) @ places
+            yield pd.DataFrame({"cid": frame["cid"], "label": frame["label"], "dim": sizes.astype("int32"), "keys": [k[:p] for k, p in zip(keys, passes, strict=True)]})
 
     return keyed
 
 
 def _compare(threshold: float, window: int, block: int):
-    """One block of one pass: links counted for each class, and edges that span what is linked."""
+    """One block of one pass: links counted for each class, edges that span what is linked, and whether links crowd its window."""
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pos", kind="stable")
@@ -63,7 +79,7 @@ def _compare(threshold: float, window: int, block: int):
         pos, cid, copies, label = (frame[c].to_numpy() for c in ("pos", "cid", "copies", "label"))
         places = np.stack(frame["places"].to_list())
         dims = frame["vector"].map(len).to_numpy()
-        found_a, found_b = [], []
+        found_a, found_b, crowd = [], [], np.zeros(len(frame), np.int64)
         for d in np.unique(dims):
             of = np.flatnonzero(dims == d)
             x = np.stack(frame["vector"].iloc[of].to_list()).astype("float64")
@@ -76,6 +92,7 @@ def _compare(threshold: float, window: int, block: int):
                 # This block answers for pairs whose first vector is its own, and that no earlier pass has compared.
                 keep = (gap > 0) & (gap <= window) & (pos[a] < first + block) & (label[a] == label[b])
                 a, b = a[keep], b[keep]
+                crowd += np.bincount(a, minlength=len(frame)) + np.bincount(b, minlength=len(frame))
                 if run:
                     new = (np.abs(places[a, :run] - places[b, :run]) > window).all(axis=1)
                     a, b = a[new], b[new]
@@ -83,7 +100,8 @@ def _compare(threshold: float, window: int, block: int):
                 found_b.append(b)
         a, b = np.concatenate(found_a), np.concatenate(found_b)
         links = np.bincount(a, copies[b], len(frame)) + np.bincount(b, copies[a], len(frame))
-        some = np.flatnonzero(links)
+        crowded = 4 * crowd >= window
+        some = np.flatnonzero((links > 0) | crowded)
         root = np.arange(len(frame))
         while len(a):
             new = root.copy()
@@ -94,13 +112,13 @@ def _compare(threshold: float, window: int, block: int):
             if (new == root).all():
                 break
             root = new
-        return pd.DataFrame({"a": cid[some], "b": cid[root[some]], "links": links[some].astype("int64")})
+        return pd.DataFrame({"a": cid[some], "b": cid[root[some]], "links": links[some].astype("int64"), "crowded": crowded[some]})
 
     return compare
 
 
 def _meet(threshold: float):
-    """Two blocks of one label, or one with itself: links counted for each class, and edges that span what is linked."""
+    """Two blocks of one component, or one with itself: links counted for each class."""
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         p, q = frame["p"].iloc[0], frame["q"].iloc[0]
@@ -108,40 +126,35 @@ def _meet(threshold: float):
         n, same = int((frame["mine"] == p).sum()), p == q
         x = np.stack(frame["vector"].to_list()).astype("float64")
         x /= np.linalg.norm(x, axis=1)[:, None]
-        cid, copies = frame["cid"].to_numpy(), frame["copies"].to_numpy()
-        links, root = np.zeros(len(x)), np.arange(len(x))
+        copies = frame["copies"].to_numpy().astype("float64")
+        links = np.zeros(len(x))
         for k in range(0, n, 256):
-            rows, first = x[k : min(k + 256, n)], k if same else n
-            near = rows @ x[first:].T >= threshold
-            i, j = np.nonzero(np.triu(near, 1) if same else near)
-            a, b = i + k, j + first
-            links += np.bincount(a, copies[b], len(x)) + np.bincount(b, copies[a], len(x))
-            while len(a := a[open_ := root[a] != root[b]]):
-                b = b[open_]
-                low = np.minimum(root[a], root[b])
-                np.minimum.at(root, root[a], low)
-                np.minimum.at(root, root[b], low)
-                while (root != (up := root[root])).any():
-                    root = up
+            end, first = min(k + 256, n), k if same else n
+            near = x[k:end] @ x[first:].T >= threshold
+            if same:
+                near = np.triu(near, 1)
+            links[k:end] += near @ copies[first:]
+            links[first:] += copies[k:end] @ near
         some = np.flatnonzero(links)
-        return pd.DataFrame({"a": cid[some], "b": cid[root[some]], "links": links[some].astype("int64")})
+        return pd.DataFrame({"a": frame["cid"].to_numpy()[some], "links": links[some].astype("int64")})
 
     return meet
 
 
-def _all_pairs(classes: DataFrame, threshold: float, paired: int) -> DataFrame:
-    """Links of each class, counted once for each pair of blocks."""
-    dealt = classes.select("cid", "label", "vector", "copies", F.size("vector").alias("dim"))
-    blocks = dealt.groupBy("label", "dim").agg(F.ceil(F.count("*") / paired).cast("int").alias("blocks"))
-    dealt = dealt.join(blocks, ["label", "dim"]).withColumn("mine", F.pmod(F.xxhash64("cid", F.lit("block")), F.col("blocks")).cast("int"))
+def _all_pairs(members: DataFrame, threshold: float, paired: int) -> DataFrame:
+    """a, links of members (cid, root, vector, copies), counted once for each pair of blocks of a component."""
+    blocks = members.groupBy("root").agg(F.ceil(F.count("*") / paired).cast("int").alias("blocks"), F.count("*").alias("n"))
+    dealt = spread_join(members, blocks, "root").withColumn("mine", F.pmod(F.xxhash64("cid", F.lit("block")), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cid", "label", "dim", "vector", "copies", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
-    return dealt.groupBy("label", "dim", "p", "q").applyInPandas(_meet(threshold), "a long, b long, links long")
+    dealt = dealt.select("cid", "root", "vector", "copies", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+    return dealt.groupBy("root", "p", "q").applyInPandas(_meet(threshold), "a long, links long")
 
 
-def _sorted_passes(classes: DataFrame, threshold: float, passes: int, bits: int, window: int, block: int, seed: int) -> DataFrame:
-    """What the windows of the sorted passes find, each pair counted once."""
-    keyed = classes.select("cid", "label", "vector").mapInPandas(_keys(passes, bits, seed), "cid long, label long, dim int, keys array<long>")
+def _sorted_passes(classes: DataFrame, threshold: float, miss: float, bits: int, window: int, block: int, seed: int) -> DataFrame:
+    """What the windows of the sorted passes find, each pair counted once: a, b, links, crowded."""
+    sizes = classes.groupBy("label", F.size("vector").alias("dim")).agg(F.count("*").alias("n"))
+    sized = spread_join(classes.select("cid", "label", "vector", F.size("vector").alias("dim")).withColumn("group", F.xxhash64("label", "dim")), sizes.select(F.xxhash64("label", "dim").alias("group"), "n", passes_for(F.col("n"), window=window, threshold=threshold, miss=miss).alias("passes")), "group")
+    keyed = sized.select("cid", "label", "vector", "passes").mapInPandas(_keys(bits, seed), "cid long, label long, dim int, keys array<long>")
     # Vectors with one key stand in another order in each pass, so that a dense group's members meet others each time.
     runs = keyed.select("cid", "label", "dim", F.posexplode("keys").alias("run", "key")).withColumn("tie", F.xxhash64("run", "cid"))
     order = ["run", "label", "dim", "key", "tie", "cid"]
@@ -153,10 +166,10 @@ def _sorted_passes(classes: DataFrame, threshold: float, passes: int, bits: int,
     carried = classes.join(places, "cid").select("cid", "label", "vector", "copies", "places", F.posexplode("places").alias("run", "pos"))
     own = (F.col("pos") / block).cast("long")
     carried = carried.withColumn("block", F.explode(F.when(F.col("pos") % block < window, F.array(own, own - 1)).otherwise(F.array(own)))).where("block >= 0")
-    return carried.groupBy("run", "block").applyInPandas(_compare(threshold, window, block), "a long, b long, links long")
+    return carried.groupBy("run", "block").applyInPandas(_compare(threshold, window, block), "a long, b long, links long, crowded boolean")
 
 
-def near_groups(vectors: DataFrame, *, threshold: float = THRESHOLD, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, block: int = BLOCK, seed: int = 1, exact: bool = True, paired: int = PAIRED, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_groups(vectors: DataFrame, *, threshold: float = THRESHOLD, miss: float = MISS, bits: int = BITS, window: int = WINDOW, block: int = BLOCK, paired: int = PAIRED, seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of vectors: id_col, n_links, component_id (the smallest id in reach), kept (it is that one)."""
     if window > block:
         raise ValueError("a block must be as long as the window, or longer")
@@ -169,12 +182,21 @@ def near_groups(vectors: DataFrame, *, threshold: float = THRESHOLD, passes: int
     usable = rows.where("cid is not null")
     # Copies of one vector are one class; its ids are counted once each, map-side.
     classes = cut(usable.groupBy("cid", "id").agg(F.first("label").alias("label"), F.first("vector").alias("vector")).groupBy("cid").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNotNull().alias("some"), "id")).alias("low")))
-    found = cut(_all_pairs(classes, threshold, paired) if exact else _sorted_passes(classes, threshold, passes, bits, window, block, seed))
+    found = cut(_sorted_passes(classes, threshold, miss, bits, window, block, seed))
+    groups = cut(components(found.select("a", "b")))
+    # Components in which links crowd a window, with all that belong to them.
+    crowded = cut(found.where("crowded").select(F.col("a").alias("node")).distinct().join(groups, "node").select("root").distinct())
     counts = found.groupBy("a").agg(F.sum("links").alias("links"))
-    groups = components(found.select("a", "b"))
-    rooted = classes.join(groups, classes["cid"] == groups["node"], "left").select("cid", "copies", "low", F.coalesce("root", "cid").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("lowest"))
-    answers = rooted.join(lowest, "root").join(counts, F.col("cid") == F.col("a"), "left").select("cid", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("lowest.id").alias("component"))
-    out = rows.select("id", "cid").join(answers, "cid", "left")
-    component = F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    if crowded.limit(1).count():
+        dense = groups.join(crowded, "root", "left_semi")
+        members = cut(classes.join(dense.select(F.col("node").alias("cid"), "root"), "cid").select("cid", "root", "vector", "copies"))
+        whole = _all_pairs(members, threshold, paired).groupBy("a").agg(F.sum("links").alias("links"))
+        counts = counts.join(members.select(F.col("cid").alias("a")), "a", "left_anti").unionByName(whole)
+    linked = cut(classes.select("cid", "low").join(groups.select(F.col("node").alias("cid"), "root"), "cid"))
+    lowest = linked.groupBy("root").agg(F.min("low").alias("lowest"), F.count("*").alias("n"))
+    named = spread_join(linked.select("cid", "root"), lowest, "root").select("cid", F.struct("lowest.id").alias("c"))
+    answers = classes.select("cid", "copies", "low").join(named, "cid", "left").join(counts.withColumnRenamed("a", "cid"), "cid", "left")
+    answers = answers.select("cid", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("c", F.struct("low.id")).alias("c"), F.col("copies").alias("n"))
+    out = spread_join(usable.select("id", "cid"), answers, "cid").select("id", "n_links", F.col("c.id").alias("component"))
+    out = out.unionByName(rows.where("cid is null").select("id", F.lit(0).alias("n_links"), F.col("id").alias("component")))
+    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("id")).alias("kept"))

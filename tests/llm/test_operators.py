@@ -308,42 +308,61 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(2000, 2007))
 
 
-def test_vector_windows_stay_exact_across_blocks(spark):
-    rng = np.random.default_rng(8)
-    rows = [(i, (np.ones(8) + rng.standard_normal(8) * 0.05).tolist(), 1) for i in range(300)]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
-    # A window over all of them, in small blocks, finds every pair once.
-    got = {r.vec_id: r.n_links for r in vectors.near_groups(df, window=32, block=32, passes=30).collect()}
-    assert np.mean([got[i] for i in range(300)]) > 0.9 * 299 and max(got.values()) <= 299
+def brute_vectors(x, labels, threshold=0.93):
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    pairs = [(i, j) for i, j in np.argwhere(x @ x.T >= threshold).tolist() if i != j and labels[i] == labels[j]]
+    root = {i: i for i in range(len(x))} | union(range(len(x)), pairs)
+    return np.bincount([i for i, _ in pairs], minlength=len(x)).tolist(), [root[i] for i in range(len(x))]
 
 
-def test_vectors_of_one_dense_group(spark):
-    # More near copies than the windows of all sorted passes hold.
-    rng = np.random.default_rng(9)
-    x = np.ones((7000, 8)) + rng.standard_normal((7000, 8)) * 0.02
-    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>, label int")
-    got = vectors.near_groups(df).agg(F.min("n_links"), F.max("n_links"), F.max("component_id"), F.sum(F.col("kept").cast("int"))).first()
-    assert tuple(got) == (6999, 6999, 0, 1)
-
-
-@pytest.mark.parametrize("paired", [37, 8192])
-def test_vectors_block_by_block(spark, paired):
+@pytest.mark.parametrize(("window", "block"), [(2048, 8192), (32, 64)])
+def test_vectors_of_many_blocks(spark, window, block):
+    # Small windows: several passes, crowded windows, and components in blocks of 37.
     rng = np.random.default_rng(10)
     x = np.repeat(rng.standard_normal((60, 12)), 8, axis=0) + rng.standard_normal((480, 12)) * 0.2
+    x = np.concatenate([x, np.ones((150, 12)) + rng.standard_normal((150, 12)) * 0.1])
     df = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>, label int")
-    got = {r.vec_id: r for r in vectors.near_groups(df, paired=paired).collect()}
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    pairs = [(i, j) for i, j in np.argwhere(x @ x.T >= 0.93).tolist() if i != j and i % 2 == j % 2]
-    root = {i: i for i in range(480)} | union(range(480), pairs)
-    assert [got[i].n_links for i in range(480)] == np.bincount([i for i, _ in pairs], minlength=480).tolist()
-    assert [got[i].component_id for i in range(480)] == [root[i] for i in range(480)]
+    got = {r.vec_id: r for r in vectors.near_groups(df, window=window, block=block, miss=0.0001, paired=37).collect()}
+    links, roots = brute_vectors(x, [i % 2 for i in range(len(x))])
+    assert [got[i].component_id for i in range(len(x))] == roots
+    assert [got[i].n_links for i in range(480, len(x))] == links[480:]
+    assert sum(got[i].n_links for i in range(480)) >= 0.99 * sum(links[:480])
+    if window > len(x):
+        assert [got[i].n_links for i in range(len(x))] == links
 
 
-def test_vector_passes(spark):
-    rng = np.random.default_rng(8)
-    df = spark.createDataFrame([(i, (np.ones(8) + rng.standard_normal(8) * 0.05).tolist(), 1) for i in range(300)], "vec_id bigint, embedding array<double>, label int")
-    got = [r.n_links for r in vectors.near_groups(df, window=32, block=32, passes=30, exact=False).collect()]
-    assert np.mean(got) > 0.9 * 299 and max(got) <= 299
+def test_vectors_of_one_dense_group(spark):
+    # More near copies than windows hold, at the settings in use.
+    rng = np.random.default_rng(9)
+    x = np.ones((10_000, 8)) + rng.standard_normal((10_000, 8)) * 0.02
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>, label int")
+    got = vectors.near_groups(df).agg(F.min("n_links"), F.max("n_links"), F.max("component_id"), F.sum(F.col("kept").cast("int"))).first()
+    assert tuple(got) == (9999, 9999, 0, 1)
+
+
+def test_vectors_of_one_large_label(spark, tmp_path):
+    # 1,500 pairs just above the threshold among 200,000 vectors of one label, at the settings in use.
+    rng = np.random.default_rng(12)
+    n, pairs, d = 200_000, 1500, 32
+    x = rng.standard_normal((n, d))
+    y = rng.standard_normal((pairs, d))
+    at = x[:pairs] / np.linalg.norm(x[:pairs], axis=1)[:, None]
+    y -= (y * at).sum(axis=1)[:, None] * at
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    near = 0.9305 * at + np.sqrt(1 - 0.9305**2) * y
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"vec_id": np.arange(n + pairs), "embedding": list(np.concatenate([x, near])), "label": np.ones(n + pairs, "int32")}), tmp_path / "v.parquet")
+    df = spark.read.parquet(str(tmp_path / "v.parquet")).repartition(16)
+    got = vectors.near_groups(df).where(f"vec_id >= {n}").where(f"component_id = vec_id - {n} and n_links >= 1").count()
+    assert got >= 0.99 * pairs
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (2, [1.0, 0.01], 1), (None, [0.0, 1.0], 1)]
+    got = vectors.near_groups(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert sorted(map(str, ((r.vec_id, r.n_links, r.component_id) for r in got))) == sorted(map(str, [(1, 1, 1), (1, 1, None), (2, 1, 1), (2, 1, 1), (None, 1, None)]))
 
 
 # 6
