@@ -20,7 +20,7 @@ class Tree:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def spaces(self) -> DataFrame:
-        return self.read("region").select(F.concat(F.lit("r"), "r_regionkey").alias("space_id"), F.upper(F.substring("r_name", 1, 3)).alias("space_key"), F.col("r_name").alias("name"), F.lit("").alias("homepage_id"))
+        return self.read("region").select(F.concat(F.lit("r"), "r_regionkey").alias("space_id"), F.upper(F.substring("r_name", 1, 3)).alias("space_key"), F.col("r_name").alias("name"), F.when(F.col("r_regionkey") % 2 == 0, "global").otherwise("personal").alias("type"), F.lit("").alias("homepage_id"))
 
     def folders(self) -> DataFrame:
         n = self.read("nation")

@@ -153,18 +153,25 @@ def rendered_media(pairs: DataFrame, named: DataFrame, digests: DataFrame, deriv
     return rows.select("page_id", "xml_title", shown.alias("local_name"), F.when(~F.col("preview_fresh"), F.col("png_digest")).alias("png_digest")).where("local_name is not null")
 
 
-def available_media(named: DataFrame, digests: DataFrame, rendered: DataFrame, *, media: bool = True) -> DataFrame:
-    """page_id, names: sorted file names that a rendered page may link to."""
+def available_media(named: DataFrame, digests: DataFrame, rendered: DataFrame, *, media: bool = True, carried: DataFrame | None = None) -> DataFrame:
+    """page_id, names: sorted file names that a rendered page may link to. carried: page_id, file of states carried on from an incomplete listing."""
     have = named.join(digests.select("att_id", "version").distinct(), ["att_id", "version"], "left_semi").select("page_id", "local_name")
     names = have.unionByName(rendered.select("page_id", "local_name"))
+    if carried is not None:
+        names = names.unionByName(carried.where("file <> ''").select("page_id", F.col("file").alias("local_name")))
     return (names if media else names.where(F.lit(False))).groupBy("page_id").agg(F.array_sort(F.collect_set("local_name")).alias("names"))
 
 
-def media_manifest(named: DataFrame, placed: DataFrame, digests: DataFrame) -> DataFrame:
-    """page_id, path, digest, mtime of each attachment whose bytes are there."""
+def media_manifest(named: DataFrame, placed: DataFrame, digests: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
+    """page_id, path, digest, mtime of each attachment whose bytes are there, and of each rendering that isn't one (its mtime is null)."""
     dirs = placed.where("kind = 'page'").select(F.col("node_id").alias("page_id"), "dir")
     bytes_of = digests.select("att_id", "version", "digest").dropDuplicates(["att_id", "version"])
-    return named.join(dirs, "page_id").join(bytes_of, ["att_id", "version"]).select("page_id", F.concat("dir", F.lit("/.media/"), "local_name").alias("path"), "digest", parse_mtime(F.col("created_at")).alias("mtime"))
+    files = named.join(bytes_of, ["att_id", "version"]).select("page_id", "local_name", "digest", parse_mtime(F.col("created_at")).alias("mtime"))
+    if rendered is not None:
+        # Of diagrams of one title on a page, one rendering stands under the name.
+        made = rendered.where("png_digest is not null").groupBy("page_id", "local_name").agg(F.min("png_digest").alias("digest"))
+        files = files.unionByName(made.withColumn("mtime", F.lit(None).cast("double")))
+    return files.join(dirs, "page_id").select("page_id", F.concat("dir", F.lit("/.media/"), "local_name").alias("path"), "digest", "mtime")
 
 
 def decode_diagram(content: bytes) -> str:

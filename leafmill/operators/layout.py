@@ -115,6 +115,11 @@ def preorder(paths: DataFrame) -> DataFrame:
     return inside.join(before.drop("count"), ["space_id", "top"]).withColumn("ord", (F.col("_before") + F.col("_n")).cast("long")).drop("_n", "_before", "top")
 
 
+def in_order(paths: DataFrame) -> DataFrame:
+    """Pages as a depth-first walk of each space meets them."""
+    return preorder(paths).orderBy("space_id", "ord")
+
+
 def layout(spaces: DataFrame, pages: DataFrame, folders: DataFrame) -> DataFrame:
     """space_id, node_id, kind, title, parent_id, segment, dir, file, path_ids, ranks of every node that a root reaches."""
     placed = assemble_paths(allocate_segments(sibling_rank(resolve_parents(nodes(pages, folders)))), spaces)
@@ -180,10 +185,10 @@ def current_only(pages: DataFrame, include_archived: bool = False) -> DataFrame:
 
 
 def page_tree(placed: DataFrame) -> DataFrame:
-    """Lines of the tree as text: two spaces a level, folders with a slash at their end."""
+    """Lines of the tree as text, by path: two spaces a level, folders with a slash at their end."""
     depth = F.greatest(F.size(F.split("dir", "/")) - 2, F.lit(0))
     name = F.concat(F.element_at(F.split("dir", "/"), -1), F.when(F.col("kind") == "folder", "/").otherwise(""))
-    return placed.where("kind in ('page', 'folder')").select("space_id", F.col("dir").alias("path"), F.concat(F.repeat(F.lit("  "), depth), name).alias("line"), depth.cast("long").alias("depth"))
+    return placed.where("kind in ('page', 'folder')").select("space_id", F.col("dir").alias("path"), F.concat(F.repeat(F.lit("  "), depth), name).alias("line"), depth.cast("long").alias("depth")).orderBy("space_id", "path")
 
 
 def find_pages(placed: DataFrame, pages: DataFrame, query: str) -> DataFrame:

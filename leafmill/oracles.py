@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 TREE = """
-spaces as (select 'r' || r_regionkey space_id, r_name as name from region),
+spaces as (select 'r' || r_regionkey space_id, upper(substr(r_name, 1, 3)) space_key, r_name as name, case when r_regionkey % 2 = 0 then 'global' else 'personal' end as "type" from region),
 folders as (select 'r' || n_regionkey space_id, 'n' || n_nationkey node_id, 'folder' kind, n_name title, '' parent_id, n_nationkey::int position, false archived from nation),
 pages as (
   select 'r' || n_regionkey space_id, 'c' || c_custkey page_id, c_mktsegment title, 'n' || c_nationkey parent_id, 'folder' parent_type, (c_custkey % 7)::int position, 'current' status, 1 as version, 'u' || (c_custkey % 50) author
@@ -72,8 +72,8 @@ pairs as (select d.page_id, xml_id, xml_title, xml_version, png_id, png_version,
 """
 
 DIGESTS = """,
-digests as (select distinct att_id, version, sha256(att_id || '@' || version) digest from listed where substr(page_id, 2)::bigint % 5 <> 0),
-derived as (select case when split_part(att_id, '-', 1)::bigint % 2 = 0 then 2 else 1 end render_version, digest xml_digest, sha256('png' || digest) png_digest from digests where split_part(att_id, '-', 1)::bigint % 3 = 0)
+digests as (select distinct att_id, version, sha256(att_id || '@' || version) digest from listed where file_size % 5 <> 0),
+derived as (select case when ascii(substr(digest, 2)) % 2 = 0 then 2 else 1 end render_version, digest xml_digest, sha256('png' || digest) png_digest from digests where ascii(digest) % 3 = 0)
 """
 
 

@@ -17,6 +17,14 @@ KEY = ["space_id", "page_id"]
 MASS_PART, MASS_LEAST = 0.5, 10
 
 
+def flagged(rows: DataFrame, flags: DataFrame | None, **defaults: bool) -> DataFrame:
+    """rows with a column for each flag, as flags (space_id and some of them) says for their space, else the default."""
+    known = [f for f in defaults if flags is not None and f in flags.columns]
+    if known:
+        rows = rows.join(flags.select("space_id", *[F.col(f).alias(f"_{f}") for f in known]), "space_id", "left")
+    return rows.withColumns({f: F.coalesce(F.col(f"_{f}"), F.lit(d)) if f in known else F.lit(d) for f, d in defaults.items()}).drop(*[f"_{f}" for f in known])
+
+
 def skip_or_write(plan: DataFrame, state: DataFrame, present: DataFrame | None = None) -> DataFrame:
     """Each planned page with action 'skip' (nothing about it changed, its output is there) or 'write', and whether it moved."""
     old = state.select(*KEY, F.col("dir").alias("old_dir"), F.col("file").alias("old_file"), F.col("fingerprint").alias("_fp"))
@@ -48,35 +56,38 @@ def missing_from_plan(state: DataFrame, plan: DataFrame) -> DataFrame:
     return state.join(plan.select(*KEY), KEY, "left_anti")
 
 
-def survivors(state: DataFrame, plan: DataFrame, listed: DataFrame, *, include_archived: bool, scope: str | None = None, no_children: bool = False) -> DataFrame:
-    """Previous pages that aren't planned, with kept: archived ones this run didn't fetch, live ones out of scope, others out of scope."""
+def survivors(state: DataFrame, plan: DataFrame, listed: DataFrame, *, include_archived: bool, scope: str | None = None, no_children: bool = False, flags: DataFrame | None = None) -> DataFrame:
+    """Previous pages that aren't planned, with kept: archived ones this run didn't fetch, live ones out of scope, others out of scope.
+
+    flags: include_archived by space, where spaces differ.
+    """
     rows = missing_from_plan(state, plan).join(listed.select(*KEY, F.lit(True).alias("_listed")), KEY, "left")
-    kept = F.coalesce("_listed", F.lit(False))
-    if not include_archived:
-        kept = kept | (F.col("status") == "archived")
+    rows = flagged(rows, flags, include_archived=include_archived)
+    kept = F.coalesce("_listed", F.lit(False)) | (~F.col("include_archived") & (F.col("status") == "archived"))
     if scope is not None:
         kept = kept | ~(F.col("dir") == scope if no_children else in_scope(F.col("dir"), F.lit(scope)))
-    return rows.withColumn("kept", kept).drop("_listed")
+    return rows.withColumn("kept", kept).drop("_listed", "include_archived")
 
 
 def prune_set(*args, **kwargs) -> DataFrame:
     return survivors(*args, **kwargs).where("not kept").select(*KEY, "dir", "file")
 
 
-def guard_verdicts(spaces: DataFrame, plan: DataFrame, state: DataFrame, *, include_archived: bool, full: bool = True, allow_mass_delete: bool = False, resolved: bool = True) -> DataFrame:
-    """One row per space: verdict ok, keep_all (delete nothing, state stays) or error (another space's output), with why.
+def guard_verdicts(spaces: DataFrame, plan: DataFrame, state: DataFrame, *, include_archived: bool, full: bool = True, allow_mass_delete: bool = False, resolved: bool = True, flags: DataFrame | None = None) -> DataFrame:
+    """One row per space: verdict ok, keep_all (delete nothing, state stays) or error (another space's output or snapshot), with why.
 
-    spaces: space_id, space_key and those the state was written for (state_space_id, state_space_key; '' unknown).
+    spaces: space_id, space_key, those the state was written for (state_space_id, state_space_key; '' unknown) and, where an
+    earlier snapshot is used again, that one's space (snapshot_space_key). flags: include_archived by space.
     """
     plan_n = plan.groupBy("space_id").agg(F.count("*").alias("planned"))
     prev_n = state.groupBy("space_id").agg(F.count("*").alias("previous"))
-    gone = missing_from_plan(state, plan)
-    gone = gone if include_archived else gone.where("status <> 'archived'")
+    gone = flagged(missing_from_plan(state, plan), flags, include_archived=include_archived).where("include_archived or status <> 'archived'")
     gone_n = gone.groupBy("space_id").agg(F.count("*").alias("prunable"))
     rows = spaces.join(plan_n, "space_id", "left").join(prev_n, "space_id", "left").join(gone_n, "space_id", "left").fillna(0, ["planned", "previous", "prunable"])
     a, b, c, d = (F.trim(F.coalesce(x, F.lit(""))) for x in ("state_space_id", "space_id", "state_space_key", "space_key"))
     other = F.when((a != "") & (b != ""), a != b).when((c != "") & (d != ""), c != d).otherwise(False)
-    why = F.when((F.col("previous") > 0) & other, "other_space")
+    reused = F.trim(F.coalesce("snapshot_space_key", F.lit(""))) if "snapshot_space_key" in spaces.columns else F.lit("")
+    why = F.when((reused != "") & (reused != d), "other_snapshot").when((F.col("previous") > 0) & other, "other_space")
     if full:
         why = why.when((F.col("planned") == 0) & (F.col("previous") > 0), "empty_plan")
         if not allow_mass_delete:
@@ -84,7 +95,7 @@ def guard_verdicts(spaces: DataFrame, plan: DataFrame, state: DataFrame, *, incl
     elif not resolved:
         why = why.when(F.lit(True), "unresolved_scope")
     why = why.otherwise("")
-    verdict = F.when(why == "", "ok").when(why == "other_space", "error").otherwise("keep_all")
+    verdict = F.when(why == "", "ok").when(why.isin("other_space", "other_snapshot"), "error").otherwise("keep_all")
     return rows.select("space_id", "planned", "previous", "prunable", verdict.alias("verdict"), why.alias("why"))
 
 
@@ -115,26 +126,35 @@ def stale_folders(previous: DataFrame, new: DataFrame, scope: str | None = None)
     return rows.select("space_id", "folder_id", "dir", F.size(F.split("dir", "/")).cast("long").alias("depth")).orderBy(F.desc("depth"), "dir")
 
 
-def carry_media(previous: DataFrame, current: DataFrame, *, media: bool, complete: bool) -> DataFrame:
-    """Attachment states of a page for the new state: (space_id, page_id, att_id, version, file, blob, carried).
+def carry_media(previous: DataFrame, current: DataFrame, *, media: bool = True, complete: bool = True, moved: DataFrame | None = None, flags: DataFrame | None = None) -> DataFrame:
+    """Attachment states of written pages for the new state: (space_id, page_id, att_id, version, file, blob, carried).
 
-    Media off: the previous ones. An attachment whose new version has no bytes keeps its previous state; one that the
-    listing lacks is carried if the listing is incomplete.
+    Media off: the previous ones. What the listing lacks is carried if the listing is incomplete. On a page that moved
+    (moved: space_id, page_id; None: all did), an attachment without bytes of its new version keeps its previous state, so
+    that its last good bytes are put at the new place, unless its old name is another's by now. flags: media and complete
+    by space, from `completeness` and the run's options.
     """
-    if not media:
-        return previous.select(*KEY, "att_id", "version", "file", "blob", F.lit(True).alias("carried"))
     old = previous.select(*KEY, "att_id", *[F.col(c).alias(f"_{c}") for c in ("version", "file", "blob")])
     rows = current.withColumn("_listed", F.lit(True)).join(old, [*KEY, "att_id"], "full_outer")
-    use_old = F.col("_blob").isNotNull() & (F.coalesce("blob", F.lit("")) == "") & (F.col("_listed").isNotNull() | F.lit(not complete))
-    out = rows.select(*KEY, "att_id", *[F.when(use_old, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("version", "file", "blob")], use_old.alias("carried"))
-    return out.where(F.coalesce("blob", F.lit("")) != "")
-
-
-def stale_media(previous: DataFrame, current: DataFrame, rendered: DataFrame, *, complete: bool = True) -> DataFrame:
-    """Previous media files of pages written in place that nothing names any more."""
+    if moved is not None:
+        rows = rows.join(moved.select(*KEY).distinct().withColumn("_moved", F.lit(True)), KEY, "left")
+    # Names under which this run has put bytes on the page.
+    put = current.where("coalesce(blob, '') <> ''").select(*KEY, nfc_casefold("file").alias("_key")).distinct().withColumn("_put", F.lit(True))
+    rows = rows.withColumn("_key", nfc_casefold("_file")).join(put, [*KEY, "_key"], "left")
+    rows = flagged(rows, flags, media=media, complete=complete)
+    there, had, listed = F.coalesce("blob", F.lit("")) != "", F.coalesce("_blob", F.lit("")) != "", F.col("_listed").isNotNull()
+    rescued = listed & ~there & had & F.col("_put").isNull() & (F.coalesce("_moved", F.lit(False)) if moved is not None else F.lit(True))
+    lacking = ~listed & F.col("_version").isNotNull()
+    use_old = F.when(~F.col("media"), F.col("_version").isNotNull()).otherwise(rescued | (lacking & ~F.col("complete")))
+    stays = F.when(~F.col("media"), F.col("_version").isNotNull()).otherwise(listed | ~F.col("complete"))
+    return rows.withColumn("carried", use_old).where(stays).select(*KEY, "att_id", *[F.when(F.col("carried"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("version", "file", "blob")], "carried")
+
+
+def stale_media(previous: DataFrame, current: DataFrame, rendered: DataFrame, *, complete: bool = True, flags: DataFrame | None = None) -> DataFrame:
+    """Previous media files of pages written in place that nothing names any more; none of spaces whose listing is incomplete."""
     now = current.select(*KEY, "file").unionByName(rendered.select(*KEY, "file")).withColumn("key", nfc_casefold("file"))
-    old = previous.select(*KEY, "file").withColumn("key", nfc_casefold("file"))
-    return (old if complete else old.where(F.lit(False))).join(now, [*KEY, "key"], "left_anti").select(*KEY, "file")
+    old = flagged(previous.select(*KEY, "file"), flags, complete=complete).where("complete and file <> ''").withColumn("key", nfc_casefold("file"))
+    return old.join(now, [*KEY, "key"], "left_anti").select(*KEY, "file")
 
 
 def merge_derived(previous: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -152,8 +172,13 @@ def keep_set(bodies: DataFrame, attachments: DataFrame, derived: DataFrame, fres
     return out.where("digest <> ''").distinct()
 
 
-def blob_gc(blobs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Digests to delete; an empty keep set beside existing blobs is refused."""
+def blob_gc(blobs: DataFrame, keep: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """Digests to delete; an empty keep set beside existing blobs is refused.
+
+    Spaces share their blobs, so while any space is guarded (verdicts) nothing is deleted.
+    """
+    if verdicts is not None and verdicts.where("verdict <> 'ok'").limit(1).count():
+        return blobs.select("digest").limit(0)
     if keep.limit(1).count() == 0 and blobs.limit(1).count():
         raise ValueError("nothing is in use: refusing to delete every blob")
     return blobs.select("digest").join(keep, "digest", "left_anti")
@@ -185,3 +210,25 @@ def export_summary(actions: DataFrame, pruned: DataFrame, warnings: DataFrame |
     return out.fillna(0, ["written", "skipped", "moved", "pruned", "warnings"])
 
 
+def warnings_table(*parts: DataFrame) -> DataFrame:
+    """What went wrong in a run, from all its stages: space_id, stage, kind, key, message."""
+    columns = ("space_id", "stage", "kind", "key", "message")
+    out = parts[0].select(*columns)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*columns))
+    return out
+
+
+def guard_warnings(verdicts: DataFrame) -> DataFrame:
+    return verdicts.where("verdict <> 'ok'").select("space_id", F.lit("guard").alias("stage"), F.col("why").alias("kind"), F.col("space_id").alias("key"), F.concat_ws(" ", F.lit("planned"), "planned", F.lit("of"), "previous", F.lit("would prune"), "prunable").alias("message"))
+
+
+def render_warnings(rendered: DataFrame) -> DataFrame:
+    """The warnings of rendered pages, a row each; the kind stands before the colon."""
+    rows = rendered.select("space_id", "page_id", F.explode("warnings").alias("w"))
+    return rows.select("space_id", F.lit("render").alias("stage"), F.substring_index("w", ": ", 1).alias("kind"), F.col("page_id").alias("key"), F.regexp_replace("w", "^[^:]*: ", "").alias("message"))
+
+
+def download_warnings(downloads: DataFrame) -> DataFrame:
+    """Attachments that can't be fetched, as their address isn't the site's: space_id and what download_plan gives."""
+    return downloads.where("url = ''").select("space_id", F.lit("download").alias("stage"), F.lit("no address").alias("kind"), F.col("att_id").alias("key"), F.concat(F.lit("attachment of page "), "page_id").alias("message"))

@@ -58,6 +58,19 @@ def without_failed_media(pages: DataFrame, failed: DataFrame) -> DataFrame:
     return pages.join(bad, ["space_id", "page_id"], "left").withColumn("fingerprint", F.when(F.col("_bad"), "").otherwise(F.col("fingerprint"))).drop("_bad")
 
 
-def write_documents(rows: DataFrame, folder: str) -> None:
-    """space_id, rel_path, content: the export as a table, by space."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("space_id").parquet(folder)
+def write_documents(rows: DataFrame, folder: str, run: int) -> None:
+    """space_id, rel_path, content of what a run has written, beside the runs before it."""
+    rows.write.mode("overwrite").partitionBy("space_id").parquet(f"{folder}/documents/run={run}")
+
+
+def load_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """space_id, rel_path, content of all documents in force: those the state names, as the last published run wrote them."""
+    names = load_state(spark, folder, "state_pages").select("space_id", F.col("file").alias("rel_path"))
+    version = current_version(spark, folder)
+    if not version:
+        return names.withColumn("content", F.lit(""))
+    kind = "rel_path string, content string, run int, space_id string"
+    written = spark.read.schema(kind).parquet(f"{folder}/documents").where(F.col("run") <= version)
+    # The last run that wrote a path is found without contents, which then come by a join.
+    last = written.groupBy("space_id", "rel_path").agg(F.max("run").alias("run"))
+    return written.join(last, ["space_id", "rel_path", "run"]).join(names, ["space_id", "rel_path"], "left_semi").select("space_id", "rel_path", "content")

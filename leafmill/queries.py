@@ -118,7 +118,7 @@ def a9_counts(t: Tree) -> DataFrame:
     return placed(t).where("kind = 'page'").groupBy("space_id").agg(F.count("*").alias("pages"))
 
 
-# Attachments of orders. A digest stands for the bytes: those of every fifth order are missing.
+# Attachments of orders. A digest stands for the bytes: those of files of some sizes are missing.
 
 
 def listed(t: Tree) -> DataFrame:
@@ -130,14 +130,14 @@ def named(t: Tree) -> DataFrame:
 
 
 def digests(t: Tree) -> DataFrame:
-    rows = listed(t).where(F.substring("page_id", 2, 20).cast("long") % 5 != 0)
+    rows = listed(t).where(F.col("file_size") % 5 != 0)
     return rows.select("att_id", "version", F.sha2(F.concat_ws("@", "att_id", F.col("version").cast("string")), 256).alias("digest"))
 
 
 def derived(t: Tree) -> DataFrame:
-    """Every third diagram has a cached rendering, of the current version or the one before."""
-    n = F.substring_index("att_id", "-", 1).cast("long")
-    return digests(t).where(n % 3 == 0).select((F.when(n % 2 == 0, 2).otherwise(1)).alias("render_version"), F.col("digest").alias("xml_digest"), F.sha2(F.concat(F.lit("png"), "digest"), 256).alias("png_digest"))
+    """Some bytes have a cached rendering, of the current version or the one before."""
+    code = lambda at: F.ascii(F.substring("digest", at, 1))
+    return digests(t).where(code(1) % 3 == 0).select((F.when(code(2) % 2 == 0, 2).otherwise(1)).alias("render_version"), F.col("digest").alias("xml_digest"), F.sha2(F.concat(F.lit("png"), "digest"), 256).alias("png_digest"))
 
 
 def blobs(t: Tree) -> DataFrame:
@@ -168,18 +168,16 @@ def a10_unambiguous_fold(t: Tree) -> DataFrame:
     q(
         ATT + NAMED,
         """select distinct r.page_id, r.att_id, r.title, coalesce(i.local_name, e.local_name, f.local_name, r.title) local_name
-        from (select page_id, case when ord % 2 = 0 then att_id else '' end att_id, case when ord % 3 = 0 then upper(title) else title end title from atts) r
+        from (select page_id, case when ascii(md5(att_id)) % 2 = 0 then att_id else '' end att_id, case when ascii(substr(md5(att_id), 2)) % 3 = 0 then upper(title) else title end title from atts) r
         left join named i on i.page_id = r.page_id and i.att_id = r.att_id
         left join (select page_id, title, arg_min(local_name, (created_at, att_id, local_name)) local_name from named group by 1, 2) e on e.page_id = r.page_id and e.title = r.title
         left join (select page_id, lower(title) t, min(local_name) local_name from named group by 1, 2 having count(*) = 1) f on f.page_id = r.page_id and f.t = lower(r.title)""",
     )
 )
 def j5_resolve_attachment_refs(t: Tree) -> DataFrame:
-    # Ordinals as the oracle has them: a total order of the listing.
-    from pyspark.sql import Window as W
-
-    rows = t.attachments().withColumn("ord", F.row_number().over(W.orderBy("listing")))
-    refs = rows.select("page_id", F.when(F.col("ord") % 2 == 0, F.col("att_id")).otherwise("").alias("att_id"), F.when(F.col("ord") % 3 == 0, F.upper("title")).otherwise(F.col("title")).alias("title"))
+    # Half of the references give the id, a third the title in other letters.
+    code = lambda at: F.ascii(F.substring(F.md5("att_id"), at, 1))
+    refs = t.attachments().select("page_id", F.when(code(1) % 2 == 0, F.col("att_id")).otherwise("").alias("att_id"), F.when(code(2) % 3 == 0, F.upper("title")).otherwise(F.col("title")).alias("title"))
     return A.resolve_refs(refs, named(t)).select("page_id", "att_id", "title", "local_name").distinct()
 
 
@@ -231,9 +229,16 @@ def j21_available_media(t: Tree) -> DataFrame:
     return A.available_media(named(t), digests(t), rendered(t)).select("page_id", F.array_join("names", "|").alias("names"))
 
 
-@query(q(LAYOUT + ", " + ATT + NAMED + DIGESTS, "select n.page_id, dir || '/.media/' || local_name as path, digest, epoch(created_at::timestamp)::double mtime from named n join placed l on l.node_id = n.page_id and l.kind = 'page' join digests d on d.att_id = n.att_id and d.version = n.version"))
+@query(
+    q(
+        LAYOUT + ", " + ATT + NAMED + PAIRS + DIGESTS + RENDERED,
+        """select f.page_id, dir || '/.media/' || local_name as path, digest, mtime from (
+        select n.page_id, local_name, digest, epoch(created_at::timestamp)::double mtime from named n join digests d on d.att_id = n.att_id and d.version = n.version
+        union all select page_id, local_name, min(png_digest), null from rendered where png_digest <> '' group by 1, 2) f join placed l on l.node_id = f.page_id and l.kind = 'page'""",
+    )
+)
 def s14_media_manifest(t: Tree) -> DataFrame:
-    return A.media_manifest(named(t), placed(t), digests(t))
+    return A.media_manifest(named(t), placed(t), digests(t), rendered(t))
 
 
 @query(q(ATT, "select page_id, att_id, version, 'https://wiki.example.com/wiki/rest/api/content/' || page_id || '/child/attachment/' || att_id || '/download' url, case when file_size > 0 then greatest(file_size * 2, 268435456) else 8589934592 end::bigint cap from listed"))
@@ -241,10 +246,10 @@ def s15_download_plan(t: Tree) -> DataFrame:
     return A.download_plan(listed(t).withColumn("download_url", F.lit("")), "https://wiki.example.com")
 
 
-@query("select doc_id, greatest(1, case when n_chars > 0 then least(greatest(1, least(3, round_even(14.0 / (2 + doc_id % 16), 0)::int)), floor(12000.0 / (n_chars + doc_id % 5))::int) else 1 end)::int scale from documents where n_chars > 0")
+@query("select doc_id, greatest(1, least(greatest(1, least(3, round_even(14.0 / (2 + doc_id % 16), 0)::int)), floor(12000.0 / greatest(n_chars + doc_id % 5, 1))::int))::int scale from documents")
 def a7_render_scale(t: Tree) -> DataFrame:
     model = F.concat(F.lit('<mxGraphModel><mxCell style="fontSize='), (2 + F.col("doc_id") % 16).cast("string"), F.lit(';"/><mxGeometry x="'), (F.col("doc_id") % 5).cast("string"), F.lit('" y="0" width="'), F.col("n_chars").cast("string"), F.lit('" height="1"/><mxGeometry x="0" y="0" width="1" height="1"/></mxGraphModel>'))
-    return t.read("documents").where("n_chars > 0").select("doc_id", A.render_scale(model).alias("scale"))
+    return t.read("documents").select("doc_id", A.render_scale(model).alias("scale"))
 
 
 # Bodies: documents as pages of their source.
@@ -270,12 +275,13 @@ def f3_needs_body(t: Tree) -> DataFrame:
     return B.needs_body(documents(t)).select("space_id", "page_id")
 
 
-@query("select source space_id, doc_id::varchar page_id, case when doc_id % 2 = 0 and text <> '' and sha256(text) not in (select sha256(text) from documents where doc_id % 3 = 0) then sha256(text) else 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855' end digest from documents where doc_id % 4 = 0")
+@query(f"select source space_id, doc_id::varchar page_id, case when length(text) % 2 = 0 and text <> '' and ascii(sha256(text)) % 3 <> 0 then sha256(text) else '{B.EMPTY}' end digest from documents")
 def j4_carry_failed_bodies(t: Tree) -> DataFrame:
-    _, links, _ = B.store_bodies(documents(t))
-    n = F.col("page_id").cast("long")
-    gone = links.where(n % 3 == 0).select("digest").distinct()
-    return B.carry_failed_bodies(documents(t).where(n % 4 == 0), links.where(n % 2 == 0), links.select("digest").distinct().join(gone, "digest", "left_anti"))
+    """No body could be had. Before, those of an even length were there; some of their bytes are gone."""
+    pages = documents(t)
+    _, links, _ = B.store_bodies(pages)
+    _, before, _ = B.store_bodies(pages.where(F.char_length("body") % 2 == 0))
+    return B.carry_failed_bodies(pages, before, links.where(F.ascii("digest") % 3 != 0).select("digest").distinct())
 
 
 @query(q(TREE, "select distinct author from pages where author <> ''"))
@@ -319,9 +325,9 @@ def a2b_latest_versions(t: Tree) -> DataFrame:
     return B.latest_versions(edits).select("page_id", "number", "created_at")
 
 
-@query("select distinct space_id, space_key, name from (select 'r' || r_regionkey space_id, upper(substr(r_name, 1, 3)) space_key, r_name as name from region)")
+@query(q(TREE, "select space_id, space_key, name, \"type\" from spaces"))
 def f5_list_spaces(t: Tree) -> DataFrame:
-    return t.spaces().select("space_id", "space_key", "name")
+    return t.spaces().select("space_id", "space_key", "name", "type")
 
 
 # Two snapshots: what a run does, given what the one before left.
@@ -390,9 +396,9 @@ def u4_added_deleted(t: Tree) -> DataFrame:
 @query(
     q(
         SNAPSHOTS,
-        """select space_id, planned, previous, prunable, case when why = '' then 'ok' when why = 'other_space' then 'error' else 'keep_all' end verdict, why from (
+        """select space_id, planned, previous, prunable, case when why = '' then 'ok' when why in ('other_space', 'other_snapshot') then 'error' else 'keep_all' end verdict, why from (
         select s.space_id, coalesce(p.n, 0) planned, coalesce(o.n, 0) previous, coalesce(g.n, 0) prunable,
-          case when coalesce(o.n, 0) > 0 and s.space_id = 'r4' then 'other_space' when coalesce(p.n, 0) = 0 and coalesce(o.n, 0) > 0 then 'empty_plan' when coalesce(o.n, 0) >= 10 and coalesce(g.n, 0) > o.n * 0.5 then 'mass_delete' else '' end why
+          case when s.space_id = 'r1' then 'other_snapshot' when coalesce(o.n, 0) > 0 and s.space_id = 'r4' then 'other_space' when coalesce(p.n, 0) = 0 and coalesce(o.n, 0) > 0 then 'empty_plan' when coalesce(o.n, 0) >= 10 and coalesce(g.n, 0) > o.n * 0.5 then 'mass_delete' else '' end why
         from spaces s
         left join (select space_id, count(*) n from now_plan where space_id <> 'r2' and (space_id <> 'r3' or page_id like 'o%1') group by 1) p on p.space_id = s.space_id
         left join (select space_id, count(*) n from old_plan group by 1) o on o.space_id = s.space_id
@@ -401,9 +407,9 @@ def u4_added_deleted(t: Tree) -> DataFrame:
 )
 def a8_guard_verdicts(t: Tree) -> DataFrame:
     state, new, _ = before_and_now(t)
-    # Space r2 lists nothing, r3 a tenth; r4's output was another space's.
+    # Space r2 lists nothing, r3 a tenth; r4's output was another space's, r1's snapshot is.
     new = new.where("space_id <> 'r2' and (space_id <> 'r3' or page_id like 'o%1')")
-    spaces = t.spaces().withColumn("state_space_id", F.when(F.col("space_id") == "r4", "r9").otherwise(F.col("space_id"))).withColumn("state_space_key", F.lit(""))
+    spaces = t.spaces().withColumn("state_space_id", F.when(F.col("space_id") == "r4", "r9").otherwise(F.col("space_id"))).withColumn("state_space_key", F.lit("")).withColumn("snapshot_space_key", F.when(F.col("space_id") == "r1", "ZZZ").otherwise(""))
     return R.guard_verdicts(spaces, new, state, include_archived=False)
 
 
@@ -468,10 +474,19 @@ now_media as (select space_id, page_id, att_id, version + case when n % 3 = 0 th
 """
 
 
-@query(q(ATT + STATES, "select space_id, page_id, att_id, case when coalesce(c.blob, '') = '' then o.version else c.version end as version, case when coalesce(c.blob, '') = '' then o.file else c.file end file, coalesce(c.blob, '') = '' carried from now_media c full join old_media o using (space_id, page_id, att_id)"))
+@query(
+    q(
+        ATT + STATES,
+        """select space_id, page_id, att_id, case when carried then o_version else c_version end as version, case when carried then o_file else c_file end file, carried from (
+        select space_id, page_id, att_id, o.version o_version, o.file o_file, c.version c_version, c.file c_file, c.att_id is null or (c.blob = '' and substr(page_id, 2)::bigint % 2 = 0
+          and lower(o.file) not in (select lower(p.file) from now_media p where p.page_id = o.page_id and p.blob <> '')) carried from now_media c full join old_media o using (space_id, page_id, att_id))""",
+    )
+)
 def j18_carry_media(t: Tree) -> DataFrame:
+    """An incomplete listing; every other page has moved."""
     old, now = media_states(t)
-    return R.carry_media(old, now, media=True, complete=False).select("space_id", "page_id", "att_id", "version", "file", "carried")
+    moved = old.select("space_id", "page_id").where(F.substring("page_id", 2, 20).cast("long") % 2 == 0)
+    return R.carry_media(old, now, complete=False, moved=moved).select("space_id", "page_id", "att_id", "version", "file", "carried")
 
 
 @query(q(ATT + STATES, "select o.space_id, o.page_id, o.file from old_media o where not exists (select 1 from now_media c where c.page_id = o.page_id and lower(c.file) = lower(o.file))"))
@@ -480,14 +495,20 @@ def j19_stale_media(t: Tree) -> DataFrame:
     return R.stale_media(old, now, now.limit(0).select("space_id", "page_id", "file"))
 
 
-@query(q(TREE + ", " + ATT + NAMED + DIGESTS, "select count(*) as pages, count(distinct page_id) as fingerprints from pages"))
+@query(
+    q(
+        TREE + ", " + ATT + NAMED,
+        """, files as (select page_id, string_agg('{"att_id":"' || att_id || '","version":' || version || ',"local_name":"' || local_name || '"}', ',' order by att_id, version, local_name) atts from named group by 1)
+        select space_id, page_id, sha256('{"version":' || version || ',"converter_version":1,"include_html":false,"media":true,"render_drawio":true,"site_url":"","atts":[' || coalesce(atts, '') || '],"digest":"' || sha256(body)
+        || '","pngs":[],"author_lookup":true,"authors":[{"account_id":"' || author || '","name":"' || case when substr(author, 2)::int % 2 = 0 then 'User ' || substr(author, 2) else '' end || '"}]}') fingerprint
+        from bodies left join files using (page_id)""",
+    )
+)
 def a1_page_fingerprint(t: Tree) -> DataFrame:
-    # Every page has a fingerprint of its own here: its id is in its body. The digest itself is our own format.
     pages = t.pages()
     _, links, _ = B.store_bodies(pages)
     none = pages.select("page_id", F.lit("").alias("png_digest")).limit(0)
-    prints = P.page_fingerprints(pages, named(t), links, none, B.author_resolution(pages, users(t)))
-    return prints.agg(F.count("*").alias("pages"), F.countDistinct("fingerprint").alias("fingerprints"))
+    return P.page_fingerprints(pages, named(t), links, none, B.author_resolution(pages, users(t)))
 
 
 # Names.
@@ -549,12 +570,16 @@ def macro_pages(t: Tree) -> DataFrame:
     || '* [' || case when doc_id % 3 = 0 then 'x' else ' ' end || '] do ' || doc_id as markdown, doc_id % 2 as missing from documents"""
 )
 def r1c_render_macros(t: Tree) -> DataFrame:
+    return rendered_macros(t).select("space_id", "page_id", "markdown", F.size("warnings").cast("long").alias("missing"))
+
+
+def rendered_macros(t: Tree) -> DataFrame:
     """The pages of macro_pages; every other one has the file that it links to."""
     pages = macro_pages(t)
     files = pages.where(F.col("page_id").cast("long") % 2 == 0).select("page_id", F.concat(F.lit("a"), "page_id").alias("att_id"), F.concat(F.lit("f"), "page_id", F.lit(".png")).alias("title"), F.lit("image/png").alias("media_type"), F.lit(1).alias("version"), F.lit("2024").alias("created_at"), F.lit(0).alias("ord"))
     names = A.plan_names(files)
     have = names.groupBy("page_id").agg(F.collect_set("local_name").alias("names"))
-    return J.render_markdown(J.wide(pages, names, have)).select("space_id", "page_id", "markdown", F.size("warnings").cast("long").alias("missing"))
+    return J.render_markdown(J.wide(pages, names, have))
 
 
 @query("select doc_id::varchar page_id, case when doc_id % 2 = 0 then 'info' else 'note' end as \"name\", 'T' || doc_id title, true has_rich_body, 0::bigint depth from documents union all select doc_id::varchar, 'status', 'S', false, 1 from documents")
@@ -572,12 +597,6 @@ def r5_extract_tasks(t: Tree) -> DataFrame:
     return J.extract_tasks(macro_pages(t)).select("page_id", "kind", "done", "text", "depth")
 
 
-@query(q(LAYOUT, "select space_id, dir as rel_path, version from placed l join pages p using (space_id) where p.page_id = l.node_id and l.kind = 'page'"))
-def s13_document_paths(t: Tree) -> DataFrame:
-    rows = placed(t).where("kind = 'page'").select("space_id", F.col("node_id").alias("page_id"), "dir", "file")
-    return rows.join(t.pages().select("space_id", "page_id", "version"), ["space_id", "page_id"]).select("space_id", F.regexp_extract("file", "^(.*)/[^/]*$", 1).alias("rel_path"), "version")
-
-
 @query(q(TREE, "select space_id, page_id, title, parent_id, parent_type, position, status, version, '' web_url from pages"))
 def s8_normalize(t: Tree) -> DataFrame:
     from leafmill.tables import normalize
@@ -647,3 +666,7 @@ def s7_users_from_json(t: Tree) -> DataFrame:
     record = F.struct(F.col("user_id").alias("accountId"), F.when(F.col("user_id") % 3 == 1, name).otherwise("").alias("displayName"), F.when(F.col("user_id") % 3 == 2, name).alias("publicName"))
     envelope = F.from_json(F.to_json(F.struct(F.array(record).alias("results"))), f"results array<struct<{S.RECORDS['users']}>>")
     return S.users_from_json(S.records(t.read("events").select("user_id").distinct().select(F.lit("").alias("source"), envelope["results"].alias("results"))))
+
+
+# The rest registers itself.
+from leafmill import queries_more  # noqa: E402, F401

@@ -21,8 +21,8 @@ RECORDS = {
     "attachments_v2": f"id:string,title:string,mediaType:string,fileSize:bigint,pageId:string,downloadLink:string,version:{_V2_VERSION},_links:struct<download:string>",
     "attachments_v1": f"id:string,title:string,mediaType:string,metadata:struct<mediaType:string>,extensions:struct<mediaType:string,fileSize:bigint>,container:struct<id:string>,version:{_V1_VERSION},_links:struct<download:string>",
     "folders_v2": "id:string,title:string,parentId:string,parentType:string,position:int",
-    "spaces_v2": "id:string,key:string,name:string,homepageId:string",
-    "spaces_v1": "id:string,key:string,name:string,homepageId:string,homepage:struct<id:string>",
+    "spaces_v2": "id:string,key:string,name:string,type:string,homepageId:string",
+    "spaces_v1": "id:string,key:string,name:string,type:string,homepageId:string,homepage:struct<id:string>",
     "users": "accountId:string,displayName:string,publicName:string",
 }
 
@@ -81,12 +81,12 @@ def folders_from_v2(rows: DataFrame, space_id: Column | None = None) -> DataFram
 
 def spaces_from_v2(rows: DataFrame) -> DataFrame:
     r = F.col("r")
-    return _table(rows, "spaces", space_id=r["id"], space_key=r["key"], name=r["name"], homepage_id=r["homepageId"])
+    return _table(rows, "spaces", space_id=r["id"], space_key=r["key"], name=r["name"], type=r["type"], homepage_id=r["homepageId"])
 
 
 def spaces_from_v1(rows: DataFrame) -> DataFrame:
     r = F.col("r")
-    return _table(rows, "spaces", space_id=r["id"], space_key=r["key"], name=r["name"], homepage_id=first_filled(r["homepageId"], r["homepage"]["id"]))
+    return _table(rows, "spaces", space_id=r["id"], space_key=r["key"], name=r["name"], type=r["type"], homepage_id=first_filled(r["homepageId"], r["homepage"]["id"]))
 
 
 def users_from_json(rows: DataFrame) -> DataFrame:

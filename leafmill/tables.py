@@ -17,7 +17,7 @@ def _schema(fields: str) -> T.StructType:
 VERSION = _schema("number int, created_at string, message string, author_id string")
 
 SCHEMAS = {
-    "spaces": _schema("space_id string, space_key string, name string, homepage_id string"),
+    "spaces": _schema("space_id string, space_key string, name string, type string, homepage_id string"),
     "pages": _schema("space_id string, page_id string, title string, parent_id string, parent_type string, position int, status string, body string, version version, web_url string, ord bigint"),
     "folders": _schema("space_id string, folder_id string, title string, parent_id string, parent_type string, position int, ord bigint"),
     "attachments": _schema("space_id string, page_id string, att_id string, title string, media_type string, file_size bigint, download_url string, version version, ord bigint"),

@@ -15,6 +15,7 @@ from leafmill.functions.render import page as P
 from leafmill.operators import attachments as A
 from leafmill.operators import bodies as B
 from leafmill.operators import layout as L
+from leafmill.plans import export as E
 from leafmill.plans import fingerprints as FP
 from leafmill.plans import reconcile as R
 from leafmill.plans import state as S
@@ -214,7 +215,7 @@ def test_listings(spark, tmp_path):
     assert (att.att_id, att.page_id, att.media_type, att.file_size, att.download_url) == ("1", "p", "m", 9, "/d")
     (tmp_path / "s.json").write_text(json.dumps({"results": [{"id": 1, "key": "K", "homepage": {"id": 2}}]}))
     found = listings.spaces_from_v1(listings.read_listing(spark, str(tmp_path / "s.json"), "spaces_v1"))
-    assert tuple(listings.space_by_key(found, "K").first()) == ("1", "K", "", "2")
+    assert tuple(listings.space_by_key(found, "K").first()) == ("1", "K", "", "", "2")
     with pytest.raises(LookupError):
         listings.space_by_key(found, "none")
     assert tables.normalize(spark.createDataFrame([("p", None)], "page_id string, position string"), "pages").first().asDict()["position"] == 0
@@ -330,6 +331,67 @@ def test_state(spark, tmp_path):
     assert S.load(spark, snap, "users").columns == ["account_id", "display_name"]
 
 
+def inputs(spark, pages_, atts_=(), digests=(), users=(("u1", "Ann"),), flags=None):
+    """Canonical tables of two spaces from (space, id, title, parent, version, body)."""
+    rows = [(s, i, t, p, "page" if p else "", 0, "current", b, v, "", "2024", "u1", k) for k, (s, i, t, p, v, b) in enumerate(pages_)]
+    return E.Inputs(
+        spaces=spark.createDataFrame([("s", "K", "One"), ("t", "L", "Two")], "space_id string, space_key string, name string"),
+        pages=spark.createDataFrame(rows, "space_id string, page_id string, title string, parent_id string, parent_type string, position int, status string, body string, version int, web_url string, last_modified string, author string, ord bigint"),
+        folders=spark.createDataFrame([], FOLDER),
+        attachments=spark.createDataFrame([("s", p, i, t, "x", v, "2024", 1, k) for k, (p, i, t, v) in enumerate(atts_)], "space_id string, page_id string, att_id string, title string, media_type string, version int, created_at string, file_size bigint, ord bigint"),
+        users=spark.createDataFrame(list(users), "account_id string, display_name string"),
+        digests=spark.createDataFrame(list(digests), "att_id string, version int, digest string"),
+        derived=spark.createDataFrame([], "render_version int, xml_digest string, png_digest string"),
+        flags=flags,
+    )
+
+
+def test_export_twice(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    link = '<ac:link><ri:attachment ri:filename="f.pdf"/></ac:link>'
+    first = [("s", "1", "Home", "", 1, "<p>hello</p>"), ("s", "2", "Kid", "1", 1, f"<p>see {link}</p>"), ("s", "3", "Gone", "1", 1, "x"), ("t", "9", "Other", "", 1, '<p><ri:user ri:account-id="u1"/></p>')]
+    atts_, digests = [("2", "a", "f.pdf", 1)], [("a", 1, "d1")]
+    files = lambda: {r.rel_path: r.content for r in S.load_documents(spark, folder).collect()}
+    one = E.run(spark, inputs(spark, first, atts_, digests), folder)
+    assert {r.verdict for r in one.verdicts.collect()} == {"ok"} and one.version == 1
+    before = files()
+    assert sorted(before) == ["One/Home/Gone/Gone.md", "One/Home/Home.md", "One/Home/Kid/Kid.md", "Two/Other/Other.md"]
+    assert before["One/Home/Kid/Kid.md"].endswith("# Kid\n\nsee [f.pdf](.media/f.pdf)\n") and before["Two/Other/Other.md"].endswith("# Other\n\n@Ann\n")
+    assert [(r.path, r.digest) for r in one.manifest.collect()] == [("One/Home/Kid/.media/f.pdf", "d1")] and one.deletions.count() == 0
+    # The same again: nothing is rendered, written or deleted, and the state stays.
+    again = E.run(spark, inputs(spark, first, atts_, digests), folder)
+    assert {r.action for r in again.actions.collect()} == {"skip"} and again.documents.count() == again.deletions.count() == again.manifest.count() == 0
+    assert files() == before
+    # A page changes, one moves with its attachment's new bytes missing, one goes; the other space lists nothing and keeps what it has.
+    second = [("s", "1", "Home", "", 2, "<p>new</p>"), ("s", "2", "Child", "1", 1, f"<p>see {link}</p>")]
+    two = E.run(spark, inputs(spark, second, [("2", "a", "f.pdf", 2)], digests), folder)
+    assert {(r.space_id, r.why) for r in two.verdicts.collect()} == {("s", ""), ("t", "empty_plan")}
+    assert {(r.page_id, r.action, r.moved) for r in two.actions.collect()} == {("1", "write", False), ("2", "write", True)}
+    assert sorted(r.path for r in two.deletions.collect()) == ["One/Home/Gone/Gone.md", "One/Home/Kid/.media/f.pdf", "One/Home/Kid/Kid.md"]
+    after = files()
+    assert sorted(after) == ["One/Home/Child/Child.md", "One/Home/Home.md", "Two/Other/Other.md"] and after["One/Home/Home.md"].endswith("# Home\n\nnew\n")
+    assert after["One/Home/Child/Child.md"].endswith("see [f.pdf](.media/f.pdf)\n") and after["Two/Other/Other.md"] == before["Two/Other/Other.md"]
+    assert [(r.version, r.file, r.blob) for r in S.load_state(spark, folder, "state_attachments").collect()] == [(1, "f.pdf", "d1")]
+    assert {(r.space_id, r.written, r.skipped, r.moved, r.pruned) for r in two.summary.collect() if r.space_id == "s"} == {("s", 2, 0, 1, 1)}
+    assert [(r.stage, r.kind) for r in two.warnings.where("stage = 'guard'").collect()] == [("guard", "empty_plan")]
+
+
+def test_flags_by_space(spark):
+    kind = "space_id string, page_id string, att_id string, version int, file string, blob string"
+    old = spark.createDataFrame([("s", "1", "a", 1, "a", "x"), ("t", "2", "b", 1, "b", "y")], kind)
+    flags = spark.createDataFrame([("s", False, True), ("t", True, False)], "space_id string, complete boolean, include_archived boolean")
+    assert [(r.att_id, r.carried) for r in R.carry_media(old, old.limit(0), flags=flags).collect()] == [("a", True)]
+    assert [r.file for r in R.stale_media(old, old.limit(0), old.limit(0), flags=flags).collect()] == ["b"]
+    state_ = state(spark, ("1", "a", "A", 1, "archived", "x")).unionByName(state(spark, ("1", "a", "A", 1, "archived", "x")).withColumn("space_id", F.lit("t")))
+    assert {r.space_id: r.kept for r in R.survivors(state_, state_.limit(0), state_.limit(0), include_archived=False, flags=flags).collect()} == {"s": False, "t": True}
+    # Another attachment has taken the old name by now.
+    now = spark.createDataFrame([("s", "1", "a", 2, "c", ""), ("s", "1", "z", 1, "A", "w")], kind)
+    assert sorted((r.att_id, r.version, r.carried) for r in R.carry_media(old.where("space_id = 's'"), now).collect()) == [("a", 2, False), ("z", 1, False)]
+    assert sorted((r.att_id, r.version, r.carried) for r in R.carry_media(old.where("space_id = 's'"), now.where("att_id = 'a'"), moved=old.limit(0)).collect()) == [("a", 2, False)]
+    verdicts = spark.createDataFrame([("s", "keep_all")], "space_id string, verdict string")
+    assert R.blob_gc(spark.createDataFrame([("a",)], "digest string"), spark.createDataFrame([("b",)], "digest string"), verdicts).count() == 0
+
+
 def test_increment(spark, tmp_path):
     folder, source = str(tmp_path / "state"), tmp_path / "in"
     source.mkdir()
