@@ -163,7 +163,7 @@ def _sorted_passes(classes: DataFrame, threshold: float, miss: float, bits: int,
     before = ordered.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     places = ordered.join(F.broadcast(before.select("part", "before")), "part").select("cid", "run", (F.col("before") + F.col("at")).alias("pos"))
     places = places.groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "pos"))), lambda s: s["pos"]).alias("places"))
-    carried = classes.join(places, "cid").select("cid", "label", "vector", "copies", "places", F.posexplode("places").alias("run", "pos"))
+    carried = classes.join(places, "cid").select("cid", "label", "vector", "copies", F.explode(F.transform("places", lambda pos, run: F.struct(run.alias("run"), pos.alias("pos"), F.slice("places", 1, run + 1).alias("places")))).alias("p")).select("cid", "label", "vector", "copies", "p.*")
     own = (F.col("pos") / block).cast("long")
     carried = carried.withColumn("block", F.explode(F.when(F.col("pos") % block < window, F.array(own, own - 1)).otherwise(F.array(own)))).where("block >= 0")
     return carried.groupBy("run", "block").applyInPandas(_compare(threshold, window, block), "a long, b long, links long, crowded boolean")
