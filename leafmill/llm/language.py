@@ -192,10 +192,13 @@ def predict(docs: DataFrame, network: Network | None, *, id_col: str = "doc_id",
                 scores += np.clip(mean.max(axis=1), 0, 1).tolist()
             yield pd.DataFrame({"name": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype="float64")})
 
-    told = F.pandas_udf(made, "name string, score double")(text)
-    # The row stays in a struct meanwhile, so no name of its columns can clash.
-    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("lang_pred", "score")]).alias("row"), F.when(lettered(text), told).alias("told"))
-    return rows.select("row.*", F.coalesce("told.name", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("told.score", F.lit(0.0)).alias("score"))
+    # What is told once isn't told again for a filter on it.
+    told = F.pandas_udf(made, "name string, score double").asNondeterministic()(text)
+    name = "_told"
+    while name in docs.columns:
+        name += "_"
+    rows = docs.withColumn(name, F.when(lettered(text), told))
+    return rows.withColumns({"lang_pred": F.coalesce(F.col(f"{name}.name"), F.lit(UNKNOWN)), "score": F.coalesce(F.col(f"{name}.score"), F.lit(0.0))}).drop(name)
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
