@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.lineage import cut, shared_folder
+
+__all__ = ["MOST", "WORD", "ascii_lower", "components", "cut", "shared_folder", "spread_join", "table"]
+
 #: A run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one key that a task may read in a join.
@@ -17,25 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir. Where none is set, a local session (as in tests) gets a temporary one; a cluster must name its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="leafmill-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Rows of df, written once to the shared folder; later plans start from those files."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z become a-z; no other character changes."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 
 from leafmill.llm.common import components, cut, spread_join
 
-THRESHOLD, MISS, BITS, WINDOW, BLOCK = 0.93, 0.005, 32, 2048, 8192
+THRESHOLD, MISS, BITS, WINDOW, BLOCK = 0.93, 0.005, 32, 2048, 2048
 #: Vectors of a dense component that one task compares with each other, or with as many of another block.
 PAIRED = 8192
 

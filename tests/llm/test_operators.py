@@ -315,7 +315,7 @@ def brute_vectors(x, labels, threshold=0.93):
     return np.bincount([i for i, _ in pairs], minlength=len(x)).tolist(), [root[i] for i in range(len(x))]
 
 
-@pytest.mark.parametrize(("window", "block"), [(2048, 8192), (32, 64)])
+@pytest.mark.parametrize(("window", "block"), [(2048, 2048), (32, 64)])
 def test_vectors_of_many_blocks(spark, window, block):
     # Small windows: several passes, crowded windows, and components in blocks of 37.
     rng = np.random.default_rng(10)

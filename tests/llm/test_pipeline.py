@@ -4,11 +4,19 @@ from __future__ import annotations
 
 import os
 import random
+import re
+import sys
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-import corpus_pipeline as P
+sys.path.insert(0, os.path.dirname(__file__))
+
+import corpus_pipeline as P  # noqa: E402
+import test_operators as T  # noqa: E402
+from leafmill.llm.common import cut  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = list(P.COLUMNS)
@@ -43,6 +51,61 @@ def test_stages(spark):
     assert last.where("start = 0").count() == fourth.count()
 
 
+def by_hand(rows):
+    """What the first three stages leave of (doc_id, text, lang, source): plain Python over all pairs."""
+    told = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    texts = T.brute_lines(told, 1, P.NEAR_LINES)
+    # A document of which no line is left goes; an empty line counts as left.
+    lines_ = [(i, texts[i, t], s) for i, t, _, s in told if texts[i, t] or t.split("\n") != [x for x in t.split("\n") if x]]
+    prints = {i: T.brute_print(t) for i, t, _ in lines_}
+    ids = list(prints)
+    groups = T.union(ids, [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 4])
+    return {i: t for i, t, _ in lines_}, {i: (t, s) for i, t, s in lines_ if groups[i] == i}
+
+
+def test_stages_against_plain_versions(spark):
+    docs = made(spark)
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    second, third = by_hand(rows)
+    stage, kept = docs, None
+    for name, f in P.STAGES[:3]:
+        # Each stage on what the one before kept, written and read as in a run.
+        stage = cut(f(spark, stage, SF))
+        if name == "line_dedup":
+            assert {r.doc_id: r.text for r in stage.collect()} == second
+    kept = {r.doc_id: (r.text, r.source) for r in stage.collect()}
+    assert kept == third and all(r.n_chars == len(r.text) for r in stage.collect())
+    mixed = cut(P.mix_sources(spark, stage, SF))
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    sizes, taken = {}, {}
+    for t, s in kept.values():
+        sizes[s] = sizes.get(s, 0) + size(t)
+    copies = Counter(r.doc_id for r in mixed.collect())
+    for i, n in copies.items():
+        taken[kept[i][1]] = taken.get(kept[i][1], 0) + n * size(kept[i][0])
+    want = T.brute_targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= max(size(t) for t, q in kept.values() if q == s) for s in sizes) and max(copies.values()) <= 3
+    tokenizer = Tokenizer.from_file(T.TOKENIZER)
+    pieces = Counter()
+    for i, n in copies.items():
+        pieces[i] += n * (len(tokenizer.encode(kept[i][0], add_special_tokens=False).ids) + 1)
+    packed = P.pack_sequences(spark, mixed, SF).collect()
+    got = Counter()
+    for r in packed:
+        got[r.doc_id] += r.length
+    assert got == pieces
+    spots = sorted((r.sequence_id, r.offset, r.length) for r in packed)
+    assert all((b[0] != a[0] and b[1] == 0) or (b[0] == a[0] and b[1] == a[1] + a[2]) for a, b in zip(spots, spots[1:], strict=False))
+
+
+def test_stages_with_nulls_and_repeated_rows(spark):
+    docs = made(spark).unionByName(made(spark).limit(3))
+    docs = docs.withColumns({"doc_id": F.when(F.col("doc_id") % 10 == 0, None).otherwise(F.col("doc_id")), "source": F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("source"))})
+    for _, f in P.STAGES:
+        docs = cut(f(spark, docs, SF))
+    assert docs.where("start = 0").count() > 80 and docs.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 4096
+
+
 @pytest.mark.parametrize("label", [None, "und"])
 def test_unlabelled_documents_stay(spark, label):
     docs = made(spark)
