@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import heapq
 import unicodedata
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a part of a text, bytes of the words merged at once, bytes of the words a worker keeps.
-PART, BLOCK, KEPT = 1 << 20, 1 << 20, 1 << 23
+PART, BLOCK, KEPT = 1 << 20, 1 << 19, 3 << 21
 #: Bits of an id in a pair of ids.
 WIDTH = 32
 
@@ -249,7 +250,7 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def runs(texts: list[str], size: int = 4 * PART) -> Iterator[list[str]]:
+def runs(texts: list[str], size: int = 2 * PART) -> Iterator[list[str]]:
     """Texts in runs of about size characters; a longer one is a run of its own."""
     run, held = [], 0
     for text in texts:
@@ -276,13 +277,17 @@ def encode(text: Column | str, path: str) -> Column:
     return F.pandas_udf(run, "binary")(text)
 
 
+def decoded(ids: bytes, table: list[bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def decode(ids: Column | str, path: str) -> Column:
     """The bytes that ids stand for."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = _tokens(path)
         for batch in batches:
-            yield pd.Series([None if b is None else b"".join(map(table.__getitem__, np.frombuffer(b, "<u4").tolist())) for b in batch], dtype=object)
+            yield pd.Series([None if b is None else decoded(b, table) for b in batch], dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "binary")(ids)
@@ -294,6 +299,17 @@ def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", ids_
 
 
 def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, ids_sha256 and decoded_sha256 (of the bytes that the ids decode to) of each row."""
-    rows = encode_documents(docs.select(F.col(id_col), F.col(text_col)), path, text_col=text_col, ids_col="_ids")
-    return rows.select(id_col, "n_tokens", F.sha2("_ids", 256).alias("ids_sha256"), F.sha2(decode("_ids", path), 256).alias("decoded_sha256"))
+    """id_col, n_tokens, ids_sha256 and decoded_sha256 (of the bytes that the ids decode to) of each row; ids don't leave the worker."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table = _tokens(path)
+        for batch in batches:
+            rows = []
+            for texts in runs(batch.fillna("").tolist()):
+                for ids in _encoder(path).encode(texts):
+                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded(ids, table)).hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    made = F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select(F.col(id_col), made.alias("_made")).select(id_col, "_made.*")
