@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from leafmill.llm import bpe, extraction, language, licenses, lines, merkle, mixing, packing, simhash, tokens, vectors
+from leafmill.llm import bpe, extraction, language, licenses, lines, merkle, mixing, packing, repair, simhash, tokens, trie, vectors
 from leafmill.llm.common import table
 
 
@@ -51,11 +51,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.share_beginnings(table(spark, sf_dir, "conversations"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {"op1_lines": op1_lines, "op2_tokens": op2_tokens, "op3_fingerprints": op3_fingerprints, "op4_language": op4_language, "op5_vectors": op5_vectors, "op6_simhash": op6_simhash, "op7_extraction": op7_extraction, "op8_packing": op8_packing, "op9_mix": op9_mix, "op10_licenses": op10_licenses, "op13_bpe": op13_bpe}
+QUERIES = {"op1_lines": op1_lines, "op2_tokens": op2_tokens, "op3_fingerprints": op3_fingerprints, "op4_language": op4_language, "op5_vectors": op5_vectors, "op6_simhash": op6_simhash, "op7_extraction": op7_extraction, "op8_packing": op8_packing, "op9_mix": op9_mix, "op10_licenses": op10_licenses, "op11_trie": op11_trie, "op12_repair": op12_repair, "op13_bpe": op13_bpe}
 
 # Lines within one edit share the half that the edit isn't in; candidates are joined on halves, then lose the first character in which they differ.
 OP1 = """
