@@ -169,6 +169,48 @@ def restrict(placed: DataFrame, space_id: str, node_id: str | None, *, no_childr
     return space.where(below)
 
 
+def resolve_subtrees(placed: DataFrame, scopes: DataFrame) -> DataFrame:
+    """scopes (space_id, path, no_children: any number of paths a space) with node_id and dir of the node each path names; null where none does.
+
+    All paths go down together, one join a level of the longest path: titles are compared without regard to case, the first
+    sibling wins, and there is no way back from it. A path without steps names nothing.
+    """
+    steps = F.filter(F.split(F.trim(F.lit("/"), F.col("path")), "/"), lambda s: s != "")
+    open_ = cut(scopes.select("space_id", "path", F.coalesce("no_children", F.lit(False)).alias("no_children")).distinct().withColumns({"steps": steps, "node_id": F.lit(""), "dir": F.lit(None).cast("string")}))
+    kids = placed.select("space_id", F.col("parent_id").alias("node_id"), F.lower("title").alias("step"), F.struct("rank", F.col("node_id").alias("id"), F.col("dir").alias("at")).alias("kid"))
+    longest = open_.agg(F.max(F.size("steps"))).first()[0] or 0
+    for k in range(longest):
+        wanted = open_.where((F.size("steps") > k) & F.col("node_id").isNotNull()).withColumn("step", F.lower(F.get("steps", F.lit(k))))
+        # Only siblings that are asked for are grouped.
+        met = kids.join(wanted.select("space_id", "node_id", "step").distinct(), ["space_id", "node_id", "step"], "left_semi").groupBy("space_id", "node_id", "step").agg(F.min("kid").alias("kid"))
+        went = wanted.join(met, ["space_id", "node_id", "step"], "left").select("space_id", "path", "no_children", "steps", F.col("kid.id").alias("node_id"), F.col("kid.at").alias("dir"))
+        open_ = cut(went.unionByName(open_.where((F.size("steps") <= k) | F.col("node_id").isNull())))
+    return open_.select("space_id", "path", "no_children", F.nullif("node_id", F.lit("")).alias("node_id"), "dir")
+
+
+def restrict_scopes(placed: DataFrame, resolved: DataFrame) -> DataFrame:
+    """A plan of whole trees, limited in spaces with scopes (as resolve_subtrees gives them) to their nodes and what is below; with no_children to a node itself and the folders below.
+
+    Nodes meet scopes by the ids on their paths, so a large space spreads over tasks.
+    """
+    scoped = resolved.select("space_id").distinct()
+    tops = resolved.where("node_id is not null").groupBy("space_id", F.col("node_id").alias("top")).agg(F.min("no_children").alias("_alone"))
+    inside = placed.join(scoped, "space_id", "left_semi").select("space_id", "node_id", "kind", F.explode("path_ids").alias("top")).join(tops, ["space_id", "top"])
+    kept = inside.where((F.col("kind") == "folder") | (F.col("node_id") == F.col("top")) | ~F.col("_alone")).select("space_id", "node_id").distinct()
+    return placed.join(scoped, "space_id", "left_anti").unionByName(placed.join(kept, ["space_id", "node_id"], "left_semi"))
+
+
+def in_scopes(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Adds in_scope to rows with space_id and dir: whether dir is a scope's or, without no_children, below it; all of it in spaces without scopes."""
+    scoped = resolved.select("space_id", F.lit(True).alias("_scoped")).distinct()
+    dirs = resolved.where("dir is not null").groupBy("space_id", F.col("dir").alias("top")).agg(F.min("no_children").alias("_alone"))
+    parts = F.split("dir", "/")
+    above = rows.join(scoped, "space_id", "left_semi").select("space_id", "dir").distinct().select("space_id", "dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("top"))
+    met = above.join(dirs, ["space_id", "top"]).where((F.col("dir") == F.col("top")) | ~F.col("_alone")).select("space_id", "dir").distinct().withColumn("_met", F.lit(True))
+    out = rows.join(scoped, "space_id", "left").join(met, ["space_id", "dir"], "left")
+    return out.withColumn("in_scope", F.col("_scoped").isNull() | F.col("_met").isNotNull()).drop("_scoped", "_met")
+
+
 def in_scope(directory, prefix):
     """Whether a directory is prefix or below it."""
     return (directory == prefix) | F.startswith(directory, F.concat(prefix, F.lit("/")))
@@ -184,6 +226,12 @@ def current_only(pages: DataFrame, include_archived: bool = False) -> DataFrame:
     return pages if include_archived else pages.where("status <> 'archived'")
 
 
+def last_listed(rows: DataFrame, key: str) -> DataFrame:
+    """Of rows of a space with one id, the last listed."""
+    last = W.partitionBy("space_id", key).orderBy(F.desc("ord"))
+    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+
+
 def page_tree(placed: DataFrame) -> DataFrame:
     """Lines of the tree as text, by path: two spaces a level, folders with a slash at their end."""
     depth = F.greatest(F.size(F.split("dir", "/")) - 2, F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.functions.names import nfc_casefold
-from leafmill.operators.layout import in_scope
+from leafmill.operators.layout import in_scope, in_scopes
 
 KEY = ["space_id", "page_id"]
 #: Full runs that would prune more than this part of at least so many pages are refused.
@@ -42,9 +42,17 @@ def detect_moves(actions: DataFrame) -> DataFrame:
     return actions.where("moved").select(*KEY, "old_dir", F.col("dir").alias("new_dir"))
 
 
-def diff(plan: DataFrame, state: DataFrame, scope: str | None = None) -> DataFrame:
-    """space_id, page_id, change (added, changed, moved, deleted), label, old_dir, new_dir; pages without a change are left out."""
+def diff(plan: DataFrame, state: DataFrame, scope: str | None = None, *, scopes: DataFrame | None = None) -> DataFrame:
+    """space_id, page_id, change (added, changed, moved, deleted), label, old_dir, new_dir; pages without a change are left out.
+
+    With a scope (or scopes by space), the previous side is limited to it; a path that names nothing is an error.
+    """
     old = state if scope is None else state.where(in_scope(F.col("dir"), F.lit(scope)))
+    if scopes is not None:
+        lost = scopes.where("node_id is null").select("space_id", "path").limit(5).collect()
+        if lost:
+            raise LookupError(f"no page or folder at {', '.join(f'{r.space_id}:{r.path}' for r in lost)}")
+        old = in_scopes(state, scopes).where("in_scope").drop("in_scope")
     old = old.select(*KEY, F.col("dir").alias("old_dir"), F.col("title").alias("_title"), F.col("version").alias("_version"))
     rows = plan.select(*KEY, F.col("dir").alias("new_dir"), "title", "version").join(old, KEY, "full_outer")
     change = F.when(F.col("old_dir").isNull(), "added").when(F.col("new_dir").isNull(), "deleted").when(F.col("old_dir") != F.col("new_dir"), "moved").when(F.col("version") != F.col("_version"), "changed")
@@ -56,16 +64,19 @@ def missing_from_plan(state: DataFrame, plan: DataFrame) -> DataFrame:
     return state.join(plan.select(*KEY), KEY, "left_anti")
 
 
-def survivors(state: DataFrame, plan: DataFrame, listed: DataFrame, *, include_archived: bool, scope: str | None = None, no_children: bool = False, flags: DataFrame | None = None) -> DataFrame:
+def survivors(state: DataFrame, plan: DataFrame, listed: DataFrame, *, include_archived: bool, scope: str | None = None, no_children: bool = False, flags: DataFrame | None = None, scopes: DataFrame | None = None) -> DataFrame:
     """Previous pages that aren't planned, with kept: archived ones this run didn't fetch, live ones out of scope, others out of scope.
 
-    flags: include_archived by space, where spaces differ.
+    flags: include_archived by space, where spaces differ; scopes: by space, as resolve_subtrees gives them.
     """
     rows = missing_from_plan(state, plan).join(listed.select(*KEY, F.lit(True).alias("_listed")), KEY, "left")
     rows = flagged(rows, flags, include_archived=include_archived)
     kept = F.coalesce("_listed", F.lit(False)) | (~F.col("include_archived") & (F.col("status") == "archived"))
     if scope is not None:
         kept = kept | ~(F.col("dir") == scope if no_children else in_scope(F.col("dir"), F.lit(scope)))
+    if scopes is not None:
+        rows = in_scopes(rows, scopes)
+        return rows.withColumn("kept", kept | ~F.col("in_scope")).drop("_listed", "include_archived", "in_scope")
     return rows.withColumn("kept", kept).drop("_listed", "include_archived")
 
 
@@ -77,7 +88,8 @@ def guard_verdicts(spaces: DataFrame, plan: DataFrame, state: DataFrame, *, incl
     """One row per space: verdict ok, keep_all (delete nothing, state stays) or error (another space's output or snapshot), with why.
 
     spaces: space_id, space_key, those the state was written for (state_space_id, state_space_key; '' unknown) and, where an
-    earlier snapshot is used again, that one's space (snapshot_space_key). flags: include_archived by space.
+    earlier snapshot is used again, that one's space (snapshot_space_key). flags: include_archived, full and resolved (its
+    scope names something) by space. state_rows: how much the state has for the space it names, where that is another's.
     """
     plan_n = plan.groupBy("space_id").agg(F.count("*").alias("planned"))
     prev_n = state.groupBy("space_id").agg(F.count("*").alias("previous"))
@@ -87,14 +99,15 @@ def guard_verdicts(spaces: DataFrame, plan: DataFrame, state: DataFrame, *, incl
     a, b, c, d = (F.trim(F.coalesce(x, F.lit(""))) for x in ("state_space_id", "space_id", "state_space_key", "space_key"))
     other = F.when((a != "") & (b != ""), a != b).when((c != "") & (d != ""), c != d).otherwise(False)
     reused = F.trim(F.coalesce("snapshot_space_key", F.lit(""))) if "snapshot_space_key" in spaces.columns else F.lit("")
-    why = F.when((reused != "") & (reused != d), "other_snapshot").when((F.col("previous") > 0) & other, "other_space")
-    if full:
-        why = why.when((F.col("planned") == 0) & (F.col("previous") > 0), "empty_plan")
-        if not allow_mass_delete:
-            why = why.when((F.col("previous") >= MASS_LEAST) & (F.col("prunable") > F.col("previous") * MASS_PART), "mass_delete")
-    elif not resolved:
-        why = why.when(F.lit(True), "unresolved_scope")
-    why = why.otherwise("")
+    rows = flagged(rows, flags, full=full, resolved=resolved)
+    owned = F.col("previous") > 0
+    if "state_rows" in spaces.columns:
+        owned = owned | (F.coalesce("state_rows", F.lit(0)) > 0)
+    why = F.when((reused != "") & (reused != d), "other_snapshot").when(owned & other, "other_space")
+    why = why.when(F.col("full") & (F.col("planned") == 0) & (F.col("previous") > 0), "empty_plan")
+    if not allow_mass_delete:
+        why = why.when(F.col("full") & (F.col("previous") >= MASS_LEAST) & (F.col("prunable") > F.col("previous") * MASS_PART), "mass_delete")
+    why = why.when(~F.col("full") & ~F.col("resolved"), "unresolved_scope").otherwise("")
     verdict = F.when(why == "", "ok").when(why.isin("other_space", "other_snapshot"), "error").otherwise("keep_all")
     return rows.select("space_id", "planned", "previous", "prunable", verdict.alias("verdict"), why.alias("why"))
 

@@ -45,8 +45,8 @@ def s13_documents(t: Tree) -> DataFrame:
     none = F.array().cast("array<struct<name:string,type:string,size:bigint>>")
     heads = heads.select("space_id", "page_id", "file", "title", "space_key", F.col("dir").alias("path"), F.lit("").alias("url"), F.lit("2024-01-31").alias("last_modified"), "version", "status", none.alias("attachments"))
     folder = f"{shared_folder(t.spark)}/documents-{uuid.uuid4().hex}"
-    S.write_documents(J.documents(J.frontmatter(heads).join(text, ["space_id", "page_id"])), folder, 1)
-    return t.spark.read.schema("rel_path string, content string, run int, space_id string").parquet(f"{folder}/documents").select("space_id", "rel_path", "content")
+    S.write_documents(J.documents(J.frontmatter(heads).join(text, ["space_id", "page_id"])), folder, "1")
+    return S.documents_of(t.spark, folder, heads.select("space_id", F.col("file").alias("rel_path"), F.lit("1").alias("doc_run")))
 
 
 @query(q(TREE, "select space_id, page_id, title, status, version from pages"))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from leafmill.plans.state import load_state, save_state
+from leafmill.lineage import cut
+from leafmill.plans.state import current_version, load_state, save_state
+from leafmill.tables import normalize
 
 KEY = ["space_id", "page_id"]
 
@@ -28,10 +30,13 @@ def follow(edits: DataFrame, folder: str, checkpoint: str, *, watermark: str = "
     rows = edits.withWatermark(time_col, watermark).dropDuplicatesWithinWatermark([*KEY, "version"]).drop(time_col) if time_col else edits
 
     def batch(df: DataFrame, batch_id: int) -> None:
+        # Only the spaces of this batch are read and replaced; their other tables stay.
         spark = df.sparkSession
-        state = load_state(spark, folder, "state_pages")
-        more = df.select(*[F.col(c) if c in df.columns else F.lit("").cast(state.schema[c].dataType).alias(c) for c in state.columns])
-        save_state(spark, {"state_pages": merge(state, more)}, folder)
+        base = current_version(spark, folder)
+        edited = cut(df)
+        state = normalize(load_state(spark, folder, "state_pages", version=base), "state_pages").join(edited.select("space_id").distinct(), "space_id", "left_semi")
+        more = edited.select(*[F.col(c) if c in edited.columns else F.lit("").cast(state.schema[c].dataType).alias(c) for c in state.columns])
+        save_state(spark, {"state_pages": merge(state, more)}, folder, spaces=edited.select("space_id"), base=base)
 
     writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

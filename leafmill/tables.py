@@ -26,8 +26,10 @@ SCHEMAS = {
     "attachment_blobs": _schema("att_id string, version int, digest string"),
     "derived_blobs": _schema("render_version int, xml_digest string, png_digest string"),
     "blobs": _schema("digest string, size bigint"),
-    "state_pages": _schema("space_id string, page_id string, dir string, file string, html string, title string, version int, status string, fingerprint string"),
+    "state_pages": _schema("space_id string, page_id string, dir string, file string, html string, title string, version int, status string, fingerprint string, doc_run string"),
     "state_attachments": _schema("space_id string, page_id string, att_id string, version int, file string, blob string, size bigint"),
+    "state_rendered": _schema("space_id string, page_id string, file string, blob string"),
+    "state_spaces": _schema("space_id string, space_key string, root string"),
     "state_folders": _schema("space_id string, folder_id string, dir string"),
 }
 
