@@ -175,7 +175,7 @@ def resolve_subtrees(placed: DataFrame, scopes: DataFrame) -> DataFrame:
     All paths go down together, one join a level of the longest path: titles are compared without regard to case, the first
     sibling wins, and there is no way back from it. A path without steps names nothing.
     """
-    steps = F.filter(F.split(F.trim(F.lit("/"), F.col("path")), "/"), lambda s: s != "")
+    steps = F.filter(F.split("path", "/"), lambda s: s != "")
     open_ = cut(scopes.select("space_id", "path", F.coalesce("no_children", F.lit(False)).alias("no_children")).distinct().withColumns({"steps": steps, "node_id": F.lit(""), "dir": F.lit(None).cast("string")}))
     kids = placed.select("space_id", F.col("parent_id").alias("node_id"), F.lower("title").alias("step"), F.struct("rank", F.col("node_id").alias("id"), F.col("dir").alias("at")).alias("kid"))
     longest = open_.agg(F.max(F.size("steps"))).first()[0] or 0
