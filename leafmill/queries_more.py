@@ -23,30 +23,49 @@ from leafmill.oracles import ATT, LAYOUT, PAIRS, SNAPSHOTS, TREE, q
 from leafmill.plans import reconcile as R
 from leafmill.plans import state as S
 from leafmill.queries import query
-from leafmill.sources import listings
+from leafmill.sources import listings, trees
 
 # Documents, snapshots and states: written to the shared folder and read again.
 
 
-@query(
-    q(
-        LAYOUT,
-        """select p.space_id, file rel_path, '---' || chr(10) || 'title: ' || p.title || chr(10) || 'page_id: ' || p.page_id || chr(10) || 'space_key: ' || space_key || chr(10) || 'path: ' || dir || chr(10)
-        || 'url: ''''' || chr(10) || 'last_modified: ''2024-01-31''' || chr(10) || 'version: ' || version || chr(10) || case when status = 'archived' then 'status: archived' || chr(10) else '' end || '---' || chr(10) || chr(10)
-        || '# ' || p.title || chr(10) || chr(10) || 'by @' || case when substr(author, 2)::int % 2 = 0 then 'User ' || substr(author, 2) else author end || ' on ' || p.page_id || chr(10) as content
-        from placed l join pages p on p.space_id = l.space_id and p.page_id = l.node_id and l.kind = 'page' join spaces s on s.space_id = p.space_id""",
-    )
+#: Every page as it is written.
+WRITTEN = q(
+    LAYOUT,
+    """select p.space_id, file rel_path, '---' || chr(10) || 'title: ' || p.title || chr(10) || 'page_id: ' || p.page_id || chr(10) || 'space_key: ' || space_key || chr(10) || 'path: ' || dir || chr(10)
+    || 'url: ''''' || chr(10) || 'last_modified: ''2024-01-31''' || chr(10) || 'version: ' || version || chr(10) || case when status = 'archived' then 'status: archived' || chr(10) else '' end || '---' || chr(10) || chr(10)
+    || '# ' || p.title || chr(10) || chr(10) || 'by @' || case when substr(author, 2)::int % 2 = 0 then 'User ' || substr(author, 2) else author end || ' on ' || p.page_id || chr(10) as content
+    from placed l join pages p on p.space_id = l.space_id and p.page_id = l.node_id and l.kind = 'page' join spaces s on s.space_id = p.space_id"""
 )
-def s13_documents(t: Tree) -> DataFrame:
-    """Every page as it is written: frontmatter (X12), rendering and path, through the sink and back."""
+
+
+def documents(t: Tree) -> tuple[DataFrame, DataFrame]:
+    """Every page as it is written: frontmatter (X12), rendering and path; and where each goes."""
     pages = t.pages()
     text = J.render_markdown(J.wide(pages, users=B.resolve_users(B.mentions(pages), Q.users(t))))
     heads = Q.placed(t).where("kind = 'page'").select("space_id", F.col("node_id").alias("page_id"), "dir", "file").join(pages.drop("body"), ["space_id", "page_id"]).join(t.spaces().select("space_id", "space_key"), "space_id")
     none = F.array().cast("array<struct<name:string,type:string,size:bigint>>")
     heads = heads.select("space_id", "page_id", "file", "title", "space_key", F.col("dir").alias("path"), F.lit("").alias("url"), F.lit("2024-01-31").alias("last_modified"), "version", "status", none.alias("attachments"))
+    return J.documents(J.frontmatter(heads).join(text, ["space_id", "page_id"])), heads.select("space_id", F.col("file").alias("rel_path"))
+
+
+@query(WRITTEN)
+def s13_documents(t: Tree) -> DataFrame:
+    """Documents through the table sink and back."""
+    rows, names = documents(t)
     folder = f"{shared_folder(t.spark)}/documents-{uuid.uuid4().hex}"
-    S.write_documents(J.documents(J.frontmatter(heads).join(text, ["space_id", "page_id"])), folder, "1")
-    return S.documents_of(t.spark, folder, heads.select("space_id", F.col("file").alias("rel_path"), F.lit("1").alias("doc_run")))
+    S.write_documents(rows, folder, "1")
+    return S.documents_of(t.spark, folder, names.withColumn("doc_run", F.lit("1")))
+
+
+@query(f"select rel_path, content from ({WRITTEN}) where rel_path not like '%/LOW%'")
+def s13b_file_tree(t: Tree) -> DataFrame:
+    """Documents as files: a whole tree written, then some of its files taken away by a change in place, and the tree read."""
+    rows, names = documents(t)
+    path = f"{shared_folder(t.spark)}/tree-{uuid.uuid4().hex}"
+    trees.write_tree(trees.tree_rows(rows), path)
+    low = names.where(F.contains("rel_path", F.lit("/LOW")))
+    trees.update_tree(trees.tree_rows(rows).limit(0), low, path)
+    return trees.read_tree(t.spark, path).select("rel_path", F.decode("content", "UTF-8").alias("content"))
 
 
 @query(q(TREE, "select space_id, page_id, title, status, version from pages"))
