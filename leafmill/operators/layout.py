@@ -1,7 +1,7 @@
 """From pages and folders to paths: parents, sibling order, segments, directories, depth-first order.
 
-Everything is keyed by (space_id, parent_id), so a space with very many pages spreads over tasks; the tree is walked level
-by level, with one join a level and lineage cut every few levels.
+Everything is keyed by (space_id, parent_id), so a space with very many pages spreads over tasks; paths are put together by
+doubling pointers, in rounds logarithmic in the tree's depth.
 """
 
 from __future__ import annotations
@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from leafmill.functions.names import LONGEST, fold, nfc_casefold, sanitize_filename
-from leafmill.lineage import cut
+from leafmill.lineage import cut, numbered
 from leafmill.operators.groups import add_column
 
 ARCHIVE = "_archived"
-#: Levels between two cuts of the lineage, and the deepest tree.
-CUT_EVERY, DEEPEST = 4, 1000
 
 
 def nodes(pages: DataFrame, folders: DataFrame) -> DataFrame:
@@ -83,36 +81,50 @@ def allocate_segments(ranked: DataFrame) -> DataFrame:
 
 
 def assemble_paths(segments: DataFrame, spaces: DataFrame) -> DataFrame:
-    """Adds dir, file (pages only), path_ids (from the top, itself included) and ranks. Nodes that no root reaches are left out."""
+    """Adds dir, file (pages only), path_ids (from the top, itself included) and ranks. Nodes that no root reaches are left out.
+
+    Pointers are doubled: each node knows the path from an ancestor down, and joins it to what that ancestor knows, so a tree
+    of any depth takes rounds in the logarithm of its depth, and nodes that have come to the root take no further part. One
+    whose path meets a node twice hangs in a cycle.
+    """
     root = spaces.select("space_id", sanitize_filename(F.col("name")).alias("root"))
     rows = cut(segments)
-    level = rows.where("parent_id = ''").join(root, "space_id").withColumns({"dir": F.concat("root", F.lit("/"), "segment"), "path_ids": F.array("node_id"), "ranks": F.array("rank")}).drop("root")
-    found = []
-    for depth in range(DEEPEST):
-        if depth % CUT_EVERY == CUT_EVERY - 1 or depth < 2:
-            level = cut(level)
-        found.append(level)
-        above = level.select("space_id", F.col("node_id").alias("parent_id"), F.col("dir").alias("_dir"), F.col("path_ids").alias("_ids"), F.col("ranks").alias("_ranks"))
-        level = rows.join(above, ["space_id", "parent_id"]).withColumns({"dir": F.concat("_dir", F.lit("/"), "segment"), "path_ids": F.array_append("_ids", F.col("node_id")), "ranks": F.array_append("_ranks", F.col("rank"))}).drop("_dir", "_ids", "_ranks")
-        if level.limit(1).count() == 0:
+    parts = ["segments", "path_ids", "ranks"]
+    paths = rows.select("space_id", "node_id", F.col("parent_id").alias("up"), F.array("segment").alias("segments"), F.array("node_id").alias("path_ids"), F.array("rank").alias("ranks"))
+    done, open_ = [paths.where("up = ''")], paths.where("up <> ''")
+    known = paths
+    while True:
+        above = known.select("space_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), *[F.col(c).alias(f"_{c}") for c in parts])
+        # An ancestor that isn't there any more hung in a cycle.
+        went = open_.join(above, ["space_id", "up"]).select("space_id", "node_id", F.col("_up").alias("up"), *[F.concat(f"_{c}", c).alias(c) for c in parts])
+        went = cut(went.where((F.col("up") == "") | (F.size(F.array_distinct("path_ids")) == F.size("path_ids"))))
+        done.append(went.where("up = ''"))
+        open_ = went.where("up <> ''")
+        if open_.limit(1).count() == 0:
             break
-    out = found[0]
-    for more in found[1:]:
+        # A node still open is twice as far from an ancestor as before; the others are asked for no more.
+        known = went
+        for more in done[:-1]:
+            known = known.unionByName(more)
+    out = done[0]
+    for more in done[1:]:
         out = out.unionByName(more)
+    out = rows.join(out.drop("up"), ["space_id", "node_id"]).join(root, "space_id")
+    out = out.withColumn("dir", F.concat("root", F.lit("/"), F.array_join("segments", "/"))).drop("root", "segments")
     return out.withColumn("file", F.when(F.col("kind") == "page", F.concat("dir", F.lit("/"), "segment", F.lit(".md"))))
 
 
 def preorder(paths: DataFrame) -> DataFrame:
     """Adds ord to pages: their place in a depth-first walk of their space, from 1.
 
-    A rank array is its parent's and one more, so array order is the walk's. Ranks are counted within ranges of the top two
-    ranks, and ranges are added up, so no task orders a whole space.
+    A rank array is its parent's and one more, so array order is the walk's. All pages are sorted in ranges, each range is
+    numbered behind those before it, and a space's first number is taken away; so neither a space nor a chain of pages under
+    one top is a task's work.
     """
-    pages = paths.where("kind = 'page'").withColumn("top", F.slice("ranks", 1, 2))
-    inside = pages.withColumn("_n", F.row_number().over(W.partitionBy("space_id", "top").orderBy("ranks")))
-    sizes = pages.groupBy("space_id", "top").count()
-    before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(W.partitionBy("space_id").orderBy("top").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(before.drop("count"), ["space_id", "top"]).withColumn("ord", (F.col("_before") + F.col("_n")).cast("long")).drop("_n", "_before", "top")
+    pages = paths.where("kind = 'page'")
+    placed = numbered(pages.orderBy("space_id", "ranks"), "_place")
+    first = placed.groupBy("space_id").agg(F.min("_place").alias("_first"))
+    return placed.join(first, "space_id").withColumn("ord", (F.col("_place") - F.col("_first") + 1).cast("long")).drop("_place", "_first")
 
 
 def in_order(paths: DataFrame) -> DataFrame:
@@ -132,18 +144,24 @@ def unreached(tree: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def folder_closure(pages: DataFrame, folders: DataFrame) -> DataFrame:
-    """Folders that hold pages, and their folders, up to the top: (space_id, folder_id). Missing ones are skipped, cycles end."""
-    known = folders.select("space_id", "folder_id", "parent_id", "parent_type")
-    front = pages.where("parent_type = 'folder'").select("space_id", F.col("parent_id").alias("folder_id")).distinct()
-    reached = cut(known.join(front, ["space_id", "folder_id"], "left_semi"))
-    front = reached
-    for _ in range(DEEPEST):
-        up = front.where("parent_type = 'folder'").select("space_id", F.col("parent_id").alias("folder_id")).distinct()
-        front = cut(known.join(up, ["space_id", "folder_id"], "left_semi").join(reached, ["space_id", "folder_id"], "left_anti"))
-        if front.limit(1).count() == 0:
-            break
-        reached = reached.unionByName(front)
-    return reached.select("space_id", "folder_id")
+    """Folders that hold pages, and their folders, up to the top: (space_id, folder_id). Missing ones are skipped, cycles end.
+
+    Pointers are doubled: with each round, what has been reached is joined to its ancestor twice as far up as before.
+    """
+    key = ["space_id", "folder_id"]
+    known = cut(folders.select(*key, F.when(F.col("parent_type") == "folder", F.col("parent_id")).alias("up")).dropDuplicates(key))
+    there = known.select("space_id", F.col("folder_id").alias("up"), F.lit(True).alias("_there"))
+    jumps = known.where("up is not null").join(there, ["space_id", "up"]).select(*key, "up")
+    reached = cut(known.select(*key).join(pages.where("parent_type = 'folder'").select("space_id", F.col("parent_id").alias("folder_id")).distinct(), key, "left_semi"))
+    while True:
+        jumps = cut(jumps)
+        new = cut(jumps.join(reached, key, "left_semi").select("space_id", F.col("up").alias("folder_id")).distinct().join(reached, key, "left_anti"))
+        # If ancestors at this distance are all there, so are all nearer ones, and nothing lies beyond.
+        if new.limit(1).count() == 0:
+            return reached
+        reached = cut(reached.unionByName(new))
+        further = jumps.select("space_id", F.col("folder_id").alias("up"), F.col("up").alias("_up"))
+        jumps = jumps.join(further, ["space_id", "up"]).select(*key, F.col("_up").alias("up"))
 
 
 def resolve_subtree(placed: DataFrame, space_id: str, path: str) -> str | None:
