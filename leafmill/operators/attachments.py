@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from leafmill.functions.names import fold, nfc_casefold, parse_mtime, safe_attachment_name, with_token
+from leafmill.lineage import cut
 from leafmill.operators.groups import add_column
 
 #: Version of the renderer in cache keys, target font and edge of a rendering in pixels, bounds of downloads.
 RENDER_VERSION, FONT, DEFAULT_FONT, MOST_SCALE, LONGEST_EDGE = 2, 14.0, 12.0, 3, 12000
+#: Rounds in which names are asked for before what is left is named one after another.
+ROUNDS = 24
 LEAST_CAP, UNSIZED_CAP = 256 * 1024**2, 8 * 1024**3
 
 
@@ -49,19 +52,52 @@ def _page_names(rows: list) -> list[str]:
     return out
 
 
-def plan_names(atts: DataFrame, order: str = "ord") -> DataFrame:
+def _token_names(base: Column, owner: Column, retry: Column) -> Column:
+    """Names with their owner's mark."""
+
+    def run(frame: pd.DataFrame) -> pd.Series:
+        return pd.Series([with_token(b, o, int(k)) for b, o, k in zip(frame["base"], frame["owner"], frame["retry"], strict=True)], dtype=object)
+
+    run.__annotations__ = {"frame": pd.DataFrame, "return": pd.Series}
+    return F.pandas_udf(run, "string")(F.struct(base.alias("base"), owner.alias("owner"), retry.alias("retry")))
+
+
+def plan_names(atts: DataFrame, order: str = "ord", *, rounds: int = ROUNDS) -> DataFrame:
     """Adds local_name: one per attachment and page, unique without regard to case; the earliest keeps its title's name.
 
-    Pages without collisions, nearly all, take their base names as they are; only the others go through Python, page by page.
+    The others are named in rounds, all of them at once: each asks for its base name with a mark of its owner, a name that is
+    a base name on the page is never given, of those that ask for another the first in order has it, and who is turned down
+    (also later on, by one before it) asks for its next name. When nobody is, each has the first name of its own that none
+    before it has, just as if they had been named one after another. Rows with equal marks begin at different names. Pages
+    still open after some rounds are named one after another, in one task a page.
     """
     rows = first_seen(atts, order).withColumn("base", safe_attachment_name(F.col("title")))
-    rows = rows.withColumns({"base_key": nfc_casefold("base"), "folded": nfc_casefold("title"), "place": F.col(order).cast("string")})
-    twins = F.count("*").over(W.partitionBy("page_id", "base_key"))
-    rows = rows.withColumn("_twins", twins).withColumn("_clash", F.max(F.col("_twins") > 1).over(W.partitionBy("page_id"))).drop("_twins")
-    quick = rows.where("not _clash").drop("_clash").withColumn("local_name", F.col("base"))
-    slow = rows.where("_clash").drop("_clash")
-    slow = add_column(slow, ["page_id"], ["base_key", "created_at", "folded", "att_id", "place"], "local_name", _page_names)
-    return quick.unionByName(slow).drop("base", "base_key", "place")
+    rows = cut(rows.withColumns({"base_key": nfc_casefold("base"), "folded": nfc_casefold("title"), "place": F.col(order).cast("string")}))
+    line = ["created_at", "folded", "att_id", "place"]
+    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy("page_id", "base_key").orderBy(*line)))
+    first = rows.where("_nth = 1").withColumn("local_name", F.col("base")).drop("_nth")
+    owner = F.coalesce(F.nullif("att_id", F.lit("")), F.nullif("title", F.lit("")), F.lit("attachment"))
+    rest = rows.where("_nth > 1").drop("_nth").withColumn("_owner", owner)
+    rest = rest.withColumn("_try", F.row_number().over(W.partitionBy("page_id", "base", "_owner").orderBy("base_key", *line)) - 1)
+    asking = cut(rest.withColumn("_line", F.struct("base_key", *line)))
+    if asking.limit(1).count() == 0:
+        return first.drop("base", "base_key", "place")
+    reserved = rows.select("page_id", F.col("base_key").alias("_key")).distinct().withColumn("_reserved", F.lit(True))
+    for k in range(rounds):
+        asked = asking.withColumn("local_name", _token_names(F.col("base"), F.col("_owner"), F.col("_try"))).withColumn("_key", nfc_casefold("local_name"))
+        asked = cut(asked)
+        has = asked.groupBy("page_id", "_key").agg(F.min("_line").alias("_has"))
+        told = asked.join(has, ["page_id", "_key"]).join(reserved, ["page_id", "_key"], "left")
+        told = cut(told.withColumn("_lost", F.coalesce("_reserved", F.lit(False)) | (F.col("_has") != F.col("_line"))).drop("_has", "_reserved"))
+        open_ = told.where("_lost").select("page_id").distinct()
+        if open_.limit(1).count() == 0:
+            break
+        asking = told.withColumn("_try", F.col("_try") + F.col("_lost").cast("int")).drop("local_name", "_key", "_lost")
+    else:
+        slow = rows.drop("_nth").join(open_, "page_id", "left_semi")
+        slow = add_column(slow, ["page_id"], ["base_key", *line], "local_name", _page_names)
+        first, told = first.join(open_, "page_id", "left_anti").unionByName(slow), told.join(open_, "page_id", "left_anti")
+    return first.unionByName(told.select(*first.columns)).drop("base", "base_key", "place")
 
 
 def unambiguous_fold(named: DataFrame) -> DataFrame:

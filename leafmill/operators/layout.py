@@ -72,11 +72,12 @@ def allocate_segments(ranked: DataFrame) -> DataFrame:
     based = based.withColumn("folded", nfc_casefold("base")).withColumn("family", F.substring(F.regexp_replace("folded", r"(-[0-9]+)+$", ""), 1, 80))
     family = W.partitionBy("space_id", "parent_id", "family")
     plain = (F.col("folded") == F.col("family")) & (F.char_length("base") <= LONGEST - 20)
-    based = based.withColumn("plain", F.min(plain).over(family))
+    # Both kinds of families are taken from it.
+    based = cut(based.withColumn("plain", F.min(plain).over(family)))
     nth = F.row_number().over(family.orderBy("rank"))
     quick = based.where("plain").withColumn("n", nth).withColumn("segment", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string"))))
     slow = based.where("not plain")
-    slow = add_column(slow, ["space_id", "parent_id", "family"], ["rank"], "segment", _segments)
+    slow = cut(add_column(slow, ["space_id", "parent_id", "family"], ["rank"], "segment", _segments))
     return quick.drop("n").unionByName(slow).drop("base", "folded", "family", "plain")
 
 
@@ -88,7 +89,7 @@ def assemble_paths(segments: DataFrame, spaces: DataFrame) -> DataFrame:
     whose path meets a node twice hangs in a cycle.
     """
     root = spaces.select("space_id", sanitize_filename(F.col("name")).alias("root"))
-    rows = cut(segments)
+    rows = segments
     parts = ["segments", "path_ids", "ranks"]
     paths = rows.select("space_id", "node_id", F.col("parent_id").alias("up"), F.array("segment").alias("segments"), F.array("node_id").alias("path_ids"), F.array("rank").alias("ranks"))
     done, open_ = [paths.where("up = ''")], paths.where("up <> ''")
