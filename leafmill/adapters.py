@@ -6,15 +6,26 @@ ATT: line items are attachments of orders. PREV and CUR: two snapshots of both.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.lineage import cut
+
 
 class Tree:
     """TREE and ATT over one folder of tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.made: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that a query uses more than once, made once for it."""
+        if name not in self.made:
+            self.made[name] = cut(make())
+        return self.made[name]
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -11,7 +11,7 @@ different spaces are different pages; attachments without a space belong to the
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +52,7 @@ class Inputs:
     previous_bodies: DataFrame | None = None  # space_id, page_id, body: those of the snapshot before
     reused: DataFrame | None = None  # space_id, snapshot_space_key: spaces whose earlier snapshot is used again
     blobs: DataFrame | None = None  # digest of all bytes on store, for clearing up
+    damage: DataFrame | None = None  # space_id, kind, source, lines: what of the listings couldn't be read
     fresh: DataFrame | None = None  # render_version, xml_digest, png_digest: this run's renderings
 
 
@@ -172,6 +173,12 @@ def run(spark: SparkSession, given: Inputs, folder: str, *, options: P.Options =
     guarded = _roots(spaces, held("state_spaces"), before_all)
     if given.reused is not None:
         guarded = guarded.join(given.reused.select("space_id", "snapshot_space_key"), "space_id", "left")
+    if given.damage is not None:
+        # What a damaged listing lacks isn't gone: nothing is pruned for it, and media are carried.
+        told = R.damage_flags(mine, given.damage)
+        if given.flags is not None and "complete" in given.flags.columns:
+            told = told.join(given.flags.select("space_id", F.col("complete").alias("_told")), "space_id", "left").withColumn("complete", F.col("complete") & F.coalesce("_told", F.lit(True))).drop("_told")
+        given = replace(given, flags=told if given.flags is None else told.join(given.flags.drop("complete", "pages_complete"), "space_id", "left"))
     flags = mine if given.flags is None else mine.join(given.flags, "space_id", "left")
     if scopes is not None:
         found = scopes.groupBy("space_id").agg(F.bool_and(F.col("node_id").isNotNull()).alias("resolved"), F.lit(False).alias("full"))
@@ -230,6 +237,8 @@ def run(spark: SparkSession, given: Inputs, folder: str, *, options: P.Options =
     fetch = A.incremental(atts, digests, stored).where("status = 'fetch'").join(wanted.select(*KEY), "page_id")
     downloads = A.download_plan(_plain(fetch, "page_id"), options.site_url or "https://localhost").join(_plain(wanted.select(*KEY), "page_id"), "page_id")
     warnings = cut(_plain(R.warnings_table(R.guard_warnings(verdicts), R.render_warnings(rendered), L.unreached(tree, placed.where("kind <> 'archive'")), R.download_warnings(downloads)), "key"))
+    if given.damage is not None:
+        warnings = warnings.unionByName(R.damage_warnings(given.damage))
     summary = R.export_summary(actions, R.gated(kept.where("not kept"), verdicts), warnings)
 
     # A space that was stopped as another's output isn't known from this run.

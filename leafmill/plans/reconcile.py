@@ -67,17 +67,18 @@ def missing_from_plan(state: DataFrame, plan: DataFrame) -> DataFrame:
 def survivors(state: DataFrame, plan: DataFrame, listed: DataFrame, *, include_archived: bool, scope: str | None = None, no_children: bool = False, flags: DataFrame | None = None, scopes: DataFrame | None = None) -> DataFrame:
     """Previous pages that aren't planned, with kept: archived ones this run didn't fetch, live ones out of scope, others out of scope.
 
-    flags: include_archived by space, where spaces differ; scopes: by space, as resolve_subtrees gives them.
+    flags: include_archived by space, where spaces differ, and pages_complete, without which nothing of a space is pruned;
+    scopes: by space, as resolve_subtrees gives them.
     """
     rows = missing_from_plan(state, plan).join(listed.select(*KEY, F.lit(True).alias("_listed")), KEY, "left")
-    rows = flagged(rows, flags, include_archived=include_archived)
-    kept = F.coalesce("_listed", F.lit(False)) | (~F.col("include_archived") & (F.col("status") == "archived"))
+    rows = flagged(rows, flags, include_archived=include_archived, pages_complete=True)
+    kept = F.coalesce("_listed", F.lit(False)) | (~F.col("include_archived") & (F.col("status") == "archived")) | ~F.col("pages_complete")
     if scope is not None:
         kept = kept | ~(F.col("dir") == scope if no_children else in_scope(F.col("dir"), F.lit(scope)))
     if scopes is not None:
         rows = in_scopes(rows, scopes)
-        return rows.withColumn("kept", kept | ~F.col("in_scope")).drop("_listed", "include_archived", "in_scope")
-    return rows.withColumn("kept", kept).drop("_listed", "include_archived")
+        return rows.withColumn("kept", kept | ~F.col("in_scope")).drop("_listed", "include_archived", "pages_complete", "in_scope")
+    return rows.withColumn("kept", kept).drop("_listed", "include_archived", "pages_complete")
 
 
 def prune_set(*args, **kwargs) -> DataFrame:
@@ -232,6 +233,20 @@ def warnings_table(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def damage_flags(spaces: DataFrame, damaged: DataFrame) -> DataFrame:
+    """complete and pages_complete by space, from the damage of its listings (as read_landing gives it; a null space means all)."""
+    tree = F.col("kind").startswith("pages") | F.col("kind").startswith("folders")
+    by = damaged.groupBy("space_id").agg(F.bool_or(tree).alias("_tree"))
+    # One row at most.
+    every = by.where("space_id is null").select("_tree").first()
+    rows = spaces.select("space_id").distinct().join(by.where("space_id is not null"), "space_id", "left")
+    return rows.select("space_id", (F.col("_tree").isNull() & F.lit(every is None)).alias("complete"), (~F.coalesce("_tree", F.lit(False)) & F.lit(not (every and every[0]))).alias("pages_complete"))
+
+
+def damage_warnings(damaged: DataFrame) -> DataFrame:
+    return damaged.select(F.coalesce("space_id", F.lit("")).alias("space_id"), F.lit("listing").alias("stage"), F.lit("damaged lines").alias("kind"), F.col("source").alias("key"), F.concat_ws(" ", "lines", F.lit("lines of"), "kind").alias("message"))
+
+
 def guard_warnings(verdicts: DataFrame) -> DataFrame:
     return verdicts.where("verdict <> 'ok'").select("space_id", F.lit("guard").alias("stage"), F.col("why").alias("kind"), F.col("space_id").alias("key"), F.concat_ws(" ", F.lit("planned"), "planned", F.lit("of"), "previous", F.lit("would prune"), "prunable").alias("message"))
 

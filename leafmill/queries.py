@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.adapters import Tree
+from leafmill.adapters import Tree, current, previous
 from leafmill.functions import names as N
 from leafmill.functions.render import jobs as J
+from leafmill.lineage import cut
 from leafmill.operators import attachments as A
 from leafmill.operators import bodies as B
 from leafmill.operators import layout as L
@@ -122,11 +123,11 @@ def a9_counts(t: Tree) -> DataFrame:
 
 
 def listed(t: Tree) -> DataFrame:
-    return A.first_seen(t.attachments(), "listing")
+    return t.once("listed", lambda: A.first_seen(t.attachments(), "listing"))
 
 
 def named(t: Tree) -> DataFrame:
-    return A.plan_names(t.attachments(), "listing")
+    return t.once("named", lambda: A.plan_names(listed(t), "listing").select("page_id", "att_id", "title", "media_type", "version", "created_at", "folded", "local_name"))
 
 
 def digests(t: Tree) -> DataFrame:
@@ -337,17 +338,18 @@ def plan(t: Tree, rows: DataFrame) -> DataFrame:
     """Pages of a layout with version, status and fingerprint, as a state has them."""
     laid = L.layout(t.spaces(), rows, t.folders()).where("kind = 'page'").select("space_id", F.col("node_id").alias("page_id"), "dir", "file")
     mark = F.sha2(F.concat_ws("@", "page_id", F.col("version").cast("string")), 256)
-    return laid.join(rows.select("space_id", "page_id", "title", "version", "status", mark.alias("fingerprint")), ["space_id", "page_id"])
+    return cut(laid.join(rows.select("space_id", "page_id", "title", "version", "status", mark.alias("fingerprint")), ["space_id", "page_id"]))
+
+
+def moved(pages: DataFrame) -> DataFrame:
+    n = F.substring("page_id", 2, 20).cast("long") % 10
+    return pages.withColumn("parent_id", F.when((n == 3) & F.col("page_id").startswith("c"), "").otherwise(F.col("parent_id")))
 
 
 def before_and_now(t: Tree) -> tuple[DataFrame, DataFrame, DataFrame]:
     """State of the previous snapshot, plan of the current one, and the current pages. Some pages have another parent now."""
-    from leafmill.adapters import current, previous
-
     rows = t.pages()
-    n = F.substring("page_id", 2, 20).cast("long") % 10
-    now = current(rows, "page_id")
-    now = now.withColumn("parent_id", F.when((n == 3) & F.col("page_id").startswith("c"), "").otherwise(F.col("parent_id")))
+    now = moved(current(rows, "page_id"))
     return plan(t, previous(rows, "page_id")), plan(t, now), now
 
 
@@ -436,7 +438,7 @@ def u3_new_state(t: Tree) -> DataFrame:
 @query(q(LAYOUT, "select space_id, node_id folder_id, dir, len(string_split(dir, '/'))::bigint depth from placed where kind = 'folder' and substr(node_id, 2)::int % 4 = 1"))
 def j16_stale_folder_dirs(t: Tree) -> DataFrame:
     folders = placed(t).where("kind = 'folder'").select("space_id", F.col("node_id").alias("folder_id"), "dir")
-    return R.stale_folders(folders, folders.where(F.substring("folder_id", 2, 9).cast("int") % 4 != 1))
+    return R.stale_folders(folders, folders.where(F.substring("folder_id", 2, 9).try_cast("int") % 4 != 1))
 
 
 @query(q(ATT + DIGESTS, "select digest from (select digest from digests union select png_digest from derived) where digest not in (select digest from digests where ascii(digest) % 2 = 0 union select d.png_digest from derived d join digests x on x.digest = d.xml_digest and ascii(x.digest) % 2 = 0 where render_version = 2)"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill import queries as Q
-from leafmill.adapters import Tree
+from leafmill.adapters import Tree, current, previous
 from leafmill.functions import names as N
 from leafmill.functions.render import jobs as J
 from leafmill.lineage import numbered, shared_folder
@@ -20,6 +20,7 @@ from leafmill.operators import attachments as A
 from leafmill.operators import bodies as B
 from leafmill.operators import layout as L
 from leafmill.oracles import ATT, LAYOUT, PAIRS, SNAPSHOTS, TREE, q
+from leafmill.plans import export as E
 from leafmill.plans import reconcile as R
 from leafmill.plans import state as S
 from leafmill.queries import query
@@ -68,6 +69,49 @@ def s13b_file_tree(t: Tree) -> DataFrame:
     return trees.read_tree(t.spark, path).select("rel_path", F.decode("content", "UTF-8").alias("content"))
 
 
+def two_snapshots(t: Tree) -> tuple[E.Inputs, E.Inputs]:
+    """The tree before and now as a run takes it; pages have no attachments."""
+    rows = t.pages().withColumns({"web_url": F.lit(""), "last_modified": F.lit("2024-01-31")})
+    none = t.spark.createDataFrame([], "space_id string, page_id string, att_id string, title string, media_type string, version int, created_at string, file_size bigint, ord bigint")
+    more = {"spaces": t.spaces(), "folders": t.folders(), "attachments": none, "users": Q.users(t), "digests": none.selectExpr("att_id", "version", "'' as digest"), "derived": none.selectExpr("version as render_version", "'' as xml_digest", "'' as png_digest")}
+    return E.Inputs(pages=previous(rows, "page_id"), **more), E.Inputs(pages=Q.moved(current(rows, "page_id")), **more)
+
+
+@query(
+    q(
+        SNAPSHOTS,
+        """select space_id, 'action' kind, page_id "key", case when s.page_id is not null and s.dir = p.dir and s.file = p.file and s.version = p.version then 'skip' else 'write' end || case when s.dir <> p.dir then ' moved' else '' end what from now_plan p left join old_plan s using (space_id, page_id)
+        union all select space_id, 'delete', s.file, '' from old_plan s where lower(s.file) not in (select lower(p.file) from now_plan p where p.space_id = s.space_id)
+        union all select space_id, 'state', page_id, dir from now_plan
+        union all select space_id, 'document', p.file, '' from now_plan p""",
+    )
+)
+def e1_export(t: Tree) -> DataFrame:
+    """Two whole runs, the second over what the first one left: what it does and deletes, the state after it, and the documents in force."""
+    folder = f"{shared_folder(t.spark)}/export-{uuid.uuid4().hex}"
+    first, second = two_snapshots(t)
+    E.run(t.spark, first, folder, include_archived=True)
+    out = E.run(t.spark, second, folder, include_archived=True)
+    done = out.actions.select("space_id", F.lit("action").alias("kind"), F.col("page_id").alias("key"), F.concat("action", F.when(F.col("moved"), " moved").otherwise("")).alias("what"))
+    gone = out.deletions.select("space_id", F.lit("delete").alias("kind"), F.col("path").alias("key"), F.lit("").alias("what"))
+    after = S.load_state(t.spark, folder, "state_pages").select("space_id", F.lit("state").alias("kind"), F.col("page_id").alias("key"), F.col("dir").alias("what"))
+    there = S.load_documents(t.spark, folder).select("space_id", F.lit("document").alias("kind"), F.col("rel_path").alias("key"), F.lit("").alias("what"))
+    return done.unionByName(gone).unionByName(after).unionByName(there)
+
+
+@query(
+    q(
+        LAYOUT,
+        "select space_id, node_id, dir from placed where space_id not in ('r1', 'r2') or (space_id = 'r2' and (dir = 'ASIA/NATION_2' or dir like 'ASIA/NATION_2/%' or dir = 'ASIA/NATION_7' or dir like 'ASIA/NATION_7/%')) or (space_id = 'r1' and node_id = (select node_id from placed where space_id = 'r1' and lower(title) = 'building' and parent_id = 'n1' order by rank limit 1))",
+    )
+)
+def f8b_scopes(t: Tree) -> DataFrame:
+    """Scopes of several spaces in one plan: two subtrees of one, a single page of another, one that names nothing besides, the other spaces whole."""
+    plan = t.once("placed", lambda: Q.placed(t))
+    scopes = t.spark.createDataFrame([("r2", "/nation_2/", False), ("r2", "NATION_7", False), ("r1", "nation_1/Building", True), ("r1", "nation_1/no such page", False)], "space_id string, path string, no_children boolean")
+    return L.restrict_scopes(plan, L.resolve_subtrees(plan, scopes)).select("space_id", "node_id", "dir")
+
+
 @query(q(TREE, "select space_id, page_id, title, status, version from pages"))
 def s11_snapshot(t: Tree) -> DataFrame:
     """A snapshot written by space and read again."""

@@ -33,8 +33,23 @@ def read_listing(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return records(envelopes.withColumn("source", F.input_file_name()))
 
 
+def read_landing(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """The records below path, and what of it is damaged: space_id, kind, source, lines (that can't be read, or only in part).
+
+    Where folders are named space_id=<id>, damage is that space's and records carry it as well; elsewhere its space is null
+    and may be any.
+    """
+    shape = f"results array<struct<{RECORDS[kind]}>>, _bad string"
+    lines = spark.read.text(path).where("trim(value) <> ''").withColumn("source", F.input_file_name())
+    space = F.col("space_id").cast("string") if "space_id" in lines.columns else F.lit(None).cast("string")
+    read = lines.select("source", space.alias("space_id"), F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("e"))
+    damaged = read.where("e._bad is not null").groupBy("space_id", "source").agg(F.count("*").alias("lines")).select("space_id", F.lit(kind).alias("kind"), "source", "lines")
+    return records(read.select("source", "space_id", F.col("e.results").alias("results"))), damaged
+
+
 def records(envelopes: DataFrame) -> DataFrame:
-    return envelopes.select("source", F.posexplode("results").alias("at", "r")).select("source", "r", F.col("at").cast("bigint").alias("ord"))
+    more = ["space_id"] if "space_id" in envelopes.columns else []
+    return envelopes.select("source", *more, F.posexplode("results").alias("at", "r")).select("source", "r", F.col("at").cast("bigint").alias("ord"), *more)
 
 
 def version_v2(v: Column) -> Column:
