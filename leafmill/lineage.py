@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -28,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """Rows of df as `cut` gives them, and aggregates over them, taken while they are written."""
+    seen = Observation()
+    rows = cut(df.observe(seen, *[c.alias(n) for n, c in counts.items()]))
+    return rows, seen.get
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """A sorted table with the place of each row, from 1: its place in its partition behind all partitions before."""
     rows = cut(df).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at"))

@@ -6,7 +6,7 @@ doubling pointers, in rounds logarithmic in the tree's depth.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -235,10 +235,15 @@ def in_scope(directory, prefix):
     return (directory == prefix) | F.startswith(directory, F.concat(prefix, F.lit("/")))
 
 
+def unsafe() -> Column:
+    """Whether a planned path is absolute or holds a `..` step."""
+    path = F.coalesce("file", "dir")
+    return path.startswith("/") | F.array_contains(F.split(path, "/"), "..")
+
+
 def unsafe_paths(placed: DataFrame) -> DataFrame:
     """Planned paths that are absolute or hold a `..` step: none, or the plan is wrong."""
-    path = F.coalesce("file", "dir")
-    return placed.where(path.startswith("/") | F.array_contains(F.split(path, "/"), ".."))
+    return placed.where(unsafe())
 
 
 def current_only(pages: DataFrame, include_archived: bool = False) -> DataFrame:

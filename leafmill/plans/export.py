@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.names import page_url, sanitize_filename
 from leafmill.functions.render import jobs as J
-from leafmill.lineage import cut
+from leafmill.lineage import cut, cut_counted
 from leafmill.operators import attachments as A
 from leafmill.operators import bodies as B
 from leafmill.operators import layout as L
@@ -71,6 +71,7 @@ class Outcome:
     warnings: DataFrame
     summary: DataFrame
     version: int = field(default=0)
+    totals: dict[str, int] = field(default_factory=dict)  # written, skipped, moved, counted while the actions were written
 
 
 def _own(rows: DataFrame, *columns: str) -> DataFrame:
@@ -117,7 +118,9 @@ def plan(given: Inputs, include_archived: bool) -> tuple[DataFrame, DataFrame, D
     """Listed pages, pages to export, the layout of all of them, the part of it in scope, the scopes with what they name, and nodes."""
     listed, pages = (cut(x) if given.failed_bodies is not None else x for x in canonical_pages(given, include_archived))
     folders = _own(given.folders, "folder_id", "parent_id").join(given.spaces.select("space_id").distinct(), "space_id", "left_semi")
-    placed = cut(L.layout(given.spaces, pages, folders))
+    placed, seen = cut_counted(L.layout(given.spaces, pages, folders), unsafe=F.count_if(L.unsafe()))
+    if seen["unsafe"]:
+        raise ValueError(f"{seen['unsafe']} planned paths lead out of the tree")
     scopes = planned = None
     if given.scopes is not None:
         scopes = cut(L.resolve_subtrees(placed, given.scopes))
@@ -185,7 +188,8 @@ def run(spark: SparkSession, given: Inputs, folder: str, *, options: P.Options =
         flags = flags.join(found, "space_id", "left")
     verdicts = cut(R.guard_verdicts(guarded, wanted, before, include_archived=include_archived, allow_mass_delete=allow_mass_delete, flags=flags))
     present = given.present
-    actions = cut(R.skip_or_write(R.gated(wanted, verdicts), before, present))
+    act = F.col("action")
+    actions, totals = cut_counted(R.skip_or_write(R.gated(wanted, verdicts), before, present), written=F.count_if(act == "write"), skipped=F.count_if(act == "skip"), moved=F.count_if("moved"))
     writes = actions.where("action = 'write'")
 
     now = named.join(digests.select("att_id", "version", F.col("digest").alias("blob")).dropDuplicates(["att_id", "version"]), ["att_id", "version"], "left")
@@ -254,7 +258,7 @@ def run(spark: SparkSession, given: Inputs, folder: str, *, options: P.Options =
         states = S.load_state(spark, folder, "state_attachments", version=version).select("blob").unionByName(S.load_state(spark, folder, "state_rendered", version=version).select("blob"))
         keep = R.keep_set(S.load_state(spark, folder, "body_blobs", version=version), digests, given.derived, (given.fresh if given.fresh is not None else given.derived.limit(0)), states, A.RENDER_VERSION)
         garbage = R.blob_gc(given.blobs, keep, verdicts)
-    return Outcome(verdicts, _plain(actions, "page_id"), deletions, gone, S.documents_of(spark, folder, documents_named(documents, this)), _plain(manifest, "page_id"), downloads, A.render_queue(pairs, digests, derived, stored), derived, garbage, warnings, summary, version)
+    return Outcome(verdicts, _plain(actions, "page_id"), deletions, gone, S.documents_of(spark, folder, documents_named(documents, this)), _plain(manifest, "page_id"), downloads, A.render_queue(pairs, digests, derived, stored), derived, garbage, warnings, summary, version, totals)
 
 
 def documents_named(documents: DataFrame, run_id: str) -> DataFrame:

@@ -19,7 +19,7 @@ from leafmill.lineage import numbered, shared_folder
 from leafmill.operators import attachments as A
 from leafmill.operators import bodies as B
 from leafmill.operators import layout as L
-from leafmill.oracles import ATT, LAYOUT, PAIRS, SNAPSHOTS, TREE, q
+from leafmill.oracles import ATT, DIGESTS, LAYOUT, PAIRS, SNAPSHOTS, TREE, q
 from leafmill.plans import export as E
 from leafmill.plans import reconcile as R
 from leafmill.plans import state as S
@@ -150,6 +150,62 @@ def j8_match_diagram(t: Tree) -> DataFrame:
     return A.match_diagram(refs, rows, "at")
 
 
+@query(q(TREE + ", " + ATT, "select distinct author from pages where author <> '' union select 'w' || (file_size % 30) from atts"))
+def a2b_attachment_authors(t: Tree) -> DataFrame:
+    """Authors of pages and of attachments."""
+    return B.author_ids(t.pages(), t.attachments().select(F.concat(F.lit("w"), (F.col("file_size") % 30).cast("string")).alias("author")))
+
+
+@query(
+    q(
+        ATT,
+        """select '' page_id, att_id, version, case split_part(att_id, '-', 2)::int % 5 when 1 then 'https://wiki.example.com/x/' || att_id when 4 then 'https://wiki.example.com/wiki/download/' || att_id else '' end url,
+        case when file_size > 0 then greatest(file_size * 2, 268435456) else 8589934592 end::bigint cap from listed""",
+    )
+)
+def s15b_download_addresses(t: Tree) -> DataFrame:
+    """Attachments without a page: none, the site's own, its own but not secured, another site's, or a path of the site."""
+    n = F.substring_index("att_id", "-", -1).cast("int") % 5
+    link = F.when(n == 0, "").when(n == 1, F.concat(F.lit("https://wiki.example.com/x/"), "att_id")).when(n == 2, F.concat(F.lit("http://wiki.example.com/x/"), "att_id")).when(n == 3, F.concat(F.lit("https://elsewhere.example.org/x/"), "att_id")).otherwise(F.concat(F.lit("/download/"), "att_id"))
+    return A.download_plan(Q.listed(t).withColumns({"page_id": F.lit(""), "download_url": link}), "https://wiki.example.com")
+
+
+@query(
+    q(
+        SNAPSHOTS + ", " + ATT,
+        r"""select space_id, path from (select space_id, file path from old_plan union select space_id, regexp_replace(file, '\.md$', '.html') from old_plan union select space_id, dir || '/.media/' || att_id from old_plan join listed using (page_id))
+        where (space_id, lower(path)) not in (select (space_id, lower(path)) from (select space_id, file path from now_plan union select space_id, regexp_replace(file, '\.md$', '.html') from now_plan union select space_id, dir || '/.media/' || att_id from now_plan join listed using (page_id) where file_size % 2 = 0))""",
+    )
+)
+def j15b_deletions_of_all_kinds(t: Tree) -> DataFrame:
+    """Markdown, html and media that the state before owns and the new one doesn't; half of the attachments are gone."""
+    state, new, _ = Q.before_and_now(t)
+    html = F.regexp_replace("file", r"\.md$", ".html")
+    media = lambda pages, atts: atts.join(pages.select("space_id", "page_id"), "page_id").select("space_id", "page_id", F.col("att_id").alias("file"))
+    atts = Q.listed(t)
+    before = R.owned_paths(state.withColumn("html", html), media(state, atts))
+    return R.deletions(before, R.owned_paths(new.withColumn("html", html), media(new, atts.where("file_size % 2 = 0"))))
+
+
+@query(q(ATT + DIGESTS, "select 'guarded' run, 0::bigint garbage union all select 'open', count(*) from (select digest from digests union select png_digest from derived) where ascii(digest) % 2 = 1"))
+def j17b_gated_blob_gc(t: Tree) -> DataFrame:
+    """What is cleared up in a run in which a space is guarded, and in one in which none is."""
+    blobs = Q.blobs(t)
+    keep = blobs.where(F.ascii("digest") % 2 == 0)
+    verdicts = t.spaces().select("space_id", F.when(F.col("space_id") == "r3", "keep_all").otherwise("ok").alias("verdict"))
+    runs = [(name, R.blob_gc(blobs, keep, v)) for name, v in (("guarded", verdicts), ("open", verdicts.where("verdict = 'ok'")))]
+    one, two = (rows.agg(F.count("*").alias("garbage")).select(F.lit(name).alias("run"), "garbage") for name, rows in runs)
+    return one.unionByName(two)
+
+
+@query("select doc_id::varchar page_id, '# D' || chr(10) || chr(10) || 'stamped ' || doc_id || ' by the plug-in' as markdown from documents")
+def p1_plug_in(t: Tree) -> DataFrame:
+    """A macro that the library doesn't know, rendered by a handler of this run."""
+    body = F.concat(F.lit('<ac:structured-macro ac:name="stamp"><ac:parameter ac:name="k">'), "page_id", F.lit("</ac:parameter></ac:structured-macro>"))
+    pages = Q.documents(t).withColumns({"title": F.lit("D"), "body": body})
+    return J.render_markdown(J.wide(pages), plug_ins={"stamp": lambda macro, page: [f"stamped {macro.params['k']} by the plug-in"]}).select("page_id", "markdown")
+
+
 # Order, as the number of each row.
 
 
