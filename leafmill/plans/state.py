@@ -107,7 +107,8 @@ def new_run() -> str:
 def write_rows(df: DataFrame, folder: str, name: str, run: str) -> None:
     """A table's rows of one run, by space where it has spaces."""
     sort = [c for c in df.columns if c not in ("space_id", "body", "content") and not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]
-    writer = df.sortWithinPartitions(*sort).write.mode("overwrite")
+    # The writer keeps an order that begins with the column it divides by.
+    writer = df.sortWithinPartitions(*(["space_id"] if "space_id" in df.columns else []), *sort).write.mode("overwrite")
     (writer.partitionBy("space_id") if "space_id" in df.columns else writer).parquet(f"{folder}/data/{name}/run={run}")
 
 

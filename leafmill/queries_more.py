@@ -206,6 +206,40 @@ def p1_plug_in(t: Tree) -> DataFrame:
     return J.render_markdown(J.wide(pages), plug_ins={"stamp": lambda macro, page: [f"stamped {macro.params['k']} by the plug-in"]}).select("page_id", "markdown")
 
 
+# Deep trees: parts as folders and pages.
+
+
+@query(
+    """with recursive f as (select 'f' || p_partkey id, case when p_partkey > 1 and p_partkey % 97 <> 0 then 'f' || (p_partkey // 2) end up from part),
+    r as (select id from f where id in (select 'f' || (s_suppkey * 3) from supplier) union select g.id from r join f x on x.id = r.id join f g on g.id = x.up)
+    select 'd' space_id, id folder_id from r"""
+)
+def j2b_nested_folders(t: Tree) -> DataFrame:
+    """Each part is a folder in the one of half its number; suppliers are pages in some of them."""
+    up = F.when((F.col("p_partkey") > 1) & (F.col("p_partkey") % 97 != 0), F.concat(F.lit("f"), F.shiftright("p_partkey", 1).cast("string"))).otherwise("")
+    folders = t.read("part").select(F.lit("d").alias("space_id"), F.concat(F.lit("f"), "p_partkey").alias("folder_id"), up.alias("parent_id"), F.when(up != "", "folder").otherwise("").alias("parent_type"))
+    pages = t.read("supplier").select(F.lit("d").alias("space_id"), F.concat(F.lit("f"), (F.col("s_suppkey") * 3).cast("string")).alias("parent_id"), F.lit("folder").alias("parent_type"))
+    return L.folder_closure(pages, folders)
+
+
+@query(
+    """with recursive t as (select p_partkey k, case when p_partkey = 0 then null when p_partkey % 50 <> 1 then p_partkey - 1 when ((p_partkey - 1) // 50) % 7 = 3 and p_partkey + 49 <= (select max(p_partkey) from part) then p_partkey + 49 end up from part),
+    w as (select k, 'Deep/n' || k dir, 1 depth from t where up is null union all select t.k, w.dir || '/n' || t.k, depth + 1 from w join t on t.up = w.k)
+    select k::varchar node_id, dir, depth::bigint depth, row_number() over (order by string_split(dir, '/')[2], depth) ord from w"""
+)
+def w3b_deep_paths(t: Tree) -> DataFrame:
+    """Parts as pages, each below the one before it, in chains of fifty, some of which are rings: those have no place."""
+    k = F.col("p_partkey").cast("long")
+    parts = t.read("part")
+    last = parts.agg(F.max("p_partkey")).first()[0] or 0
+    up = F.when(k == 0, None).when(k % 50 != 1, k - 1).when((F.floor((k - 1) / 50) % 7 == 3) & (k + 49 <= last), k + 49)
+    pages = parts.select(F.lit("d").alias("space_id"), k.cast("string").alias("page_id"), F.concat(F.lit("n"), k.cast("string")).alias("title"), F.coalesce(up.cast("string"), F.lit("")).alias("parent_id"), F.lit(0).alias("position"), F.lit("current").alias("status"), k.alias("ord"))
+    spaces = t.spaces().select(F.lit("d").alias("space_id"), F.lit("Deep").alias("name")).limit(1)
+    none = t.folders().where("false")
+    # Siblings stand by id, which as text is the order of the chains' first names.
+    return L.preorder(L.layout(spaces, pages, none)).select("node_id", "dir", F.size("path_ids").cast("long").alias("depth"), "ord")
+
+
 # Order, as the number of each row.
 
 

@@ -49,6 +49,14 @@ def test_a_run_replaces_its_own_spaces_and_tables_only(spark, tmp_path):
     assert [r.display_name for r in S.load_state(spark, folder, "users").collect()] == ["Eve"] and titles(spark, folder) == [("", "3", "c"), ("t", "2", "b")]
 
 
+def test_rows_of_a_file_stand_in_order(spark, tmp_path):
+    rows = states(spark, *[("s", f"{k:03}", "t") for k in range(200)]).repartition(3)
+    S.save_state(spark, {"state_pages": rows}, str(tmp_path))
+    for file in (tmp_path / "data" / "state_pages").glob("run=*/space_id=s/*.parquet"):
+        ids = [r.page_id for r in spark.read.parquet(str(file)).collect()]
+        assert ids == sorted(ids) and ids
+
+
 def test_of_two_runs_over_one_space_the_second_fails(spark, tmp_path):
     folder = str(tmp_path / "state")
     base = S.save_state(spark, {"state_pages": states(spark, ("s", "1", "a"), ("t", "2", "b"))}, folder)
