@@ -115,8 +115,9 @@ def canonical_pages(given: Inputs, include_archived: bool) -> tuple[DataFrame, D
 
 
 def plan(given: Inputs, include_archived: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame | None, DataFrame]:
-    """Listed pages, pages to export, the layout of all of them, the part of it in scope, the scopes with what they name, and nodes."""
-    listed, pages = (cut(x) if given.failed_bodies is not None else x for x in canonical_pages(given, include_archived))
+    """Ids of listed pages, pages to export without their bodies, the layout of all of them, the part of it in scope, the scopes with what they name, and nodes."""
+    listed, pages = canonical_pages(given, include_archived)
+    listed, pages = cut(listed.select(*KEY)), cut(pages.drop("body"))
     folders = _own(given.folders, "folder_id", "parent_id").join(given.spaces.select("space_id").distinct(), "space_id", "left_semi")
     placed, seen = cut_counted(L.layout(given.spaces, pages, folders), unsafe=F.count_if(L.unsafe()))
     if seen["unsafe"]:
@@ -153,7 +154,7 @@ def run(spark: SparkSession, given: Inputs, folder: str, *, options: P.Options =
     before, before_media, before_shown, before_folders = (cut(own_held(f"state_{n}")) for n in ("pages", "attachments", "rendered", "folders"))
     before_media = before_media.select(*KEY, "att_id", "version", "file", "blob", "size")
     listed, pages, placed, planned, scopes, tree = plan(given, include_archived)
-    wanted = planned.where("kind = 'page'").select("space_id", F.col("node_id").alias("page_id"), "dir", "file", F.concat("dir", F.lit("/"), "segment", F.lit(".html")).alias("html")).join(pages.drop("body"), KEY)
+    wanted = planned.where("kind = 'page'").select("space_id", F.col("node_id").alias("page_id"), "dir", "file", F.concat("dir", F.lit("/"), "segment", F.lit(".html")).alias("html")).join(pages, KEY)
     if not options.include_html:
         wanted = wanted.withColumn("html", F.lit(""))
 
@@ -169,11 +170,13 @@ def run(spark: SparkSession, given: Inputs, folder: str, *, options: P.Options =
     pairs = A.drawio_pairs(A.first_seen(atts))
     shown = cut(A.rendered_media(pairs, named, digests, derived, stored))
     pictures = shown.where("png_digest is not null")
-    _, links, _ = B.store_bodies(pages)
-    prints = P.page_fingerprints(pages, named, links, pictures.select("page_id", "png_digest"), B.author_resolution(pages, given.users, lookup=options.author_lookup), options)
+    # Bodies are read for their digests and mentions, and again where they are rendered.
+    full = canonical_pages(given, include_archived)[1]
+    links = cut(B.store_bodies(full)[1])
+    prints = P.page_fingerprints(pages, named, links, pictures.select("page_id", "png_digest"), cut(B.author_resolution(full, given.users, lookup=options.author_lookup)), options)
     wanted = cut(wanted.join(prints, KEY))
 
-    guarded = _roots(spaces, held("state_spaces"), before_all)
+    guarded = cut(_roots(spaces, held("state_spaces"), before_all))
     if given.reused is not None:
         guarded = guarded.join(given.reused.select("space_id", "snapshot_space_key"), "space_id", "left")
     if given.damage is not None:
@@ -198,7 +201,7 @@ def run(spark: SparkSession, given: Inputs, folder: str, *, options: P.Options =
     media = R.carry_media(before_media.join(wanted.select(*KEY), KEY, "left_semi"), now, media=options.media, moved=R.detect_moves(actions), flags=given.flags)
     media = cut(media.join(sizes, [*KEY, "att_id", "version"], "left").withColumn("size", F.coalesce("size", F.lit(0).cast("long"))))
 
-    todo = pages.join(writes.select(*KEY), KEY, "left_semi")
+    todo = cut(full.join(writes.select(*KEY), KEY, "left_semi"))
     available = A.available_media(named, digests, shown, media=options.media, carried=media.where("carried").select("page_id", "file"))
     rendered = cut(J.render_markdown(J.wide(todo, named, available, B.resolve_users(B.mentions(todo), given.users), shown), plug_ins=plug_ins))
     files = named.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("att_id", F.col("local_name").alias("name"), F.col("media_type").alias("type"), F.col("file_size").alias("size")))).alias("attachments"))
@@ -210,7 +213,7 @@ def run(spark: SparkSession, given: Inputs, folder: str, *, options: P.Options =
         documents = documents.unionByName(todo.join(writes.select(*KEY, "html"), KEY).select("space_id", F.col("html").alias("rel_path"), F.col("body").alias("content")))
     S.write_documents(documents, folder, this)
 
-    kept = R.survivors(before, wanted, listed, include_archived=include_archived, flags=given.flags, scopes=scopes)
+    kept = cut(R.survivors(before, wanted, listed, include_archived=include_archived, flags=given.flags, scopes=scopes))
     stopped = before.join(verdicts.where("verdict <> 'ok'").select("space_id"), "space_id", "left_semi")
     kept_rows = R.gated(kept, verdicts).where("kept").select(*PAGE_STATE)
     skipped = before.join(actions.where("action = 'skip'").select(*KEY), KEY, "left_semi").select(*PAGE_STATE)
