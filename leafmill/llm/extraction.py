@@ -3,11 +3,17 @@
 A page is read as a sequence of blocks (text between block-level tags). First pass, by density: a block that is mostly links
 is boilerplate; one that is long and holds enough stop words of some language, or is long prose without any that is known,
 is content; what is short, and headings, are undecided. What a page itself says counts beside: parts that HTML sets apart
-(navigation, footers, asides, forms, hidden ones) and those whose whole class or id is made of such names are boilerplate;
-names that may mean a subject as well ("legal", "related") do so only outside an article. Second pass: undecided blocks
+(navigation, footers, asides, hidden ones) and those whose whole class or id is made of such names are boilerplate, as is
+what is named as comments, whoever's they are; names that may mean a subject as well ("legal") do so only outside an
+article. Forms, and names that a whole layout may go by ("sidebar"), only set apart what doesn't hold the page's prose: if
+the prose in there is more than twice what stands free, with a heading or an article of its own, it counts as free. Where
+articles hold a third of the free prose or more, what stands outside of them is boilerplate. Second pass: undecided blocks
 take the label of the nearest neighbour that the first pass decided by its text; inside an article the article's own edges
 count as content. Without such a neighbour they are boilerplate. Adverts inside a paragraph are left out of it.
 
+A page is read in time linear in its length, however broken: a quote that is never closed is an ordinary character, and a tag
+that never ends ends at the next ">", or with the page.
+
 The text is the content blocks in page order, white space within a block as one space, blocks joined by an empty line.
 
 Defined cases: a null html counts as empty and gives the empty text; a page without content gives the empty text; repeated
@@ -46,7 +52,14 @@ STOP = frozenset(
     """.split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^'\">]|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+# What stands in a tag behind its name, by the quotes that are still known to be closed.
+_WITHIN = {
+    "\"'": re.compile(r"(?:[^'\">]|\"[^\"]*+\"|'[^']*+')*+"),
+    '"': re.compile(r"(?:[^\">]|\"[^\"]*+\")*+"),
+    "'": re.compile(r"(?:[^'>]|'[^']*+')*+"),
+    "": re.compile(r"[^>]*+"),
+}
 # A tag that ends itself; a slash at the end of a bare value belongs to the value.
 _EMPTY = re.compile(r"(?:^|[\s\"'])/\Z")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -59,70 +72,148 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 RAW = frozenset("script style noscript template svg iframe object textarea select title".split())
 _CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog button fieldset".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog button".split())
+#: Elements, and names, that may as well go around a whole page.
+WRAPPERS = frozenset("form fieldset".split())
+LAYOUT = frozenset("sidebar sidebars menu menus nav navbar navigation masthead modal popup".split())
+#: Names of what readers write, and parts of a name that only tell whether they may.
+COMMENTS = frozenset("comment comments commentlist disqus replies responses".split())
+STATES = frozenset("open closed enabled disabled has no with without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promotion".split())
 #: Names that say boilerplate wherever they stand, and those that only do so outside an article.
-STRONG = ADVERTS | frozenset("cookie cookies consent gdpr notice notices notification notifications sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus share sharing newsletter subscribe subscription signup login popup modal pagination pager dropdown".split())
-WEAK = frozenset("banner social related recommended widget widgets toolbar topbar overlay skip alert alerts announcement copyright legal crumbs discussion respond responses replies feedback header".split())
+STRONG = ADVERTS | frozenset("cookie cookies consent gdpr notice notices notification notifications sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus share sharing newsletter subscribe subscription signup login popup modal pagination pager dropdown related".split())
+WEAK = frozenset("banner social recommended widget widgets toolbar topbar overlay skip alert alerts announcement copyright legal crumbs discussion respond feedback header".split())
 #: Names that go with any of these without a meaning of their own; those of the article itself besides.
-NEUTRAL = frozenset("box boxes block section list container wrapper wrap area bar row col column item items inner outer top bottom left right center main site page global primary secondary body text links buttons button icons form field group panel slot unit trail thread bottombar mobile desktop small large sticky fixed js".split())
+NEUTRAL = frozenset("box boxes block section list container wrapper wrap area bar row col column item items inner outer top bottom left right center main site page global primary secondary body text links buttons button icons form field group panel slot unit trail thread bottombar mobile desktop small large sticky fixed js posts articles stories entries news".split())
 ARTICLE = frozenset("article post entry story content".split())
 TOP = frozenset(("html", "head", "body", "article", "main"))
 
 
-def _named(names: str) -> tuple[bool, bool, bool]:
-    """Whether a class or id says boilerplate, an advert, or what is boilerplate outside an article only."""
-    strong = advert = weak = False
-    for name in names.split():
-        parts = {p.lower() for p in _PART.findall(name)}
+#: What a mark on an element means: nothing, a part that may go around the page, a part that is boilerplate.
+FREE, SOFT, HARD = 0, 1, 2
+
+
+def _parts(name: str) -> set[str]:
+    return {p.lower() for p in _PART.findall(name)}
+
+
+def _comments(names: str) -> bool:
+    """Whether one of the names is that of readers' comments, by any of its parts."""
+    return any(parts & COMMENTS and len(parts) <= 3 and not parts & STATES for parts in map(_parts, names.split()))
+
+
+def _named(names: str) -> tuple[int, bool, bool]:
+    """What a class or id says wherever it stands, whether it says advert, and whether it says boilerplate outside an article."""
+    mark, advert, weak, article = FREE, False, False, False
+    for parts in map(_parts, names.split()):
         if not parts or not parts <= STRONG | WEAK | NEUTRAL | ARTICLE:
             continue
-        strong, advert = strong or bool(parts & STRONG), advert or bool(parts & ADVERTS)
+        advert = advert or bool(parts & ADVERTS)
         weak = weak or bool(parts & WEAK) and not parts & ARTICLE
-    return strong, advert, weak
+        article = article or bool(parts & ARTICLE) and not parts & (STRONG | WEAK)
+        mark = max(mark, HARD if parts & STRONG - LAYOUT else SOFT if parts & LAYOUT else FREE)
+    if _comments(names):
+        mark = HARD
+    # Beside the article's own name, a layout's name tells what else is on the page.
+    return FREE if mark == SOFT and article else mark, advert, weak
 
 
-def _says_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+def _mark(tag: str, attrs: str, in_article: bool) -> int:
     if tag in BOILERPLATE:
-        return True
+        return HARD
+    values = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)} if attrs else {}
     if tag in TOP:
-        return False
+        return HARD if tag == "article" and _comments(values.get("class", "")) else FREE
     if tag == "header":
-        return not in_article
-    if not attrs:
-        return False
-    values = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
+        return FREE if in_article else HARD
+    mark = SOFT if tag in WRAPPERS else FREE
+    if not values:
+        return mark
     if values.get("role", "").lower() in ROLES or values.get("aria-hidden") == "true" or "hidden" in values or "display:none" in values.get("style", "").replace(" ", "").lower():
-        return True
-    strong, advert, weak = _named(f"{values.get('class', '')} {values.get('id', '')}")
-    # Within a line only adverts are told by name.
-    return advert if tag in INLINE else strong or weak and not in_article
+        return HARD
+    # A heading's id is made of its own words.
+    said, advert, weak = _named(values.get("class", "") + ("" if tag in HEADINGS else f" {values.get('id', '')}"))
+    if tag in INLINE:
+        # Within a line only adverts are told by name.
+        return HARD if advert else FREE
+    return max(mark, said, HARD if weak and not in_article else FREE)
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Tags, comments and the like in page order, as (start, end, tag or nothing, closes, attributes).
+
+    Whoever takes them may send the place to go on at.
+    """
+    at, quotes = 0, "\"'"
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        tag, closes, attrs = "", False, ""
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 3)
+            at = end + 3 if end >= 0 else len(page)
+        elif m := _NAME.match(page, at):
+            tag, closes = m[2].lower(), bool(m[1])
+            at = m.end()
+            while (end := _WITHIN[quotes].match(page, at).end()) < len(page) and page[end] != ">":
+                # This quote is closed nowhere: no later one of its kind is, either.
+                quotes = quotes.replace(page[end], "")
+            if end == len(page) and (plain := page.find(">", at)) >= 0:
+                end, quotes = plain, ""
+            attrs = page[at:end]
+            at = min(end + 1, len(page))
+        elif page[at : at + 1] in ("!", "?", "/"):
+            end = page.find(">", at)
+            at = end + 1 if end >= 0 else len(page)
+        else:
+            continue
+        to = yield start, at, tag, closes, attrs
+        at = at if to is None else to
 
 
 def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     """(text, characters of it in links, stands in boilerplate, stands in an article, is a heading) of each block that has text."""
-    out: list[tuple[str, int, bool, bool, bool]] = []
-    # Tag, boilerplate, article, left out of its line: all but the tag with what is around.
-    stack: list[tuple[str, bool, bool, bool]] = []
+    return _read(page)[0]
+
+
+def _read(page: str) -> tuple[list[tuple[str, int, bool, bool, bool]], list[bool | None]]:
+    """The blocks of a page, and what the first pass says of each."""
+    found: list[tuple[str, int, bool, bool, bool]] = []
+    # The innermost part of each block that may go around the page; of each such part the one around it, and whether an article or a page's heading is in it.
+    within: list[int] = []
+    around: list[int] = []
+    holds: list[bool] = []
+    # Tag, boilerplate, such part, article, left out of its line: all but the tag with what is around.
+    stack: list[tuple[str, bool, int, bool, bool]] = []
+    bottom = ("", False, -1, False, False)
+    opened: dict[str, int] = {}
     parts: list[str] = []
     unclosed: set[str] = set()
     linked, links, at, breaks = 0, 0, 0, 0
 
+    def pop(k: int) -> None:
+        while len(stack) > k:
+            opened[stack.pop()[0]] -= 1
+
+    def push(entry: tuple[str, bool, int, bool, bool]) -> None:
+        stack.append(entry)
+        opened[entry[0]] = opened.get(entry[0], 0) + 1
+
     def close() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                at = next((k for k in range(len(stack) - 1, -1, -1) if not stack[k][3]), None)
-                tag, bad, article, _ = stack[at] if at is not None else ("", False, False, False)
-                out.append((text, linked, bad, article, tag in HEADINGS))
+                tag, bad, part, article, _ = next((e for e in reversed(stack) if not e[4]), bottom)
+                # A paragraph of an article may be one link.
+                found.append((text, 0 if article and tag == "p" and _long(text) else linked, bad, article, tag in HEADINGS))
+                within.append(part)
         parts, linked = [], 0
 
     def text(piece: str) -> None:
         nonlocal linked, breaks
-        if piece and not (stack and stack[-1][3]):
+        if piece and not (stack and stack[-1][4]):
             parts.append(piece)
             if not piece.isspace():
                 breaks = 0
@@ -138,54 +229,91 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             at = page.find("<", at)
         return at if at >= 0 else len(page)
 
-    while m := _TOKEN.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if not tag:
-            continue
-        tag = tag.lower()
-        if tag in RAW and not m["end"]:
-            if not _EMPTY.search(m["attrs"]):
+    tags = _tags(page)
+    step = next(tags, None)
+    while step is not None:
+        start, end, tag, closes, attrs = step
+        text(page[at:start])
+        at = end
+        if tag in RAW and not closes:
+            if not _EMPTY.search(attrs):
                 at = behind(tag, at)
-            continue
-        if tag == "br":
+        elif tag == "br":
             breaks += 1
             parts.append(" ")
             if breaks > 1:
                 close()
-            continue
-        if tag not in INLINE:
-            close()
-            # What is left out of a line ends with it.
-            while stack and stack[-1][3]:
-                stack.pop()
-        if tag == "a":
-            links = max(0, links - 1) if m["end"] else links + 1
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-            continue
-        if tag in VOID:
-            continue
-        if tag in INLINE:
-            around = stack[-1] if stack else ("", False, False, False)
-            if around[3] or _says_boilerplate(tag, m["attrs"], around[2]):
-                stack.append((tag, *around[1:3], True))
-            continue
-        # A paragraph ends where another block begins, a list item or table cell where the next one does.
-        if stack and stack[-1][0] == "p":
-            stack.pop()
-        if stack and stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            stack.pop()
-        bad, article = stack[-1][1:3] if stack else (False, False)
-        if not m["attrs"].endswith("/") or tag in ("div", "p"):
-            stack.append((tag, bad or _says_boilerplate(tag, m["attrs"], article), article or tag in ("article", "main"), False))
+        elif tag:
+            if tag not in INLINE:
+                close()
+                # What is left out of a line ends with it.
+                while stack and stack[-1][4]:
+                    pop(len(stack) - 1)
+            if tag == "a":
+                links = max(0, links - 1) if closes else links + 1
+            _, bad, part, article, out = stack[-1] if stack else bottom
+            if closes:
+                if opened.get(tag):
+                    pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
+            elif tag in INLINE:
+                if out or _mark(tag, attrs, article):
+                    push((tag, bad, part, article, True))
+            elif tag not in VOID:
+                # A paragraph ends where another block begins, a list item or table cell where the next one does.
+                if stack and stack[-1][0] == "p":
+                    pop(len(stack) - 1)
+                if stack and stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
+                    pop(len(stack) - 1)
+                _, bad, part, article, _ = stack[-1] if stack else bottom
+                if not attrs.endswith("/") or tag in ("div", "p"):
+                    mark = _mark(tag, attrs, article)
+                    if mark == SOFT and not bad:
+                        around.append(part)
+                        holds.append(False)
+                        part = len(around) - 1
+                    if part >= 0 and tag in ("article", "main", "h1"):
+                        holds[part] = True
+                    push((tag, bad or mark == HARD, part, article or tag in ("article", "main"), False))
+        try:
+            step = tags.send(at)
+        except StopIteration:
+            step = None
     text(page[at:])
     close()
-    return out
+    return _settled(found, within, around, holds)
+
+
+def _settled(found: list[tuple[str, int, bool, bool, bool]], within: list[int], around: list[int], holds: list[bool]) -> tuple[list[tuple[str, int, bool, bool, bool]], list[bool | None]]:
+    """Blocks with what the parts that may go around the page, and its articles, make of them, and the first pass on each."""
+    first = [_decided(text, linked, bad, heading) for text, linked, bad, _, heading in found]
+    prose = [len(b[0]) if x else 0 for b, x in zip(found, first, strict=True)]
+    if around:
+        own, count = [0] * len(around), [0] * len(around)
+        free, article = 0, 0
+        for n, part, b in zip(prose, within, found, strict=True):
+            if part < 0:
+                free, article = free + n, article + n * b[3]
+            else:
+                own[part] += n
+                count[part] += n > 0
+        total = own[:]
+        for k in range(len(around) - 1, -1, -1):
+            if around[k] >= 0:
+                total[around[k]] += total[k]
+                count[around[k]] += count[k]
+                holds[around[k]] = holds[around[k]] or holds[k]
+        apart = []
+        for k, outer in enumerate(around):
+            stands = outer >= 0 and apart[outer] or total[k] <= 2 * free or not (holds[k] or count[k] > 1 and not article)
+            apart.append(stands)
+            if not stands:
+                free += own[k]
+        found = [(text, linked, bad or part >= 0 and apart[part], article, heading) for (text, linked, bad, article, heading), part in zip(found, within, strict=True)]
+    inside = sum(n for n, b in zip(prose, found, strict=True) if b[3] and not b[2])
+    outside = sum(n for n, b in zip(prose, found, strict=True) if not b[3] and not b[2])
+    if 2 * inside > outside:
+        found = [(text, linked, bad or not article, article, heading) for text, linked, bad, article, heading in found]
+    return found, [x if not b[2] else False for b, x in zip(found, first, strict=True)]
 
 
 def _long(text: str) -> bool:
@@ -216,9 +344,9 @@ def _decided(text: str, linked: int, bad: bool, heading: bool) -> bool | None:
     return True if len(text) >= 2 * LONG and _prose(text) else None
 
 
-def labels(found: list[tuple[str, int, bool, bool, bool]]) -> list[bool]:
-    """For each block, whether it is content."""
-    first = [_decided(text, linked, bad, heading) for text, linked, bad, _, heading in found]
+def labels(found: list[tuple[str, int, bool, bool, bool]], first: list[bool | None] | None = None) -> list[bool]:
+    """For each block, whether it is content; `first` is what the first pass said, if it was asked before."""
+    first = first or [_decided(text, linked, bad, heading) for text, linked, bad, _, heading in found]
     if True not in first:
         # Nothing is content for sure, as on short pages in other languages: long blocks that aren't boilerplate are.
         first = [True if x is None and not b[4] and _long(b[0]) else x for x, b in zip(first, found, strict=True)]
@@ -246,8 +374,8 @@ def labels(found: list[tuple[str, int, bool, bool, bool]]) -> list[bool]:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    return "\n\n".join(b[0] for b, good in zip(found, labels(found), strict=True) if good)
+    found, first = _read(page or "")
+    return "\n\n".join(b[0] for b, good in zip(found, labels(found, first), strict=True) if good)
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

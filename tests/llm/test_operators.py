@@ -6,7 +6,9 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -513,6 +515,124 @@ def test_extraction_by_density_first(html, text):
     assert extraction.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # Forms, and names of a layout, that go around a whole page.
+        (f"<form id=aspnetForm><nav><a href=a>Home</a></nav><div><h1>Head</h1><p>{PARAGRAPH}</p></div><div class=sidebar><p>{PARAGRAPH}</p></div></form>", f"Head\n\n{PARAGRAPH}"),
+        (f"<fieldset><article><p>{PARAGRAPH}</p></article></fieldset>", PARAGRAPH),
+        (f'<div class="content left-sidebar"><p>{PARAGRAPH}</p></div><footer>{PARAGRAPH}</footer>', PARAGRAPH),
+        (f"<div><p>{PARAGRAPH}</p></div><form><p>{PARAGRAPH}</p><input name=a></form>", PARAGRAPH),
+        # Readers' comments, whatever they are called.
+        *((f'<article><p>{PARAGRAPH}</p><div class="{name}"><p>{PARAGRAPH}</p></div></article>', PARAGRAPH) for name in ("user-comments", "reader-comments", "replies", "related", "related-posts")),
+        (f'<div class="post comments-open"><h2 id="comments">Comments of the king</h2><p>{PARAGRAPH}</p></div>', f"Comments of the king\n\n{PARAGRAPH}"),
+        # Notices and rails without a name, outside of the article.
+        (f"<div><p>We use cookies. {PARAGRAPH}</p></div><article><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></article><div><p>{PARAGRAPH}</p></div>", f"{PARAGRAPH}\n\n{PARAGRAPH}"),
+        (f"<article><p>{PARAGRAPH}</p><p><a href=x>{PARAGRAPH}</a></p></article>", f"{PARAGRAPH}\n\n{PARAGRAPH}"),
+        # A quote that is never closed, a tag that never ends.
+        (f"<article><p title='x>{PARAGRAPH}</p></article>", PARAGRAPH),
+        (f"<article><p>{PARAGRAPH}</p><a href=", PARAGRAPH),
+    ],
+)
+def test_extraction_of_parts_around_a_page(html, text):
+    assert extraction.main_text(html) == text
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<p title="', "<!", "</", "<a y='>' ", '<a x=">" ', "<script>", "<!--", "&amp;<b>", "<div class='"])
+@pytest.mark.parametrize("end", ["", "'", '"', ">"])
+def test_extraction_in_linear_time(piece, end):
+    page = piece * (1_000_000 // len(piece)) + end
+    began = time.process_time()
+    extraction.main_text(page)
+    assert time.process_time() - began < 5
+
+
+def test_extraction_of_unmatched_ends():
+    began = time.process_time()
+    assert extraction.main_text("<div>" * 100_000 + "</p>" * 100_000 + PARAGRAPH) == PARAGRAPH
+    assert time.process_time() - began < 5
+
+
+class PlainReader(HTMLParser):
+    """Blocks and the first pass of the plainest pages, by the standard library's parser and the rules' own words."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.rows, self.text, self.linked = [], [], "", 0
+
+    def flush(self):
+        text = " ".join(self.text.split())
+        if text:
+            if self.open[-1:] == ["p"] and "article" in self.open and plain_length(text) >= 60:
+                # A paragraph of an article may be one link.
+                self.linked = 0
+            self.rows.append((text, self.linked, any(t in ("nav", "aside", "footer") for t in self.open), "article" in self.open, self.open[-1:] in (["h1"], ["h2"])))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("a", "b"):
+            self.flush()
+        self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag not in ("a", "b"):
+            self.flush()
+        assert self.open.pop() == tag
+
+    def handle_data(self, data):
+        self.text += data
+        self.linked += len(data) if "a" in self.open else 0
+
+
+def plain_length(text):
+    return len(text) + sum(2 for c in text[:60] if "\u2e80" <= c <= "\ud7ff")
+
+
+def plain_first(text, linked, bad, heading):
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    known = [w for w in words if w in extraction.STOP]
+    length = plain_length(text)
+    marks = [c for c in text if c in ".!?;,:。！？、，．؟،।"]
+    rules = (
+        (bad, False),
+        (heading, None),
+        (2 * linked > len(text), False),
+        (length < 60, None),
+        (known and len(known) / len(words) >= 0.12, True),
+        (known, None),
+        (len(text) >= 120 and len(marks) / len(text) >= 0.005, True),
+    )
+    return next((label for holds, label in rules if holds), None)
+
+
+def test_first_pass_against_a_plain_version():
+    rng = random.Random(23)
+    texts = (PARAGRAPH, "short", "Home page", POLISH, CHINESE, GREEK, GEORGIAN, "one two three " * 12, "a &amp; b &lt; c")
+    for _ in range(300):
+        page, inside = "", False
+        for _ in range(rng.randint(0, 12)):
+            if rng.random() < 0.2:
+                page += "</article>" if inside else "<article>"
+                inside = not inside
+            tag, around, text = rng.choice(("p", "div", "h2", "li")), rng.choice(("", "", "", "nav", "aside", "footer")), rng.choice(texts)
+            text = rng.choice((text, text, f"<a>{text}</a>", f"<b>{text[:9]}</b> <a>{text[9:]}</a>" if "&" not in text else text))
+            block = f"<{tag}>{text}</{tag}>"
+            page += f"<{around}>{block}</{around}>" if around else block
+        page += "</article>" * inside
+        reader = PlainReader()
+        reader.feed(page)
+        reader.close()
+        reader.flush()
+        rows = reader.rows
+        first = [plain_first(t, k, bad, heading) for t, k, bad, _, heading in rows]
+        size = [sum(len(b[0]) for b, x in zip(rows, first, strict=True) if x and b[3] == where) for where in (True, False)]
+        outside = 2 * size[0] > size[1]
+        rows = [(t, k, bad or outside and not article, article, heading) for t, k, bad, article, heading in rows]
+        got = extraction.blocks(page)
+        assert [(b[0], *b[2:]) for b in got] == [(b[0], *b[2:]) for b in rows], page
+        assert [extraction._decided(b[0], b[1], b[2], b[4]) for b in got] == [plain_first(b[0], b[1], b[2], b[4]) for b in got], page
+
+
 def plain_labels(found):
     """The second pass, looking at every pair of blocks."""
     first = [extraction._decided(t, k, bad, h) for t, k, bad, _, h in found]
