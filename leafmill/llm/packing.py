@@ -180,7 +180,7 @@ def first_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
 
 
 def pack(rows: DataFrame, *, capacity: int = 4096, length_col: str = "length", order_by: tuple[str, ...] = ("doc_id", "start", "ids_crc32")) -> DataFrame:
-    """rows with sequence_id and offset. Every length is from 1 to capacity; order_by tells rows apart."""
+    """rows with sequence_id and offset. Every length is from 1 to capacity. Rows that agree in order_by are dealt to groups by their places in what is written, too."""
     rows = cut(rows)
     groups = max(1, round(rows.count() / GROUP))
     kept = rows.columns
@@ -190,7 +190,7 @@ def pack(rows: DataFrame, *, capacity: int = 4096, length_col: str = "length", o
         bins, offsets = first_fit(frame[length_col].tolist(), capacity)
         return frame.assign(sequence_id=frame["group"].astype("int64") * 2**32 + np.asarray(bins, "int64"), offset=np.asarray(offsets, "int64"))[[*kept, "sequence_id", "offset"]]
 
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64(*order_by, F.lit("pack")), F.lit(groups)))
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64(*order_by, F.monotonically_increasing_id()), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
     return dealt.groupBy("group").applyInPandas(fit, schema)
 
