@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 WINDOW, WIDTHS, FILTERS, DOCS_PER_LANGUAGE, EPOCHS = 256, (2, 3, 4), 8, 1500, 5
 #: Documents that are learned from, however many languages there are.
@@ -144,12 +145,15 @@ def train(docs: DataFrame, *, docs_per_language: int = DOCS_PER_LANGUAGE, id_col
         return None
     # All languages share the bound on the sample, each at least with one document.
     each = max(1, min(docs_per_language, MOST_DOCS // len(counts)))
-    drawn = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1 << 30)).cast("double") / (1 << 30)
-    shares = F.broadcast(docs.sparkSession.createDataFrame([(lang, each / n) for lang, n in counts.items()], "_lang string, _share double"))
+    drawn = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)).cast("double") / (1 << 30)
+    # So amply drawn that each label's first documents in that order are there; these are taken.
+    shares = F.broadcast(docs.sparkSession.createDataFrame([(lang, (each + 8 * each**0.5 + 32) / n) for lang, n in counts.items()], "_lang string, _share double"))
     n = F.greatest(F.char_length(F.col(text_col)) - WINDOW, F.lit(1))
     piece = lambda k: F.substring(F.col(text_col), (F.pmod(F.xxhash64(F.lit(k), F.col(id_col)), n) + 1).cast("int"), F.lit(WINDOW))
     sample = labelled.join(shares, F.col(lang_col) == F.col("_lang")).where(drawn < F.col("_share")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), drawn.alias("drawn"), piece(1).alias("a"), piece(2).alias("b"))
-    rows = sorted(sample.orderBy("drawn", "id").limit(2 * each * len(counts)).collect(), key=lambda r: (r.drawn, str(r.id)))
+    # Copies of a row are one.
+    ranked = sample.dropDuplicates().withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("drawn", "id", "a", "b")))
+    rows = sorted(ranked.where(F.col("rank") <= each).collect(), key=lambda r: (r.drawn, str(r.id), r.lang))
     languages = sorted(counts)
     texts, targets = [], []
     for k, r in enumerate(rows):
