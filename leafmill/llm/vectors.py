@@ -6,10 +6,15 @@ are links; components of the links are the near-duplicate groups. A pair that an
 again: each vector carries its places in all passes. Places in the order come from one range-partitioned sort and
 per-partition counts; comparisons run in blocks of consecutive places, each with the first rows of the next block.
 
-How many passes a label gets follows from its size. One window holds a label of window + 1 vectors, so one pass finds all.
-In larger ones, a pair at the threshold agrees in a bit with chance 1 - acos(threshold) / pi, and stands within a window if
-it agrees in all bits that it takes to cut the label down to half a window; passes are added until a pair is missed with
-chance `miss` at most. Closer pairs are missed more rarely.
+How many passes a label gets follows from its size and from how its vectors lie. One window holds a label of window + 1
+vectors, so one pass finds all. In larger ones, were the vectors spread evenly, a pair at the threshold would agree in a bit
+with chance 1 - acos(threshold) / pi, and stand within a window if it agrees in all bits that it takes to cut the label down
+to half a window. Vectors that share a direction are cut more slowly, so the chance is measured as well: for a sample of the
+label (SAMPLE vectors, by a hash) partners are made at the threshold, in the directions in which the label's vectors differ,
+and TRIALS trial keys tell how often both agree in as many bits as leave a window's number of the label. Passes are added
+until a pair is missed with chance `miss` at most by either. Closer pairs are missed more rarely. A label whose vectors
+nearly all lie at the threshold can ask for more than MANY passes; where their windows would cover it whole, its blocks are
+compared with each other instead.
 
 That holds where links are thin. Where a vector is linked to a quarter of a window, its group may be larger than windows
 are, so all pairs of that component are compared: its vectors are dealt to blocks, block meets block, and only counts come
@@ -40,6 +45,8 @@ from leafmill.llm.common import components, cut, spread_join
 THRESHOLD, MISS, BITS, WINDOW, BLOCK = 0.93, 0.005, 32, 2048, 2048
 #: Vectors of a dense component that one task compares with each other, or with as many of another block.
 PAIRED = 8192
+#: Vectors of a label by which its passes are measured, with so many trial keys; passes that are many.
+SAMPLE, TRIALS, MANY = 2048, 32, 64
 
 
 def passes_for(n: Column, *, window: int = WINDOW, threshold: float = THRESHOLD, miss: float = MISS) -> Column:
@@ -49,6 +56,39 @@ def passes_for(n: Column, *, window: int = WINDOW, threshold: float = THRESHOLD,
     return F.when(n <= window + 1, 1).otherwise(F.ceil(math.log(miss) / F.log(1 - met))).cast("int")
 
 
+def _measure(threshold: float, miss: float, bits: int, window: int, seed: int):
+    """Passes that a label needs, by a sample of its vectors."""
+
+    def measure(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("cid", kind="stable")
+        x, n = np.stack(frame["vector"].to_list()).astype("float64"), int(frame["n"].iloc[0])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        rng, m = np.random.default_rng([seed, x.shape[1], len(x)]), len(x)
+        aside = x[rng.permutation(m)] - x[rng.permutation(m)]
+        aside -= (aside * x).sum(axis=1)[:, None] * x
+        aside /= np.maximum(np.linalg.norm(aside, axis=1), 1e-12)[:, None]
+        y = threshold * x + math.sqrt(1 - threshold**2) * aside
+        met = 0
+        for _ in range(TRIALS):
+            directions = rng.standard_normal((x.shape[1], bits))
+            a, b = x @ directions > 0, y @ directions > 0
+            parted = (a != b).any(axis=1)
+            agreed = np.where(parted, (a != b).argmax(axis=1), bits)
+            # The share of the label that has a vector's first bits. Where the sample shows too few, each further bit is taken to halve it.
+            share, key = np.ones(m), np.zeros(m, "int64")
+            left = np.where(agreed == 0, share, 0)
+            for k in range(bits):
+                key = key * 2 + a[:, k]
+                _, own, count = np.unique(key, return_inverse=True, return_counts=True)
+                share = np.where(count[own] >= 8, count[own] / m, share / 2)
+                left = np.where(agreed == k + 1, share, left)
+            met += int((n * left <= window).sum())
+        chance = min(max(met, 0.5) / (m * TRIALS), 1 - 1e-9)
+        return pd.DataFrame({"group": [frame["group"].iloc[0]], "measured": [math.ceil(math.log(miss) / math.log1p(-chance))], "n": [n]})
+
+    return measure
+
+
 def _keys(bits: int, seed: int):
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         directions: dict[tuple[int, int], np.ndarray] = {}
@@ -102,23 +142,29 @@ def _compare(threshold: float, window: int, block: int):
         links = np.bincount(a, copies[b], len(frame)) + np.bincount(b, copies[a], len(frame))
         crowded = 4 * crowd >= window
         some = np.flatnonzero((links > 0) | crowded)
-        root = np.arange(len(frame))
-        while len(a):
-            new = root.copy()
-            low = np.minimum(root[a], root[b])
-            np.minimum.at(new, root[a], low)
-            np.minimum.at(new, root[b], low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
+        root = _roots(len(frame), a, b)
         return pd.DataFrame({"a": cid[some], "b": cid[root[some]], "links": links[some].astype("int64"), "crowded": crowded[some]})
 
     return compare
 
 
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places, the smallest that the pairs lead to."""
+    root = np.arange(n)
+    while len(a):
+        new = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root
+
+
 def _meet(threshold: float):
-    """Two blocks of one component, or one with itself: links counted for each class."""
+    """Two blocks of one component or label, or one with itself: links counted for each class, and edges that span what is linked."""
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         p, q = frame["p"].iloc[0], frame["q"].iloc[0]
@@ -127,7 +173,7 @@ def _meet(threshold: float):
         x = np.stack(frame["vector"].to_list()).astype("float64")
         x /= np.linalg.norm(x, axis=1)[:, None]
         copies = frame["copies"].to_numpy().astype("float64")
-        links = np.zeros(len(x))
+        links, root = np.zeros(len(x)), np.arange(len(x))
         for k in range(0, n, 256):
             end, first = min(k + 256, n), k if same else n
             near = x[k:end] @ x[first:].T >= threshold
@@ -135,25 +181,42 @@ def _meet(threshold: float):
                 near = np.triu(near, 1)
             links[k:end] += near @ copies[first:]
             links[first:] += copies[k:end] @ near
-        some = np.flatnonzero(links)
-        return pd.DataFrame({"a": frame["cid"].to_numpy()[some], "links": links[some].astype("int64")})
+            i, j = np.nonzero(near)
+            root = _roots(len(x), np.concatenate((np.arange(len(x)), i + k)), np.concatenate((root, j + first)))
+        some, cid = np.flatnonzero(links), frame["cid"].to_numpy()
+        return pd.DataFrame({"a": cid[some], "b": cid[root[some]], "links": links[some].astype("int64")})
 
     return meet
 
 
 def _all_pairs(members: DataFrame, threshold: float, paired: int) -> DataFrame:
-    """a, links of members (cid, root, vector, copies), counted once for each pair of blocks of a component."""
+    """a, b, links of members (cid, root, vector, copies), counted once for each pair of blocks of a root."""
     blocks = members.groupBy("root").agg(F.ceil(F.count("*") / paired).cast("int").alias("blocks"), F.count("*").alias("n"))
     dealt = spread_join(members, blocks, "root").withColumn("mine", F.pmod(F.xxhash64("cid", F.lit("block")), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cid", "root", "vector", "copies", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
-    return dealt.groupBy("root", "p", "q").applyInPandas(_meet(threshold), "a long, links long")
+    return dealt.groupBy("root", "p", "q").applyInPandas(_meet(threshold), "a long, b long, links long")
+
+
+def _with_passes(classes: DataFrame, threshold: float, miss: float, bits: int, window: int, seed: int) -> DataFrame:
+    """classes with group (a label's vectors of one length), n (their number) and passes."""
+    rows = classes.withColumn("group", F.xxhash64("label", F.size("vector")))
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n")).withColumn("size", F.col("n"))
+    sized = spread_join(rows, sizes, "group").withColumnRenamed("size", "n")
+    large = sized.where(F.col("n") > window + 1)
+    drawn = F.pmod(F.xxhash64("cid", F.lit("measure")), F.lit(1 << 40)) < F.lit(float(1 << 40)) * SAMPLE / F.col("n")
+    measured = large.where(drawn).select("cid", "group", "n", "vector").groupBy("group").applyInPandas(_measure(threshold, miss, bits, window, seed), "group long, measured int, n long")
+    large = spread_join(large.withColumnRenamed("n", "size"), measured, "group").withColumnRenamed("size", "n")
+    large = large.withColumn("passes", F.greatest("measured", passes_for(F.col("n"), window=window, threshold=threshold, miss=miss))).drop("measured")
+    return sized.where(F.col("n") <= window + 1).withColumn("passes", F.lit(1)).unionByName(large)
 
 
-def _sorted_passes(classes: DataFrame, threshold: float, miss: float, bits: int, window: int, block: int, seed: int) -> DataFrame:
+def _sorted_passes(classes: DataFrame, threshold: float, miss: float, bits: int, window: int, block: int, paired: int, seed: int) -> DataFrame:
     """What the windows of the sorted passes find, each pair counted once: a, b, links, crowded."""
-    sizes = classes.groupBy("label", F.size("vector").alias("dim")).agg(F.count("*").alias("n"))
-    sized = spread_join(classes.select("cid", "label", "vector", F.size("vector").alias("dim")).withColumn("group", F.xxhash64("label", "dim")), sizes.select(F.xxhash64("label", "dim").alias("group"), "n", passes_for(F.col("n"), window=window, threshold=threshold, miss=miss).alias("passes")), "group")
+    sized = cut(_with_passes(classes, threshold, miss, bits, window, seed).select("cid", "group", "n", "passes"))
+    whole = (F.col("passes") > MANY) & (F.col("passes") * 2.0 * window >= F.col("n"))
+    covered = sized.where(whole).select("cid", F.col("group").alias("root"))
+    sized = classes.join(sized.where(~whole).select("cid", "passes"), "cid")
     keyed = sized.select("cid", "label", "vector", "passes").mapInPandas(_keys(bits, seed), "cid long, label long, dim int, keys array<long>")
     # Vectors with one key stand in another order in each pass, so that a dense group's members meet others each time.
     runs = keyed.select("cid", "label", "dim", F.posexplode("keys").alias("run", "key")).withColumn("tie", F.xxhash64("run", "cid"))
@@ -166,7 +229,11 @@ def _sorted_passes(classes: DataFrame, threshold: float, miss: float, bits: int,
     carried = classes.join(places, "cid").select("cid", "label", "vector", "copies", F.explode(F.transform("places", lambda pos, run: F.struct(run.alias("run"), pos.alias("pos"), F.slice("places", 1, run + 1).alias("places")))).alias("p")).select("cid", "label", "vector", "copies", "p.*")
     own = (F.col("pos") / block).cast("long")
     carried = carried.withColumn("block", F.explode(F.when(F.col("pos") % block < window, F.array(own, own - 1)).otherwise(F.array(own)))).where("block >= 0")
-    return carried.groupBy("run", "block").applyInPandas(_compare(threshold, window, block), "a long, b long, links long, crowded boolean")
+    found = carried.groupBy("run", "block").applyInPandas(_compare(threshold, window, block), "a long, b long, links long, crowded boolean")
+    if covered.limit(1).count():
+        members = cut(classes.join(covered, "cid").select("cid", "root", "vector", "copies"))
+        found = found.unionByName(_all_pairs(members, threshold, paired).withColumn("crowded", F.lit(False)))
+    return found
 
 
 def near_groups(vectors: DataFrame, *, threshold: float = THRESHOLD, miss: float = MISS, bits: int = BITS, window: int = WINDOW, block: int = BLOCK, paired: int = PAIRED, seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -182,7 +249,7 @@ def near_groups(vectors: DataFrame, *, threshold: float = THRESHOLD, miss: float
     usable = rows.where("cid is not null")
     # Copies of one vector are one class; its ids are counted once each, map-side.
     classes = cut(usable.groupBy("cid", "id").agg(F.first("label").alias("label"), F.first("vector").alias("vector")).groupBy("cid").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNotNull().alias("some"), "id")).alias("low")))
-    found = cut(_sorted_passes(classes, threshold, miss, bits, window, block, seed))
+    found = cut(_sorted_passes(classes, threshold, miss, bits, window, block, paired, seed))
     groups = cut(components(found.select("a", "b")))
     # Components in which links crowd a window, with all that belong to them.
     crowded = cut(found.where("crowded").select(F.col("a").alias("node")).distinct().join(groups, "node").select("root").distinct())

@@ -283,6 +283,16 @@ def test_language_learns_rare_labels(spark, monkeypatch):
     assert len(language.train(docs).languages) == 30
 
 
+def test_language_sees_every_label(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_DOCS", 10)
+    seen = []
+    monkeypatch.setattr(language.Network, "fit", lambda self, windows, targets: seen.append(targets.tolist()))
+    rows = [(i, f"word{i % 30} " * 5, f"l{i % 30}", "s") for i in range(3000)] + [(1, "word1 " * 5, "l1", "s")] * 500
+    network = language.train(docs_of(spark, rows))
+    # One document a label, two windows each.
+    assert sorted(seen[0]) == sorted(2 * list(range(len(network.languages)))) and len(network.languages) == 30
+
+
 # 5
 
 
@@ -363,6 +373,31 @@ def test_vectors_of_one_large_label(spark, tmp_path):
     assert got >= 0.99 * pairs
 
 
+@pytest.mark.parametrize(("shared", "n"), [(0.5, 60_000), (0.88, 60_000), (0.925, 8_000)])
+def test_vectors_that_share_a_direction(spark, tmp_path, shared, n):
+    # Pairs just above the threshold in one label, whose vectors have `shared` as their cosine on average.
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(13)
+    pairs, d = 600, 64
+    x = rng.standard_normal((n, d))
+    x[:, 0] = 0
+    x = np.sqrt(1 - shared) * x / np.linalg.norm(x, axis=1)[:, None]
+    x[:, 0] = np.sqrt(shared)
+    aside = x[1000 : 1000 + pairs] - x[2000 : 2000 + pairs]
+    aside -= (aside * x[:pairs]).sum(axis=1)[:, None] * x[:pairs]
+    aside /= np.linalg.norm(aside, axis=1)[:, None]
+    near = 0.932 * x[:pairs] + np.sqrt(1 - 0.932**2) * aside
+    pq.write_table(pa.table({"vec_id": np.arange(n + pairs), "embedding": list(np.concatenate([x, near])), "label": np.ones(n + pairs, "int32")}), tmp_path / "v.parquet")
+    got = {r.vec_id: r.n_links for r in vectors.near_groups(spark.read.parquet(str(tmp_path / "v.parquet")).repartition(8)).where(f"vec_id >= {n}").collect()}
+    unit = np.concatenate([x, near])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = (unit[n:] @ unit.T >= 0.93).sum(axis=1) - 1
+    assert sum(got.values()) >= 0.99 * want.sum()
+    assert all(got[n + k] <= want[k] for k in range(pairs))
+
+
 def test_vectors_that_share_an_id(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (2, [1.0, 0.01], 1), (None, [0.0, 1.0], 1)]
     got = vectors.near_groups(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
@@ -717,6 +752,14 @@ def test_packing(spark, corpus):
     assert sum(r.length for r in rows) / (256 * len(sequences)) > 0.97
 
 
+def test_packing_of_very_many_copies(spark, monkeypatch):
+    # Rows that agree in all columns don't all go to one group.
+    monkeypatch.setattr(packing, "GROUP", 500)
+    packed = packing.pack_documents(docs_of(spark, [(None, "one two three", "aa", "s")] * 4000), TOKENIZER, capacity=64)
+    groups = packed.groupBy(F.shiftright("sequence_id", 32).alias("group")).count().collect()
+    assert sum(r["count"] for r in groups) == 4000 and len(groups) == 8 and max(r["count"] for r in groups) < 800
+
+
 def test_chunk_encoder_is_exact():
     from tokenizers import Tokenizer
 
