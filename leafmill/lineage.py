@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Where `settled` keeps account of what is stored while it makes a table.
+_STORED: ContextVar[list[str] | None] = ContextVar("_STORED", default=None)
+_CLEANUP, _FACTOR = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.sources.fileCompressionFactor"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share. Only a local session may leave it unset."""
     context = spark.sparkContext
@@ -28,10 +36,51 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
-    """Rows of df as `cut` gives them, and aggregates over them, taken while they are written."""
+def stored(df: DataFrame, *, kept: bool = False) -> DataFrame:
+    """Rows of df, computed and written once to the shared folder as compressed columns; their order and partitions are lost.
+
+    A checkpoint computes its last stage twice and writes whole rows as they are. The shuffle files of the write go with it.
+    kept: also `settled` leaves it in place.
+    """
+    # Parquet has no type for columns of nothing but null.
+    if "void" in df.schema.simpleString():
+        return cut(df)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    if _STORED.get() is not None and not kept:
+        _STORED.get().append(path)
+    # The files are many times smaller than their rows, which a broadcast would hold in memory.
+    if spark.conf.get(_FACTOR) == "1.0":
+        spark.conf.set(_FACTOR, "10.0")
+    # Names that differ in case only are one to Parquet.
+    rows, before = df.toDF(*[f"c{k}" for k in range(len(df.columns))]), spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        rows.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(rows.schema).parquet(path).toDF(*df.columns)
+
+
+def settled(make: Callable[[], DataFrame], *, kept: bool = False) -> DataFrame:
+    """The table that make gives, stored; what was stored on the way to it is removed."""
+    own: list[str] = []
+    token = _STORED.set(own)
+    try:
+        rows = make()
+    finally:
+        _STORED.reset(token)
+    out = stored(rows, kept=kept)
+    for path in own:
+        p = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return out
+
+
+def stored_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """Rows of df as `stored` gives them, and aggregates over them, taken while they are written."""
     seen = Observation()
-    rows = cut(df.observe(seen, *[c.alias(n) for n, c in counts.items()]))
+    rows = stored(df.observe(seen, *[c.alias(n) for n, c in counts.items()]))
     return rows, seen.get
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from leafmill.functions.names import LONGEST, fold, nfc_casefold, sanitize_filename
-from leafmill.lineage import cut, numbered
+from leafmill.lineage import numbered, stored
 from leafmill.operators.groups import add_column
 
 ARCHIVE = "_archived"
@@ -36,10 +36,11 @@ def resolve_parents(tree: DataFrame) -> DataFrame:
         .when(F.col("archived"), F.when(found & (F.col("_kind") == "page") & F.col("_archived"), F.col("parent_id")).otherwise(ARCHIVE))
         .otherwise(F.when(found & ~F.col("_archived"), F.col("parent_id")).otherwise(""))
     )
-    out = joined.select("space_id", "node_id", "kind", "title", parent.alias("parent_id"), "position", F.lit(False).alias("synthetic"))
-    archive = out.where(F.col("parent_id") == ARCHIVE).select("space_id").distinct()
+    out = joined.select("space_id", "node_id", "kind", "title", parent.alias("parent_id"), "position", F.lit(False).alias("synthetic"), (F.col("archived") | (F.col("parent_id") == ARCHIVE)).alias("_archive"))
+    # Only these can stand there; the others take no part in looking for them.
+    archive = out.where(F.col("_archive") & (F.col("parent_id") == ARCHIVE)).select("space_id").distinct()
     archive = archive.select("space_id", F.lit(ARCHIVE).alias("node_id"), F.lit("archive").alias("kind"), F.lit(ARCHIVE).alias("title"), F.lit("").alias("parent_id"), F.lit(0).alias("position"), F.lit(True).alias("synthetic"))
-    return out.unionByName(archive)
+    return out.drop("_archive").unionByName(archive)
 
 
 def sibling_rank(tree: DataFrame) -> DataFrame:
@@ -72,45 +73,48 @@ def allocate_segments(ranked: DataFrame) -> DataFrame:
     based = based.withColumn("folded", nfc_casefold("base")).withColumn("family", F.substring(F.regexp_replace("folded", r"(-[0-9]+)+$", ""), 1, 80))
     family = W.partitionBy("space_id", "parent_id", "family")
     plain = (F.col("folded") == F.col("family")) & (F.char_length("base") <= LONGEST - 20)
-    # Both kinds of families are taken from it.
-    based = cut(based.withColumn("plain", F.min(plain).over(family)))
-    nth = F.row_number().over(family.orderBy("rank"))
-    quick = based.where("plain").withColumn("n", nth).withColumn("segment", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string"))))
-    slow = based.where("not plain")
-    slow = cut(add_column(slow, ["space_id", "parent_id", "family"], ["rank"], "segment", _segments))
+    # Both kinds of families are taken from it. Numbers are given before, where siblings are together anyway.
+    based = stored(based.withColumns({"n": F.row_number().over(family.orderBy("rank")), "plain": F.min(plain).over(family)}))
+    quick = based.where("plain").withColumn("segment", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string"))))
+    slow = based.where("not plain").drop("n")
+    slow = stored(add_column(slow, ["space_id", "parent_id", "family"], ["rank"], "segment", _segments))
     return quick.drop("n").unionByName(slow).drop("base", "folded", "family", "plain")
 
 
 def assemble_paths(segments: DataFrame, spaces: DataFrame) -> DataFrame:
     """Adds dir, file (pages only), path_ids (from the top, itself included) and ranks. Nodes that no root reaches are left out.
 
-    Pointers are doubled: each node knows the path from an ancestor down, and joins it to what that ancestor knows, so a tree
-    of any depth takes rounds in the logarithm of its depth, and nodes that have come to the root take no further part. One
-    whose path meets a node twice hangs in a cycle.
+    First the paths of nodes with something below them: pointers are doubled, each node knows the path from an ancestor down,
+    and joins it to what that ancestor knows, so a tree of any depth takes rounds in the logarithm of its depth, and nodes
+    that have come to the root take no further part. One whose path meets a node twice hangs in a cycle. Then every node's
+    path is its parent's and one more; so most nodes, which have nothing below, are moved once.
     """
     root = spaces.select("space_id", sanitize_filename(F.col("name")).alias("root"))
     rows = segments
     parts = ["segments", "path_ids", "ranks"]
-    paths = rows.select("space_id", "node_id", F.col("parent_id").alias("up"), F.array("segment").alias("segments"), F.array("node_id").alias("path_ids"), F.array("rank").alias("ranks"))
+    own = {"segments": F.array("segment"), "path_ids": F.array("node_id"), "ranks": F.array("rank")}
+    parents = rows.where("parent_id <> ''").select("space_id", F.col("parent_id").alias("node_id")).distinct()
+    paths = stored(rows.join(parents, ["space_id", "node_id"], "left_semi").select("space_id", "node_id", F.col("parent_id").alias("up"), *[v.alias(c) for c, v in own.items()]))
     done, open_ = [paths.where("up = ''")], paths.where("up <> ''")
     known = paths
-    while True:
+    while open_.limit(1).count():
         above = known.select("space_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), *[F.col(c).alias(f"_{c}") for c in parts])
         # An ancestor that isn't there any more hung in a cycle.
         went = open_.join(above, ["space_id", "up"]).select("space_id", "node_id", F.col("_up").alias("up"), *[F.concat(f"_{c}", c).alias(c) for c in parts])
-        went = cut(went.where((F.col("up") == "") | (F.size(F.array_distinct("path_ids")) == F.size("path_ids"))))
+        went = stored(went.where((F.col("up") == "") | (F.size(F.array_distinct("path_ids")) == F.size("path_ids"))))
         done.append(went.where("up = ''"))
         open_ = went.where("up <> ''")
-        if open_.limit(1).count() == 0:
-            break
         # A node still open is twice as far from an ancestor as before; the others are asked for no more.
         known = went
         for more in done[:-1]:
             known = known.unionByName(more)
-    out = done[0]
+    inner = done[0]
     for more in done[1:]:
-        out = out.unionByName(more)
-    out = rows.join(out.drop("up"), ["space_id", "node_id"]).join(root, "space_id")
+        inner = inner.unionByName(more)
+    above = inner.select("space_id", F.col("node_id").alias("parent_id"), *[F.col(c).alias(f"_{c}") for c in parts])
+    below = rows.where("parent_id <> ''").join(above, ["space_id", "parent_id"]).withColumns({c: F.concat(f"_{c}", v) for c, v in own.items()})
+    # Tops have no parent to meet.
+    out = below.drop(*[f"_{c}" for c in parts]).unionByName(rows.where("parent_id = ''").withColumns(own)).join(root, "space_id")
     out = out.withColumn("dir", F.concat("root", F.lit("/"), F.array_join("segments", "/"))).drop("root", "segments")
     return out.withColumn("file", F.when(F.col("kind") == "page", F.concat("dir", F.lit("/"), "segment", F.lit(".md"))))
 
@@ -135,7 +139,8 @@ def in_order(paths: DataFrame) -> DataFrame:
 
 def layout(spaces: DataFrame, pages: DataFrame, folders: DataFrame) -> DataFrame:
     """space_id, node_id, kind, title, parent_id, segment, dir, file, path_ids, ranks of every node that a root reaches."""
-    placed = assemble_paths(allocate_segments(sibling_rank(resolve_parents(nodes(pages, folders)))), spaces)
+    # Nodes meet their parents among themselves.
+    placed = assemble_paths(allocate_segments(sibling_rank(resolve_parents(stored(nodes(pages, folders))))), spaces)
     return placed.select("space_id", "node_id", "kind", "title", "parent_id", "position", "rank", "segment", "dir", "file", "path_ids", "ranks")
 
 
@@ -150,17 +155,17 @@ def folder_closure(pages: DataFrame, folders: DataFrame) -> DataFrame:
     Pointers are doubled: with each round, what has been reached is joined to its ancestor twice as far up as before.
     """
     key = ["space_id", "folder_id"]
-    known = cut(folders.select(*key, F.when(F.col("parent_type") == "folder", F.col("parent_id")).alias("up")).dropDuplicates(key))
+    known = stored(folders.select(*key, F.when(F.col("parent_type") == "folder", F.col("parent_id")).alias("up")).dropDuplicates(key))
     there = known.select("space_id", F.col("folder_id").alias("up"), F.lit(True).alias("_there"))
     jumps = known.where("up is not null").join(there, ["space_id", "up"]).select(*key, "up")
-    reached = cut(known.select(*key).join(pages.where("parent_type = 'folder'").select("space_id", F.col("parent_id").alias("folder_id")).distinct(), key, "left_semi"))
+    reached = stored(known.select(*key).join(pages.where("parent_type = 'folder'").select("space_id", F.col("parent_id").alias("folder_id")).distinct(), key, "left_semi"))
     while True:
-        jumps = cut(jumps)
-        new = cut(jumps.join(reached, key, "left_semi").select("space_id", F.col("up").alias("folder_id")).distinct().join(reached, key, "left_anti"))
+        jumps = stored(jumps)
+        new = stored(jumps.join(reached, key, "left_semi").select("space_id", F.col("up").alias("folder_id")).distinct().join(reached, key, "left_anti"))
         # If ancestors at this distance are all there, so are all nearer ones, and nothing lies beyond.
         if new.limit(1).count() == 0:
             return reached
-        reached = cut(reached.unionByName(new))
+        reached = stored(reached.unionByName(new))
         further = jumps.select("space_id", F.col("folder_id").alias("up"), F.col("up").alias("_up"))
         jumps = jumps.join(further, ["space_id", "up"]).select(*key, F.col("_up").alias("up"))
 
@@ -195,7 +200,7 @@ def resolve_subtrees(placed: DataFrame, scopes: DataFrame) -> DataFrame:
     sibling wins, and there is no way back from it. A path without steps names nothing.
     """
     steps = F.filter(F.split("path", "/"), lambda s: s != "")
-    open_ = cut(scopes.select("space_id", "path", F.coalesce("no_children", F.lit(False)).alias("no_children")).distinct().withColumns({"steps": steps, "node_id": F.lit(""), "dir": F.lit(None).cast("string")}))
+    open_ = stored(scopes.select("space_id", "path", F.coalesce("no_children", F.lit(False)).alias("no_children")).distinct().withColumns({"steps": steps, "node_id": F.lit(""), "dir": F.lit(None).cast("string")}))
     kids = placed.select("space_id", F.col("parent_id").alias("node_id"), F.lower("title").alias("step"), F.struct("rank", F.col("node_id").alias("id"), F.col("dir").alias("at")).alias("kid"))
     longest = open_.agg(F.max(F.size("steps"))).first()[0] or 0
     for k in range(longest):
@@ -203,7 +208,7 @@ def resolve_subtrees(placed: DataFrame, scopes: DataFrame) -> DataFrame:
         # Only siblings that are asked for are grouped.
         met = kids.join(wanted.select("space_id", "node_id", "step").distinct(), ["space_id", "node_id", "step"], "left_semi").groupBy("space_id", "node_id", "step").agg(F.min("kid").alias("kid"))
         went = wanted.join(met, ["space_id", "node_id", "step"], "left").select("space_id", "path", "no_children", "steps", F.col("kid.id").alias("node_id"), F.col("kid.at").alias("dir"))
-        open_ = cut(went.unionByName(open_.where((F.size("steps") <= k) | F.col("node_id").isNull())))
+        open_ = stored(went.unionByName(open_.where((F.size("steps") <= k) | F.col("node_id").isNull())))
     return open_.select("space_id", "path", "no_children", F.nullif("node_id", F.lit("")).alias("node_id"), "dir")
 
 
