@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.lineage import cut
+from leafmill.lineage import settled
 
 
 class Tree:
@@ -24,7 +24,7 @@ class Tree:
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A table that a query uses more than once, made once for it."""
         if name not in self.made:
-            self.made[name] = cut(make())
+            self.made[name] = settled(make, kept=True)
         return self.made[name]
 
     def read(self, name: str) -> DataFrame:
@@ -46,23 +46,35 @@ class Tree:
         body = F.concat(F.lit('<p>by <ri:user ri:account-id="'), "author", F.lit('"/> on '), "page_id", F.lit("</p>"))
         return customers.unionByName(orders).withColumn("body", body)
 
-    def attachments(self) -> DataFrame:
-        """page_id, att_id (repeats), title, media_type, file_size, created_at, version, ord: a total order of the listing."""
+    def lines(self) -> DataFrame:
+        """page_id, att_id (repeats), word, listing: attachments before they are described; listing is a total order of them."""
         p = self.read("part").select(F.col("p_partkey").alias("l_partkey"), F.element_at(F.split("p_name", " "), 2).alias("word"))
         rows = self.read("lineitem").join(p, "l_partkey")
-        kind = F.col("l_linenumber") % 3
-        end = F.when(kind == 0, ".drawio").when(kind == 1, ".drawio.png").otherwise(".pdf")
-        rows = rows.select(
+        return rows.select(
             F.concat(F.lit("o"), "l_orderkey").alias("page_id"),
             F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("att_id"),
+            "word",
+            F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate").alias("listing"),
+        )
+
+    def described(self, lines: DataFrame) -> DataFrame:
+        """page_id, att_id, title, media_type, file_size, created_at, version, listing of lines."""
+        kind = F.col("listing.l_linenumber") % 3
+        end = F.when(kind == 0, ".drawio").when(kind == 1, ".drawio.png").otherwise(".pdf")
+        return lines.select(
+            "page_id",
+            "att_id",
             F.concat("word", end).alias("title"),
             F.when(kind == 0, "application/vnd.jgraph").when(kind == 1, "image/png").otherwise("application/pdf").alias("media_type"),
-            F.col("l_quantity").cast("long").alias("file_size"),
-            F.date_format("l_shipdate", "yyyy-MM-dd").alias("created_at"),
-            F.year("l_shipdate").cast("int").alias("version"),
-            F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate").alias("listing"),
+            F.col("listing.l_quantity").cast("long").alias("file_size"),
+            F.date_format("listing.l_shipdate", "yyyy-MM-dd").alias("created_at"),
+            F.year("listing.l_shipdate").cast("int").alias("version"),
+            "listing",
         )
-        return rows
+
+    def attachments(self) -> DataFrame:
+        """page_id, att_id (repeats), title, media_type, file_size, created_at, version, listing: a total order of them."""
+        return self.described(self.lines())
 
 
 def previous(rows: DataFrame, key: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from leafmill.functions.names import fold, nfc_casefold, parse_mtime, safe_attachment_name, with_token
-from leafmill.lineage import cut
+from leafmill.lineage import stored
 from leafmill.operators.groups import add_column
 
 #: Version of the renderer in cache keys, target font and edge of a rendering in pixels, bounds of downloads.
@@ -24,6 +24,20 @@ ROUNDS = 24
 LEAST_CAP, UNSIZED_CAP = 256 * 1024**2, 8 * 1024**3
 
 
+def packed(digest: Column | str) -> Column:
+    """A digest as bytes: 64 hex digits take half as much in shuffles. Different digests stay different."""
+    digest = F.col(digest) if isinstance(digest, str) else digest
+    # Others are longer than the 32 bytes of these.
+    return F.when(digest.rlike("^[0-9a-f]{64}$"), F.unhex(digest)).otherwise(F.encode(F.concat(digest, F.lit("#" * 64)), "UTF-8"))
+
+
+def unpacked(key: Column | str) -> Column:
+    """The digest that packed was given."""
+    key = F.col(key) if isinstance(key, str) else key
+    text = F.decode(key, "UTF-8")
+    return F.when(F.length(key) == 32, F.lower(F.hex(key))).otherwise(F.substring(text, F.lit(1), F.char_length(text) - 64))
+
+
 def drop_noise(atts: DataFrame) -> DataFrame:
     """Without editors' lock and temporary files."""
     title = F.trim("title")
@@ -62,33 +76,39 @@ def _token_names(base: Column, owner: Column, retry: Column) -> Column:
     return F.pandas_udf(run, "string")(F.struct(base.alias("base"), owner.alias("owner"), retry.alias("retry")))
 
 
-def plan_names(atts: DataFrame, order: str = "ord", *, rounds: int = ROUNDS) -> DataFrame:
+def plan_names(atts: DataFrame, order: str = "ord", *, rounds: int = ROUNDS, seen: bool = False) -> DataFrame:
     """Adds local_name: one per attachment and page, unique without regard to case; the earliest keeps its title's name.
 
+    seen: atts are as first_seen gives them.
+
     The others are named in rounds, all of them at once: each asks for its base name with a mark of its owner, a name that is
     a base name on the page is never given, of those that ask for another the first in order has it, and who is turned down
     (also later on, by one before it) asks for its next name. When nobody is, each has the first name of its own that none
     before it has, just as if they had been named one after another. Rows with equal marks begin at different names. Pages
     still open after some rounds are named one after another, in one task a page.
     """
-    rows = first_seen(atts, order).withColumn("base", safe_attachment_name(F.col("title")))
-    rows = cut(rows.withColumns({"base_key": nfc_casefold("base"), "folded": nfc_casefold("title"), "place": F.col(order).cast("string")}))
+    rows = (atts if seen else first_seen(atts, order)).withColumn("base", safe_attachment_name(F.col("title")))
+    # Ids are a page's own, so only rows without one are told apart by their places.
+    place = F.when(F.col("att_id") == "", F.col(order).cast("string")).otherwise("")
+    rows = rows.withColumns({"base_key": nfc_casefold("base"), "folded": nfc_casefold("title"), "place": place})
     line = ["created_at", "folded", "att_id", "place"]
-    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy("page_id", "base_key").orderBy(*line)))
+    rows = stored(rows.withColumn("_nth", F.row_number().over(W.partitionBy("page_id", "base_key").orderBy(*line))))
     first = rows.where("_nth = 1").withColumn("local_name", F.col("base")).drop("_nth")
     owner = F.coalesce(F.nullif("att_id", F.lit("")), F.nullif("title", F.lit("")), F.lit("attachment"))
     rest = rows.where("_nth > 1").drop("_nth").withColumn("_owner", owner)
     rest = rest.withColumn("_try", F.row_number().over(W.partitionBy("page_id", "base", "_owner").orderBy("base_key", *line)) - 1)
-    asking = cut(rest.withColumn("_line", F.struct("base_key", *line)))
+    asking = stored(rest.withColumn("_line", F.struct("base_key", *line)))
     if asking.limit(1).count() == 0:
         return first.drop("base", "base_key", "place")
-    reserved = rows.select("page_id", F.col("base_key").alias("_key")).distinct().withColumn("_reserved", F.lit(True))
+    # Each base name once, of pages on which one asks.
+    reserved = rows.where("_nth = 1").select("page_id", F.col("base_key").alias("_key")).join(asking.select("page_id").distinct(), "page_id", "left_semi")
+    reserved = stored(reserved.withColumn("_reserved", F.lit(True)))
     for k in range(rounds):
         asked = asking.withColumn("local_name", _token_names(F.col("base"), F.col("_owner"), F.col("_try"))).withColumn("_key", nfc_casefold("local_name"))
-        asked = cut(asked)
+        asked = stored(asked)
         has = asked.groupBy("page_id", "_key").agg(F.min("_line").alias("_has"))
         told = asked.join(has, ["page_id", "_key"]).join(reserved, ["page_id", "_key"], "left")
-        told = cut(told.withColumn("_lost", F.coalesce("_reserved", F.lit(False)) | (F.col("_has") != F.col("_line"))).drop("_has", "_reserved"))
+        told = stored(told.withColumn("_lost", F.coalesce("_reserved", F.lit(False)) | (F.col("_has") != F.col("_line"))).drop("_has", "_reserved"))
         open_ = told.where("_lost").select("page_id").distinct()
         if open_.limit(1).count() == 0:
             break
@@ -107,12 +127,13 @@ def unambiguous_fold(named: DataFrame) -> DataFrame:
 
 def resolve_refs(refs: DataFrame, named: DataFrame) -> DataFrame:
     """Adds local_name to references (page_id, att_id, title): by id, by title, by unambiguous folded title, else the title made safe."""
-    named = unambiguous_fold(named)
     by_id = named.where("att_id <> ''").select("page_id", "att_id", F.col("local_name").alias("_id"))
-    by_title = named.withColumn("_n", F.row_number().over(W.partitionBy("page_id", "title").orderBy("created_at", "att_id", "local_name"))).where("_n = 1").select("page_id", "title", F.col("local_name").alias("_title"))
-    by_fold = named.where("fold_unique").select("page_id", "folded", F.col("local_name").alias("_fold"))
-    rows = refs.withColumn("folded", nfc_casefold("title")).join(by_id, ["page_id", "att_id"], "left").join(by_title, ["page_id", "title"], "left").join(by_fold, ["page_id", "folded"], "left")
-    return rows.withColumn("local_name", F.coalesce("_id", "_title", "_fold", safe_attachment_name(F.col("title")))).drop("_id", "_title", "_fold", "folded")
+    # Equal titles fold alike, so both look-ups by title are one, in which rows meet once.
+    titles = named.where("title is not null").select("page_id", "folded", "title", F.struct("created_at", "att_id", "local_name").alias("_who")).repartition("page_id", "folded")
+    titles = titles.groupBy("page_id", "folded", "title").agg(F.min("_who")["local_name"].alias("_name"), F.count("*").alias("_rows"))
+    titles = titles.groupBy("page_id", "folded").agg(F.map_from_entries(F.collect_list(F.struct("title", "_name"))).alias("_titles"), F.when(F.sum("_rows") == 1, F.min("_name")).alias("_fold"))
+    rows = refs.withColumn("folded", nfc_casefold("title")).join(by_id, ["page_id", "att_id"], "left").join(titles, ["page_id", "folded"], "left")
+    return rows.withColumn("local_name", F.coalesce("_id", F.col("_titles")[F.col("title")], "_fold", safe_attachment_name(F.col("title")))).drop("_id", "_titles", "_fold", "folded")
 
 
 def is_diagram() -> Column:
@@ -150,8 +171,8 @@ def match_diagram(refs: DataFrame, atts: DataFrame, order: str = "ord") -> DataF
 
 def incremental(atts: DataFrame, known: DataFrame, blobs: DataFrame) -> DataFrame:
     """Adds digest (reused) and status: 'reuse' where (att_id, version) was there before and its bytes still are, else 'fetch'."""
-    usable = known.join(blobs.select("digest"), "digest", "left_semi").select("att_id", "version", "digest").dropDuplicates(["att_id", "version"])
-    return atts.join(usable, ["att_id", "version"], "left").withColumn("status", F.when(F.col("digest").isNull(), "fetch").otherwise("reuse"))
+    usable = known.select("att_id", "version", packed("digest").alias("_key")).join(blobs.select(packed("digest").alias("_key")), "_key", "left_semi").dropDuplicates(["att_id", "version"])
+    return atts.join(usable, ["att_id", "version"], "left").withColumn("digest", unpacked("_key")).drop("_key").withColumn("status", F.when(F.col("digest").isNull(), "fetch").otherwise("reuse"))
 
 
 def download_plan(atts: DataFrame, base: str) -> DataFrame:
@@ -166,27 +187,45 @@ def download_plan(atts: DataFrame, base: str) -> DataFrame:
     return atts.select("page_id", "att_id", "version", url.alias("url"), cap.cast("long").alias("cap"))
 
 
+def _cached(derived: DataFrame, blobs: DataFrame, version: int) -> DataFrame:
+    """xml_key and png_key (packed) of renderings of a version whose bytes are there."""
+    rows = derived.where(F.col("render_version") == version).select(packed("xml_digest").alias("xml_key"), packed("png_digest").alias("png_key"))
+    return rows.join(blobs.select(packed("digest").alias("png_key")), "png_key", "left_semi")
+
+
+def _keys(digests: DataFrame) -> DataFrame:
+    """att_id, version, key: one packed digest each."""
+    return digests.select("att_id", "version", packed("digest").alias("key")).dropDuplicates(["att_id", "version"])
+
+
 def render_queue(pairs: DataFrame, digests: DataFrame, derived: DataFrame, blobs: DataFrame, version: int = RENDER_VERSION) -> DataFrame:
     """xml_digest of diagrams without a fresh preview or a cached rendering, each once."""
-    cached = derived.where(F.col("render_version") == version).join(blobs.select(F.col("digest").alias("png_digest")), "png_digest", "left_semi").select("xml_digest")
-    xml = digests.select(F.col("att_id").alias("xml_id"), F.col("version").alias("xml_version"), F.col("digest").alias("xml_digest")).dropDuplicates(["xml_id", "xml_version"])
-    return pairs.where("not preview_fresh").join(xml, ["xml_id", "xml_version"]).join(cached, "xml_digest", "left_anti").select("xml_digest").distinct()
+    xml = _keys(digests).select(F.col("att_id").alias("xml_id"), F.col("version").alias("xml_version"), F.col("key").alias("xml_key"))
+    rows = pairs.where("not preview_fresh").select("xml_id", "xml_version").join(xml, ["xml_id", "xml_version"]).select("xml_key")
+    return rows.join(_cached(derived, blobs, version).select("xml_key"), "xml_key", "left_anti").distinct().select(unpacked("xml_key").alias("xml_digest"))
 
 
 def rendered_media(pairs: DataFrame, named: DataFrame, digests: DataFrame, derived: DataFrame, blobs: DataFrame, version: int = RENDER_VERSION) -> DataFrame:
-    """page_id, xml_title, local_name, png_digest (null: the file is an attachment) of each diagram that can be shown."""
-    by = lambda a, v, d: digests.select(F.col("att_id").alias(a), F.col("version").alias(v), F.col("digest").alias(d)).dropDuplicates([a, v])
-    cached = derived.where(F.col("render_version") == version).join(blobs.select(F.col("digest").alias("png_digest")), "png_digest", "left_semi").select("xml_digest", "png_digest").dropDuplicates(["xml_digest"])
-    names = named.select("page_id", F.col("att_id").alias("png_id"), F.col("local_name").alias("png_name")).dropDuplicates(["page_id", "png_id"])
-    rows = pairs.join(by("png_id", "png_version", "_preview"), ["png_id", "png_version"], "left").join(by("xml_id", "xml_version", "xml_digest"), ["xml_id", "xml_version"], "left").join(cached, "xml_digest", "left").join(names, ["page_id", "png_id"], "left")
+    """page_id, xml_title, local_name, png_digest (null: the file is an attachment) of each diagram that can be shown.
+
+    A fresh preview is shown if its bytes are there, else the cached rendering of the diagram's bytes; so of each pair one
+    attachment's bytes are asked for, and what has none goes no further.
+    """
+    of = lambda c: F.when(F.col("preview_fresh"), F.col(f"png_{c}")).otherwise(F.col(f"xml_{c}"))
+    wanted = pairs.select("page_id", "xml_title", "png_id", "preview_fresh", of("id").alias("att_id"), of("version").alias("version"))
+    rows = stored(wanted.join(_keys(digests).where("key is not null"), ["att_id", "version"]).drop("att_id", "version"))
+    names = named.select("page_id", F.col("att_id").alias("png_id"), "local_name").dropDuplicates(["page_id", "png_id"])
+    fresh = rows.where("preview_fresh").join(names, ["page_id", "png_id"]).select("page_id", "xml_title", "local_name", F.lit(None).cast("binary").alias("png_key"))
+    cached = _cached(derived, blobs, version).dropDuplicates(["xml_key"])
+    made = rows.where("not preview_fresh").withColumnRenamed("key", "xml_key").join(cached, "xml_key").drop("xml_key")
     stem = F.regexp_replace("xml_title", r"\.[^.]*$", "")
-    rows = rows.withColumn("plain", safe_attachment_name(F.concat(stem, F.lit(".png")))).withColumn("marked", safe_attachment_name(F.concat(stem, F.lit("-rendered.png"))))
+    made = made.withColumn("plain", safe_attachment_name(F.concat(stem, F.lit(".png")))).withColumn("marked", safe_attachment_name(F.concat(stem, F.lit("-rendered.png"))))
     # The plain name may already be another attachment's.
     owner = named.select("page_id", F.col("local_name").alias("plain"), F.col("att_id").alias("_owner")).groupBy("page_id", "plain").agg(F.collect_set("_owner").alias("_owners"))
-    rows = rows.join(owner, ["page_id", "plain"], "left")
+    made = made.join(owner, ["page_id", "plain"], "left")
     used = F.size(F.array_except(F.coalesce("_owners", F.array().cast("array<string>")), F.array(F.coalesce("png_id", F.lit(""))))) > 0
-    shown = F.when(F.col("preview_fresh"), F.when(F.col("_preview").isNotNull(), F.col("png_name"))).when(F.col("png_digest").isNotNull(), F.when(used, F.col("marked")).otherwise(F.col("plain")))
-    return rows.select("page_id", "xml_title", shown.alias("local_name"), F.when(~F.col("preview_fresh"), F.col("png_digest")).alias("png_digest")).where("local_name is not null")
+    made = made.select("page_id", "xml_title", F.when(used, F.col("marked")).otherwise(F.col("plain")).alias("local_name"), "png_key")
+    return fresh.unionByName(made).where("local_name is not null").withColumn("png_digest", unpacked("png_key")).drop("png_key")
 
 
 def available_media(named: DataFrame, digests: DataFrame, rendered: DataFrame, *, media: bool = True, carried: DataFrame | None = None) -> DataFrame:
@@ -201,13 +240,12 @@ def available_media(named: DataFrame, digests: DataFrame, rendered: DataFrame, *
 def media_manifest(named: DataFrame, placed: DataFrame, digests: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
     """page_id, path, digest, mtime of each attachment whose bytes are there, and of each rendering that isn't one (its mtime is null)."""
     dirs = placed.where("kind = 'page'").select(F.col("node_id").alias("page_id"), "dir")
-    bytes_of = digests.select("att_id", "version", "digest").dropDuplicates(["att_id", "version"])
-    files = named.join(bytes_of, ["att_id", "version"]).select("page_id", "local_name", "digest", parse_mtime(F.col("created_at")).alias("mtime"))
+    files = named.select("page_id", "att_id", "version", "local_name", "created_at").join(_keys(digests), ["att_id", "version"]).select("page_id", "local_name", "key", parse_mtime(F.col("created_at")).alias("mtime"))
     if rendered is not None:
         # Of diagrams of one title on a page, one rendering stands under the name.
-        made = rendered.where("png_digest is not null").groupBy("page_id", "local_name").agg(F.min("png_digest").alias("digest"))
+        made = rendered.where("png_digest is not null").groupBy("page_id", "local_name").agg(packed(F.min("png_digest")).alias("key"))
         files = files.unionByName(made.withColumn("mtime", F.lit(None).cast("double")))
-    return files.join(dirs, "page_id").select("page_id", F.concat("dir", F.lit("/.media/"), "local_name").alias("path"), "digest", "mtime")
+    return files.join(dirs, "page_id").select("page_id", F.concat("dir", F.lit("/.media/"), "local_name").alias("path"), unpacked("key").alias("digest"), "mtime")
 
 
 def decode_diagram(content: bytes) -> str:
@@ -223,12 +261,15 @@ def decode_diagram(content: bytes) -> str:
 
 
 def inflate_diagram(content: Column | str) -> Column:
-    """decode_diagram of a binary column; Spark has no inflate."""
+    """decode_diagram of a binary column; Spark has no inflate.
+
+    Not in Arrow batches: a hundred files are in a worker's memory at once, and not as many as 64 MB hold, which inflate to many times that.
+    """
 
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(decode_diagram, na_action="ignore")
+    def run(value: bytes | None) -> str | None:
+        return None if value is None else decode_diagram(bytes(value))
 
-    return F.pandas_udf(run, "string")(content)
+    return F.udf(run, "string", useArrow=False)(content)
 
 
 def render_scale(model: Column) -> Column:

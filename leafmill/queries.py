@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafmill.adapters import Tree, current, previous
 from leafmill.functions import names as N
 from leafmill.functions.render import jobs as J
-from leafmill.lineage import cut
+from leafmill.lineage import settled
 from leafmill.operators import attachments as A
 from leafmill.operators import bodies as B
 from leafmill.operators import layout as L
@@ -123,11 +123,12 @@ def a9_counts(t: Tree) -> DataFrame:
 
 
 def listed(t: Tree) -> DataFrame:
-    return t.once("listed", lambda: A.first_seen(t.attachments(), "listing"))
+    # What is kept of a listing's order is its ids; among rows without repeats they are an order as well.
+    return t.once("listed", lambda: t.described(A.first_seen(t.lines(), "listing")).withColumn("listing", F.struct("listing.l_orderkey", "listing.l_linenumber")))
 
 
 def named(t: Tree) -> DataFrame:
-    return t.once("named", lambda: A.plan_names(listed(t), "listing").select("page_id", "att_id", "title", "media_type", "version", "created_at", "folded", "local_name"))
+    return t.once("named", lambda: A.plan_names(listed(t), "listing", seen=True).select("page_id", "att_id", "title", "media_type", "version", "created_at", "folded", "local_name"))
 
 
 def digests(t: Tree) -> DataFrame:
@@ -141,8 +142,13 @@ def derived(t: Tree) -> DataFrame:
     return digests(t).where(code(1) % 3 == 0).select((F.when(code(2) % 2 == 0, 2).otherwise(1)).alias("render_version"), F.col("digest").alias("xml_digest"), F.sha2(F.concat(F.lit("png"), "digest"), 256).alias("png_digest"))
 
 
+def stocked(t: Tree) -> DataFrame:
+    """blobs, of which some may be named twice: for those who only ask whether bytes are there."""
+    return digests(t).select("digest").unionByName(derived(t).select(F.col("png_digest").alias("digest")))
+
+
 def blobs(t: Tree) -> DataFrame:
-    return digests(t).select("digest").unionByName(derived(t).select(F.col("png_digest").alias("digest"))).distinct()
+    return stocked(t).distinct()
 
 
 @query(q(ATT, "select page_id, att_id, title, version from listed"))
@@ -179,12 +185,12 @@ def j5_resolve_attachment_refs(t: Tree) -> DataFrame:
     # Half of the references give the id, a third the title in other letters.
     code = lambda at: F.ascii(F.substring(F.md5("att_id"), at, 1))
     refs = t.attachments().select("page_id", F.when(code(1) % 2 == 0, F.col("att_id")).otherwise("").alias("att_id"), F.when(code(2) % 3 == 0, F.upper("title")).otherwise(F.col("title")).alias("title"))
-    return A.resolve_refs(refs, named(t)).select("page_id", "att_id", "title", "local_name").distinct()
+    return A.resolve_refs(refs.distinct(), named(t)).select("page_id", "att_id", "title", "local_name")
 
 
 @query(q(ATT + DIGESTS, "select l.page_id, l.att_id, coalesce(d.digest, '') digest, case when d.digest is null then 'fetch' else 'reuse' end status from listed l left join digests d on d.att_id = l.att_id and d.version = l.version"))
 def j3_incremental_attachments(t: Tree) -> DataFrame:
-    rows = A.incremental(listed(t), digests(t), blobs(t))
+    rows = A.incremental(listed(t), digests(t), stocked(t))
     return rows.select("page_id", "att_id", F.coalesce("digest", F.lit("")).alias("digest"), "status")
 
 
@@ -195,11 +201,11 @@ def j7_drawio_pairs(t: Tree) -> DataFrame:
 
 @query(q(ATT + PAIRS + DIGESTS, "select distinct d.digest xml_digest from pairs p join digests d on d.att_id = p.xml_id and d.version = p.xml_version where not preview_fresh and d.digest not in (select xml_digest from derived where render_version = 2)"))
 def j9_render_queue(t: Tree) -> DataFrame:
-    return A.render_queue(A.drawio_pairs(listed(t), "listing"), digests(t), derived(t), blobs(t))
+    return A.render_queue(A.drawio_pairs(listed(t), "listing"), digests(t), derived(t), stocked(t))
 
 
 def rendered(t: Tree) -> DataFrame:
-    return A.rendered_media(A.drawio_pairs(listed(t), "listing"), named(t), digests(t), derived(t), blobs(t))
+    return A.rendered_media(A.drawio_pairs(listed(t), "listing"), named(t), digests(t), derived(t), stocked(t))
 
 
 RENDERED = r""",
@@ -295,9 +301,9 @@ def r3_extract_mentions(t: Tree) -> DataFrame:
     return B.mentions(t.pages()).select("space_id", "page_id", "account_id")
 
 
-def users(t: Tree) -> DataFrame:
+def users(t: Tree, pages: DataFrame | None = None) -> DataFrame:
     """Half of the authors have a name."""
-    return t.pages().select(F.col("author").alias("account_id")).distinct().where(F.substring("account_id", 2, 9).cast("int") % 2 == 0).withColumn("display_name", F.concat(F.lit("User "), F.substring("account_id", 2, 9)))
+    return (t.pages() if pages is None else pages).select(F.col("author").alias("account_id")).distinct().where(F.substring("account_id", 2, 9).cast("int") % 2 == 0).withColumn("display_name", F.concat(F.lit("User "), F.substring("account_id", 2, 9)))
 
 
 @query(q(TREE, "select space_id, page_id, author || ':' || case when substr(author, 2)::int % 2 = 0 then 'User ' || substr(author, 2) else '' end authors from pages"))
@@ -336,9 +342,13 @@ def f5_list_spaces(t: Tree) -> DataFrame:
 
 def plan(t: Tree, rows: DataFrame) -> DataFrame:
     """Pages of a layout with version, status and fingerprint, as a state has them."""
-    laid = L.layout(t.spaces(), rows, t.folders()).where("kind = 'page'").select("space_id", F.col("node_id").alias("page_id"), "dir", "file")
     mark = F.sha2(F.concat_ws("@", "page_id", F.col("version").cast("string")), 256)
-    return cut(laid.join(rows.select("space_id", "page_id", "title", "version", "status", mark.alias("fingerprint")), ["space_id", "page_id"]))
+
+    def made() -> DataFrame:
+        laid = L.layout(t.spaces(), rows, t.folders()).where("kind = 'page'").select("space_id", F.col("node_id").alias("page_id"), "dir", "file")
+        return laid.join(rows.select("space_id", "page_id", "title", "version", "status"), ["space_id", "page_id"]).withColumn("fingerprint", mark)
+
+    return settled(made)
 
 
 def moved(pages: DataFrame) -> DataFrame:
@@ -348,7 +358,7 @@ def moved(pages: DataFrame) -> DataFrame:
 
 def before_and_now(t: Tree) -> tuple[DataFrame, DataFrame, DataFrame]:
     """State of the previous snapshot, plan of the current one, and the current pages. Some pages have another parent now."""
-    rows = t.pages()
+    rows = t.once("pages", lambda: t.pages().drop("body"))
     now = moved(current(rows, "page_id"))
     return plan(t, previous(rows, "page_id")), plan(t, now), now
 
@@ -507,10 +517,10 @@ def j19_stale_media(t: Tree) -> DataFrame:
     )
 )
 def a1_page_fingerprint(t: Tree) -> DataFrame:
-    pages = t.pages()
+    pages = t.once("bodies", t.pages)
     _, links, _ = B.store_bodies(pages)
     none = pages.select("page_id", F.lit("").alias("png_digest")).limit(0)
-    return P.page_fingerprints(pages, named(t), links, none, B.author_resolution(pages, users(t)))
+    return P.page_fingerprints(pages, named(t), links, none, B.author_resolution(pages, users(t, pages)))
 
 
 # Names.
@@ -550,8 +560,8 @@ def r1_render_markdown(t: Tree) -> DataFrame:
 
 @query(q(TREE, "select space_id, page_id, '# ' || title || chr(10) || chr(10) || 'by @' || case when substr(author, 2)::int % 2 = 0 then 'User ' || substr(author, 2) else author end || ' on ' || page_id markdown from pages"))
 def r1b_render_mentions(t: Tree) -> DataFrame:
-    pages = t.pages()
-    rows = J.wide(pages, users=B.resolve_users(B.mentions(pages), users(t)))
+    pages = t.once("bodies", t.pages)
+    rows = J.wide(pages, users=B.resolve_users(B.mentions(pages), users(t, pages)))
     return J.render_markdown(rows).select("space_id", "page_id", "markdown")
 
 
