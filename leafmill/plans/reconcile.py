@@ -125,12 +125,13 @@ def owned_paths(pages: DataFrame, media: DataFrame | None = None) -> DataFrame:
         rows = rows.unionByName(pages.where("html <> ''").select("space_id", F.col("html").alias("path")))
     if media is not None:
         rows = rows.unionByName(media.join(pages.select(*KEY, "dir"), KEY).select("space_id", F.concat("dir", F.lit("/.media/"), "file").alias("path")))
-    return rows.where("path <> ''").withColumn("key", nfc_casefold("path")).distinct()
+    # Dealt by key, by which deletions compares them as well.
+    return rows.where("path <> ''").withColumn("key", nfc_casefold("path")).repartition("space_id", "key").distinct()
 
 
 def deletions(previous: DataFrame, new: DataFrame) -> DataFrame:
     """Paths owned before and no longer, as owned_paths gives both."""
-    return previous.join(new.select("space_id", "key").distinct(), ["space_id", "key"], "left_anti").select("space_id", "path")
+    return previous.join(new.select("space_id", "key"), ["space_id", "key"], "left_anti").select("space_id", "path")
 
 
 def stale_folders(previous: DataFrame, new: DataFrame, scope: str | None = None) -> DataFrame:
