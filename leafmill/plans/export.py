@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.names import page_url, sanitize_filename
 from leafmill.functions.render import jobs as J
-from leafmill.lineage import cut, cut_counted
+from leafmill.lineage import settled, stored, stored_counted
 from leafmill.operators import attachments as A
 from leafmill.operators import bodies as B
 from leafmill.operators import layout as L
@@ -117,14 +117,14 @@ def canonical_pages(given: Inputs, include_archived: bool) -> tuple[DataFrame, D
 def plan(given: Inputs, include_archived: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame | None, DataFrame]:
     """Ids of listed pages, pages to export without their bodies, the layout of all of them, the part of it in scope, the scopes with what they name, and nodes."""
     listed, pages = canonical_pages(given, include_archived)
-    listed, pages = cut(listed.select(*KEY)), cut(pages.drop("body"))
+    listed, pages = stored(listed.select(*KEY)), stored(pages.drop("body"))
     folders = _own(given.folders, "folder_id", "parent_id").join(given.spaces.select("space_id").distinct(), "space_id", "left_semi")
-    placed, seen = cut_counted(L.layout(given.spaces, pages, folders), unsafe=F.count_if(L.unsafe()))
+    placed, seen = stored_counted(L.layout(given.spaces, pages, folders), unsafe=F.count_if(L.unsafe()))
     if seen["unsafe"]:
         raise ValueError(f"{seen['unsafe']} planned paths lead out of the tree")
     scopes = planned = None
     if given.scopes is not None:
-        scopes = cut(L.resolve_subtrees(placed, given.scopes))
+        scopes = stored(L.resolve_subtrees(placed, given.scopes))
         planned = L.restrict_scopes(placed, scopes)
     return listed, pages, placed, placed if planned is None else planned, scopes, L.nodes(pages, folders)
 
@@ -140,7 +140,7 @@ def compare(spark: SparkSession, given: Inputs, folder: str, *, include_archived
 def run(spark: SparkSession, given: Inputs, folder: str, *, options: P.Options = P.Options(), include_archived: bool = False, allow_mass_delete: bool = False, plug_ins: dict | None = None) -> Outcome:
     """Exports the spaces of given into folder (documents and state)."""
     base, this = S.current_version(spark, folder), S.new_run()
-    spaces = cut(given.spaces.dropDuplicates(["space_id"]))
+    spaces = stored(given.spaces.dropDuplicates(["space_id"]))
     mine = spaces.select("space_id")
 
     def held(name: str) -> DataFrame:
@@ -151,7 +151,7 @@ def run(spark: SparkSession, given: Inputs, folder: str, *, options: P.Options =
         return _own(rows, "page_id") if "page_id" in rows.columns else rows
 
     before_all = held("state_pages")
-    before, before_media, before_shown, before_folders = (cut(own_held(f"state_{n}")) for n in ("pages", "attachments", "rendered", "folders"))
+    before, before_media, before_shown, before_folders = (stored(own_held(f"state_{n}")) for n in ("pages", "attachments", "rendered", "folders"))
     before_media = before_media.select(*KEY, "att_id", "version", "file", "blob", "size")
     listed, pages, placed, planned, scopes, tree = plan(given, include_archived)
     wanted = planned.where("kind = 'page'").select("space_id", F.col("node_id").alias("page_id"), "dir", "file", F.concat("dir", F.lit("/"), "segment", F.lit(".html")).alias("html")).join(pages, KEY)
@@ -163,20 +163,20 @@ def run(spark: SparkSession, given: Inputs, folder: str, *, options: P.Options =
     atts = A.drop_noise(atts).withColumnRenamed("space_id", "_space").withColumnRenamed("page_id", "_page")
     theirs = placed.where("kind = 'page'").select("space_id", F.col("node_id").alias("page_id"), F.substring_index("node_id", MARK, -1).alias("_page"))
     atts = atts.join(theirs, "_page").where("coalesce(_space, '') in ('', space_id)").drop("_page", "_space", "space_id")
-    named = cut(A.plan_names(atts))
+    named = settled(lambda: A.plan_names(atts))
     digests = given.digests
     derived = given.derived if given.fresh is None else R.merge_derived(given.derived, given.fresh)
-    stored = digests.select("digest").unionByName(derived.select(F.col("png_digest").alias("digest"))).distinct()
+    stock = digests.select("digest").unionByName(derived.select(F.col("png_digest").alias("digest"))).distinct()
     pairs = A.drawio_pairs(A.first_seen(atts))
-    shown = cut(A.rendered_media(pairs, named, digests, derived, stored))
+    shown = stored(A.rendered_media(pairs, named, digests, derived, stock))
     pictures = shown.where("png_digest is not null")
     # Bodies are read for their digests and mentions, and again where they are rendered.
     full = canonical_pages(given, include_archived)[1]
-    links = cut(B.store_bodies(full)[1])
-    prints = P.page_fingerprints(pages, named, links, pictures.select("page_id", "png_digest"), cut(B.author_resolution(full, given.users, lookup=options.author_lookup)), options)
-    wanted = cut(wanted.join(prints, KEY))
+    links = stored(B.store_bodies(full)[1])
+    prints = P.page_fingerprints(pages, named, links, pictures.select("page_id", "png_digest"), stored(B.author_resolution(full, given.users, lookup=options.author_lookup)), options)
+    wanted = stored(wanted.join(prints, KEY))
 
-    guarded = cut(_roots(spaces, held("state_spaces"), before_all))
+    guarded = stored(_roots(spaces, held("state_spaces"), before_all))
     if given.reused is not None:
         guarded = guarded.join(given.reused.select("space_id", "snapshot_space_key"), "space_id", "left")
     if given.damage is not None:
@@ -189,21 +189,21 @@ def run(spark: SparkSession, given: Inputs, folder: str, *, options: P.Options =
     if scopes is not None:
         found = scopes.groupBy("space_id").agg(F.bool_and(F.col("node_id").isNotNull()).alias("resolved"), F.lit(False).alias("full"))
         flags = flags.join(found, "space_id", "left")
-    verdicts = cut(R.guard_verdicts(guarded, wanted, before, include_archived=include_archived, allow_mass_delete=allow_mass_delete, flags=flags))
+    verdicts = stored(R.guard_verdicts(guarded, wanted, before, include_archived=include_archived, allow_mass_delete=allow_mass_delete, flags=flags))
     present = given.present
     act = F.col("action")
-    actions, totals = cut_counted(R.skip_or_write(R.gated(wanted, verdicts), before, present), written=F.count_if(act == "write"), skipped=F.count_if(act == "skip"), moved=F.count_if("moved"))
+    actions, totals = stored_counted(R.skip_or_write(R.gated(wanted, verdicts), before, present), written=F.count_if(act == "write"), skipped=F.count_if(act == "skip"), moved=F.count_if("moved"))
     writes = actions.where("action = 'write'")
 
     now = named.join(digests.select("att_id", "version", F.col("digest").alias("blob")).dropDuplicates(["att_id", "version"]), ["att_id", "version"], "left")
     now = now.join(wanted.select(*KEY), "page_id").select(*KEY, "att_id", "version", F.col("local_name").alias("file"), F.coalesce("blob", F.lit("")).alias("blob"), F.col("file_size").cast("long").alias("size"))
     sizes = now.select(*KEY, "att_id", "version", "size").unionByName(before_media.select(*KEY, "att_id", "version", "size")).groupBy(*KEY, "att_id", "version").agg(F.max("size").alias("size"))
     media = R.carry_media(before_media.join(wanted.select(*KEY), KEY, "left_semi"), now, media=options.media, moved=R.detect_moves(actions), flags=given.flags)
-    media = cut(media.join(sizes, [*KEY, "att_id", "version"], "left").withColumn("size", F.coalesce("size", F.lit(0).cast("long"))))
+    media = stored(media.join(sizes, [*KEY, "att_id", "version"], "left").withColumn("size", F.coalesce("size", F.lit(0).cast("long"))))
 
-    todo = cut(full.join(writes.select(*KEY), KEY, "left_semi"))
+    todo = stored(full.join(writes.select(*KEY), KEY, "left_semi"))
     available = A.available_media(named, digests, shown, media=options.media, carried=media.where("carried").select("page_id", "file"))
-    rendered = cut(J.render_markdown(J.wide(todo, named, available, B.resolve_users(B.mentions(todo), given.users), shown), plug_ins=plug_ins))
+    rendered = stored(J.render_markdown(J.wide(todo, named, available, B.resolve_users(B.mentions(todo), given.users), shown), plug_ins=plug_ins))
     files = named.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("att_id", F.col("local_name").alias("name"), F.col("media_type").alias("type"), F.col("file_size").alias("size")))).alias("attachments"))
     heads = writes.join(spaces.select("space_id", "space_key"), "space_id").join(files, "page_id", "left")
     some = F.coalesce("attachments", F.array().cast(files.schema["attachments"].dataType))
@@ -213,7 +213,7 @@ def run(spark: SparkSession, given: Inputs, folder: str, *, options: P.Options =
         documents = documents.unionByName(todo.join(writes.select(*KEY, "html"), KEY).select("space_id", F.col("html").alias("rel_path"), F.col("body").alias("content")))
     S.write_documents(documents, folder, this)
 
-    kept = cut(R.survivors(before, wanted, listed, include_archived=include_archived, flags=given.flags, scopes=scopes))
+    kept = stored(R.survivors(before, wanted, listed, include_archived=include_archived, flags=given.flags, scopes=scopes))
     stopped = before.join(verdicts.where("verdict <> 'ok'").select("space_id"), "space_id", "left_semi")
     kept_rows = R.gated(kept, verdicts).where("kept").select(*PAGE_STATE)
     skipped = before.join(actions.where("action = 'skip'").select(*KEY), KEY, "left_semi").select(*PAGE_STATE)
@@ -221,15 +221,15 @@ def run(spark: SparkSession, given: Inputs, folder: str, *, options: P.Options =
     after = skipped.unionByName(written).unionByName(kept_rows).unionByName(stopped.select(*PAGE_STATE))
     if given.failed_media is not None:
         after = S.without_failed_media(after, _own(given.failed_media, "page_id"))
-    after = cut(after)
+    after = stored(after)
     # Of pages that stay, the media and pictures that they had.
     stays = after.select(*KEY).join(actions.select(*KEY), KEY, "left_anti")
-    after_media = cut(R.gated(media, verdicts).drop("carried").unionByName(before_media.join(stays, KEY, "left_semi").select(*KEY, "att_id", "version", "file", "blob", "size")))
+    after_media = stored(R.gated(media, verdicts).drop("carried").unionByName(before_media.join(stays, KEY, "left_semi").select(*KEY, "att_id", "version", "file", "blob", "size")))
     made = pictures.join(actions.select(*KEY), "page_id").groupBy(*KEY, F.col("local_name").alias("file")).agg(F.min("png_digest").alias("blob"))
-    after_shown = cut((made if options.media else made.limit(0)).unionByName(before_shown.join(stays, KEY, "left_semi").select(*KEY, "file", "blob")))
+    after_shown = stored((made if options.media else made.limit(0)).unionByName(before_shown.join(stays, KEY, "left_semi").select(*KEY, "file", "blob")))
     kinds = [*KEY, "file"]
     deletions = R.deletions(R.owned_paths(before, before_media.select(*kinds).unionByName(before_shown.select(*kinds))), R.owned_paths(after, after_media.select(*kinds).unionByName(after_shown.select(*kinds))))
-    deletions = cut(R.gated(deletions, verdicts))
+    deletions = stored(R.gated(deletions, verdicts))
 
     dirs = planned.where("kind = 'folder'").select("space_id", F.substring_index("node_id", MARK, -1).alias("folder_id"), "dir")
     ok = R.gated(dirs, verdicts)
@@ -237,13 +237,13 @@ def run(spark: SparkSession, given: Inputs, folder: str, *, options: P.Options =
     outside = before_folders if scopes is None else L.in_scopes(before_folders, scopes).where("not in_scope").drop("in_scope")
     outside = outside if scopes is not None else outside.limit(0)
     carried = R.gated(outside, verdicts).unionByName(before_folders.join(verdicts.where("verdict <> 'ok'").select("space_id"), "space_id", "left_semi"))
-    after_folders = cut(ok.unionByName(carried.join(ok, ["space_id", "folder_id"], "left_anti").select("space_id", "folder_id", "dir")))
+    after_folders = stored(ok.unionByName(carried.join(ok, ["space_id", "folder_id"], "left_anti").select("space_id", "folder_id", "dir")))
     gone = R.gated(R.stale_folders(before_folders, after_folders), verdicts).orderBy(F.desc("depth"), "dir")
 
     manifest = R.gated(A.media_manifest(named, placed, digests, shown).join(writes.select(*KEY), "page_id"), verdicts)
-    fetch = A.incremental(atts, digests, stored).where("status = 'fetch'").join(wanted.select(*KEY), "page_id")
+    fetch = A.incremental(atts, digests, stock).where("status = 'fetch'").join(wanted.select(*KEY), "page_id")
     downloads = A.download_plan(_plain(fetch, "page_id"), options.site_url or "https://localhost").join(_plain(wanted.select(*KEY), "page_id"), "page_id")
-    warnings = cut(_plain(R.warnings_table(R.guard_warnings(verdicts), R.render_warnings(rendered), L.unreached(tree, placed.where("kind <> 'archive'")), R.download_warnings(downloads)), "key"))
+    warnings = stored(_plain(R.warnings_table(R.guard_warnings(verdicts), R.render_warnings(rendered), L.unreached(tree, placed.where("kind <> 'archive'")), R.download_warnings(downloads)), "key"))
     if given.damage is not None:
         warnings = warnings.unionByName(R.damage_warnings(given.damage))
     summary = R.export_summary(actions, R.gated(kept.where("not kept"), verdicts), warnings)
@@ -261,7 +261,7 @@ def run(spark: SparkSession, given: Inputs, folder: str, *, options: P.Options =
         states = S.load_state(spark, folder, "state_attachments", version=version).select("blob").unionByName(S.load_state(spark, folder, "state_rendered", version=version).select("blob"))
         keep = R.keep_set(S.load_state(spark, folder, "body_blobs", version=version), digests, given.derived, (given.fresh if given.fresh is not None else given.derived.limit(0)), states, A.RENDER_VERSION)
         garbage = R.blob_gc(given.blobs, keep, verdicts)
-    return Outcome(verdicts, _plain(actions, "page_id"), deletions, gone, S.documents_of(spark, folder, documents_named(documents, this)), _plain(manifest, "page_id"), downloads, A.render_queue(pairs, digests, derived, stored), derived, garbage, warnings, summary, version, totals)
+    return Outcome(verdicts, _plain(actions, "page_id"), deletions, gone, S.documents_of(spark, folder, documents_named(documents, this)), _plain(manifest, "page_id"), downloads, A.render_queue(pairs, digests, derived, stock), derived, garbage, warnings, summary, version, totals)
 
 
 def documents_named(documents: DataFrame, run_id: str) -> DataFrame:
