@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -36,6 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write go when it ends."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, *, kept: bool = False) -> DataFrame:
     """Rows of df, computed and written once to the shared folder as compressed columns; their order and partitions are lost.
 
@@ -53,12 +65,9 @@ def stored(df: DataFrame, *, kept: bool = False) -> DataFrame:
     if spark.conf.get(_FACTOR) == "1.0":
         spark.conf.set(_FACTOR, "10.0")
     # Names that differ in case only are one to Parquet.
-    rows, before = df.toDF(*[f"c{k}" for k in range(len(df.columns))]), spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    rows = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    with shuffles_removed(spark):
         rows.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(rows.schema).parquet(path).toDF(*df.columns)
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from leafmill.lineage import shuffles_removed
 from leafmill.sources.trees import _Files, _read, _remove, _safe, open_path
 
 POINTER, LIST = "PACKS", "LIST"
@@ -173,7 +174,8 @@ def _pack(rows: DataFrame, path: str, folder: str) -> list[str]:
     """Rows (rel_path, content) in packs of a folder, each path in one of them."""
     spark = rows.sparkSession
     spark.dataSource.register(PackSource)
-    rows.select("rel_path", "content").write.format(NAME).mode("append").option("path", path).option("folder", folder).save()
+    with shuffles_removed(spark):
+        rows.select("rel_path", "content").write.format(NAME).mode("append").option("path", path).option("folder", folder).save()
     system, base = open_path(path)
     packs = _read(system, f"{base}/{folder}/{LIST}")
     named = _named(spark, path, packs)
@@ -227,9 +229,9 @@ def read_tree(spark: SparkSession, path: str) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for pack in frame["pack"]:
+            for n in frame["id"]:
                 out, held = [], 0
-                for rel, data in _entries(path, pack):
+                for rel, data in _entries(path, packs[n]):
                     out.append((rel, data))
                     held += len(data)
                     if held >= 1 << 24 or len(out) >= 10_000:
@@ -237,4 +239,4 @@ def read_tree(spark: SparkSession, path: str) -> DataFrame:
                         out, held = [], 0
                 yield pd.DataFrame(out, columns=["rel_path", "content"])
 
-    return spark.createDataFrame([(p,) for p in packs], "pack string").repartition(min(len(packs), 10_000)).mapInPandas(read, _KIND)
+    return spark.range(0, len(packs), 1, min(len(packs), 10_000)).mapInPandas(read, _KIND)
