@@ -16,46 +16,63 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import cut
 
-#: Pieces of one group, on average; chunks that a Python worker keeps the ids of, and the longest of these (300 bytes each at most).
+#: Pieces of one group, on average; parts of texts that a Python worker keeps the ids of, and the longest of these in bytes (300 bytes each at most).
 GROUP, KEPT_CHUNKS, KEPT_LENGTH = 8192, 600_000, 40
+#: Bytes of texts that are encoded at once.
+AT_ONCE = 4_000_000
 
-# Words that are plain, and the marks that may follow them.
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# A plain word in small letters, as bytes: a-z and Latin-1's letters.
+_WORD = re.compile(rb" ?((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)")
 # Bytes of UTF-8 that a byte-level alphabet shows by other characters than Latin-1 does.
 _BYTES = {b: chr(289 + b - 127) for b in range(127, 161)} | {173: chr(323)}
+# Kinds of bytes: of plain letters, space, apostrophe, other plain marks and digits, all else.
+_LETTER, _SPACE, _QUOTE, _MARK, _ELSE = range(5)
 
 #: This worker's encoders by file; they stay for its next tasks.
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
 class ChunkEncoder:
-    """Token ids of texts by a tokenizers file, each chunk between spaces or line ends encoded once.
-
-    Exact for tokenizers whose pre-tokenizer drops white space and parts letters from other characters, and whose
-    normalizer doesn't reach across white space and ignores case: there a text's ids are those of its chunks, one after
-    another. A plain word goes to the model as the bytes that the pre-tokenizer would make of it, if the file is of that
-    kind, which is tried out at first; else through the whole tokenizer.
+    """Token ids of texts by a tokenizers file, each word and each run of marks encoded once.
+
+    Exact for tokenizers whose pre-tokenizer drops white space and parts letters from other characters (but for an
+    apostrophe and the letters behind it), and whose normalizer doesn't reach across white space and ignores case: there a
+    text's ids are those of its parts, one after another. Texts are parted as arrays of bytes. Plain words, in small
+    letters, are parts of their own, with the space before them; what stands between them is the other parts. A chunk
+    between spaces that holds other letters, marks beyond ASCII or a character of a special token stays whole. A plain word
+    goes to the model as the bytes that the pre-tokenizer would make of it, if the file is of that kind, which is tried out
+    at first; else, as all other parts do, through the whole tokenizer.
     """
 
     def __init__(self, path: str, special: bool = True):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.long = Tokenizer.from_file(path), {"": b""}, set()
+        self.tokenizer, self.known, self.long = Tokenizer.from_file(path), {}, set()
         # Where special tokens aren't wanted, their strings in a text are ordinary text.
         self.tokenizer.encode_special_tokens = not special
         self.model = self.tokenizer.model
         probe = ["hello", "été", "straße", "ñandú", "zzyzxqj", "íàü"]
         self.direct = self._direct(probe) == self._whole(probe)
+        self.kinds = np.full(256, _ELSE, "uint8")
+        self.kinds[33:127] = _MARK
+        # Letters of special tokens needn't count, as long as each has some other character.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kinds[[c for t in added for c in t.encode() if c < 128]] = _ELSE
+        self.kinds[[c for c in range(128) if chr(c).isalpha()]] = _ELSE if any(t.isalnum() for t in added) else _LETTER
+        self.kinds[list(b"\t\n\r ")], self.kinds[ord("'")] = _SPACE, _QUOTE
+        self.small = np.arange(256, dtype="uint8")
+        self.small[list(b"\t\n\r")] = 32
+        self.small[65:91] += 32
 
     def _direct(self, words: list[str]) -> list[bytes]:
         read = self.model.tokenize
@@ -66,58 +83,95 @@ class ChunkEncoder:
 
     def stream(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        chunks: list[list[str]] = []
+        docs: list[bytes] = []
         size = 0
         for text in texts:
-            # So many texts at once that their chunks take some MB.
-            chunks.append(text.replace("\n", " ").split(" "))
-            size += len(text)
-            if size > 500_000:
-                yield from self._encode(chunks)
-                chunks, size = [], 0
-        yield from self._encode(chunks)
-
-    def _encode(self, docs: list[list[str]]) -> list[bytes]:
-        chunks = set().union(*docs)
-        self._learn({c for c in chunks if c not in self.known})
-        # A small table of these texts' own chunks is looked up faster than the large one.
-        own = {c: self.known[c] for c in chunks}
-        # Long chunks, as of texts without spaces, rarely come again.
+            docs.append(text.encode())
+            size += len(docs[-1])
+            if size > AT_ONCE:
+                last = docs.pop()
+                yield from self._encode(docs)
+                # A long text is encoded in pieces.
+                yield b"".join(ids for piece in _at_spaces(last) for ids in self._encode([piece]))
+                docs, size = [], 0
+        yield from self._encode(docs)
+
+    def _encode(self, docs: list[bytes]) -> Iterator[bytes]:
+        # Each text has a space before it, at which its first part begins.
+        data = np.frombuffer(b" " + b" ".join(docs), "uint8")
+        first = np.cumsum([0, *[len(d) + 1 for d in docs]])
+        cuts, small = self._parts(data, first)
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(small)]).dictionary_encode()
+        own = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([c for c in own if c not in self.known])
+        ids = pa.array([self.known[c] for c in own], pa.large_binary()).take(parts.indices)
+        # Long parts, as of texts without spaces, rarely come again.
         for c in self.long:
             self.known.pop(c, None)
         self.long.clear()
         if len(self.known) > KEPT_CHUNKS:
             # The first ones are the frequent ones.
             self.known = dict(islice(self.known.items(), KEPT_CHUNKS // 2))
-        return [b"".join(map(own.__getitem__, doc)) for doc in docs]
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Adds chunks to what is known. A word with marks behind it is made of the word in small letters and the marks."""
-        made, words, others, known = [], set(), set(), self.known
-        for c in chunks:
+        _, offsets, made = ids.buffers()
+        at = np.frombuffer(offsets, "int64")[np.searchsorted(cuts, first)].tolist()
+        raw = memoryview(made) if made is not None else b""
+        return (bytes(raw[a:b]) for a, b in pairwise(at))
+
+    def _parts(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where parts begin (with the end), and the bytes with plain words in small letters; first: where texts begin, and the end."""
+        kinds, small = self.kinds[data], self.small[data]
+        # À to ÿ but for × and ÷ are C3 and a byte from 80 on.
+        lead = np.flatnonzero(data == 0xC3)
+        if len(lead) and self.kinds[ord("a")] == _LETTER:
+            second = data[lead + 1]
+            good = (second != 0x97) & (second != 0xB7)
+            lead, second = lead[good], second[good]
+            kinds[lead] = kinds[lead + 1] = _LETTER
+            small[lead + 1] = second + np.where(second < 0x9F, 32, 0).astype("uint8")
+        letter, space = kinds == _LETTER, kinds == _SPACE
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = letter[:-1] > letter[1:]
+        begin = np.flatnonzero((letter[1:] > letter[:-1]) & (kinds[:-1] != _QUOTE)) + 1
+        cut[begin - space[begin - 1]] = True
+        odd = kinds == _ELSE
+        if odd.any():
+            # Chunks that hold these are parts as they stand.
+            spaces = np.flatnonzero(space)
+            held = np.logical_or.reduceat(odd, spaces)
+            start, end = spaces[held] + 1, np.append(spaces[1:], len(data))[held]
+            edge = np.zeros(len(data) + 1, "int8")
+            edge[start] = 1
+            edge[end] -= 1
+            inside = np.cumsum(edge[:-1], dtype="int8").view(bool)
+            small = np.where(inside, data, small)
+            cut[:-1] &= ~inside
+            cut[start] = cut[end] = True
+        cut[first] = cut[-1] = True
+        return np.flatnonzero(cut), small
+
+    def _learn(self, parts: list[bytes]) -> None:
+        """Adds parts to what is known."""
+        words, others = [], []
+        for c in parts:
             if len(c) > KEPT_LENGTH:
                 self.long.add(c)
-            base = c.rstrip(_MARKS)
-            if base and (base.isascii() and base.isalpha() or _LATIN.fullmatch(base)):
-                word, marks = base.lower(), c[len(base) :]
-                if word is not c:
-                    made.append((c, word, marks))
-                if word not in known:
-                    words.add(word)
-                if marks and marks not in known:
-                    others.add(marks)
-                self.long.update(x for x in (word, marks) if len(x) > KEPT_LENGTH)
-            else:
-                others.add(c)
-        if self.direct:
-            fresh = list(words)
-            known.update(zip(fresh, self._direct(fresh), strict=True))
-        else:
-            others |= words
-        rest = list(others)
-        known.update(zip(rest, self._whole(rest), strict=True))
-        for c, word, marks in made:
-            known[c] = known[word] + known[marks]
+            word = _WORD.fullmatch(c) if self.direct else None
+            (words if word else others).append((c, (word[1] if word else c).decode()))
+        self.known.update(zip([c for c, _ in words], self._direct([w for _, w in words]), strict=True))
+        self.known.update(zip([c for c, _ in others], self._whole([w for _, w in others]), strict=True))
+
+
+def _at_spaces(text: bytes) -> Iterator[bytes]:
+    """text in pieces of about AT_ONCE bytes that begin with a space, as far as it has spaces."""
+    at = 0
+    while len(text) - at > AT_ONCE:
+        to = text.rfind(b" ", at + 1, at + AT_ONCE)
+        to = to if to >= 0 else text.find(b" ", at + AT_ONCE)
+        if to < 0:
+            break
+        yield text[at:to]
+        at = to
+    yield text[at:]
 
 
 def encoder(path: str, special: bool = True) -> ChunkEncoder:

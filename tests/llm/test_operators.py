@@ -780,6 +780,33 @@ def test_long_chunks_are_not_kept(spark):
     assert max(map(len, encoder.known)) <= packing.KEPT_LENGTH
 
 
+def test_each_word_and_run_of_marks_is_encoded_once():
+    from tokenizers import Tokenizer
+
+    t, encoder = Tokenizer.from_file(TOKENIZER), packing.ChunkEncoder(TOKENIZER)
+    rng = random.Random(6)
+    own = sorted({"".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 6))) for _ in range(60)})
+    texts = [" ".join(f"{a}{mark}{b}, {a.title()}. {b.upper()}" for b in own for mark in "-/(") for a in own]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.stream(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    # Not every pair of words: a word with and without a space before it, and the marks.
+    assert len(encoder.known) <= 2 * len(own) + 10
+
+
+@pytest.mark.parametrize("special", [True, False])
+def test_parts_of_odd_texts_are_exact(special, monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, encoder = Tokenizer.from_file(TOKENIZER), packing.ChunkEncoder(TOKENIZER, special)
+    t.encode_special_tokens = not special
+    rng = random.Random(7)
+    atoms = [*"aBcxYZésÉßÀÞ×÷ÿŸĳñ'\"’.,-!|<>_ \t\n\r  09٣½\x0b\x1c\x85\xa0\u0331\u0301ﬁΣςİKǅ漢字한🙂\x00", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "<|", "|>", " the", " Über", "H\u0331", "e\u0301"]
+    for at_once in (10, 300, 100_000):
+        # Texts are cut at spaces, too.
+        monkeypatch.setattr(packing, "AT_ONCE", at_once)
+        texts = ["".join(rng.choice(atoms) for _ in range(rng.choice((0, 1, 2, 5, 20, 80)))) for _ in range(500)]
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.stream(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_first_fit():
     rng = random.Random(1)
     sizes = sorted((rng.randint(1, 64) for _ in range(500)), reverse=True)
