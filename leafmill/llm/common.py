@@ -7,18 +7,30 @@ from pyspark.sql import functions as F
 
 from leafmill.lineage import cut, shared_folder
 
-__all__ = ["MOST", "WORD", "ascii_lower", "components", "cut", "shared_folder", "spread_join", "table"]
+__all__ = ["MOST", "WORD", "ascii_lower", "components", "cut", "shared_folder", "small_batches", "spread_join", "table"]
 
 #: A run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one key that a task may read in a join.
 MOST = 1000
+#: Bytes of rows that go to a Python worker at once.
+BATCH = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python by about BATCH bytes, not by 64 MB, of which task and worker hold several copies; a size that is set stays.
+
+    The setting is read when rows are computed, so it can't be taken back here.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z become a-z; no other character changes."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

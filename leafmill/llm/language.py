@@ -19,10 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from leafmill.llm.common import small_batches
+
 WINDOW, WIDTHS, FILTERS, DOCS_PER_LANGUAGE, EPOCHS = 256, (2, 3, 4), 8, 1500, 5
 #: Documents that are learned from, however many languages there are.
 MOST_DOCS = 60_000
@@ -147,7 +150,9 @@ def train(docs: DataFrame, *, docs_per_language: int = DOCS_PER_LANGUAGE, id_col
     each = max(1, min(docs_per_language, MOST_DOCS // len(counts)))
     drawn = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)).cast("double") / (1 << 30)
     # So amply drawn that each label's first documents in that order are there; these are taken.
-    shares = F.broadcast(docs.sparkSession.createDataFrame([(lang, (each + 8 * each**0.5 + 32) / n) for lang, n in counts.items()], "_lang string, _share double"))
+    # As an Arrow table: lists of rows would start Python workers of another kind, which stay.
+    shares = pa.table({"_lang": pa.array(list(counts), pa.string()), "_share": pa.array([(each + 8 * each**0.5 + 32) / n for n in counts.values()], pa.float64())})
+    shares = F.broadcast(docs.sparkSession.createDataFrame(shares))
     n = F.greatest(F.char_length(F.col(text_col)) - WINDOW, F.lit(1))
     piece = lambda k: F.substring(F.col(text_col), (F.pmod(F.xxhash64(F.lit(k), F.col(id_col)), n) + 1).cast("int"), F.lit(WINDOW))
     sample = labelled.join(shares, F.col(lang_col) == F.col("_lang")).where(drawn < F.col("_share")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), drawn.alias("drawn"), piece(1).alias("a"), piece(2).alias("b"))
@@ -196,6 +201,7 @@ def predict(docs: DataFrame, network: Network | None, *, id_col: str = "doc_id",
                 scores += np.clip(mean.max(axis=1), 0, 1).tolist()
             yield pd.DataFrame({"name": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype="float64")})
 
+    small_batches(docs.sparkSession)
     # What is told once isn't told again for a filter on it.
     told = F.pandas_udf(made, "name string, score double").asNondeterministic()(text)
     name = "_told"

@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut
+from leafmill.llm.common import cut, small_batches
 
 #: Pieces of one group, on average; parts of texts that a Python worker keeps the ids of, and the longest of these in bytes (300 bytes each at most).
-GROUP, KEPT_CHUNKS, KEPT_LENGTH = 8192, 600_000, 40
+GROUP, KEPT_CHUNKS, KEPT_LENGTH = 8192, 150_000, 40
 #: Bytes of texts that are encoded at once.
 AT_ONCE = 4_000_000
 
@@ -201,6 +201,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     # Ids travel as text, as pandas would turn integers with nulls into floats.
     rows = rows.withColumn("id", F.col("id").cast("string"))
     made = rows.mapInPandas(cut_up, "id string, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)

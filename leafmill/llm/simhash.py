@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import components, cut, spread_join
+from leafmill.llm.common import components, cut, small_batches, spread_join
 
 SHINGLE, NEAR = 4, 4
 #: Fingerprints at one anchor that one task compares; more are cut into blocks of this many.
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for texts in frames:
             yield pd.Series(np.array([simhash(t) for t in texts], "uint64").view("int64"))
 
+    small_batches(docs.sparkSession)
     udf = F.pandas_udf(made, "long")
     return docs.select(F.col(id_col), *keep, udf(F.col(text_col)).alias("bits"))
 

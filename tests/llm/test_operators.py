@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import sys
 import time
 import zlib
 from html.parser import HTMLParser
@@ -792,6 +793,18 @@ def test_each_word_and_run_of_marks_is_encoded_once():
     assert len(encoder.known) <= 2 * len(own) + 10
 
 
+def test_encoder_keeps_little():
+    encoder = packing.ChunkEncoder(TOKENIZER)
+    letters = "abcdefghijklmnop"
+    texts = [" ".join("".join(letters[n >> 4 * j & 15] for j in range(5)) for n in range(k, k + 20_000)) for k in range(0, 400_000, 20_000)]
+    first = list(encoder.stream(texts[:1]))
+    for text in texts[1:]:
+        list(encoder.stream([text]))
+        assert sys.getsizeof(encoder.known) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in encoder.known.items()) < 32e6
+    # What went is encoded again.
+    assert list(encoder.stream(texts[:1])) == first and list(encoder.stream(texts[-1:])) == list(packing.ChunkEncoder(TOKENIZER).stream(texts[-1:]))
+
+
 @pytest.mark.parametrize("special", [True, False])
 def test_parts_of_odd_texts_are_exact(special, monkeypatch):
     from tokenizers import Tokenizer

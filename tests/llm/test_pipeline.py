@@ -113,6 +113,21 @@ def test_unlabelled_documents_stay(spark, label):
     assert kept.columns == COLUMNS and {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {202, 203}
 
 
+@pytest.mark.parametrize("name", ["language", "near_dedup", "packing"])
+def test_texts_go_to_python_in_small_batches(spark, name):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    dict(P.STAGES)[name](spark, made(spark), SF)
+    texts = spark.range(0, 32, 1, 1).select(F.repeat(F.lit("ab "), 200_000).alias("text"))
+    sizes = texts.mapInPandas(lambda frames: (f.assign(n=f["text"].str.len().sum())[["n"]].head(1) for f in frames), "n long").collect()
+    assert sum(r.n for r in sizes) == 32 * 600_000 and max(r.n for r in sizes) < 5 << 20
+
+
+def test_training_starts_no_workers_of_its_own(spark, monkeypatch):
+    docs = cut(made(spark))
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("rows made of a list go through Python workers"))
+    assert P.language.train(docs) is not None
+
+
 def test_names():
     assert [n for n, _ in P.STAGES] == ["language", "line_dedup", "near_dedup", "mixing", "packing"] and P.ORACLE_SQL is None
 
