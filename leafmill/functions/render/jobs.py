@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -53,24 +54,33 @@ def render_markdown(rows: DataFrame, *, plug_ins: dict[str, P.Handler] | None =
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts, warned = [], []
-            for r in frame.itertuples(index=False):
+            for heading, body, known in zip(frame["heading"], frame["body"], frame["known"], strict=True):
+                r = json.loads(known) if known else {}
                 page = P.Page(
-                    {(f["name"], f["att_id"]): f["local"] for f in r.files},
-                    [(a["title"], a["local"]) for a in r.listed],
-                    frozenset(r.available),
-                    {u["account_id"]: u["name"] for u in r.users},
-                    {d["name"]: (d["picture"], d["source"]) for d in r.diagrams},
+                    {(f["name"], f["att_id"]): f["local"] for f in r.get("files") or []},
+                    [(a["title"], a["local"]) for a in r.get("listed") or []],
+                    frozenset(r.get("available") or []),
+                    {u["account_id"]: u["name"] for u in r.get("users") or []},
+                    {d["name"]: (d["picture"], d["source"]) for d in r.get("diagrams") or []},
                     own,
                 )
                 try:
-                    texts.append(P.render(r.heading or "", r.body or "", page))
-                    warned.append(sorted({f"missing attachment: {m}" for m in re.findall(r"Missing attachment: ([^\n]*)", texts[-1])}))
+                    text = P.render(heading or "", body or "", page)
+                    texts.append(text)
+                    warned.append(sorted({f"missing attachment: {m}" for m in re.findall(r"Missing attachment: ([^\n]*)", text)}) if "Missing attachment: " in text else [])
                 except Exception as e:  # noqa: BLE001  (a plug-in may raise anything; the page's row says so)
                     texts.append("")
                     warned.append([f"not rendered: {type(e).__name__}: {e}"])
             yield pd.DataFrame({"space_id": frame["space_id"], "page_id": frame["page_id"], "markdown": texts, "warnings": warned})
 
-    return rows.repartition("space_id", "page_id").mapInPandas(run, "space_id string, page_id string, markdown string, warnings array<string>")
+    kinds = ("files", "listed", "available", "users", "diagrams")
+    # Nested columns cost a page's row more than its rendering, even where they are empty; so they come as one text.
+    known = F.to_json(F.struct(*kinds), {"ignoreNullFields": "false"})
+    some = F.lit(False)
+    for kind in kinds:
+        some = some | (F.size(kind) > 0)
+    dealt = rows.repartition("space_id", "page_id").select("space_id", "page_id", "heading", "body", F.when(some, known).alias("known"))
+    return dealt.mapInPandas(run, "space_id string, page_id string, markdown string, warnings array<string>")
 
 
 def _rows(pages: DataFrame, find: Callable[[Node], list[tuple]], schema: str) -> DataFrame:
@@ -172,25 +182,54 @@ def extract_tasks(pages: DataFrame) -> DataFrame:
     return _rows(pages, find, "kind string, done boolean, text string, depth long")
 
 
+#: Words that YAML reads as truth values or nothing; letters of which no number and no time is made.
+RESERVED, WORDY = ("yes", "no", "true", "false", "on", "off", "null", "y", "n"), "[G-SU-WYg-suvwy]"
+#: Texts with blanks are folded in lines of more than eighty characters; shorter ones than this never are.
+UNFOLDED = 50
+
+
+def _yaml(value: Column) -> Column:
+    """A text as the library writes it; null for one that it may quote, escape or fold in another way."""
+    plain = value.rlike(r"^\p{L}[\p{L}\p{N}_./+ -]*+\z") & ~F.lower(value).isin(*RESERVED)
+    # What begins with a digit may be a number or a time, but for letters that these don't have.
+    plain = plain | (value.rlike(r"^[0-9][\p{L}\p{N}_./+ -]*+\z") & value.rlike(WORDY))
+    plain = plain & ~value.endswith(" ") & ((F.char_length(value) <= UNFOLDED) | ~F.contains(value, F.lit(" ")))
+    plain = plain | value.rlike(r"^https?://[\p{L}\p{N}_./?=&%~+:-]*[\p{L}\p{N}_/]\z")
+    quoted = value.rlike(r"^(?:0|[1-9][0-9]*+|[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?Z?)?|)\z")
+    return F.when(plain, value).when(quoted, F.concat(F.lit("'"), value, F.lit("'")))
+
+
 def frontmatter(pages: DataFrame) -> DataFrame:
-    """Adds frontmatter, a YAML block, to rows with title, page_id, space_key, path, url, last_modified, version, status, attachments (name, type, size)."""
-    columns = ["title", "page_id", "space_key", "path", "url", "last_modified", "version", "status", "attachments"]
+    """Adds frontmatter, a YAML block, to rows with title, page_id, space_key, path, url, last_modified, version, status, attachments (name, type, size).
 
-    def run(frame: pd.DataFrame) -> pd.Series:
-        import yaml
+    Blocks of texts that YAML leaves as they are, or only puts between quotes, are put together here; the others are the library's.
+    """
+    texts = ["title", "page_id", "space_key", "path", "url", "last_modified"]
 
-        out = []
-        for r in frame.to_dict("records"):
-            block = {k: r[k] for k in ("title", "page_id", "space_key", "path", "url", "last_modified")} | {"version": int(r["version"])}
-            if r["status"] == "archived":
+    def run(rows: pd.Series) -> pd.Series:
+        out: list[str | None] = [None] * len(rows)
+        for at in rows.notna().to_numpy().nonzero()[0]:
+            import yaml
+
+            r = json.loads(rows.iloc[at])
+            block = {k: r.get(k) for k in texts} | {"version": int(r["version"])}
+            if r.get("status") == "archived":
                 block["status"] = "archived"
-            if len(r["attachments"]):
-                block["attachments"] = [{"name": a["name"], "type": a["type"], "size": int(a["size"])} for a in r["attachments"]]
-            out.append("---\n" + yaml.safe_dump(block, sort_keys=False, allow_unicode=True, default_flow_style=False) + "---\n\n")
+            if r["attachments"]:
+                block["attachments"] = [{"name": a.get("name"), "type": a.get("type"), "size": int(a["size"])} for a in r["attachments"]]
+            out[at] = "---\n" + yaml.safe_dump(block, sort_keys=False, allow_unicode=True, default_flow_style=False) + "---\n\n"
         return pd.Series(out, dtype=object)
 
-    run.__annotations__ = {"frame": pd.DataFrame, "return": pd.Series}
-    return pages.withColumn("frontmatter", F.pandas_udf(run, "string")(F.struct(*columns)))
+    run.__annotations__ = {"rows": pd.Series, "return": pd.Series}
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\n"))
+    # A join of texts leaves out nulls, so they are looked for.
+    files = F.transform("attachments", lambda a: F.concat(line("- name", _yaml(a["name"])), line("  type", _yaml(a["type"])), line("  size", a["size"].cast("bigint").cast("string"))))
+    files = F.when(F.size("attachments") == 0, "").when(~F.exists(files, lambda f: f.isNull()), F.concat(F.lit("attachments:\n"), F.array_join(files, "")))
+    status = F.when(F.col("status") == "archived", F.lit("status: archived\n")).otherwise("")
+    block = F.concat(F.lit("---\n"), *[line(c, _yaml(F.col(c))) for c in texts], line("version", F.col("version").cast("bigint").cast("string")), status, files, F.lit("---\n\n"))
+    # Python gets the open ones only, in one column, as each column costs something in every row.
+    given = F.when(F.col("_block").isNull(), F.to_json(F.struct(*texts, "version", "status", "attachments")))
+    return pages.withColumn("_block", block).withColumn("frontmatter", F.coalesce("_block", F.pandas_udf(run, "string")(given))).drop("_block")
 
 
 def documents(rows: DataFrame) -> DataFrame:
