@@ -24,9 +24,10 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from leafmill.lineage import shuffles_removed
@@ -37,6 +38,24 @@ NAME = "leafmill_packs"
 #: A pack ends with so many files or bytes.
 FILES, BYTES = 1 << 16, 1 << 26
 _KIND = "rel_path string, content binary"
+#: Entries are gathered to so many bytes.
+CHUNK = 1 << 20
+BLOCK, ZEROS = tarfile.BLOCKSIZE, bytes(tarfile.RECORDSIZE)
+#: What headers of files with short plain names have in common: parts behind the name, the size and the sum, and what they add to the sum.
+_HEAD = tarfile.TarInfo("").tobuf(tarfile.PAX_FORMAT)
+_MODE, _TIME, _REST = _HEAD[100:124], _HEAD[136:148], _HEAD[156:]
+_SUM = sum(_MODE) + sum(_TIME) + sum(_REST) + 8 * ord(" ")
+
+
+def _head(rel_path: str, size: int) -> bytes:
+    """A file's header, as tarfile makes it."""
+    name = rel_path.encode()
+    if len(name) <= tarfile.LENGTH_NAME and name.isascii() and size < 8**11:
+        length = b"%011o\0" % size
+        return b"".join((name.ljust(tarfile.LENGTH_NAME, b"\0"), _MODE, length, _TIME, b"%06o\0 " % (_SUM + sum(name) + sum(length)), _REST))
+    entry = tarfile.TarInfo(rel_path)
+    entry.size = size
+    return entry.tobuf(tarfile.PAX_FORMAT, "utf-8", "strict")
 
 
 def _id() -> str:
@@ -52,9 +71,21 @@ class _Packs:
         self.held: set[str] = set()
 
     def _open(self) -> None:
-        self.id, self.size = _id(), 0
+        self.id, self.size, self.at = _id(), 0, 0
         self.out = self.files.system.open_output_stream(self.files.within(f"{self.id}.tar.zst"), compression="zstd")
-        self.tar = tarfile.open(fileobj=self.out, mode="w|", format=tarfile.PAX_FORMAT, encoding="utf-8")
+        self.waiting, self.written = [], 0
+
+    def _write(self, *parts: bytes) -> None:
+        self.waiting += parts
+        self.at += sum(map(len, parts))
+        if self.at - self.written >= CHUNK:
+            self._flush()
+
+    def _flush(self) -> None:
+        # What is large is written as it is.
+        for part in [b"".join(self.waiting)] if len(self.waiting) > 3 else self.waiting:
+            self.out.write(part)
+        self.waiting, self.written = [], self.at
 
     def add(self, rel_path: str, data: bytes) -> None:
         if "\0" in _safe(rel_path):
@@ -65,18 +96,18 @@ class _Packs:
             self.close()
         if not self.held:
             self._open()
-        entry = tarfile.TarInfo(rel_path)
-        entry.size = len(data)
-        self.tar.addfile(entry, io.BytesIO(data))
-        # The archive would keep account of all its entries.
-        self.tar.members = []
+        if len(data) >= CHUNK:
+            self._flush()
+        self._write(_head(rel_path, len(data)), data, ZEROS[: -len(data) % BLOCK])
         self.held.add(rel_path)
         self.size += len(data)
 
     def close(self) -> list[str]:
         """Ends the pack that is open; all packs written."""
         if self.held:
-            self.tar.close()
+            # An archive ends with two empty blocks and fills its last record.
+            self._write(bytes(2 * BLOCK), ZEROS[: -(self.at + 2 * BLOCK) % tarfile.RECORDSIZE])
+            self._flush()
             self.out.close()
             pack = f"{self.folder}/{self.id}"
             with self.files.system.open_output_stream(self.files.within(f"{self.id}.json.gz"), compression="gzip") as names:
@@ -87,12 +118,39 @@ class _Packs:
         return self.done
 
 
+def _plain(head: bytes) -> bool:
+    """Whether a header says all of a file that comes next, as most do."""
+    return head[156] in b"0\0" and not head[345] and not head[124] & 128
+
+
 def _entries(path: str, pack: str) -> Iterator[tuple[str, bytes]]:
     """rel_path and content of a pack's files, in its order."""
     system, base = open_path(path)
+    given = 0
+    with system.open_input_stream(f"{base}/{pack}.tar.zst", compression="zstd") as opened:
+        source = io.BufferedReader(opened, CHUNK)
+        while (head := source.read(BLOCK)) != ZEROS[:BLOCK]:
+            # tarfile takes a broken header for the end.
+            if len(head) < BLOCK or int(head[148:156].rstrip(b" \0") or b"0", 8) != sum(head) - sum(head[148:156]) + 8 * ord(" "):
+                raise tarfile.ReadError(f"{pack} is damaged")
+            if not _plain(head):
+                break
+            size = int(head[124:136].rstrip(b" \0"), 8)
+            data = source.read(size + -size % BLOCK)
+            if len(data) < size:
+                raise tarfile.ReadError(f"{pack} ends in a file")
+            yield head[: tarfile.LENGTH_NAME].rstrip(b"\0").decode(), data[:size]
+            given += 1
+        else:
+            return
+    # From the first header of another kind on, tarfile reads.
     with system.open_input_stream(f"{base}/{pack}.tar.zst", compression="zstd") as source, tarfile.open(fileobj=source, mode="r|", encoding="utf-8") as tar:
         while (entry := tar.next()) is not None:
-            yield entry.name, tar.extractfile(entry).read()
+            if given:
+                given -= 1
+            else:
+                yield entry.name, tar.extractfile(entry).read()
+            # The archive would keep account of all its entries.
             tar.members = []
 
 
@@ -101,14 +159,15 @@ class Packed(WriterCommitMessage):
     packs: list[str]
 
 
-class PackWriter(DataSourceWriter):
+class PackWriter(DataSourceArrowWriter):
     def __init__(self, path: str, folder: str):
         self.path, self.folder = path, folder
 
-    def write(self, iterator: Iterator[Row]) -> Packed:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Packed:
         packs = _Packs(self.path, self.folder)
-        for row in iterator:
-            packs.add(row.rel_path, row.content.encode() if isinstance(row.content, str) else bytes(row.content or b""))
+        for batch in iterator:
+            for rel, data in zip(batch.column("rel_path").to_pylist(), batch.column("content").cast(pa.binary()).to_pylist(), strict=True):
+                packs.add(rel, data or b"")
         return Packed(packs.close())
 
     def commit(self, messages: list[Packed | None]) -> None:
@@ -125,7 +184,7 @@ class PackSource(DataSource):
     def name(cls) -> str:
         return NAME
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return PackWriter(self.options["path"], self.options["folder"])
 
 
@@ -227,16 +286,20 @@ def read_tree(spark: SparkSession, path: str) -> DataFrame:
     if not packs:
         return spark.createDataFrame([], _KIND)
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for n in frame["id"]:
-                out, held = [], 0
+    def batch(names: list[str], data: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(data, pa.binary())], names=["rel_path", "content"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            for n in given.column("id").to_pylist():
+                names, contents, held = [], [], 0
                 for rel, data in _entries(path, packs[n]):
-                    out.append((rel, data))
+                    names.append(rel)
+                    contents.append(data)
                     held += len(data)
-                    if held >= 1 << 24 or len(out) >= 10_000:
-                        yield pd.DataFrame(out, columns=["rel_path", "content"])
-                        out, held = [], 0
-                yield pd.DataFrame(out, columns=["rel_path", "content"])
+                    if held >= 1 << 24 or len(names) >= 10_000:
+                        yield batch(names, contents)
+                        names, contents, held = [], [], 0
+                yield batch(names, contents)
 
-    return spark.range(0, len(packs), 1, min(len(packs), 10_000)).mapInPandas(read, _KIND)
+    return spark.range(0, len(packs), 1, min(len(packs), 10_000)).mapInArrow(read, _KIND)

@@ -115,3 +115,48 @@ def test_packs_end(tmp_path, monkeypatch):
     done = [list(packs._entries(str(tmp_path), p)) for p in out.close()]
     assert [e for p in done for e in p] == files and max(map(len, done)) <= 10
     assert all(sum(len(d) for _, d in p[:-1]) < 1000 for p in done)
+
+
+def test_headers_are_those_of_tarfile():
+    names = ["a", "One/A b/x.md", "x" * 100, "y" * 101, "d/" + "z" * 300, "ü/ß", "line\nend"]
+    for name in names:
+        for size in (0, 1, 512, 8**11 - 1, 8**11):
+            entry = tarfile.TarInfo(name)
+            entry.size = size
+            assert packs._head(name, size) == entry.tobuf(tarfile.PAX_FORMAT, "utf-8", "strict")
+
+
+def test_plain_entries_need_no_tarfile(tmp_path, monkeypatch):
+    """Also of archives that tarfile has made; what isn't plain is read by it, from the first such entry on."""
+    files = [(f"d{k % 7}/{k}.md", b"x" * (k * 37 % 1500)) for k in range(200)]
+    system, base = packs.open_path(str(tmp_path))
+    with system.open_output_stream(f"{base}/theirs.tar.zst", compression="zstd") as out, tarfile.open(fileobj=out, mode="w|", format=tarfile.PAX_FORMAT) as tar:
+        for rel, data in files:
+            entry = tarfile.TarInfo(rel)
+            entry.size = len(data)
+            tar.addfile(entry, io.BytesIO(data))
+    own = packs._Packs(str(tmp_path), "w")
+    for rel, data in [*files, ("big", bytes(3 << 20)), ("after", b"1")]:
+        own.add(rel, data)
+    odd = packs._Packs(str(tmp_path), "w")
+    for rel, data in [*files, ("x" * 300, b"long"), *[(f"more/{rel}", data) for rel, data in files]]:
+        odd.add(rel, data)
+    (own,), (odd,) = own.close(), odd.close()
+    assert [e for e in packs._entries(str(tmp_path), odd)] == [*files, ("x" * 300, b"long"), *[(f"more/{rel}", data) for rel, data in files]]
+    monkeypatch.setattr(tarfile, "open", None)
+    assert list(packs._entries(str(tmp_path), "theirs")) == files
+    assert list(packs._entries(str(tmp_path), own)) == [*files, ("big", bytes(3 << 20)), ("after", b"1")]
+
+
+def test_damaged_packs_are_errors(tmp_path):
+    out = packs._Packs(str(tmp_path), "w")
+    for k in range(50):
+        out.add(f"f{k}", bytes(700))
+    (pack,) = out.close()
+    system, base = packs.open_path(str(tmp_path))
+    whole = system.open_input_stream(f"{base}/{pack}.tar.zst", compression="zstd").read()
+    for damaged in (whole[: 20 * 1536 + 900], whole[: 20 * 1536 + 100], whole[: 20 * 1536 + 3] + b"?" + whole[20 * 1536 + 4 :]):
+        with system.open_output_stream(f"{base}/{pack}.tar.zst", compression="zstd") as stream:
+            stream.write(damaged)
+        with pytest.raises(tarfile.TarError):
+            list(packs._entries(str(tmp_path), pack))
