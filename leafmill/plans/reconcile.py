@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.functions.names import nfc_casefold
+from leafmill.operators.attachments import packed, unpacked
 from leafmill.operators.layout import in_scope, in_scopes
 
 KEY = ["space_id", "page_id"]
@@ -149,20 +150,24 @@ def carry_media(previous: DataFrame, current: DataFrame, *, media: bool = True,
     that its last good bytes are put at the new place, unless its old name is another's by now. flags: media and complete
     by space, from `completeness` and the run's options.
     """
-    old = previous.select(*KEY, "att_id", *[F.col(c).alias(f"_{c}") for c in ("version", "file", "blob")])
-    rows = current.withColumn("_listed", F.lit(True)).join(old, [*KEY, "att_id"], "full_outer")
+    # Whether there are bytes is told before rows meet, so a digest goes along only where it is asked for, and as bytes. Each
+    # look-up is of the side that needs it, not of both together.
+    has = F.coalesce("blob", F.lit("")) != ""
+    now = current.select(*KEY, "att_id", "version", "file", packed("blob").alias("blob"), has.alias("_there"), F.lit(True).alias("_listed"))
     if moved is not None:
-        rows = rows.join(moved.select(*KEY).distinct().withColumn("_moved", F.lit(True)), KEY, "left")
+        now = now.join(moved.select(*KEY).distinct().withColumn("_moved", F.lit(True)), KEY, "left")
     # Names under which this run has put bytes on the page.
-    put = current.where("coalesce(blob, '') <> ''").select(*KEY, nfc_casefold("file").alias("_key")).distinct().withColumn("_put", F.lit(True))
-    rows = rows.withColumn("_key", nfc_casefold("_file")).join(put, [*KEY, "_key"], "left")
-    rows = flagged(rows, flags, media=media, complete=complete)
-    there, had, listed = F.coalesce("blob", F.lit("")) != "", F.coalesce("_blob", F.lit("")) != "", F.col("_listed").isNotNull()
+    put = current.where(has).select(*KEY, nfc_casefold("file").alias("_key")).distinct().withColumn("_put", F.lit(True))
+    old = previous.select(*KEY, "att_id", F.col("version").alias("_version"), F.col("file").alias("_file"), packed("blob").alias("_blob"), has.alias("_had"), nfc_casefold("file").alias("_key"))
+    old = old.join(put, [*KEY, "_key"], "left").drop("_key")
+    rows = flagged(now.join(old, [*KEY, "att_id"], "full_outer"), flags, media=media, complete=complete)
+    there, had, listed = F.coalesce("_there", F.lit(False)), F.coalesce("_had", F.lit(False)), F.col("_listed").isNotNull()
     rescued = listed & ~there & had & F.col("_put").isNull() & (F.coalesce("_moved", F.lit(False)) if moved is not None else F.lit(True))
     lacking = ~listed & F.col("_version").isNotNull()
     use_old = F.when(~F.col("media"), F.col("_version").isNotNull()).otherwise(rescued | (lacking & ~F.col("complete")))
     stays = F.when(~F.col("media"), F.col("_version").isNotNull()).otherwise(listed | ~F.col("complete"))
-    return rows.withColumn("carried", use_old).where(stays).select(*KEY, "att_id", *[F.when(F.col("carried"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("version", "file", "blob")], "carried")
+    rows = rows.withColumn("carried", use_old).where(stays).select(*KEY, "att_id", *[F.when(F.col("carried"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("version", "file", "blob")], "carried")
+    return rows.withColumn("blob", unpacked("blob"))
 
 
 def stale_media(previous: DataFrame, current: DataFrame, rendered: DataFrame, *, complete: bool = True, flags: DataFrame | None = None) -> DataFrame:
