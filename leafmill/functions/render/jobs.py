@@ -26,7 +26,9 @@ def wide(pages: DataFrame, named: DataFrame | None = None, available: DataFrame
     rows = pages.select("space_id", "page_id", heading_text(F.coalesce("title", F.lit(""))).alias("heading"), "body")
     kinds = {"files": "array<struct<name:string,att_id:string,local:string>>", "listed": "array<struct<title:string,local:string>>", "available": "array<string>", "users": "array<struct<account_id:string,name:string>>", "diagrams": "array<struct<name:string,picture:string,source:string>>"}
     if named is not None:
-        refs = stored(extract_refs(pages).where("kind in ('attachment', 'diagram')").select("page_id", "kind", "name", "att_id").distinct())
+        # Only elements of these names make such references, in whatever case they are written.
+        some = F.lower("body").rlike("ri:attachment|ac:structured-macro|ac:adf-extension")
+        refs = stored(extract_refs(pages.where(some)).where("kind in ('attachment', 'diagram')").select("page_id", "kind", "name", "att_id").distinct())
         files = resolve_refs(refs.where("kind = 'attachment'").select("page_id", F.col("name").alias("title"), "att_id"), named)
         rows = rows.join(files.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(F.col("title").alias("name"), "att_id", F.col("local_name").alias("local")))).alias("files")), "page_id", "left")
         rows = rows.join(named.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("att_id", "title", "local_name"))), lambda a: F.struct(a["title"].alias("title"), a["local_name"].alias("local"))).alias("listed")), "page_id", "left")

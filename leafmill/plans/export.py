@@ -98,8 +98,8 @@ def _roots(spaces: DataFrame, known: DataFrame, before: DataFrame) -> DataFrame:
     return rows.select("space_id", "space_key", "name", "root", owner["space_id"].alias("state_space_id"), owner["space_key"].alias("state_space_key"), owner["state_rows"].alias("state_rows"))
 
 
-def canonical_pages(given: Inputs, include_archived: bool) -> tuple[DataFrame, DataFrame]:
-    """All listed pages of this run's spaces, each id once, and those to export, with the bodies that failed ones had before."""
+def canonical_pages(given: Inputs, include_archived: bool) -> DataFrame:
+    """All listed pages of this run's spaces, each id once, with the bodies that failed ones had before, and export: whether they are to be exported."""
     spaces = given.spaces.select("space_id").distinct()
     rows = L.last_listed(given.pages.where("page_id <> ''").join(spaces, "space_id", "left_semi"), "page_id")
     if given.failed_bodies is not None:
@@ -111,13 +111,16 @@ def canonical_pages(given: Inputs, include_archived: bool) -> tuple[DataFrame, D
             rows = rows.withColumn("_old", F.lit(""))
         rows = rows.withColumn("body", F.when(F.col("_bad"), F.coalesce("_old", F.lit(""))).otherwise(F.col("body"))).drop("_bad", "_old")
     rows = R.flagged(_own(rows, "page_id", "parent_id"), given.flags, include_archived=include_archived)
-    return rows.drop("include_archived"), rows.where("include_archived or status <> 'archived'").drop("include_archived")
+    return rows.withColumn("export", F.coalesce(F.expr("include_archived or status <> 'archived'"), F.lit(False))).drop("include_archived")
 
 
-def plan(given: Inputs, include_archived: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame | None, DataFrame]:
-    """Ids of listed pages, pages to export without their bodies, the layout of all of them, the part of it in scope, the scopes with what they name, and nodes."""
-    listed, pages = canonical_pages(given, include_archived)
-    listed, pages = stored(listed.select(*KEY)), stored(pages.drop("body"))
+def plan(given: Inputs, include_archived: bool, *, bodies: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame | None, DataFrame]:
+    """Ids of listed pages, pages to export (with their bodies, if asked for), the layout of all of them, the part of it in scope, the scopes with what they name, and nodes."""
+    rows = canonical_pages(given, include_archived)
+    # Made once: listings are wide, and each use of them would join and sort them again. Who needs no bodies reads none.
+    rows = stored(rows if bodies else rows.drop("body"))
+    listed, full = rows.select(*KEY), rows.where("export").drop("export")
+    pages = full.drop("body")
     folders = _own(given.folders, "folder_id", "parent_id").join(given.spaces.select("space_id").distinct(), "space_id", "left_semi")
     placed, seen = stored_counted(L.layout(given.spaces, pages, folders), unsafe=F.count_if(L.unsafe()))
     if seen["unsafe"]:
@@ -126,7 +129,7 @@ def plan(given: Inputs, include_archived: bool) -> tuple[DataFrame, DataFrame, D
     if given.scopes is not None:
         scopes = stored(L.resolve_subtrees(placed, given.scopes))
         planned = L.restrict_scopes(placed, scopes)
-    return listed, pages, placed, placed if planned is None else planned, scopes, L.nodes(pages, folders)
+    return listed, full, placed, placed if planned is None else planned, scopes, L.nodes(pages, folders)
 
 
 def compare(spark: SparkSession, given: Inputs, folder: str, *, include_archived: bool = False) -> DataFrame:
@@ -153,7 +156,8 @@ def run(spark: SparkSession, given: Inputs, folder: str, *, options: P.Options =
     before_all = held("state_pages")
     before, before_media, before_shown, before_folders = (stored(own_held(f"state_{n}")) for n in ("pages", "attachments", "rendered", "folders"))
     before_media = before_media.select(*KEY, "att_id", "version", "file", "blob", "size")
-    listed, pages, placed, planned, scopes, tree = plan(given, include_archived)
+    listed, full, placed, planned, scopes, tree = plan(given, include_archived, bodies=True)
+    pages = full.drop("body")
     wanted = planned.where("kind = 'page'").select("space_id", F.col("node_id").alias("page_id"), "dir", "file", F.concat("dir", F.lit("/"), "segment", F.lit(".html")).alias("html")).join(pages, KEY)
     if not options.include_html:
         wanted = wanted.withColumn("html", F.lit(""))
@@ -170,8 +174,6 @@ def run(spark: SparkSession, given: Inputs, folder: str, *, options: P.Options =
     pairs = A.drawio_pairs(A.first_seen(atts))
     shown = stored(A.rendered_media(pairs, named, digests, derived, stock))
     pictures = shown.where("png_digest is not null")
-    # Bodies are read for their digests and mentions, and again where they are rendered.
-    full = canonical_pages(given, include_archived)[1]
     links = stored(B.store_bodies(full)[1])
     prints = P.page_fingerprints(pages, named, links, pictures.select("page_id", "png_digest"), stored(B.author_resolution(full, given.users, lookup=options.author_lookup)), options)
     wanted = stored(wanted.join(prints, KEY))
